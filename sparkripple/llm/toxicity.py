@@ -7,7 +7,7 @@ document labels train it; the sentence scores then locate the offending ones.
 Features are lower-cased words and their prefixes of 4 to 6 letters, so that
 inflected and glued forms share weight, hashed to HASHED values. Document
 frequencies by label come from all labelled training rows in one distributed
-pass; the MOST_FEATURES of the largest signed chi-square are kept. The noisy-or
+pass; the MOST_FEATURES of the largest chi-square towards toxic are kept. The noisy-or
 model is fitted on at most about TRAIN_DOCS labelled documents chosen by a hash
 of their id, of which only sentences with kept features reach the driver.
 
@@ -33,6 +33,8 @@ HASHED = 1 << 20
 PREFIXES = (4, 5, 6)
 MOST_FEATURES = 4096
 TRAIN_DOCS = 20_000
+#: Least chi-square (one degree of freedom) of a kept feature, about one chance in a million.
+LEAST_CHI = 24.0
 HELD_OUT = (5, 0)
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCES = re.compile(r"[.!?\n]+")
@@ -71,7 +73,7 @@ def chosen_features(labelled: DataFrame, n_clean: int, n_toxic: int, most: int)
     n, both = n_clean + n_toxic, F.col("c") + F.col("t")
     expected = both * (n_toxic / n)
     chi = F.pow(F.col("t") - expected, 2) / (expected * (1 - n_toxic / n) + 1e-9)
-    top = df.filter((F.col("t") > expected) & (F.col("t") >= 3)).orderBy(chi.desc(), "feature").limit(most)
+    top = df.filter((F.col("t") > expected) & (F.col("t") >= 3) & (chi >= LEAST_CHI)).orderBy(chi.desc(), "feature").limit(most)
     return [r["feature"] for r in top.select("feature").collect()]
 
 
@@ -129,7 +131,7 @@ def fit(rows: pd.DataFrame, n_features: int, steps: int = 300) -> tuple[np.ndarr
         # d loss / d log_clean: 1 - y / doc, carried to each sentence by d log(1 - p) / dz = -p
         pull = 1 - y / doc
         g_sent = pull[bag] * p
-        grad = np.append(np.bincount(ids, g_sent[sent], minlength=n_features) + 1e-1 * w, g_sent.sum() + (pull * bare).sum() * p0)
+        grad = np.append(np.bincount(ids, g_sent[sent], minlength=n_features) + 2e-2 * w, g_sent.sum() + (pull * bare).sum() * p0)
         grad /= max(1, len(y))
         moments[0] = 0.9 * moments[0] + 0.1 * grad
         moments[1] = 0.99 * moments[1] + 0.01 * grad**2

@@ -50,7 +50,8 @@ def fitting(host: Column, path: Column, rules=RULES) -> Column:
 def grams(url: Column) -> Column:
     """Every character with the ORDER characters before it, the end included."""
     chars = F.split(F.concat(F.lit(BEGIN * ORDER), url, F.lit(END)), "")
-    return F.transform(F.sequence(F.lit(1), F.size(chars) - ORDER), lambda i: F.array_join(F.slice(chars, i, ORDER + 1), ""))
+    # As a lambda's variable the characters are split off once, not once for every gram.
+    return F.flatten(F.transform(F.array(chars), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - ORDER), lambda i: F.array_join(F.slice(c, i, ORDER + 1), ""))))
 
 
 def gram_scores(counted: DataFrame, wanted: DataFrame) -> DataFrame:

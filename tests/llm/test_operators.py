@@ -20,8 +20,8 @@ ODD = [
     (4, "same words here now", "en", "a", 19),
     (5, "same words here now", "en", "a", 19),
     (5, "same words here now", "en", "a", 19),
-    (6, "x" * 300_000, None, "b", 300_000),
-    (7, "word " * 50_000, "en", None, 250_000),
+    (6, "x" * 5_000, None, "b", 5_000),
+    (7, "word " * 20_000, "en", None, 100_000),
     (8, "12 " * 30_000 + "a@b.c" * 2000, "en", "b", 100_000),
     (9, "<|endoftext|> \U0001f600 déjà vu", "fr", "c", 20),
 ]
@@ -152,14 +152,15 @@ def test_pivot_keeps_words_and_probabilities():
 
 
 def test_toxicity(spark, docs):
-    sf = SF.replace("sf0.001", "sf0.01")
+    sf = SF.replace("sf0.001", "sf0.1")
     big, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     got = {r["doc_id"]: r for r in toxicity.judge(big, labels).collect()}
     marks = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     assert len(got) == big.count()
     assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for d, r in got.items())
     held = [(got[d]["predicted"], t) for d, t in marks.items() if d in got and got[d]["held_out"]]
-    assert sum(p == t for p, t in held) >= 0.95 * len(held)
+    assert sum(p == t for p, t in held) >= 0.97 * len(held)
+    assert sum(p for p, t in held if t) >= 0.8 * sum(t for _, t in held) and sum(p for p, t in held if not t) <= 0.01 * len(held)
     assert all(r["sentences"] for r in got.values() if r["score"] > 0.9 and r["predicted"])
 
 
@@ -199,7 +200,7 @@ def test_token_counts(docs, odd, none):
         want = Counter()
         for r in rows:
             tokens = split(r["text"] or "")
-            if len(tokens) < 40_000:
+            if len(tokens) < 50_000:
                 want[(r["doc_id"], sum(brute(t) * n for t, n in Counter(tokens).items()), len(tokens))] += 1
         got = Counter((r["doc_id"], r["n_tokens"], r["n_pretokens"]) for r in token_counts.count_tokens(df).collect())
         assert not want - got and sum(got.values()) == len(rows)
@@ -342,6 +343,8 @@ def test_pii(spark, docs, odd, none):
     assert clean[3].startswith("mail <EMAIL> or call <PHONE>, tel <PHONE>")
     assert pii.redact(odd, model).columns == odd.columns and texts(pii.redact(odd, model))[1] is None
     assert pii.find(none, model).count() == 0
+    long = spark.createDataFrame([(1, "x" * 1_000_000 + " a@b.c " + "1.1 " * 50_000 + "a" + ".a" * 100_000)], "doc_id long, text string")
+    assert pii.find(long, model).first()["n_email"] == 1
 
 
 def brute_components(ids, linked):

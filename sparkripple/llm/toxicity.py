@@ -5,11 +5,11 @@ the words it holds; the document's is their noisy-or, 1 - prod(1 - p). Only
 document labels train it; the sentence scores then locate the offending ones.
 
 Features are lower-cased words and their prefixes of 4 to 6 letters, so that
-inflected and glued forms share weight, hashed to HASHED values. Document
-frequencies by label come from all labelled training rows in one distributed
-pass; the MOST_FEATURES of the largest chi-square towards toxic are kept. The noisy-or
-model is fitted on at most about TRAIN_DOCS labelled documents chosen by a hash
-of their id, of which only sentences with kept features reach the driver.
+inflected and glued forms share weight, hashed to HASHED values. The model is
+fitted on at most about TRAIN_DOCS labelled documents chosen by a hash of their
+id: a distributed pass counts their features by label, the MOST_FEATURES of the
+largest chi-square towards toxic are kept, and only the sentences that hold one
+reach the driver, as feature numbers.
 
 Whole texts are scored. Null and empty texts have one empty sentence and so the
 base score. Without a positive label all scores are 0. Repeated rows get equal
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkripple.llm.common import fold, small_batches
+from sparkripple.llm.common import cut, fold, small_batches
 
 HASHED = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -147,11 +147,16 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, most
     counts = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(1):
         return {}, -30.0
-    labelled = small_batches(docs.filter("text IS NOT NULL").join(marks, F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "toxic"))
-    chosen = chosen_features(labelled.select("text", "toxic"), counts.get(0, 0), counts[1], most)
     share = min(1.0, train_docs / sum(counts.values()))
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = sample.select("text", "toxic").mapInPandas(instances(chosen), "toxic int, n int, lengths array<int>, ids array<int>").toPandas()
+    chosen_rows = marks.filter(F.pmod(F.xxhash64("labelled_id", F.lit("toxicity")), F.lit(1_000_000)) < int(share * 1_000_000))
+    # About train_docs ids and labels at most, some 20 bytes each, whatever the size of the corpus.
+    labelled = docs.filter("text IS NOT NULL").join(F.broadcast(chosen_rows), F.col("doc_id") == F.col("labelled_id")).select("text", "toxic")
+    labelled = small_batches(cut(labelled))
+    counts = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts.get(1):
+        return {}, -30.0
+    chosen = chosen_features(labelled, counts.get(0, 0), counts[1], most)
+    rows = labelled.mapInPandas(instances(chosen), "toxic int, n int, lengths array<int>, ids array<int>").toPandas()
     if rows.empty or not rows["toxic"].any():
         return {}, -30.0
     w, b = fit(rows, len(chosen))

@@ -1,9 +1,527 @@
-"""Queries over the driver's tables."""
+"""Queries over the driver's tables, each with SQL for the same rows.
 
+The tables hold no source code. Corpus views derive made-up stand-ins from them:
+classes from parts, tests from customers, references from their orders, changed
+paths from documents. Every operator runs over these whole views.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkripple.functions import paths
+from sparkripple.operators import dispatch, selection
+from sparkripple.plans import engine, report
+from sparkripple.plans.config import DEFAULTS, IGNORED, SITUATIONS, Config
+from sparkripple.sources import snapshot
+
+CONFIG = Config(source_dirs=("src/main/java", "src/main/kotlin"), out_of_scope_test_dirs=("api-test", "perf/**"), mode="CI")
+SUFFIXES = list(CONFIG.test_suffixes)
+DEPTH = 4
+
+# --- views, as Spark expressions -------------------------------------------------------------------------------
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def classes(spark: SparkSession, d: str) -> DataFrame:
+    pkg = F.concat(F.lit("com."), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))))
+    out = read(spark, d, "part").select(F.col("p_partkey").alias("k"), pkg.alias("pkg"), F.concat(F.lit("Part"), F.col("p_partkey").cast("string")).alias("simple"))
+    return out.withColumn("fqn", F.concat_ws(".", "pkg", "simple"))
+
+
+def changed(spark: SparkSession, d: str) -> DataFrame:
+    return classes(spark, d).filter("k % 100 = 0").select(F.expr("concat('d', cast((k div 100) % 4 AS string))").alias("diff_id"), "fqn", "simple", "pkg")
+
+
+def n_parts(spark: SparkSession, d: str) -> int:
+    return read(spark, d, "part").count()
+
+
+def tests(spark: SparkSession, d: str) -> DataFrame:
+    n = n_parts(spark, d)
+    c = read(spark, d, "customer").withColumn("k", F.col("c_custkey") % n)
+    own = c.join(classes(spark, d).select("k", F.col("pkg").alias("class_pkg")), "k")
+    suffix = F.element_at(F.lit([*SUFFIXES, "Spec"]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    pkg = F.when(F.col("c_custkey") % 3 == 0, F.col("class_pkg")).otherwise(F.concat(F.lit("com."), F.lower("c_mktsegment")))
+    out = own.select("c_custkey", F.concat(F.lit("Part"), F.col("k").cast("string"), suffix).alias("simple"), pkg.alias("pkg")).withColumn("fqn", F.concat_ws(".", "pkg", "simple"))
+    where = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("m"), (F.col("c_custkey") % 25).cast("string"), F.lit("/src/test/java/"))).otherwise(F.concat(F.lit("m"), (F.col("c_custkey") % 25).cast("string"), F.lit("/sub/src/it/java/")))
+    return out.withColumn("path", F.concat(where, F.replace("fqn", F.lit("."), F.lit("/")), F.lit(".java")))
+
+
+def references(spark: SparkSession, d: str) -> DataFrame:
+    """(test, pkg, kind, target, target_pkg, target_simple, even)."""
+    o = read(spark, d, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey")
+    line = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    t = tests(spark, d).select("c_custkey", F.col("fqn").alias("test"), "pkg")
+    c = classes(spark, d).select(F.col("k").alias("l_partkey"), F.col("fqn").alias("target"), F.col("pkg").alias("target_pkg"), F.col("simple").alias("target_simple"))
+    out = line.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(t, F.col("o_custkey") == F.col("c_custkey")).join(c, "l_partkey")
+    return out.select("test", "pkg", (F.col("l_linenumber") % 6).alias("kind"), "target", "target_pkg", "target_simple", (F.col("l_quantity") % 2 == 0).alias("even")).distinct()
+
+
+def imports(spark: SparkSession, d: str) -> DataFrame:
+    r = references(spark, d).filter("kind IN (0, 1, 2, 3) OR (kind = 5 AND even)")
+    name = F.when(F.col("kind") == 0, F.col("target")).when(F.col("kind") == 1, F.concat("target", F.lit(".Inner"))).when((F.col("kind") == 2) & ~F.col("even"), F.concat("target", F.lit(".helper"))).when(F.col("kind") == 3, F.col("target_pkg")).otherwise(F.col("target"))
+    star = (F.col("kind") == 3) | (F.col("kind") == 5) | (F.col("kind") == 2) & F.col("even")
+    return r.select(F.col("test").alias("fqn"), name.alias("name"), (F.col("kind") == 2).alias("is_static"), star.alias("is_asterisk")).distinct().withColumn("ord", F.col("name"))
+
+
+def simple_refs(spark: SparkSession, d: str) -> DataFrame:
+    return references(spark, d).filter("kind IN (0, 3) OR (kind = 5 AND NOT even)").select(F.col("test").alias("fqn"), "pkg", F.col("target_simple").alias("name")).distinct()
+
+
+def dotted_refs(spark: SparkSession, d: str) -> DataFrame:
+    r = references(spark, d).filter("kind = 4")
+    return r.select(F.col("test").alias("fqn"), F.when(F.col("even"), F.col("target")).otherwise(F.concat("target", F.lit(".Nested"))).alias("name")).distinct()
+
+
+def decls(spark: SparkSession, d: str) -> DataFrame:
+    return classes(spark, d).filter("k > 0").select("fqn", F.expr("concat('Part', cast(k div 7 AS string))").alias("supertype"))
+
+
+def sources(spark: SparkSession, d: str) -> DataFrame:
+    k = (F.col("s_suppkey") * 20 % n_parts(spark, d)).cast("string")
+    simple = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("Part"), k, F.lit("Impl"))).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("DefaultPart"), k)).otherwise(F.concat(F.lit("Part"), k, F.lit("Other")))
+    own = read(spark, d, "supplier").select(simple.alias("simple")).withColumn("fqn", F.concat(F.lit("com.impl."), F.col("simple"))).distinct()
+    return own.unionByName(classes(spark, d).select("simple", "fqn"))
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    """(consumer, dependency): parts that follow each other in an order."""
+    line = read(spark, d, "lineitem").filter("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", "l_partkey")
+    a, b = line.alias("a"), line.alias("b")
+    pairs = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("b.l_linenumber") == F.col("a.l_linenumber") + 1)).filter("a.l_partkey <> b.l_partkey").select(F.col("a.l_partkey").alias("ca"), F.col("b.l_partkey").alias("cb")).distinct()
+    c = classes(spark, d).select("k", "fqn")
+    return pairs.join(c.select(F.col("k").alias("ca"), F.col("fqn").alias("consumer")), "ca").join(c.select(F.col("k").alias("cb"), F.col("fqn").alias("dependency")), "cb").select("consumer", "dependency")
+
+
+PATHS = """CASE doc_id % 11
+  WHEN 0 THEN concat('docs/d', cast(doc_id AS {s}), '.md')
+  WHEN 1 THEN concat('src/main/java/com/b', cast(doc_id % 7 AS {s}), '/Part', cast(doc_id AS {s}), '.java')
+  WHEN 2 THEN concat('src/test/java/com/b', cast(doc_id % 7 AS {s}), '/Part', cast(doc_id AS {s}), 'Test.java')
+  WHEN 3 THEN concat('api-test/com/x/Smoke', cast(doc_id AS {s}), '.java')
+  WHEN 4 THEN concat('perf/sub/x/P', cast(doc_id AS {s}), '.java')
+  WHEN 5 THEN concat('m', cast(doc_id AS {s}), '/src/main/java/module-info.java')
+  WHEN 6 THEN concat('a/../src/main/java/X', cast(doc_id AS {s}), '.java')
+  WHEN 7 THEN concat('app/src/main/kotlin/com/K', cast(doc_id AS {s}), '.kt')
+  WHEN 8 THEN concat('src/main/resources/r', cast(doc_id AS {s}), '.yml')
+  WHEN 9 THEN concat('notsrc/main/java/N', cast(doc_id AS {s}), '.java')
+  ELSE concat('lib/generated/G', cast(doc_id AS {s}), '.java') END"""
+DIFFS = """CASE WHEN doc_id % 2 = 0 THEN concat('k', cast(doc_id % 11 AS {s})) ELSE concat(coalesce(source, ''), '-', cast(floor((doc_id % 11) / 3) AS {i})) END"""
+
+
+def changed_paths(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", "source").selectExpr(DIFFS.format(s="string", i="string") + " AS diff_id", PATHS.format(s="string") + " AS path").distinct()
+
+
+def classified(spark: SparkSession, d: str) -> DataFrame:
+    return engine.classify(changed_paths(spark, d), CONFIG)
+
+
+def modules(spark: SparkSession, d: str) -> DataFrame:
+    """Module directories m<nation>, and m<nation>/sub for every other nation."""
+    n = read(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("n"))
+    top = n.select(F.concat(F.lit("m"), "n").alias("dir"), F.concat(F.lit(":m"), "n").alias("gradle_path"))
+    return top.union(n.filter("cast(n AS int) % 2 = 0").select(F.concat(F.lit("m"), "n", F.lit("/sub")), F.concat(F.lit(":m"), "n", F.lit(":sub"))))
+
+
+def log_text(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 20), F.lit("\t"), F.chr(F.col("doc_id") % 32 + 1), F.lit("\u0085\r\n"), F.coalesce("lang", F.lit(""))).alias("text"))
+
+
+def decision_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts per diff, with made-up numbers of selected tests and failures."""
+    counts = engine.bucket_counts(classified(spark, d))
+    return counts.withColumn("n_selected", F.when(F.col("n_prod") + F.col("n_test") > 0, F.col("n_files") % 3).otherwise(0)).withColumn("n_failed", F.when(F.col("n_files") % 5 == 0, 1).otherwise(0))
+
+
+def routes(spark: SparkSession, d: str) -> DataFrame:
+    t = tests(spark, d).select(F.concat(F.lit("d"), (F.col("c_custkey") % 4).cast("string")).alias("diff_id"), "fqn", "path")
+    return dispatch.routed(t, modules(spark, d), ["test", "it"])
+
+
+def index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {"tests": tests(spark, d), "sources": sources(spark, d), "imports": imports(spark, d), "simple_refs": simple_refs(spark, d), "dotted_refs": dotted_refs(spark, d), "decls": decls(spark, d), "edges": edges(spark, d)}
+
+
+def changed_with_kind(spark: SparkSession, d: str) -> DataFrame:
+    return changed(spark, d).withColumn("kind", F.lit("prod"))
+
+
+def found(spark: SparkSession, d: str) -> DataFrame:
+    return engine.discover(changed_with_kind(spark, d), index(spark, d), CONFIG)
+
+
+def fingerprints(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Stored metadata and current files of made-up times and sizes."""
+    o = read(spark, d, "orders").select(F.concat(F.lit("src/"), F.col("o_orderkey").cast("string"), F.lit(".java")).alias("path"), F.col("o_custkey").alias("mtime"), F.length("o_orderpriority").cast("long").alias("size"), "o_orderkey")
+    stored = o.filter("o_orderkey % 10 <> 0").select("path", F.expr("mtime + if(o_orderkey % 7 = 0, 1, 0)").alias("mtime"), "size", (F.col("o_orderkey") % 13 != 0).alias("parse_ok"))
+    return stored, o.filter("o_orderkey % 11 <> 0").select("path", "mtime", "size")
+
+
+def directories(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s = read(spark, d, "supplier").select(F.concat(F.lit("dir"), F.col("s_suppkey").cast("string")).alias("path"), F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("long").alias("n"))
+    old = s.filter("k % 5 <> 0").select("path", F.col("k").alias("mtime"), F.col("n").alias("child_count"))
+    return old, s.filter("k % 6 <> 0").select("path", F.expr("k + if(k % 7 = 0, 1, 0)").alias("mtime"), F.expr("n + if(k % 8 = 0, 1, 0)").alias("child_count"))
+
+
+# --- the same views in SQL -------------------------------------------------------------------------------------
+
+V = {
+    "cv_class": "SELECT p_partkey k, 'com.' || lower(replace(p_brand, '#', '')) pkg, 'Part' || p_partkey simple, 'com.' || lower(replace(p_brand, '#', '')) || '.Part' || p_partkey fqn FROM part",
+    "cv_changed": "SELECT 'd' || ((k // 100) % 4) diff_id, fqn, simple, pkg FROM cv_class WHERE k % 100 = 0",
+    "cv_test0": "SELECT c_custkey, 'Part' || k || ['Test', 'IT', 'ITTest', 'IntegrationTest', 'Spec'][c_custkey % 5 + 1] simple, CASE WHEN c_custkey % 3 = 0 THEN c.pkg ELSE 'com.' || lower(c_mktsegment) END pkg FROM customer JOIN cv_class c ON c.k = c_custkey % (SELECT count(*) FROM part)",
+    "cv_test": "SELECT *, pkg || '.' || simple fqn, CASE WHEN c_custkey % 2 = 0 THEN 'm' || (c_custkey % 25) || '/src/test/java/' ELSE 'm' || (c_custkey % 25) || '/sub/src/it/java/' END || replace(pkg || '.' || simple, '.', '/') || '.java' path FROM cv_test0",
+    "cv_ref": "SELECT DISTINCT t.fqn test, t.pkg, l_linenumber % 6 kind, c.fqn target, c.pkg target_pkg, c.simple target_simple, l_quantity % 2 = 0 even FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND o_orderkey % 3 = 0 JOIN cv_test t ON t.c_custkey = o_custkey JOIN cv_class c ON c.k = l_partkey",
+    "cv_import": "SELECT DISTINCT test fqn, CASE kind WHEN 0 THEN target WHEN 1 THEN target || '.Inner' WHEN 2 THEN CASE WHEN even THEN target ELSE target || '.helper' END WHEN 3 THEN target_pkg ELSE target END AS name, kind = 2 is_static, kind IN (3, 5) OR (kind = 2 AND even) is_asterisk FROM cv_ref WHERE kind < 4 OR (kind = 5 AND even)",
+    "cv_simple": "SELECT DISTINCT test fqn, pkg, target_simple AS name FROM cv_ref WHERE kind IN (0, 3) OR (kind = 5 AND NOT even)",
+    "cv_dotted": "SELECT DISTINCT test fqn, CASE WHEN even THEN target ELSE target || '.Nested' END AS name FROM cv_ref WHERE kind = 4",
+    "cv_decl": "SELECT fqn, 'Part' || (k // 7) supertype FROM cv_class WHERE k > 0",
+    "cv_source": "SELECT DISTINCT simple, 'com.impl.' || simple fqn FROM (SELECT CASE s_suppkey % 3 WHEN 0 THEN 'Part' || n || 'Impl' WHEN 1 THEN 'DefaultPart' || n ELSE 'Part' || n || 'Other' END simple FROM (SELECT s_suppkey, s_suppkey * 20 % (SELECT count(*) FROM part) n FROM supplier)) UNION ALL SELECT simple, fqn FROM cv_class",
+    "cv_edge": "SELECT ca.fqn consumer, cb.fqn dependency FROM (SELECT DISTINCT a.l_partkey x, b.l_partkey y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey % 20 = 0 AND a.l_partkey <> b.l_partkey) JOIN cv_class ca ON ca.k = x JOIN cv_class cb ON cb.k = y",
+    "cv_path": f"SELECT DISTINCT {DIFFS.format(s='varchar', i='integer')} diff_id, {PATHS.format(s='varchar')} path FROM documents",
+    "cv_bucket": r"""SELECT *, CASE WHEN regexp_matches(path, '(^|/)\.\.(/|$)') THEN 'unmapped'
+      WHEN path LIKE '%/generated/%' OR path LIKE '%.md' THEN 'ignored'
+      WHEN path LIKE 'api-test/%' OR path LIKE '%/api-test/%' OR path LIKE 'perf/%' THEN 'out_of_scope'
+      WHEN NOT regexp_matches(path, '(?i)[^/]\.(java|kt)$') OR path LIKE '%/module-info.java' THEN 'unmapped'
+      WHEN regexp_matches(path, '(^|/)src/test/java/') THEN 'test'
+      WHEN regexp_matches(path, '(^|/)src/main/(java|kotlin)/') THEN 'production' ELSE 'unmapped' END bucket FROM cv_path""",
+    "cv_count": "SELECT diff_id, count(*) n_files, count(*) FILTER (bucket = 'ignored') n_ignored, count(*) FILTER (bucket = 'out_of_scope') n_oos, count(*) FILTER (bucket = 'production') n_prod, count(*) FILTER (bucket = 'test') n_test, count(*) FILTER (bucket = 'unmapped') n_unmapped FROM cv_bucket GROUP BY diff_id",
+    "cv_made": "SELECT *, CASE WHEN n_prod + n_test > 0 THEN n_files % 3 ELSE 0 END n_selected, CASE WHEN n_files % 5 = 0 THEN 1 ELSE 0 END n_failed FROM cv_count",
+    "cv_situation": "SELECT *, CASE WHEN n_files = 0 THEN 'EMPTY_DIFF' WHEN n_ignored = n_files THEN 'ALL_FILES_IGNORED' WHEN n_ignored + n_oos = n_files THEN 'ALL_FILES_OUT_OF_SCOPE' WHEN n_unmapped > 0 THEN 'UNMAPPED_FILE' WHEN n_failed > 0 THEN 'DISCOVERY_INCOMPLETE' WHEN n_selected = 0 THEN 'DISCOVERY_EMPTY' ELSE 'DISCOVERY_SUCCESS' END situation FROM cv_made",
+    "cv_action": "SELECT *, CASE WHEN situation IN ('EMPTY_DIFF', 'ALL_FILES_IGNORED', 'ALL_FILES_OUT_OF_SCOPE') THEN 'SKIPPED' WHEN situation = 'DISCOVERY_SUCCESS' THEN 'SELECTED' ELSE 'FULL_SUITE' END AS action, CASE WHEN situation = 'DISCOVERY_SUCCESS' THEN 'EXPLICIT' ELSE 'MODE_DEFAULT' END action_source FROM cv_situation",
+    "cv_decided": "SELECT diff_id, n_files, n_ignored, n_oos, n_prod, n_test, n_unmapped, situation, action, action_source, CASE WHEN action = 'SELECTED' THEN n_selected ELSE 0 END n_selected, action = 'FULL_SUITE' run_all, action = 'SKIPPED' skipped, CASE WHEN action <> 'FULL_SUITE' THEN 'NONE' WHEN situation = 'UNMAPPED_FILE' THEN 'RUN_ALL_ON_NON_JAVA_CHANGE' WHEN situation = 'DISCOVERY_EMPTY' THEN 'RUN_ALL_IF_NO_MATCHES' ELSE 'RUN_ALL_ON_DISCOVERY_INCOMPLETE' END escalation_reason, CASE action WHEN 'SELECTED' THEN 'SELECTED' WHEN 'SKIPPED' THEN 'SKIPPED' ELSE 'FULL_SUITE' END outcome FROM cv_action",
+    "cv_naming": "SELECT DISTINCT c.diff_id, c.fqn changed_fqn, t.fqn, t.pkg <> c.pkg cross_package FROM cv_changed c JOIN cv_test t ON t.simple IN (c.simple || 'Test', c.simple || 'IT', c.simple || 'ITTest', c.simple || 'IntegrationTest')",
+    "cv_key": """SELECT DISTINCT fqn, CASE WHEN is_static AND NOT is_asterisk THEN regexp_extract(name, '^(.*)\\.[^.]*$', 1) ELSE name END AS key, 'import' tier FROM cv_import WHERE is_static OR NOT is_asterisk
+      UNION SELECT i.fqn, c.fqn, 'inner_import' FROM cv_import i JOIN cv_class c ON starts_with(i.name, c.fqn || '.')
+      UNION SELECT fqn, name, 'class_wildcard' FROM cv_import WHERE is_asterisk AND NOT is_static
+      UNION SELECT i.fqn, i.name || '.' || s.name, 'package_wildcard' FROM cv_import i JOIN cv_simple s ON s.fqn = i.fqn WHERE is_asterisk AND NOT is_static
+      UNION SELECT fqn, pkg || '.' || name, 'same_package' FROM cv_simple
+      UNION SELECT f.fqn, c.fqn, 'inline' FROM cv_dotted f JOIN cv_class c ON f.name = c.fqn OR starts_with(f.name, c.fqn || '.')""",
+    "cv_usage": "SELECT DISTINCT c.diff_id, c.fqn changed_fqn, k.fqn, k.tier FROM cv_changed c JOIN cv_key k ON k.key = c.fqn",
+    "cv_impl_name": "SELECT DISTINCT c.diff_id, s.fqn FROM cv_changed c JOIN cv_source s ON s.simple IN (c.simple || 'Impl', 'Impl' || c.simple, c.simple || 'Default', 'Default' || c.simple)",
+    "cv_impl_walk": "SELECT diff_id, fqn, 0 hop, false known FROM cv_changed UNION ALL SELECT diff_id, fqn, 0, true FROM cv_impl_name UNION SELECT w.diff_id, d.fqn, w.hop + 1, true FROM cv_impl_walk w JOIN cv_decl d ON d.supertype = regexp_extract(w.fqn, '[^.]*$') WHERE w.hop < 4",
+    "cv_impl": "SELECT diff_id, fqn, min(hop) hop FROM cv_impl_walk w GROUP BY diff_id, fqn HAVING bool_and(known)",
+    "cv_walk": "SELECT diff_id, fqn, 0 hop FROM cv_changed UNION SELECT w.diff_id, e.consumer, w.hop + 1 FROM cv_walk w JOIN cv_edge e ON e.dependency = w.fqn WHERE w.hop < 4",
+    "cv_reached": "SELECT diff_id, fqn, min(hop) hop FROM cv_walk GROUP BY diff_id, fqn HAVING min(hop) > 0",
+    "cv_more": "SELECT 'impl' strategy, diff_id, fqn FROM cv_impl UNION ALL SELECT 'transitive', diff_id, fqn FROM cv_reached",
+    "cv_found": "SELECT DISTINCT diff_id, 'naming' strategy, fqn FROM cv_naming UNION SELECT diff_id, 'usage', fqn FROM cv_usage UNION SELECT m.diff_id, m.strategy, t.fqn FROM cv_more m JOIN cv_test t ON t.simple IN (regexp_extract(m.fqn, '[^.]*$') || 'Test', regexp_extract(m.fqn, '[^.]*$') || 'IT', regexp_extract(m.fqn, '[^.]*$') || 'ITTest', regexp_extract(m.fqn, '[^.]*$') || 'IntegrationTest') UNION SELECT m.diff_id, m.strategy, k.fqn FROM cv_more m JOIN cv_key k ON k.key = m.fqn",
+    "cv_strategy": "SELECT diff_id, strategy, count(DISTINCT fqn) n_tests FROM cv_found GROUP BY ALL",
+    "cv_module": "SELECT 'm' || n_nationkey dir, ':m' || n_nationkey gradle_path FROM nation UNION ALL SELECT 'm' || n_nationkey || '/sub', ':m' || n_nationkey || ':sub' FROM nation WHERE n_nationkey % 2 = 0",
+    "cv_owner": "SELECT t.fqn, t.path, t.c_custkey, coalesce(max_by(m.gradle_path, length(m.dir)), '') gradle_path FROM cv_test t LEFT JOIN cv_module m ON starts_with(t.path, m.dir || '/') GROUP BY t.fqn, t.path, t.c_custkey",
+    "cv_route": "SELECT 'd' || (c_custkey % 4) diff_id, fqn, path, gradle_path || ':' || CASE WHEN path LIKE '%/src/test/%' THEN 'test' WHEN path LIKE '%/src/it/%' THEN 'it' ELSE 'test' END task_key FROM cv_owner",
+    "cv_log": "SELECT doc_id, substr(text, 1, 20) || chr(9) || chr((doc_id % 32 + 1)::integer) || chr(133) || chr(13) || chr(10) || coalesce(lang, '') AS text FROM documents",
+    "cv_file": "SELECT 'src/' || o_orderkey || '.java' path, o_custkey mtime, length(o_orderpriority) size, o_orderkey k FROM orders",
+    "cv_stored": "SELECT path, mtime + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END mtime, size, k % 13 <> 0 parse_ok FROM cv_file WHERE k % 10 <> 0",
+    "cv_current": "SELECT path, mtime, size FROM cv_file WHERE k % 11 <> 0",
+    "cv_old": "SELECT 'dir' || s_suppkey path, s_suppkey mtime, s_nationkey::bigint child_count FROM supplier WHERE s_suppkey % 5 <> 0",
+    "cv_new": "SELECT 'dir' || s_suppkey path, s_suppkey + CASE WHEN s_suppkey % 7 = 0 THEN 1 ELSE 0 END mtime, s_nationkey + CASE WHEN s_suppkey % 8 = 0 THEN 1 ELSE 0 END child_count FROM supplier WHERE s_suppkey % 6 <> 0",
+}
+
+
+def sql(query: str) -> str:
+    """The query with the views it needs before it."""
+    import re
+
+    needed, todo = set(), [query]
+    while todo:
+        for name in re.findall(r"\bcv_\w+", todo.pop()):
+            if name not in needed:
+                needed.add(name)
+                todo.append(V[name])
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({v})" for n, v in V.items() if n in needed) + f" {query}" if needed else query
+
+
+# --- queries ---------------------------------------------------------------------------------------------------
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(oracle: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = sql(oracle)
+        return f
+
+    return add
+
+
+@query(r"SELECT diff_id, path, regexp_matches(path, '(^|/)\.\.(/|$)') traverses FROM cv_path")
+def path_traversal_guard(spark, d):
+    return changed_paths(spark, d).withColumn("traverses", paths.traverses(F.col("path")))
+
+
+@query("SELECT diff_id, path, path LIKE '%/generated/%' OR path LIKE '%.md' ignored FROM cv_path")
+def ignore_glob(spark, d):
+    return changed_paths(spark, d).withColumn("ignored", paths.any_glob(F.col("path"), list(IGNORED)))
+
+
+@query("SELECT diff_id, path, path LIKE 'api-test/%' OR path LIKE '%/api-test/%' OR path LIKE 'perf/%' out_of_scope FROM cv_path")
+def out_of_scope(spark, d):
+    return changed_paths(spark, d).withColumn("out_of_scope", paths.in_directories(F.col("path"), CONFIG.out_of_scope()))
+
+
+@query(r"SELECT path, regexp_matches(path, '(?i)[^/]\.(java|kt)$') is_source, lower(regexp_extract(path, '(?i)\.(java|kt)$', 1)) extension, regexp_replace(path, '(?i)\.(java|kt)$', '') stem, split_part(path, '/', -1) IN ('module-info.java', 'package-info.java') is_marker FROM cv_path")
+def source_extension(spark, d):
+    p = F.col("path")
+    return changed_paths(spark, d).select("path", paths.is_source(p).alias("is_source"), paths.extension(p).alias("extension"), paths.without_extension(p).alias("stem"), paths.is_marker(p).alias("is_marker"))
+
+
+@query(r"SELECT path, CASE WHEN regexp_matches(path, '(^|/)src/main/(java|kotlin)/.') THEN replace(regexp_replace(regexp_extract(path, '(?:^|/)src/main/(?:java|kotlin)/(.*)$', 1), '(?i)\.(java|kt)$', ''), '/', '.') END fqn FROM cv_path")
+def path_to_fqn(spark, d):
+    return changed_paths(spark, d).select("path", paths.fqn_under(F.col("path"), list(CONFIG.source_dirs)).alias("fqn"))
+
+
+@query("SELECT diff_id, path, bucket FROM cv_bucket")
+def bucket_classify(spark, d):
+    return classified(spark, d)
+
+
+@query("SELECT * FROM cv_count")
+def bucket_counts(spark, d):
+    return engine.bucket_counts(classified(spark, d))
+
+
+@query(r"""SELECT DISTINCT diff_id, kind, fqn, regexp_extract(fqn, '[^.]*$') AS simple, regexp_replace(fqn, '\.?[^.]*$', '') pkg FROM (
+  SELECT diff_id, CASE bucket WHEN 'production' THEN 'prod' ELSE 'test' END kind, unnest(CASE WHEN bucket = 'production' AND path LIKE '%.kt' THEN [f, f || 'Kt'] ELSE [f] END) fqn FROM (
+    SELECT *, replace(regexp_replace(regexp_extract(path, '(?:^|/)src/(?:main|test)/(?:java|kotlin)/(.*)$', 1), '\.(java|kt)$', ''), '/', '.') f FROM cv_bucket WHERE bucket IN ('production', 'test')))""")
+def kotlin_synthetic(spark, d):
+    return engine.changed_classes(classified(spark, d), CONFIG)
+
+
+@query(r"SELECT fqn, regexp_extract(fqn, '[^.]*$') AS simple_name, regexp_extract(fqn, '^(.*)\.[^.]*$', 1) AS package, regexp_extract(pkg, '^(.*)\.[^.]*$', 1) AS outer_name FROM cv_test")
+def simple_package_split(spark, d):
+    return tests(spark, d).select("fqn", paths.simple_name(F.col("fqn")).alias("simple_name"), paths.package_of(F.col("fqn")).alias("package"), paths.without_last_segment(F.col("pkg")).alias("outer_name"))
+
+
+@query(r"SELECT word, regexp_full_match(word, '[A-Za-z_$][A-Za-z0-9_$]*(\.[A-Za-z_$][A-Za-z0-9_$]*)*') valid FROM (SELECT DISTINCT unnest(string_split(text, ' ')) word FROM documents)")
+def fqn_validity(spark, d):
+    words = read(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    return words.withColumn("valid", paths.is_valid_fqn(F.col("word")) & ~F.col("word").contains("\n"))
+
+
+@query(r"SELECT doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c = chr(10) THEN '\n' WHEN c = chr(13) THEN '\r' WHEN c = chr(9) THEN '\t' WHEN c <> '' AND (ord(c) < 32 OR (ord(c) >= 127 AND ord(c) < 160)) THEN '\x' || printf('%02X', ord(c)) ELSE c END), '') safe FROM cv_log")
+def log_sanitize(spark, d):
+    return log_text(spark, d).select("doc_id", paths.sanitized(F.col("text")).alias("safe"))
+
+
+@query("SELECT * FROM cv_naming")
+def naming_match(spark, d):
+    return selection.naming(changed(spark, d), tests(spark, d), SUFFIXES)
+
+
+@query("SELECT changed_fqn, count(DISTINCT fqn) n_tests FROM cv_naming WHERE cross_package GROUP BY changed_fqn")
+def naming_cross_package(spark, d):
+    return naming_match(spark, d).filter("cross_package").groupBy("changed_fqn").agg(F.count_distinct("fqn").alias("n_tests"))
+
+
+def usage_tier(tier: str, keys: Callable[[SparkSession, str], DataFrame]):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return selection.usage(changed(spark, d), keys(spark, d).withColumn("tier", F.lit(tier)))
+
+    run.__name__ = f"usage_{tier}"
+    return query(f"SELECT * FROM cv_usage WHERE tier = '{tier}'")(run)
+
+
+usage_tier("import", lambda s, d: selection.direct_imports(imports(s, d)))
+usage_tier("inner_import", lambda s, d: selection.inner_imports(imports(s, d)))
+usage_tier("class_wildcard", lambda s, d: selection.class_wildcards(imports(s, d)))
+usage_tier("package_wildcard", lambda s, d: selection.package_wildcards(imports(s, d), simple_refs(s, d)))
+usage_tier("same_package", lambda s, d: selection.same_package(simple_refs(s, d)))
+usage_tier("inline", lambda s, d: selection.inline_names(dotted_refs(s, d)))
+
+
+@query("SELECT fqn, name, regexp_extract(name, '^(.*)\\.[^.]*$', 1) AS owner, is_asterisk FROM cv_import WHERE is_static")
+def usage_static_import(spark, d):
+    return imports(spark, d).filter("is_static").select("fqn", "name", paths.without_last_segment(F.col("name")).alias("owner"), "is_asterisk")
+
+
+@query("SELECT * FROM cv_usage")
+def usage_all(spark, d):
+    return selection.usage(changed(spark, d), selection.usage_keys(imports(spark, d), simple_refs(spark, d), dotted_refs(spark, d)))
+
+
+@query("SELECT * FROM cv_impl_name")
+def impl_by_name(spark, d):
+    return selection.implementations_by_name(changed(spark, d), sources(spark, d), list(CONFIG.implementation_naming))
+
+
+@query("SELECT DISTINCT c.diff_id, d.fqn FROM cv_changed c JOIN cv_decl d ON d.supertype = c.simple WHERE NOT EXISTS (FROM cv_changed o WHERE o.diff_id = c.diff_id AND o.fqn = d.fqn)")
+def impl_by_supertype(spark, d):
+    return selection.implementations(changed(spark, d), sources(spark, d).limit(0), decls(spark, d), [], 1).select("diff_id", "fqn")
+
+
+@query("SELECT diff_id, fqn, hop FROM cv_impl")
+def impl_fixpoint(spark, d):
+    return selection.implementations(changed(spark, d), sources(spark, d), decls(spark, d), list(CONFIG.implementation_naming), DEPTH)
+
+
+@query(r"SELECT token, count(*) n_files FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b[A-Z][A-Za-z0-9_$]*\b'))) token FROM documents) GROUP BY token")
+def token_index(spark, d):
+    files = read(spark, d, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    return selection.posting(files).groupBy("token").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query(r"""SELECT s.fqn consumer, s.name, coalesce(
+    (SELECT min(i.name) FROM cv_import i WHERE i.fqn = s.fqn AND NOT i.is_static AND NOT i.is_asterisk AND regexp_extract(i.name, '[^.]*$') = s.name),
+    (SELECT c.fqn FROM cv_class c WHERE c.fqn = s.pkg || '.' || s.name),
+    (SELECT min(c.fqn) FROM cv_import i JOIN cv_class c ON c.fqn = i.name || '.' || s.name WHERE i.fqn = s.fqn AND NOT i.is_static AND i.is_asterisk)) AS dependency
+  FROM cv_simple s QUALIFY dependency IS NOT NULL""".replace("QUALIFY", "WHERE").replace("WHERE dependency IS NOT NULL", ""))
+def name_resolution(spark, d):
+    return selection.resolved(simple_refs(spark, d), imports(spark, d), classes(spark, d).select("fqn"))
+
+
+ORACLE["name_resolution"] = f"SELECT * FROM ({ORACLE['name_resolution']}) WHERE dependency IS NOT NULL"
+
+
+@query("SELECT diff_id, fqn, hop FROM cv_reached")
+def transitive_bfs(spark, d):
+    return selection.transitive(changed(spark, d), edges(spark, d), DEPTH)
+
+
+@query("SELECT diff_id, fqn FROM cv_found WHERE strategy = 'transitive'")
+def transitive_tests(spark, d):
+    only = Config(strategies=("transitive",))
+    return engine.discover(changed_with_kind(spark, d), index(spark, d), only).filter("strategy = 'transitive'").select("diff_id", "fqn")
+
+
+@query("SELECT diff_id, strategy, fqn FROM cv_found")
+def strategy_union(spark, d):
+    return found(spark, d)
+
+
+@query("SELECT * FROM cv_strategy")
+def strategy_counts(spark, d):
+    return engine.strategy_counts(found(spark, d))
+
+
+@query("SELECT diff_id, CASE WHEN count(*) > 1 AND count(*) FILTER (n_tests = top) = 1 THEN max_by(strategy, n_tests) END strategy FROM (SELECT *, max(n_tests) OVER (PARTITION BY diff_id) top FROM cv_strategy) GROUP BY diff_id")
+def dominant_strategy(spark, d):
+    return engine.dominant_strategy(engine.strategy_counts(found(spark, d)))
+
+
+@query("SELECT DISTINCT f.diff_id, f.fqn, t.path FROM cv_found f JOIN cv_test t ON t.fqn = f.fqn AND t.c_custkey % 4 <> 0")
+def known_test_semijoin(spark, d):
+    return engine.on_disk(found(spark, d), tests(spark, d).filter("c_custkey % 4 <> 0"))
+
+
+@query("SELECT diff_id, n_test AS n_selected, CASE WHEN n_test > 0 THEN 'DISCOVERY_SUCCESS' ELSE 'DISCOVERY_EMPTY' END situation FROM cv_count WHERE n_prod = 0 AND n_test > 0 AND n_unmapped = 0")
+def test_only_fast_path(spark, d):
+    counts = engine.bucket_counts(classified(spark, d)).filter("n_prod = 0 AND n_test > 0 AND n_unmapped = 0").withColumn("n_selected", F.col("n_test")).withColumn("n_failed", F.lit(0))
+    return engine.decide(counts, CONFIG).select("diff_id", "n_selected", "situation")
+
+
+@query("SELECT diff_id, situation FROM cv_situation")
+def situation_resolve(spark, d):
+    return engine.decide(decision_counts(spark, d), CONFIG).select("diff_id", "situation")
+
+
+@query(" UNION ALL ".join(f"SELECT '{s}' situation, '{m}' AS mode, '{DEFAULTS[s][i]}' AS action" for s in SITUATIONS for i, m in enumerate(("LOCAL", "CI", "STRICT"))))
+def action_matrix(spark, d):
+    rows = [Config(mode=m).action_matrix(spark).select("situation", F.lit(m).alias("mode"), "action") for m in ("LOCAL", "CI", "STRICT")]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+@query("SELECT diff_id, situation, action, action_source FROM cv_action")
+def action_resolve(spark, d):
+    return engine.decide(decision_counts(spark, d), CONFIG).select("diff_id", "situation", "action", "action_source")
+
+
+@query("SELECT diff_id, escalation_reason, run_all, skipped FROM cv_decided")
+def escalation_reason(spark, d):
+    return engine.decide(decision_counts(spark, d), CONFIG).select("diff_id", "escalation_reason", "run_all", "skipped")
+
+
+@query("SELECT path, gradle_path FROM cv_owner")
+def module_longest_prefix(spark, d):
+    return dispatch.owning_module(tests(spark, d).select("path"), modules(spark, d)).select("path", "gradle_path")
+
+
+@query("SELECT diff_id, fqn, task_key FROM cv_route")
+def task_routing(spark, d):
+    return routes(spark, d).select("diff_id", "fqn", "task_key")
+
+
+@query("SELECT diff_id, task_key, count(DISTINCT fqn) n_tests, string_agg(DISTINCT fqn, ',' ORDER BY fqn) tests FROM cv_route GROUP BY ALL")
+def dispatch_plan(spark, d):
+    return dispatch.plan(routes(spark, d))
+
+
+@query("SELECT diff_id, bucket, place, path, greatest(n - 10, 0) remaining FROM (SELECT *, row_number() OVER (PARTITION BY diff_id, bucket ORDER BY path) place, count(*) OVER (PARTITION BY diff_id, bucket) n FROM cv_bucket) WHERE place <= 10")
+def bucket_samples_top10(spark, d):
+    return dispatch.bucket_samples(classified(spark, d))
+
+
+@query("SELECT diff_id, task_key, place, fqn, greatest(n - 5, 0) remaining FROM (SELECT *, row_number() OVER (PARTITION BY diff_id, task_key ORDER BY fqn) place, count(*) OVER (PARTITION BY diff_id, task_key) n FROM (SELECT DISTINCT diff_id, task_key, fqn FROM cv_route)) WHERE place <= 5")
+def dispatch_preview_top5(spark, d):
+    return dispatch.preview(routes(spark, d))
+
+
+@query("SELECT c.path, s.path IS NOT NULL reused FROM cv_current c LEFT JOIN cv_stored s ON s.path = c.path AND s.mtime = c.mtime AND s.size = c.size AND s.parse_ok")
+def fingerprint_refresh(spark, d):
+    stored, files = fingerprints(spark, d)
+    return snapshot.reusable(stored, files).select("path", F.lit(True).alias("reused")).union(snapshot.to_parse(stored, files).select("path", F.lit(False)))
+
+
+@query("SELECT coalesce(a.path, b.path) path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END drift FROM cv_old a FULL JOIN cv_new b ON a.path = b.path WHERE NOT coalesce(a.mtime = b.mtime AND a.child_count = b.child_count, false)")
+def dir_fingerprint_diff(spark, d):
+    return snapshot.drifted(*directories(spark, d))
+
+
+@query("SELECT sha256('src/main/java,src/main/kotlin' || chr(10) || 'src/test/java' || chr(10) || chr(10) || 'api-test,perf/**' || chr(10) || 'true') AS config_hash")
+def config_hash(spark, d):
+    return spark.range(1).select(F.lit(snapshot.config_hash(CONFIG)).alias("config_hash"))
+
+
+@query("SELECT diff_id, '{\"version\":2,\"baseRef\":\"origin/master\",\"mode\":\"CI\",\"changedFiles\":' || n_files || ',\"buckets\":{\"ignored\":' || n_ignored || ',\"out-of-scope\":' || n_oos || ',\"production\":' || n_prod || ',\"test\":' || n_test || ',\"unmapped\":' || n_unmapped || '},\"situation\":\"' || situation || '\",\"action\":\"' || action || '\",\"outcome\":\"' || outcome || '\"}' AS json FROM cv_decided")
+def explain_json(spark, d):
+    return report.explain_json(engine.decide(decision_counts(spark, d), CONFIG), CONFIG)
+
+
+@query("SELECT diff_id, 'Impacted Tests: ' || action || ' (' || situation || ') — ' || n_files || ' changed file(s)' || CASE WHEN run_all THEN '; running full suite (' || CASE situation WHEN 'UNMAPPED_FILE' THEN 'onUnmappedFile=FULL_SUITE — non-Java or unmapped file in diff' WHEN 'DISCOVERY_EMPTY' THEN 'onDiscoveryEmpty=FULL_SUITE — no affected tests discovered' ELSE 'onDiscoveryIncomplete=FULL_SUITE — discovery observed unparseable Java files, selection may be incomplete' END || ').' WHEN skipped THEN '; ' || CASE situation WHEN 'ALL_FILES_IGNORED' THEN 'every changed file matched ignorePaths' ELSE 'every changed file sat under out-of-scope dirs' END || '.' ELSE ', ' || n_prod || ' production class(es), ' || n_selected || ' test class(es) affected' END AS line FROM cv_decided")
+def summary_line(spark, d):
+    return report.summary(engine.decide(decision_counts(spark, d), CONFIG).withColumn("n_prod_classes", F.col("n_prod")))
+
+
+@query(None)
+def explain_trace(spark, d):
+    return report.explain(engine.decide(decision_counts(spark, d), CONFIG), classified(spark, d), routes(spark, d), CONFIG)
+
+
+@query("SELECT path, CASE WHEN regexp_matches(path, '(?i)[^/]\\.(kts|groovy|gvy|scala|sc)$') AND lower(path) NOT LIKE '%.gradle.kts' THEN lower(regexp_extract(path, '\\.([A-Za-z]+)$', 1)) END extension FROM (SELECT 'x/f' || doc_id || ['.groovy', '.gradle.kts', '.kts', '.Scala', '.java'][doc_id % 5 + 1] path FROM documents)")
+def polyglot_extension(spark, d):
+    end = F.element_at(F.lit([".groovy", ".gradle.kts", ".kts", ".Scala", ".java"]), (F.col("doc_id") % 5 + 1).cast("int"))
+    files = read(spark, d, "documents").select(F.concat(F.lit("x/f"), F.col("doc_id").cast("string"), end).alias("path"))
+    return files.withColumn("extension", paths.polyglot_extension(F.col("path")))
+
+
+@query("SELECT f.diff_id, t.fqn, t.path, count(DISTINCT f.strategy) n_strategies FROM cv_found f JOIN cv_test t ON t.fqn = f.fqn GROUP BY ALL")
+def impact_flagship(spark, d):
+    """All strategies over all diffs, and the tests they select."""
+    rows = found(spark, d).join(tests(spark, d).select("fqn", "path"), "fqn")
+    return rows.groupBy("diff_id", "fqn", "path").agg(F.count_distinct("strategy").alias("n_strategies"))
+
+
+@query(None)
+def source_metadata(spark, d):
+    """Metadata of made-up Java files, one per part, parsed from their text."""
+    from sparkripple.functions import source_text
+
+    c = classes(spark, d)
+    text = F.concat(F.lit("package "), "pkg", F.lit(";\nimport java.util.List;\npublic class "), "simple", F.expr("concat(' extends Part', cast(k div 7 AS string))"), F.lit(" { List<String> x; /* Hidden */ }\n"))
+    return source_text.metadata(c.select(F.concat(F.lit("src/main/java/"), F.replace("fqn", F.lit("."), F.lit("/")), F.lit(".java")).alias("path"), text.alias("content")))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)

@@ -86,7 +86,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, clusters: int = CLUSTER
     for lang, count in per.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, each / count) * 1_000_000)).otherwise(share)
     sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < share).select("lang", "text").toPandas()
-    counts = [gram_counts(t) for t in sample["text"]]
+    counts = [None if (c := gram_counts(t)) is None else c.astype(np.float32) for t in sample["text"]]
     langs = np.array([lang for lang, c in zip(sample["lang"], counts) if c is not None])
     counts = [c for c in counts if c is not None]
     if not counts:

@@ -142,7 +142,15 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest id of their group, once each; documents without an id stay."""
-    found = groups(docs)
+    """One row of each group, that of its smallest id; documents without an id stay.
+
+    Only where that id itself has several rows are rows dealt by id to drop all but one.
+    """
+    found = cut(groups(docs))
     lost = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("lost_id")).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("lost_id"), "left_anti")
+    kept = docs.join(lost, F.col("doc_id") == F.col("lost_id"), "left_anti")
+    twice = cut(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("twice_id")))
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, F.col("doc_id") == F.col("twice_id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(twice, F.col("doc_id") == F.col("twice_id"), "left_anti").unionByName(again)

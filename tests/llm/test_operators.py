@@ -382,6 +382,7 @@ def test_simhash(docs, odd, none):
         assert len(got) == len(rows) and all(r["fingerprint"] == f"{prints[r['doc_id']]:016x}" and r["component_id"] == want[r["doc_id"]] for r in got)
     assert simhash_dedup.groups(none).count() == 0
     assert sorted(r["doc_id"] for r in simhash_dedup.keep_one(odd).collect()) == [1, 4, 6, 7, 8, 9]
+    assert sorted(r["doc_id"] for r in simhash_dedup.keep_one(odd.union(odd)).collect()) == [1, 4, 6, 7, 8, 9]
 
 
 def test_simhash_hash_is_sparks(spark):

@@ -318,6 +318,7 @@ PRIVATE = [
     "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.255 @x.y a@b a@b. a@-.-",
     "mail joe [at] example [dot] com or call 415-555-1234, tel (415) 555-9876",
     "host 10[.]1[.]2[.]3 card 4111.1111.1111.1111 on 2024-01-02 order 12345678",
+    "the +1 (605) 555-9305 4078918989542222 end",
     "+1+22222222222 +1 2 3  4-5(6)7.8 9 4111111111111111+4111111111111111",
 ]
 
@@ -338,7 +339,9 @@ def test_pii(spark, docs, odd, none):
     found = {r["doc_id"]: {(k, PRIVATE[r["doc_id"]][int(a) : int(b)]) for k, a, b in (s.split(":") for s in r["spans"].split(",") if s)} for r in pii.find(own, model).collect()}
     assert {("email", "joe [at] example [dot] com"), ("phone", "415-555-1234"), ("phone", "(415) 555-9876")} <= found[3]
     assert {("ip", "10[.]1[.]2[.]3"), ("card", "4111.1111.1111.1111")} == found[4]
+    assert all(any(a <= i < b for a, b in ((int(a), int(b)) for r in pii.find(own, model).collect() if r["doc_id"] == 5 for _, a, b in (s.split(":") for s in r["spans"].split(",")))) for i in (5, 10, 25, 37))
     clean = texts(pii.redact(own, model))
+    assert clean[5] == "the <PHONE> <CARD> end"
     assert clean[4] == "host <IP> card <CARD> on 2024-01-02 order 12345678"
     assert clean[3].startswith("mail <EMAIL> or call <PHONE>, tel <PHONE>")
     assert pii.redact(odd, model).columns == odd.columns and texts(pii.redact(odd, model))[1] is None

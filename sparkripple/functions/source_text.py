@@ -16,6 +16,7 @@ from sparkripple.functions import paths
 BLANKED = r'"""[\s\S]*?"""|"(?:\\.|[^"\\\n])*+"|' + r"'(?:\\.|[^'\\\n])*+'|//[^\n]*+|/\*[\s\S]*?\*/"
 IMPORT = r"(?m)^[\x20\t]*import[\x20\t]+(static[\x20\t]+)?([\w$`]+(?:\.[\w$`]+)*)(\.\*)?"
 DECLARATION = r"\b(?:class|interface|enum|record|object)\s+([A-Za-z_$][\w$]*)([^{};=]*)"
+NEXT = r"\n\s*(?:fun|val|var|class|object|interface|private|internal|public|override|typealias)\b[\s\S]*"
 NEW_OR_TYPED = r"\bnew\s+([A-Za-z_$][\w$]*)"
 ANNOTATION = r"@(?!interface\b)[\w.]+"
 KOTLIN_CALL = r"(?<![:.\w]\s)(?<![:.\w])\b[A-Z][\w$]*(?=\s*\()"
@@ -60,7 +61,7 @@ def import_of(text: Column) -> Column:
 
 def declaration(text: Column) -> Column:
     """Simple name and supertypes: generic arguments and Kotlin constructor calls are dropped, the last segment is kept."""
-    header = F.regexp_extract(text, DECLARATION, 2)
+    header = F.regexp_replace(F.regexp_extract(text, DECLARATION, 2), NEXT, "")
     for _ in range(4):  # innermost first
         header = F.regexp_replace(header, r"<[^<>]*>|\([^()]*\)", " ")
     java = F.regexp_replace(F.regexp_extract(header, r"\b(?:extends|implements)\b([\s\S]*)$", 1), r"\b(?:extends|implements|permits)\b", ",")

@@ -1,0 +1,152 @@
+"""Parsing, git, tree scans, the snapshot, the stream, and the corpus queries."""
+
+import os
+import subprocess
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+from sparkripple.functions import source_text
+from sparkripple.plans import corpus, engine
+from sparkripple.plans.config import Config
+from sparkripple.sources import git, snapshot, tree
+from sparkripple.streaming import feed
+
+SF = "/root/testdata/sf0.001"
+JAVA = '''package a.b;
+import java.util.List; import static a.C.x;
+import a.d.*;
+/** Hidden */ @Deprecated
+public class Foo<T extends Comparable<T>> extends q.Base<Arg> implements I1, I2 {
+  Outer.Nested n; String s = "NotMe { (";
+  Ret m(Par p) { if (p instanceof Pat) return (Cast) new lower(); char c = '{'; return null; }
+  enum E implements I3 { A; } record R(int x) implements I4 { } interface J extends I5, I6 { } @interface Ann { }
+}
+'''
+KOTLIN = '''@file:JvmName("Utils")
+package a.b
+import a.Other as O
+import a.c.*
+class Foo(val p: Par?) : Base(1), Iface by p { companion object { val x: Hidden? = null } }
+object Single : Marker
+fun top(x: List<Arg>): Ret = make("Str ${'$'}{x}")
+'''
+
+
+def test_java_metadata(spark):
+    rows = spark.createDataFrame([("src/Foo.java", JAVA), ("src/Broken.java", "class Broken { public void broken("), ("src/None.java", None), ("x.txt", "")], "path string, content string")
+    got = {r["path"]: r for r in source_text.metadata(rows).collect()}
+    foo = got["src/Foo.java"]
+    assert (foo["pkg"], foo["primary_type"], foo["parse_ok"]) == ("a.b", "Foo", True)
+    assert {(i["name"], i["is_static"], i["is_asterisk"]) for i in foo["imports"]} >= {("java.util.List", False, False), ("a.d", False, True)}
+    assert {"Base", "Arg", "I1", "I2", "Outer", "Nested", "Ret", "Par", "Pat", "Cast", "lower", "T"} <= set(foo["type_ref_simple"]) and not {"NotMe", "Hidden", "Deprecated"} & set(foo["type_ref_simple"])
+    assert {"q.Base", "Outer.Nested"} <= set(foo["type_ref_dotted"])
+    assert {d["simple_name"]: d["supertypes"] for d in foo["type_decls"]} == {"Foo": ["Base", "I1", "I2"], "E": ["I3"], "R": ["I4"], "J": ["I5", "I6"], "Ann": []}
+    assert not got["src/Broken.java"]["parse_ok"] and not got["src/None.java"]["parse_ok"] and "x.txt" not in got
+
+
+def test_kotlin_metadata(spark):
+    rows = spark.createDataFrame([("src/Foo.kt", KOTLIN), ("src/util.kt", "fun f() = 1")], "path string, content string")
+    got = {r["path"]: r for r in source_text.metadata(rows).collect()}
+    foo = got["src/Foo.kt"]
+    assert (foo["pkg"], foo["primary_type"], got["src/util.kt"]["primary_type"]) == ("a.b", "Foo", "utilKt")
+    assert {(i["name"], i["is_static"], i["is_asterisk"]) for i in foo["imports"]} == {("a.Other", False, False), ("a.c", False, True)}
+    assert {"Par", "Hidden", "List", "Arg", "Ret"} <= set(foo["type_ref_simple"]) and "Str" not in foo["type_ref_simple"]
+    decls = {d["simple_name"]: d["supertypes"] for d in foo["type_decls"]}
+    assert decls["Foo"] == ["Base", "Iface"] and decls["Single"] == ["Marker"]
+    assert source_text.metadata(rows, kotlin_enabled=False).count() == 0
+    assert source_text.path_package_mismatch(source_text.metadata(rows), ["src"]).count() == 1
+
+
+@pytest.fixture
+def repo(tmp_path):
+    def do(*args):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *args], check=True, capture_output=True)
+
+    def put(path, text):
+        full = tmp_path / path
+        full.parent.mkdir(parents=True, exist_ok=True)
+        full.write_text(text)
+
+    do("init", "-q", "-b", "main")
+    put("src/main/java/a/Old.java", "package a; class Old { int a, b, c, d; }")
+    put("src/main/java/a/Keep.java", "package a; class Keep { }")
+    do("add", "-A")
+    do("commit", "-qm", "one")
+    do("checkout", "-qb", "work")
+    do("mv", "src/main/java/a/Old.java", "src/main/java/a/New.java")
+    do("commit", "-qam", "two")
+    do("checkout", "-q", "main")
+    put("src/main/java/a/Later.java", "package a; class Later { }")
+    do("add", "-A")
+    do("commit", "-qm", "three")
+    do("checkout", "-q", "work")
+    return tmp_path, put, do
+
+
+def test_git(spark, repo):
+    root, put, do = repo
+    found = lambda **k: {(r["path"].rpartition("/")[2], r["change_type"]) for r in git.changed_files(spark, str(root), "main", **k).collect()}
+    assert found() == {("Old.java", "D"), ("New.java", "A")}
+    put("src/main/java/a/Keep.java", "package a; class Keep { int x; }")
+    assert found(include_uncommitted=True) == {("Old.java", "D"), ("New.java", "A"), ("Keep.java", "M")}
+    do("add", "-A")
+    assert ("Keep.java", "M") in found(include_staged=True) and len(found(include_uncommitted=True)) == 2
+    with pytest.raises(RuntimeError, match="base ref"):
+        git.changed_files(spark, str(root), "nowhere")
+    with pytest.raises(RuntimeError):
+        git.changed_files(spark, "/tmp", "main")
+
+
+def test_tree_and_snapshot(spark, repo, tmp_path_factory):
+    root, put, _ = repo
+    put("mod/src/main/java/_hidden/H.java", "package _hidden; class H { }")
+    put("build/src/main/java/x/X.java", "")
+    put("other/src/main/java/a/Keep.java", "package a; class Keep { }")
+    os.symlink(root / "src/main/java/a/Keep.java", root / "src/main/java/a/Link.java")
+    files = tree.scan(spark, str(root), ["src/main/java"])
+    assert {r["fqn"]: r["path"] for r in files.collect()} == {"a.Keep": "other/src/main/java/a/Keep.java", "a.New": "src/main/java/a/New.java", "_hidden.H": "mod/src/main/java/_hidden/H.java"}
+    meta = source_text.metadata(tree.texts(files, str(root)))
+    assert meta.filter("parse_ok").count() == 3
+    folder, config = str(tmp_path_factory.mktemp("snap")), Config()
+    assert snapshot.load(spark, config, folder) is None
+    dirs = tree.directories(spark, str(root), ["src/main/java"])
+    snapshot.write(meta, dirs, config, folder)
+    stored, old = snapshot.load(spark, config, folder)
+    assert stored.count() == 3 and snapshot.drifted(old, dirs).count() == 0
+    assert snapshot.reusable(stored, files).count() == 3 and snapshot.to_parse(stored, files.withColumn("size", F.col("size") + 1)).count() == 3
+    assert snapshot.load(spark, Config(source_dirs=("x",)), folder) is None
+    snapshot.clear(folder)
+    assert snapshot.load(spark, config, folder) is None
+
+
+def test_stream(spark, tmp_path):
+    rows = spark.createDataFrame([("d1", "a.md"), ("d2", "src/main/x.yml")], "diff_id string, path string")
+    rows.write.json(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).json(f"{tmp_path}/in")
+    index = corpus.index(spark, SF)
+    feed.decide_each_batch(stream, index, Config(mode="CI"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = {r["diff_id"]: r["situation"] for r in spark.read.parquet(f"{tmp_path}/out/decisions").collect()}
+    assert got == {"d1": "ALL_FILES_IGNORED", "d2": "UNMAPPED_FILE"}
+
+
+@pytest.mark.parametrize("name", sorted(corpus.queries()))
+def test_query_equals_its_sql(spark, name):
+    got = corpus.queries()[name](spark, SF)
+    rows = sorted(map(str, (tuple(r) for r in got.select(sorted(got.columns)).collect())))
+    if name not in corpus.oracle_sql():
+        assert rows
+        return
+    con = duckdb.connect()
+    for table in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    done = con.execute(corpus.oracle_sql()[name])
+    names = [c[0] for c in done.description]
+    assert sorted(names) == sorted(got.columns)
+    order = [names.index(c) for c in sorted(names)]
+    assert rows == sorted(str(tuple(r[i] for i in order)) for r in done.fetchall())
+
+
+def test_own_tests_of_a_diff_are_candidates(spark):
+    classes = engine.changed_classes(engine.classify(spark.createDataFrame([("d", "src/test/java/a/B.java")], "diff_id string, path string"), Config()), Config())
+    assert [tuple(r) for r in classes.select("kind", "fqn").collect()] == [("test", "a.B")]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sparkripple.functions import paths
 from sparkripple.operators import dispatch, selection
+from sparkripple.operators.iterate import kept
 from sparkripple.plans import engine, report
 from sparkripple.plans.config import DEFAULTS, IGNORED, SITUATIONS, Config
 from sparkripple.sources import snapshot
@@ -64,19 +65,19 @@ def references(spark: SparkSession, d: str) -> DataFrame:
     return out.select("test", "pkg", (F.col("l_linenumber") % 6).alias("kind"), "target", "target_pkg", "target_simple", (F.col("l_quantity") % 2 == 0).alias("even")).distinct()
 
 
-def imports(spark: SparkSession, d: str) -> DataFrame:
-    r = references(spark, d).filter("kind IN (0, 1, 2, 3) OR (kind = 5 AND even)")
+def imports(spark: SparkSession, d: str, refs: DataFrame | None = None) -> DataFrame:
+    r = (refs or references(spark, d)).filter("kind IN (0, 1, 2, 3) OR (kind = 5 AND even)")
     name = F.when(F.col("kind") == 0, F.col("target")).when(F.col("kind") == 1, F.concat("target", F.lit(".Inner"))).when((F.col("kind") == 2) & ~F.col("even"), F.concat("target", F.lit(".helper"))).when(F.col("kind") == 3, F.col("target_pkg")).otherwise(F.col("target"))
     star = (F.col("kind") == 3) | (F.col("kind") == 5) | (F.col("kind") == 2) & F.col("even")
     return r.select(F.col("test").alias("fqn"), name.alias("name"), (F.col("kind") == 2).alias("is_static"), star.alias("is_asterisk")).distinct().withColumn("ord", F.col("name"))
 
 
-def simple_refs(spark: SparkSession, d: str) -> DataFrame:
-    return references(spark, d).filter("kind IN (0, 3) OR (kind = 5 AND NOT even)").select(F.col("test").alias("fqn"), "pkg", F.col("target_simple").alias("name")).distinct()
+def simple_refs(spark: SparkSession, d: str, refs: DataFrame | None = None) -> DataFrame:
+    return (refs or references(spark, d)).filter("kind IN (0, 3) OR (kind = 5 AND NOT even)").select(F.col("test").alias("fqn"), "pkg", F.col("target_simple").alias("name")).distinct()
 
 
-def dotted_refs(spark: SparkSession, d: str) -> DataFrame:
-    r = references(spark, d).filter("kind = 4")
+def dotted_refs(spark: SparkSession, d: str, refs: DataFrame | None = None) -> DataFrame:
+    r = (refs or references(spark, d)).filter("kind = 4")
     return r.select(F.col("test").alias("fqn"), F.when(F.col("even"), F.col("target")).otherwise(F.concat("target", F.lit(".Nested"))).alias("name")).distinct()
 
 
@@ -146,7 +147,8 @@ def routes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return {"tests": tests(spark, d), "sources": sources(spark, d), "imports": imports(spark, d), "simple_refs": simple_refs(spark, d), "dotted_refs": dotted_refs(spark, d), "decls": decls(spark, d), "edges": edges(spark, d)}
+    refs = kept(references(spark, d))
+    return {"tests": kept(tests(spark, d)), "sources": sources(spark, d), "imports": imports(spark, d, refs), "simple_refs": simple_refs(spark, d, refs), "dotted_refs": dotted_refs(spark, d, refs), "decls": decls(spark, d), "edges": edges(spark, d)}
 
 
 def changed_with_kind(spark: SparkSession, d: str) -> DataFrame:

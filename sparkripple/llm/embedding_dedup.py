@@ -7,6 +7,12 @@ double precision and joined across passes. A pair that several passes compare
 counts in the first only, which the positions of the two tell without writing
 pairs down, so a task returns one row per vector.
 
+Where a vector has DENSE links or more, its window may have been too narrow. The
+components of such vectors are compared exactly: all vectors whose angle to the
+component's root is within the members' largest angle plus that of the threshold
+can link with a member, and members meet those in blocks of bounded size, again
+with one row per vector and block. This repeats if a component grows by it.
+
 Equal vectors are one representative with a count, compared once. Vectors that
 are null, zero, or hold null or non-finite components link with nothing; vectors
 of different lengths never link. Repeated ids keep a row each. Extra columns are
@@ -29,6 +35,9 @@ BITS = 32
 BLOCK = 1024
 HALO = 512
 SEED = 7
+DENSE = HALO
+#: Roots of dense components that are compared at a time; so many vectors go to all executors.
+ROOTS_AT_A_TIME = 2048
 
 
 def hyperplanes(dim: int, passes: int) -> np.ndarray:
@@ -121,6 +130,88 @@ def compare(threshold: float):
     return run
 
 
+def unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def to_roots(roots: pd.DataFrame, reach: dict[int, float] | None):
+    """Rows of (root, rep, n, embedding, angle) for the roots within reach of a vector, or for its own root where reach is None."""
+    by_dim = {dim: (part["root"].to_numpy(), unit(part["embedding"])) for dim, part in roots.groupby(roots["embedding"].map(len))}
+
+    def run(batches):
+        for batch in batches:
+            for dim, part in batch.groupby(batch["embedding"].map(len)):
+                if dim not in by_dim:
+                    continue
+                ids, pivots = by_dim[dim]
+                angles = np.arccos(np.clip(unit(part["embedding"]) @ pivots.T, -1, 1))
+                if reach is None:
+                    i, j = np.nonzero(part["root"].to_numpy()[:, None] == ids[None, :])
+                else:
+                    i, j = np.nonzero(angles <= np.array([reach[r] for r in ids])[None, :])
+                chosen = part.iloc[i]
+                yield pd.DataFrame({"root": ids[j], "rep": chosen["rep"].to_numpy(), "n": chosen["n"].to_numpy(), "embedding": chosen["embedding"].to_numpy(), "angle": angles[i, j]})
+
+    return run
+
+
+def between(threshold: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["other", "rep"], ignore_index=True)
+        x, ids, n = unit(group["embedding"]), group["rep"].to_numpy(), group["n"].to_numpy()
+        own = int((~group["other"]).sum())
+        linked = (x[:own] @ x[own:].T >= threshold) & (ids[:own, None] != ids[None, own:])
+        square = np.zeros((len(ids), len(ids)), dtype=bool)
+        square[:own, own:], square[own:, :own] = linked, linked.T
+        roots = local_roots(square, ids)
+        links = np.append(linked @ n[own:], np.zeros(len(ids) - own)).astype(np.int64)
+        return pd.DataFrame({"rep": ids, "links": links, "root": roots, "other": group["other"]})
+
+    return run
+
+
+def dense_links(reps: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """(rep, links, root, other) of the members(root, rep, n, embedding) of dense components against all reps."""
+    schema, parts = "root long, rep long, n long, embedding array<float>, angle double", []
+    n_roots = members.select("root").distinct().count()
+    chunks = -(-n_roots // ROOTS_AT_A_TIME)
+    for chunk in range(chunks):
+        own = members.filter(F.pmod(F.xxhash64("root"), F.lit(chunks)) == chunk)
+        roots = own.filter("rep = root").select("root", "embedding").toPandas()
+        widest = small_batches(own).mapInPandas(to_roots(roots, None), schema).groupBy("root").agg(F.max("angle").alias("a")).collect()
+        reach = {r["root"]: r["a"] + float(np.arccos(threshold)) + 1e-6 for r in widest}
+        near = cut(reps.select("rep", "n", "embedding").mapInPandas(to_roots(roots, reach), schema).drop("angle"))
+        sizes = own.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("own_blocks")).join(near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "root")
+        spread = F.xxhash64("rep", F.lit(SEED))
+        left = own.join(F.broadcast(sizes), "root").select("root", "rep", "n", "embedding", F.lit(False).alias("other"), F.pmod(spread, "own_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+        right = near.join(F.broadcast(sizes), "root").select("root", "rep", "n", "embedding", F.lit(True).alias("other"), F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("i"), F.pmod(spread, "blocks").alias("j"))
+        parts.append(cut(left.select(right.columns).unionByName(right).groupBy("root", "i", "j").applyInPandas(between(threshold), "rep long, links long, root long, other boolean")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def exact_where_dense(reps: DataFrame, counted: DataFrame, roots: DataFrame, edges: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """counted(rep, links) and roots(node, root), made exact for the components of vectors with many links."""
+    crowded = cut(counted.filter(F.col("links") >= DENSE).select("rep"))
+    if crowded.isEmpty():
+        return counted, roots
+    size = 0
+    while True:
+        dense = roots.join(crowded, F.col("node") == F.col("rep")).select("root").distinct()
+        members = cut(roots.join(dense, "root", "left_semi").join(reps, F.col("node") == F.col("rep")).select("root", "rep", "n", "embedding"))
+        if members.count() == size:
+            break
+        size = members.count()
+        exact = dense_links(reps, members, threshold)
+        roots = cut(stars(edges.unionByName(exact.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))))
+    sums = exact.filter("NOT other").groupBy("rep").agg(F.sum("links").alias("exact"))
+    merged = counted.join(sums, "rep", "full_outer").select("rep", F.coalesce("exact", "links").alias("links"))
+    return merged, roots
+
+
 def link(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
@@ -134,7 +225,8 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES)
     dealt = dealt.select("pass", "to", (F.col("to") != block).alias("halo"), "rep", "n", "pos", "embedding")
     found = cut(dealt.groupBy("pass", "to").applyInPandas(compare(threshold), "rep long, links long, root long"))
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = stars(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    counted, roots = exact_where_dense(reps, cut(counted), cut(stars(edges)), edges, threshold)
     known = reps.join(counted, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
     known = known.select(F.col("embedding").alias("of"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     out = rows.withColumn("good", good).withColumn("own", F.when(F.col("good"), F.col("embedding"))).join(known, F.col("own") == F.col("of"), "left")

@@ -449,6 +449,26 @@ def test_embeddings_many_blocks(spark, monkeypatch):
     assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.98 * want.sum()
 
 
+def test_embeddings_in_dense_clusters_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    monkeypatch.setattr(embedding_dedup, "HALO", 32)
+    monkeypatch.setattr(embedding_dedup, "DENSE", 24)
+    monkeypatch.setattr(embedding_dedup, "ROOTS_AT_A_TIME", 1)
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((300, 16))
+    x = np.concatenate([centres, centres[0] + 0.2 * rng.standard_normal((700, 16)), centres[1] + 0.2 * rng.standard_normal((400, 16))])
+    x = x.astype(np.float32).astype(np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.link(df, passes=6).collect()}
+    root = brute_components(list(range(len(x))), zip(*map(np.ndarray.tolist, np.nonzero(np.triu(linked)))))
+    crowded = {root[i] for i in range(len(x)) if linked[i].sum() >= 60}
+    inside = [i for i in range(len(x)) if root[i] in crowded]
+    assert len(inside) > 500 and all(got[i] == (linked[i].sum(), root[i]) for i in inside)
+
+
 def test_language(spark, docs, odd, none):
     big = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet")
     langs = {r["doc_id"]: r["lang"] for r in big.collect()}

@@ -8,7 +8,8 @@ into buckets of bounded size, each bucket leaves one fractional residual, and
 residuals of FAN buckets are combined in turn until one is left for a source:
 a reduction tree of grouped Spark stages. The last residual is taken in part.
 
-The randomness comes from hashes of doc_id, so reruns agree. Null texts have no
+The randomness comes from hashes of doc_id, so reruns agree. Rows without an id
+are dealt by their place in the input. Null texts have no
 words and are never taken; a null source is a source of its own, ordered last.
 Repeated rows are documents of their own. An empty table gives no rows.
 """
@@ -112,7 +113,9 @@ def rounded(level: int):
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """One row per document: size, source_size, target, taken (words), whole (full copies), part (of one more copy)."""
-    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size")))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size"))
+    # Rows without an id would all hash alike and fill one bucket, so their place in the input deals them.
+    sizes = cut(sizes.withColumn("spread", F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id"))))
     per = cut(targets(sizes, weights, most))
     n_sources, largest = per.agg(F.count(F.lit(1)), F.coalesce(F.max("n_docs"), F.lit(0))).first()
     side = (F.broadcast(per) if n_sources <= BROADCAST_SOURCES else per).withColumnRenamed("source", "of")
@@ -122,7 +125,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
         .withColumn("copies", copies)
         .withColumn("whole", F.floor("copies"))
         .withColumn("part", F.col("copies") - F.col("whole"))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_docs") / BUCKET_DOCS)))
+        .withColumn("bucket", F.pmod("spread", F.ceil(F.col("n_docs") / BUCKET_DOCS)))
         .select(*[c.split()[0] for c in ROWS.split(", ")])
     )
     level, buckets, settled = 0, math.ceil(largest / BUCKET_DOCS), []

@@ -141,6 +141,24 @@ def test_mixing_reduction_tree(spark, monkeypatch):
     check_mixing(mixing.mix(spark.createDataFrame(rows, DOCS)).collect(), [(r[0], r[1], r[3]) for r in rows])
 
 
+def test_mixing_without_ids(spark, monkeypatch):
+    """Rows without an id are dealt over many buckets, and the source's words still come near its target."""
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 50)
+    monkeypatch.setattr(mixing, "FAN", 2)
+    data = [(None, "word " * (i % 9 + 1), "a") for i in range(600)] + [(i, "word " * 5, "b") for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(6)
+    largest = []
+    whole = mixing.cut
+    monkeypatch.setattr(mixing, "cut", lambda df: largest.append(whole(df)) or largest[-1])
+    rows = mixing.mix(docs).collect()
+    dealt = [df for df in largest if {"bucket", "open"} <= set(df.columns)][0]
+    assert dealt.filter("source = 'a'").groupBy("bucket").count().agg({"count": "max"}).first()[0] < 120
+    assert len(rows) == 800
+    for source in "ab":
+        own = [r for r in rows if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 9
+
+
 def test_pivot_keeps_words_and_probabilities():
     rng = np.random.default_rng(3)
     sizes, hits, n = [3, 7, 11, 20], np.zeros(4), 4000

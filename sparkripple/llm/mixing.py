@@ -8,8 +8,10 @@ into buckets of bounded size, each bucket leaves one fractional residual, and
 residuals of FAN buckets are combined in turn until one is left for a source:
 a reduction tree of grouped Spark stages. The last residual is taken in part.
 
-The randomness comes from hashes of doc_id, so reruns agree. Rows without an id
-are dealt by their place in the input. Null texts have no
+Rows of equal id, source and size are counted first, then dealt as that many
+documents, so repeated ids and rows without one spread over all buckets. The
+randomness comes from hashes of id, size and the number among such equals, so
+reruns agree however the input is partitioned. Null texts have no
 words and are never taken; a null source is a source of its own, ordered last.
 Repeated rows are documents of their own. An empty table gives no rows.
 """
@@ -29,19 +31,21 @@ WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 BUCKET_DOCS = 4096
 FAN = 64
+#: More equal rows than this are dealt in runs of so many, by several tasks.
+RUN = 4096
 #: Sources up to this many go to all executors (some hundred bytes each); beyond, the join is by shuffle.
 BROADCAST_SOURCES = 20_000
-ROWS = "doc_id long, source string, size long, source_size long, target double, whole long, part double, bucket long"
+ROWS = "doc_id long, source string, size long, source_size long, target double, whole long, part double, mark long, bucket long"
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """Per source: n_docs, source_size, target.
+def targets(counted: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """Per source: n_docs, source_size, target; counted is (source, size, n), n documents of that size.
 
     Resharing what targets lose at their cap by weight ends where every target is
     min(cap, level * weight) for one level; with sources in order of cap / weight
     the level follows from running sums.
     """
-    per = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
+    per = counted.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     code_points = Window.orderBy(F.col("source").asc_nulls_last())
     per = per.withColumn("rank", F.row_number().over(code_points) - 1)
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
@@ -99,7 +103,7 @@ def pivot(sizes: list[int], parts: list[float], draws: list[float]) -> tuple[lis
 
 def rounded(level: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        bits = mixed_bits(group["doc_id"].fillna(-1).to_numpy(dtype=np.int64), level)
+        bits = mixed_bits(group["mark"].to_numpy(dtype=np.int64), level)
         order = np.lexsort((group["size"].to_numpy(), bits))
         group = group.iloc[order].reset_index(drop=True)
         draws = (mixed_bits(bits[order].view(np.int64), level + 100) >> np.uint64(11)) / float(1 << 53)
@@ -111,12 +115,21 @@ def rounded(level: int):
     return run
 
 
+def dealt(counted: DataFrame) -> DataFrame:
+    """counted with a row per document, mark a hash that tells equal ones apart."""
+    few = counted.filter(F.col("n") <= RUN).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    runs = counted.filter(F.col("n") > RUN).withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / RUN)))).repartition("doc_id", "source", "size", "run")
+    first = F.col("run") * RUN
+    many = runs.withColumn("k", F.explode(F.sequence(first, F.least(first + RUN, "n") - 1))).drop("run")
+    return few.unionByName(many).withColumn("mark", F.xxhash64("doc_id", "size", "k")).drop("n", "k")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """One row per document: size, source_size, target, taken (words), whole (full copies), part (of one more copy)."""
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size"))
-    # Rows without an id would all hash alike and fill one bucket, so their place in the input deals them.
-    sizes = cut(sizes.withColumn("spread", F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id"))))
-    per = cut(targets(sizes, weights, most))
+    counted = cut(sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")))
+    sizes = dealt(counted)
+    per = cut(targets(counted, weights, most))
     n_sources, largest = per.agg(F.count(F.lit(1)), F.coalesce(F.max("n_docs"), F.lit(0))).first()
     side = (F.broadcast(per) if n_sources <= BROADCAST_SOURCES else per).withColumnRenamed("source", "of")
     copies = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
@@ -125,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
         .withColumn("copies", copies)
         .withColumn("whole", F.floor("copies"))
         .withColumn("part", F.col("copies") - F.col("whole"))
-        .withColumn("bucket", F.pmod("spread", F.ceil(F.col("n_docs") / BUCKET_DOCS)))
+        .withColumn("bucket", F.pmod("mark", F.ceil(F.col("n_docs") / BUCKET_DOCS)))
         .select(*[c.split()[0] for c in ROWS.split(", ")])
     )
     level, buckets, settled = 0, math.ceil(largest / BUCKET_DOCS), []
@@ -145,12 +158,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """The documents of the mix, each as often as it is taken; a document taken in part comes whole if at least half is taken."""
+    """The documents of the mix, each as often as it is taken; a document taken in part comes whole if at least half is taken.
+
+    Of rows equal in id, source and size all come as often as they can equally;
+    who comes once more is drawn by a hash of text and place, with the right odds.
+    """
     plan = mix(docs, weights, most)
-    times = (F.col("whole") + F.when(F.col("part") >= 0.5, 1).otherwise(0)).cast("int")
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.sum(times).cast("int").alias("mix_times"), F.count(F.lit(1)).cast("int").alias("mix_rows"))
-    own = docs.withColumn("mix_size", n_words("text"))
-    match = own["doc_id"].eqNullSafe(plan["doc_id"]) & own["source"].eqNullSafe(plan["source"]) & (own["mix_size"] == plan["size"])
-    kept = own.join(plan.filter("mix_times > 0").select(F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_source"), F.col("size").alias("mix_of"), "mix_times", "mix_rows"), F.col("doc_id").eqNullSafe(F.col("mix_doc")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_size") == F.col("mix_of")))
-    each = F.ceil(F.col("mix_times") / F.col("mix_rows")).cast("int")
-    return kept.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), each))).select(*docs.columns)
+    times = F.col("whole") + F.when(F.col("part") >= 0.5, 1).otherwise(0)
+    plan = plan.groupBy(F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_source"), F.col("size").alias("mix_of")).agg(F.sum(times).alias("mix_times"), F.count(F.lit(1)).alias("mix_rows"))
+    own = docs.withColumns({"mix_size": n_words("text"), "mix_draw": F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 31)) / float(1 << 31)})
+    match = own["doc_id"].eqNullSafe(plan["mix_doc"]) & own["source"].eqNullSafe(plan["mix_source"]) & (own["mix_size"] == plan["mix_of"])
+    kept = own.join(plan.filter("mix_times > 0"), match)
+    once_more = F.col("mix_draw") * F.col("mix_rows") < F.col("mix_times") % F.col("mix_rows")
+    each = (F.floor(F.col("mix_times") / F.col("mix_rows")) + once_more.cast("long")).cast("int")
+    return kept.withColumn("mix_each", each).filter("mix_each > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_each")))).select(*(own[c] for c in docs.columns))

@@ -141,22 +141,27 @@ def test_mixing_reduction_tree(spark, monkeypatch):
     check_mixing(mixing.mix(spark.createDataFrame(rows, DOCS)).collect(), [(r[0], r[1], r[3]) for r in rows])
 
 
-def test_mixing_without_ids(spark, monkeypatch):
-    """Rows without an id are dealt over many buckets, and the source's words still come near its target."""
+def test_mixing_of_equal_ids(spark, monkeypatch):
+    """Rows of one id or none are dealt over many buckets; words taken and texts repeated come near the target."""
     monkeypatch.setattr(mixing, "BUCKET_DOCS", 50)
     monkeypatch.setattr(mixing, "FAN", 2)
-    data = [(None, "word " * (i % 9 + 1), "a") for i in range(600)] + [(i, "word " * 5, "b") for i in range(200)]
-    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(6)
+    monkeypatch.setattr(mixing, "RUN", 100)
+    data = [(None, "word " * (i % 9 + 1), None, "a", 0) for i in range(600)] + [(7, "word " * 5, None, "b", 0)] * 900 + [(i, "word " * 5, None, "c", 0) for i in range(200)]
+    docs = spark.createDataFrame(data, DOCS).repartition(6)
     largest = []
     whole = mixing.cut
     monkeypatch.setattr(mixing, "cut", lambda df: largest.append(whole(df)) or largest[-1])
     rows = mixing.mix(docs).collect()
     dealt = [df for df in largest if {"bucket", "open"} <= set(df.columns)][0]
-    assert dealt.filter("source = 'a'").groupBy("bucket").count().agg({"count": "max"}).first()[0] < 120
-    assert len(rows) == 800
-    for source in "ab":
-        own = [r for r in rows if r["source"] == source]
-        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 9
+    assert dealt.groupBy("source", "bucket").count().agg({"count": "max"}).first()[0] < 120
+    check_mixing(rows, [(r[0], r[1], r[3]) for r in data])
+    assert sorted(map(str, mixing.mix(docs.repartition(3)).collect())) == sorted(map(str, rows))
+    target = {r["source"]: r["target"] for r in rows}
+    taken = Counter()
+    for r in mixing.repeated(docs).collect():
+        taken[r["source"]] += len(r["text"].split())
+    for source in "abc":
+        assert abs(taken[source] - target[source]) <= 0.1 * target[source], (source, taken, target)
 
 
 def test_pivot_keeps_words_and_probabilities():

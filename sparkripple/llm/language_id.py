@@ -7,7 +7,7 @@ cosine is predicted, and the score is that cosine. A text further away than
 nearly all training texts of that centroid is marked rejected.
 
 The classifier is fitted on a sample of at most about TRAIN_DOCS labelled texts,
-shared equally between languages and chosen by a hash of doc_id. All texts are
+shared equally between languages and chosen by a hash of doc_id, one text per id. All texts are
 predicted whole. Null texts and texts without a letter are `und` with score 0,
 as is all without training rows. Repeated rows get equal results, extra columns
 are ignored, an empty table gives no rows.
@@ -57,6 +57,13 @@ def gram_counts(text: str) -> np.ndarray | None:
     return total if total.any() else None
 
 
+def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Language and counts of the texts that have a letter."""
+    for batch in batches:
+        rows = [(lang, c.astype(np.float32).tobytes()) for lang, text in zip(batch["lang"], batch["text"]) if (c := gram_counts(text)) is not None]
+        yield pd.DataFrame(rows, columns=["lang", "counts"])
+
+
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = np.log1p(counts).astype(np.float32) * idf
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
@@ -85,10 +92,13 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, clusters: int = CLUSTER
     share = F.lit(0)
     for lang, count in per.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, each / count) * 1_000_000)).otherwise(share)
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < share).select("lang", "text").toPandas()
-    counts = [None if (c := gram_counts(t)) is None else c.astype(np.float32) for t in sample["text"]]
-    langs = np.array([lang for lang, c in zip(sample["lang"], counts) if c is not None])
-    counts = [c for c in counts if c is not None]
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < share)
+    # Of an id with several rows one is learnt from, so that no repeated id outgrows the bound.
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("one")).select("one.lang", "one.text")
+    # The driver gets a fixed size per text, its counts, however long the texts are.
+    sample = small_batches(sample).mapInPandas(counted, "lang string, counts binary").toPandas().sort_values(["lang", "counts"], kind="stable")
+    langs = sample["lang"].to_numpy()
+    counts = [np.frombuffer(c, dtype=np.float32) for c in sample["counts"]]
     if not counts:
         return None
     counts = np.stack(counts)

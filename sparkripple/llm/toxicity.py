@@ -7,7 +7,7 @@ document labels train it; the sentence scores then locate the offending ones.
 Features are lower-cased words and their prefixes of 4 to 6 letters, so that
 inflected and glued forms share weight, hashed to HASHED values. The model is
 fitted on at most about TRAIN_DOCS labelled documents chosen by a hash of their
-id: a distributed pass counts their features by label, the MOST_FEATURES of the
+id, one text per id: a distributed pass counts their features by label, the MOST_FEATURES of the
 largest chi-square towards toxic are kept, and only the sentences that hold one
 reach the driver, as feature numbers.
 
@@ -150,8 +150,12 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, most
     share = min(1.0, train_docs / sum(counts.values()))
     chosen_rows = marks.filter(F.pmod(F.xxhash64("labelled_id", F.lit("toxicity")), F.lit(1_000_000)) < int(share * 1_000_000))
     # About train_docs ids and labels at most, some 20 bytes each, whatever the size of the corpus.
-    labelled = docs.filter("text IS NOT NULL").join(F.broadcast(chosen_rows), F.col("doc_id") == F.col("labelled_id")).select("text", "toxic")
-    labelled = small_batches(cut(labelled))
+    labelled = docs.filter("text IS NOT NULL").join(F.broadcast(chosen_rows), F.col("doc_id") == F.col("labelled_id")).select("labelled_id", "text", "toxic")
+    labelled = cut(labelled)
+    if not labelled.groupBy("labelled_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        # Of an id with several rows one is learnt from, so that no repeated id outgrows the bound.
+        labelled = cut(labelled.groupBy("labelled_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
+    labelled = small_batches(labelled.select("text", "toxic"))
     counts = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(1):
         return {}, -30.0

@@ -187,6 +187,17 @@ def test_toxicity(spark, docs):
     assert all(r["sentences"] for r in got.values() if r["score"] > 0.9 and r["predicted"])
 
 
+def test_training_takes_one_text_of_a_repeated_id(spark, docs):
+    """Copies of a training row change neither model, whatever their number."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    hot = labels.filter("toxic = 1 AND crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0").join(docs, "doc_id").select(*docs.columns).orderBy("doc_id").limit(1)
+    many = docs.unionByName(hot.crossJoin(spark.range(300)).drop("id"))
+    once, again = toxicity.train(docs, labels), toxicity.train(many, labels)
+    assert once[0].keys() == again[0].keys() and np.allclose(list(once[0].values()), [again[0][f] for f in once[0]], atol=1e-6)
+    once, again = language_id.train(docs), language_id.train(many)
+    assert once["names"] == again["names"] and np.allclose(once["idf"], again["idf"])
+
+
 def test_toxicity_noisy_or():
     score = toxicity.scorer({f: 9.0 for f in toxicity.features("bad")}, -6.0)
     value, where = score("Good one. A bad one! Fine", {})

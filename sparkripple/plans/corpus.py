@@ -57,7 +57,7 @@ def tests(spark: SparkSession, d: str) -> DataFrame:
 
 def references(spark: SparkSession, d: str) -> DataFrame:
     """(test, pkg, kind, target, target_pkg, target_simple, even)."""
-    o = read(spark, d, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey")
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey")
     line = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
     t = tests(spark, d).select("c_custkey", F.col("fqn").alias("test"), "pkg")
     c = classes(spark, d).select(F.col("k").alias("l_partkey"), F.col("fqn").alias("target"), F.col("pkg").alias("target_pkg"), F.col("simple").alias("target_simple"))
@@ -94,7 +94,7 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """(consumer, dependency): parts that follow each other in an order."""
-    line = read(spark, d, "lineitem").filter("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", "l_partkey")
+    line = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     a, b = line.alias("a"), line.alias("b")
     pairs = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("b.l_linenumber") == F.col("a.l_linenumber") + 1)).filter("a.l_partkey <> b.l_partkey").select(F.col("a.l_partkey").alias("ca"), F.col("b.l_partkey").alias("cb")).distinct()
     c = classes(spark, d).select("k", "fqn")
@@ -132,7 +132,7 @@ def modules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log_text(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 20), F.lit("\t"), F.chr(F.col("doc_id") % 32 + 1), F.lit("\u0085\r\n"), F.coalesce("lang", F.lit(""))).alias("text"))
+    return read(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\t"), F.chr(F.col("doc_id") % 32 + 1), F.lit("\u0085\r\n"), F.coalesce("lang", F.lit(""))).alias("text"))
 
 
 def decision_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -179,13 +179,13 @@ V = {
     "cv_changed": "SELECT 'd' || ((k // 100) % 4) diff_id, fqn, simple, pkg FROM cv_class WHERE k % 100 = 0",
     "cv_test0": "SELECT c_custkey, 'Part' || k || ['Test', 'IT', 'ITTest', 'IntegrationTest', 'Spec'][c_custkey % 5 + 1] simple, CASE WHEN c_custkey % 3 = 0 THEN c.pkg ELSE 'com.' || lower(c_mktsegment) END pkg FROM customer JOIN cv_class c ON c.k = c_custkey % (SELECT count(*) FROM part)",
     "cv_test": "SELECT *, pkg || '.' || simple fqn, CASE WHEN c_custkey % 2 = 0 THEN 'm' || (c_custkey % 25) || '/src/test/java/' ELSE 'm' || (c_custkey % 25) || '/sub/src/it/java/' END || replace(pkg || '.' || simple, '.', '/') || '.java' path FROM cv_test0",
-    "cv_ref": "SELECT DISTINCT t.fqn test, t.pkg, l_linenumber % 6 kind, c.fqn target, c.pkg target_pkg, c.simple target_simple, l_quantity % 2 = 0 even FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND o_orderkey % 3 = 0 JOIN cv_test t ON t.c_custkey = o_custkey JOIN cv_class c ON c.k = l_partkey",
+    "cv_ref": "SELECT DISTINCT t.fqn test, t.pkg, l_linenumber % 6 kind, c.fqn target, c.pkg target_pkg, c.simple target_simple, l_quantity % 2 = 0 even FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN cv_test t ON t.c_custkey = o_custkey JOIN cv_class c ON c.k = l_partkey",
     "cv_import": "SELECT DISTINCT test fqn, CASE kind WHEN 0 THEN target WHEN 1 THEN target || '.Inner' WHEN 2 THEN CASE WHEN even THEN target ELSE target || '.helper' END WHEN 3 THEN target_pkg ELSE target END AS name, kind = 2 is_static, kind IN (3, 5) OR (kind = 2 AND even) is_asterisk FROM cv_ref WHERE kind < 4 OR (kind = 5 AND even)",
     "cv_simple": "SELECT DISTINCT test fqn, pkg, target_simple AS name FROM cv_ref WHERE kind IN (0, 3) OR (kind = 5 AND NOT even)",
     "cv_dotted": "SELECT DISTINCT test fqn, CASE WHEN even THEN target ELSE target || '.Nested' END AS name FROM cv_ref WHERE kind = 4",
     "cv_decl": "SELECT fqn, 'Part' || (k // 7) supertype FROM cv_class WHERE k > 0",
     "cv_source": "SELECT DISTINCT simple, 'com.impl.' || simple fqn FROM (SELECT CASE s_suppkey % 3 WHEN 0 THEN 'Part' || n || 'Impl' WHEN 1 THEN 'DefaultPart' || n ELSE 'Part' || n || 'Other' END simple FROM (SELECT s_suppkey, s_suppkey * 20 % (SELECT count(*) FROM part) n FROM supplier)) UNION ALL SELECT simple, fqn FROM cv_class",
-    "cv_edge": "SELECT ca.fqn consumer, cb.fqn dependency FROM (SELECT DISTINCT a.l_partkey x, b.l_partkey y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey % 20 = 0 AND a.l_partkey <> b.l_partkey) JOIN cv_class ca ON ca.k = x JOIN cv_class cb ON cb.k = y",
+    "cv_edge": "SELECT ca.fqn consumer, cb.fqn dependency FROM (SELECT DISTINCT a.l_partkey x, b.l_partkey y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey) JOIN cv_class ca ON ca.k = x JOIN cv_class cb ON cb.k = y",
     "cv_path": f"SELECT DISTINCT {DIFFS.format(s='varchar', i='integer')} diff_id, {PATHS.format(s='varchar')} path FROM documents",
     "cv_bucket": r"""SELECT *, CASE WHEN regexp_matches(path, '(^|/)\.\.(/|$)') THEN 'unmapped'
       WHEN path LIKE '%/generated/%' OR path LIKE '%.md' THEN 'ignored'
@@ -217,7 +217,7 @@ V = {
     "cv_module": "SELECT 'm' || n_nationkey dir, ':m' || n_nationkey gradle_path FROM nation UNION ALL SELECT 'm' || n_nationkey || '/sub', ':m' || n_nationkey || ':sub' FROM nation WHERE n_nationkey % 2 = 0",
     "cv_owner": "SELECT t.fqn, t.path, t.c_custkey, coalesce(max_by(m.gradle_path, length(m.dir)), '') gradle_path FROM cv_test t LEFT JOIN cv_module m ON starts_with(t.path, m.dir || '/') GROUP BY t.fqn, t.path, t.c_custkey",
     "cv_route": "SELECT 'd' || (c_custkey % 4) diff_id, fqn, path, gradle_path || ':' || CASE WHEN path LIKE '%/src/test/%' THEN 'test' WHEN path LIKE '%/src/it/%' THEN 'it' ELSE 'test' END task_key FROM cv_owner",
-    "cv_log": "SELECT doc_id, substr(text, 1, 20) || chr(9) || chr((doc_id % 32 + 1)::integer) || chr(133) || chr(13) || chr(10) || coalesce(lang, '') AS text FROM documents",
+    "cv_log": "SELECT doc_id, text || chr(9) || chr((doc_id % 32 + 1)::integer) || chr(133) || chr(13) || chr(10) || coalesce(lang, '') AS text FROM documents",
     "cv_file": "SELECT 'src/' || o_orderkey || '.java' path, o_custkey mtime, length(o_orderpriority) size, o_orderkey k FROM orders",
     "cv_stored": "SELECT path, mtime + CASE WHEN k % 7 = 0 THEN 1 ELSE 0 END mtime, size, k % 13 <> 0 parse_ok FROM cv_file WHERE k % 10 <> 0",
     "cv_current": "SELECT path, mtime, size FROM cv_file WHERE k % 11 <> 0",

@@ -7,6 +7,13 @@ double precision and joined across passes. A pair that several passes compare
 counts in the first only, which the positions of the two tell without writing
 pairs down, so a task returns one row per vector.
 
+A pass surely compares a vector with all that share more leading hash bits with it
+than the vectors HALO positions before and after it do. With the chance that a
+threshold pair shares so many, each vector has an estimate of what share of its
+links all passes miss. Vectors above MISSED go through further passes with fresh
+hyperplanes among themselves, as a link with any other is found from that side;
+where these would cost more than all their pairs, all their pairs are compared.
+
 Where a vector has DENSE links or more, its window may have been too narrow. The
 components of such vectors are compared exactly: all vectors whose angle to the
 component's root is within the members' largest angle plus that of the threshold
@@ -36,15 +43,17 @@ BLOCK = 1024
 HALO = 512
 SEED = 7
 DENSE = HALO
+#: Share of a vector's links at the threshold that the passes may miss, as estimated from the density around it.
+MISSED = 1e-4
 #: Roots of dense components that are compared at a time; so many vectors go to all executors.
 ROOTS_AT_A_TIME = 2048
 
 
-def hyperplanes(dim: int, passes: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dim]).standard_normal((dim, passes * BITS))
+def hyperplanes(dim: int, passes: int, done: int = 0) -> np.ndarray:
+    return np.random.default_rng([SEED, dim, done] if done else [SEED, dim]).standard_normal((dim, passes * BITS))
 
 
-def pass_keys(passes: int):
+def pass_keys(passes: int, done: int = 0):
     """Per vector and pass the hashes of its side of BITS hyperplanes as one number that orders like their sequence."""
     powers = (1 << np.arange(BITS - 1, -1, -1)).astype(np.int64)
 
@@ -53,7 +62,7 @@ def pass_keys(passes: int):
         for batch in batches:
             for dim, part in batch.groupby(batch["embedding"].map(len)):
                 if dim not in planes:
-                    planes[dim] = hyperplanes(dim, passes)
+                    planes[dim] = hyperplanes(dim, passes, done)
                 x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
                 keys = ((x @ planes[dim]) > 0).reshape(len(x), passes, BITS) @ powers
                 yield pd.DataFrame({"pass": np.tile(np.arange(passes), len(x)), "dim": dim, "key": keys.ravel(), "rep": np.repeat(part["rep"].to_numpy(), passes)})
@@ -61,11 +70,11 @@ def pass_keys(passes: int):
     return run
 
 
-def positions(reps: DataFrame, passes: int) -> DataFrame:
-    """(rep, pos): each representative's position in the order of every pass."""
-    keys = small_batches(reps.select("rep", "embedding")).mapInPandas(pass_keys(passes), "pass int, dim int, key long, rep long")
+def positions(reps: DataFrame, passes: int, done: int = 0) -> DataFrame:
+    """(rep, pos, keys): each representative's position in the order of every pass, and its hashes."""
+    keys = small_batches(reps.select("rep", "embedding")).mapInPandas(pass_keys(passes, done), "pass int, dim int, key long, rep long")
     order = ["pass", "dim", "key", "rep"]
-    placed = keys.repartitionByRange(*order).sortWithinPartitions(*order).select("pass", "rep", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    placed = keys.repartitionByRange(*order).sortWithinPartitions(*order).select("pass", "rep", "key", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
     placed = cut(placed)
     # One number per shuffle partition, as many as the cluster's setting says.
     offset, starts = 0, {}
@@ -73,11 +82,12 @@ def positions(reps: DataFrame, passes: int) -> DataFrame:
         starts[r["part"]] = offset
         offset += r["n"]
     if not starts:
-        return placed.select("rep", F.array().cast("array<long>").alias("pos"))
+        return placed.select("rep", F.array().cast("array<long>").alias("pos"), F.array().cast("array<long>").alias("keys"))
     n = offset // passes
     start = F.element_at(F.lit([starts.get(p, 0) for p in range(max(starts) + 1)]), F.col("part") + 1)
     pos = (start + F.col("at") - F.col("pass") * F.lit(n)).cast("long")
-    return placed.select("rep", F.struct("pass", pos.alias("pos")).alias("p")).groupBy("rep").agg(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["pos"]).alias("pos"))
+    spots = placed.select("rep", F.struct("pass", pos.alias("pos"), "key").alias("p")).groupBy("rep").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return spots.select("rep", F.transform("p", lambda x: x["pos"]).alias("pos"), F.transform("p", lambda x: x["key"]).alias("keys"))
 
 
 def local_roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -92,10 +102,22 @@ def local_roots(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         roots = new
 
 
+def shared_bits(keys: np.ndarray, dims: np.ndarray, places: int) -> np.ndarray:
+    """Leading bits that each key shares with the one so many places on; -1 where there is none or its vector has another length."""
+    out = np.full(len(keys), -1, dtype=np.int64)
+    if len(keys) > places:
+        # Numbers of up to BITS bits are exact in double precision, and the exponent is the place of the first bit that differs.
+        differ = np.frexp((keys[:-places] ^ keys[places:]).astype(np.float64))[1]
+        out[:-places] = np.where(dims[:-places] == dims[places:], BITS - differ, -1)
+    return out
+
+
 def compare(threshold: float):
+    """Links of the vectors of a block with each other, where `inner`, and with those of the halo, without the pairs of earlier passes."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["halo", "rep"], ignore_index=True)
-        now = int(group["pass"].iloc[0])
+        now, inner = int(group["pass"].iloc[0]), bool(group["inner"].iloc[0])
+        group = group.sort_values(["halo", "p", "rep"], ignore_index=True)
         halo = group["halo"].to_numpy(dtype=bool)
         n_own = int((~halo).sum())
         pos = np.stack(group["pos"].to_numpy())
@@ -109,6 +131,8 @@ def compare(threshold: float):
             own = at[at < n_own]
             linked[np.ix_(own, at)] = x[: len(own)] @ x.T >= threshold
         np.fill_diagonal(linked, False)
+        if not inner:
+            linked[:, :n_own] = False
         a, b = np.nonzero(linked)
         square = np.zeros((len(group), len(group)), dtype=bool) if len(a) else None
         roots = ids
@@ -124,12 +148,70 @@ def compare(threshold: float):
         a, b = a[fresh], b[fresh]
         # A pair of two own rows is there in both directions, one with the halo only once.
         links = np.bincount(a, n[b], minlength=len(ids)) + np.bincount(b[b >= n_own], n[a[b >= n_own]], minlength=len(ids))
-        out = (links > 0) | (roots != ids)
-        return pd.DataFrame({"rep": ids[out], "links": links[out].astype(np.int64), "root": roots[out]})
+        ahead = shared_bits(group["key"].to_numpy(), dims, HALO)
+        shared = np.where(halo, -1, ahead)
+        shared[HALO:] = np.maximum(shared[HALO:], ahead[:-HALO])
+        out = (links > 0) | (roots != ids) | (shared >= 0)
+        return pd.DataFrame({"rep": ids[out], "links": links[out].astype(np.int64), "root": roots[out], "pass": now, "shared": shared[out]})
 
     return run
 
 
+FOUND = "rep long, links long, root long, pass int, shared int"
+
+
+def one_round(reps: DataFrame, passes: int, done: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """FOUND of further passes over reps(rep, n, embedding, pos), and reps with their positions appended."""
+    spots = reps.join(positions(reps, passes, done).withColumnRenamed("pos", "more"), "rep").withColumn("pos", F.concat("pos", "more"))
+    block, within = F.floor(F.col("p") / BLOCK), F.col("p") % BLOCK
+    dealt = spots.select("rep", "n", "pos", "keys", "embedding", F.posexplode("more").alias("own", "p")).withColumn("key", F.col("keys")[F.col("own")])
+    dealt = dealt.withColumn("to", F.explode(F.when((within < HALO) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))))
+    dealt = dealt.select((F.col("own") + done).alias("pass"), "to", (F.col("to") != block).alias("halo"), F.lit(True).alias("inner"), "rep", "n", "p", "key", "pos", "embedding")
+    return cut(dealt.groupBy("pass", "to").applyInPandas(compare(threshold), FOUND)), spots.drop("more", "keys")
+
+
+def all_pairs(reps: DataFrame, size: int, done: int, threshold: float) -> DataFrame:
+    """FOUND of all pairs of reps(rep, n, embedding, pos) that no pass compared, in a grid of blocks."""
+    blocks = -(-size // (2 * BLOCK))
+    own = F.pmod(F.xxhash64("rep", F.lit(SEED)), F.lit(blocks)).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")))
+    dealt = reps.withColumn("own", own).withColumn("cell", F.explode(cells))
+    dealt = dealt.select(F.lit(done).alias("pass"), "cell.i", "cell.j", (F.col("own") != F.col("cell.i")).alias("halo"), (F.col("cell.i") == F.col("cell.j")).alias("inner"), "rep", "n", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("key"), "pos", "embedding")
+    return cut(dealt.groupBy("i", "j").applyInPandas(compare(threshold), FOUND))
+
+
+def find_links(reps: DataFrame, passes: int, threshold: float) -> DataFrame:
+    """FOUND of passes over all reps, then of more over those whose links they may miss."""
+    open_, found, done = reps.withColumn("pos", F.array().cast("array<long>")), [], 0
+    seen = reps.select("rep", F.lit(0.0).alias("missed"))
+    # The chance that one hash bit tells two vectors at the threshold apart.
+    agree = 1 - float(np.arccos(min(1.0, max(-1.0, threshold)))) / np.pi
+    while True:
+        new, placed = one_round(open_, passes, done, threshold)
+        found.append(new)
+        done += passes
+        per = new.groupBy("rep", "pass").agg(F.max("shared").alias("m"))
+        # A pass without a row has nothing HALO places away: it missed none, as has one whose m is -1.
+        lost = F.when(F.col("m") >= BITS, 0.0).otherwise(F.log(F.greatest(F.lit(1e-30), 1 - F.pow(F.lit(agree), F.col("m") + 1))))
+        own = per.groupBy("rep").agg(F.sum(lost).alias("own"), F.count(F.lit(1)).alias("k"))
+        own = own.select("rep", (F.col("own") - (passes - F.col("k")) * 69.0).alias("own"))
+        seen = seen.join(own, "rep").select("rep", (F.col("missed") + F.col("own")).alias("missed")).filter(F.col("missed") > float(np.log(MISSED)))
+        seen = cut(seen)
+        need = F.least(F.lit(1e9), done * (float(np.log(MISSED)) / F.least("missed", F.lit(-1e-9)) - 1))
+        size, more = seen.agg(F.count(F.lit(1)), F.avg(need)).first()
+        if not size:
+            break
+        open_ = cut(placed.join(seen.select("rep"), "rep", "left_semi"))
+        if size <= 2 * more * (BLOCK + HALO):
+            found.append(all_pairs(open_, size, done, threshold))
+            break
+        passes = max(1, min(PASSES, int(np.ceil(more))))
+    out = found[0]
+    for new in found[1:]:
+        out = out.unionByName(new)
+    return out
+
+
 def unit(vectors: pd.Series) -> np.ndarray:
     x = np.stack(vectors.to_numpy()).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -218,12 +300,7 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES)
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     good = F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull()
     reps = cut(rows.filter(good).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    spots = reps.join(positions(reps, passes), "rep")
-    block, within = F.floor(F.col("p") / BLOCK), F.col("p") % BLOCK
-    dealt = spots.select("rep", "n", "pos", "embedding", F.posexplode("pos").alias("pass", "p"))
-    dealt = dealt.withColumn("to", F.explode(F.when((within < HALO) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))))
-    dealt = dealt.select("pass", "to", (F.col("to") != block).alias("halo"), "rep", "n", "pos", "embedding")
-    found = cut(dealt.groupBy("pass", "to").applyInPandas(compare(threshold), "rep long, links long, root long"))
+    found = find_links(reps, passes, threshold).filter("links > 0 OR root <> rep")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
     counted, roots = exact_where_dense(reps, cut(counted), cut(stars(edges)), edges, threshold)

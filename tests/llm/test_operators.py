@@ -503,6 +503,24 @@ def test_embeddings_in_dense_clusters_are_exact(spark, monkeypatch):
     assert len(inside) > 500 and all(got[i] == (linked[i].sum(), root[i]) for i in inside)
 
 
+def test_embeddings_in_crowded_regions(spark, monkeypatch):
+    """Pairs at the threshold within a cone of few links each: the passes follow the density, so hardly a link is lost."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    monkeypatch.setattr(embedding_dedup, "HALO", 32)
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(48)
+    base = centre + 0.42 * rng.standard_normal((3000, 48))
+    x = np.concatenate([base, base + 0.32 * rng.standard_normal(base.shape)]).astype(np.float32).astype(np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    want = linked.sum(axis=1)
+    assert want.sum() > 2000 and want.max() < embedding_dedup.DENSE
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.link(df).collect()}
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.999 * want.sum()
+
+
 def test_language(spark, docs, odd, none):
     big = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet")
     langs = {r["doc_id"]: r["lang"] for r in big.collect()}

@@ -45,10 +45,13 @@ GENERATORS = {
     "digits": r"(?<![0-9])\+?\(?[0-9](?:(?:[\x20()._/-]|\[\.\]|\(\.\)){0,3}+[0-9]){3,30}+(?![0-9])",
 }
 PROPOSED = {"written": ("email",), "phones": ("phone",), "cards": ("card",), "digits": ("ip", "card", "phone")}
-#: Proposals need one of these in the text; the rest of the texts skip the generator.
-HINTS = {"written": r"(?i)[\[({\x20](?:at|dot)[\])}\x20][\s\S]{0,80}(?:dot|\.)[\])}\x20]?\x20?[a-z]|@", "digits": r"[0-9]{2}[\x20()._/\[-]{1,3}[0-9]|[0-9]{7}"}
-#: Numbers written next to each other run together in the base patterns and fail them; these generators look within.
-HINTS |= {name: r"[0-9](?:[\x20()._/-]{0,3}[0-9]){15}" for name in ("phones", "cards")}
+#: Every match of a generator holds one of its hint; texts without it skip the generator.
+HINTS = {
+    "written": r"(?i)[\[({\x20](?:at|dot)[\])}\x20][\s\S]{0,80}(?:dot|\.)[\])}\x20]?\x20?[a-z0-9-]|@",
+    "phones": r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
+    "cards": r"(?:[0-9]{4}[\x20-]?){3}[0-9]",
+    "digits": r"[0-9](?:[\x20()._/\[\]-]{0,9}[0-9]){3}",
+}
 
 TRAIN_ROWS = 6000
 TREES = 8

@@ -7,7 +7,8 @@ once for all pre-tokens with that prefix, and terminals keep the token count.
 
 A piece's score is -log(rank + 2), a Zipf law over the public vocabulary's order,
 plus a constant cost for every token, so that fewer tokens win; ties go to fewer tokens. Single
-bytes are always pieces, so no text lacks a segmentation. A task's trie is
+bytes are always pieces, so no text lacks a segmentation. Pieces of every length
+count: at each end position the lengths are tried that pieces with its last two bytes have. A task's trie is
 dropped at MOST_NODES nodes, and pre-tokens over LONGEST bytes are scored
 outside it, so memory is bounded. Null and empty texts have no tokens; repeated
 rows get equal counts; an empty table gives no rows.
@@ -26,7 +27,6 @@ from sparkripple.llm.common import small_batches
 
 MOST_NODES = 600_000
 LONGEST = 64
-LONGEST_PIECE = 16
 TOKEN_COST = 4.0
 
 
@@ -35,7 +35,7 @@ def load_scores(ranks_file: str) -> dict[bytes, float]:
 
     with open(ranks_file, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    scores = {piece: -math.log(rank + 2) - TOKEN_COST for piece, rank in ranks.items() if len(piece) <= LONGEST_PIECE}
+    scores = {piece: -math.log(rank + 2) - TOKEN_COST for piece, rank in ranks.items()}
     for byte in range(256):
         scores.setdefault(bytes([byte]), -math.log(len(ranks) + 2) - TOKEN_COST)
     return scores
@@ -46,6 +46,11 @@ class Trie:
 
     def __init__(self, scores: dict[bytes, float]):
         self.scores = scores
+        # Lengths of the pieces by their last two bytes, of any length that the vocabulary has; single bytes are always tried.
+        lengths: dict[bytes, set[int]] = {}
+        for piece in scores:
+            lengths.setdefault(piece[-2:], {1}).add(len(piece))
+        self.lengths = {tail: tuple(sorted(own)) for tail, own in lengths.items()}
         self.nodes: dict[bytes, tuple[float, int]] = {b"": (0.0, 0)}
         self.terminals: dict[str, int] = {}
         self.computed = 0
@@ -53,7 +58,10 @@ class Trie:
     def extend(self, s: bytes, end: int, path: list[tuple[float, int]]) -> tuple[float, int]:
         best, count = -math.inf, 0
         scores = self.scores
-        for start in range(max(0, end - LONGEST_PIECE), end):
+        for length in self.lengths.get(s[max(0, end - 2) : end], (1,)):
+            if length > end:
+                break
+            start = end - length
             own = scores.get(s[start:end])
             if own is not None:
                 before, n = path[start]

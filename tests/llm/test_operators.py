@@ -245,6 +245,35 @@ def test_token_counts(docs, odd, none):
     assert trie.computed == len("alphabet") + 1
 
 
+def test_token_counts_take_the_whole_vocabulary(spark):
+    """Against brute force over every piece of the vocabulary's file, of any length."""
+    import base64
+    import math
+
+    import public_tokenizers as public
+    import regex
+
+    with open(public.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    scores = {bytes([i]): -math.log(len(ranks) + 2) - token_counts.TOKEN_COST for i in range(256)}
+    scores |= {piece: -math.log(rank + 2) - token_counts.TOKEN_COST for piece, rank in ranks.items()}
+
+    def brute(token):
+        s = token.encode()
+        best = [(0.0, 0)]
+        for end in range(1, len(s) + 1):
+            best.append(max((best[a][0] + scores[s[a:end]], best[a][1] - 1) for a in range(end) if s[a:end] in scores))
+        return -best[-1][1]
+
+    long = [piece.decode() for piece in ranks if len(piece) > 16 and piece.isascii()]
+    data = ["Their responsibilities, telecommunications and constitutionally", "a\n" + "-" * 64 + "\n" + "=" * 200 + "\n" + "_" * 37 + " " + "*" * 20, *(f"x{p}y {p}{p}" for p in long), *long]
+    split = regex.compile(public.PATTERN).findall
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")).collect()}
+    assert len(long) > 50 and got == {i: sum(map(brute, split(t))) for i, t in enumerate(data)}
+    trie = token_counts.Trie(token_counts.load_scores(public.path("byte_bpe_50k.tiktoken")))
+    assert trie.count(" responsibilities") == brute(" responsibilities") == 1
+
+
 def test_url_filters(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     more = [(-1, None, ""), (-2, "no scheme", ""), (-3, "HTTP://A.Example.ORG/en/1x?q", ""), (-4, "http://notorg/x", ""), (-5, "x://org", ""), (-6, "http://u.com/fr/" + "z" * 20_000, ""), (-7, "http://u.com/fr/1://x/y", ""), (-7, "http://u.com/fr/1://x/y", "")]

@@ -210,3 +210,23 @@ def test_reports(spark):
     assert "Changed files:   2" in lines and "  ignored: x.md" in lines and "  :test 3" in lines and "  DISCOVERY_EMPTY          SKIPPED [MODE_DEFAULT]" in lines
     body = json.loads(report.explain_json(decisions, config).first()["json"])
     assert list(body)[:3] == ["version", "baseRef", "mode"] and body["buckets"]["production"] == 1 and body["version"] == 2
+
+
+def test_full_json(spark):
+    diff = spark.createDataFrame([("d", GREETERS[0][0]), ("d", "x.md"), ("m", "x.md")], "diff_id string, path string")
+    config = Config(mode="LOCAL")
+    index = tree(spark, dict(GREETERS))
+    decisions, selected = engine.analyse(diff, index, config)
+    classified = engine.classify(diff, config)
+    found = engine.discover(engine.changed_classes(classified, config), index, config)
+    routes = dispatch.routed(selected, spark.createDataFrame([], "dir string, gradle_path string"), ["test"])
+    got = {r["diff_id"]: json.loads(r["json"]) for r in report.full_json(decisions, classified, routes, found, config).collect()}
+    body = got["d"]
+    assert list(body) == ["version", "baseRef", "mode", "changedFiles", "buckets", "samples", "situation", "action", "outcome", "modules", "discovery", "actionMatrix"]
+    assert body["mode"] == {"configured": "LOCAL", "effective": "LOCAL"} and body["samples"] == {"ignored": ["x.md"], "production": [GREETERS[0][0]]}
+    assert body["outcome"] == {"kind": "SELECTED", "selectedClassCount": 3, "escalationReason": "NONE"}
+    assert [m["task"] for m in body["modules"]] == [":test"] and len(body["modules"][0]["fqns"]) == 3
+    counts = {r["strategy"]: r["n_tests"] for r in engine.strategy_counts(found).collect()}
+    assert body["discovery"]["perStrategy"] == [{"name": s, "tests": counts.get(s, 0)} for s in settings.STRATEGIES] and counts
+    assert body["actionMatrix"] == {s: dict(zip(("action", "source"), config.action(s, "LOCAL"))) for s in SITUATIONS}
+    assert got["m"]["modules"] == [] and got["m"]["discovery"] == {"perStrategy": []} and got["m"]["situation"] == "ALL_FILES_IGNORED"

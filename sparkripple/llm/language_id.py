@@ -6,8 +6,9 @@ to CLUSTERS centroids from spherical k-means; the language of the closest by
 cosine is predicted, and the score is that cosine. A text further away than
 nearly all training texts of that centroid is marked rejected.
 
-The classifier is fitted on a sample of at most about TRAIN_DOCS labelled texts,
-shared equally between languages and chosen by a hash of doc_id, one text per id. All texts are
+The classifier is fitted on a sample of about TRAIN_DOCS labelled texts, or LEAST
+for each language where these are more, shared equally between languages and chosen by a hash of doc_id, one
+text per id. Every language is learnt, so the driver's memory grows with their number. All texts are
 predicted whole. Null texts and texts without a letter are `und` with score 0,
 as is all without training rows. Repeated rows get equal results, extra columns
 are ignored, an empty table gives no rows.
@@ -29,6 +30,7 @@ from sparkripple.llm.common import fold, small_batches
 DIMENSIONS = 8192
 CLUSTERS = 4
 TRAIN_DOCS = 2400
+LEAST = 10
 HELD_OUT = (4, 2)
 REJECTED_SHARE = 0.005
 #: Texts are counted in pieces of so many characters, to bound memory; their counts are summed.
@@ -85,13 +87,12 @@ def spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, clusters: int = CLUSTERS) -> dict | None:
     n, rest = HELD_OUT
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(fold("doc_id", n) != rest)
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(train_docs // 10).collect()}
+    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not per:
         return None
-    each = train_docs / len(per)
-    share = F.lit(0)
-    for lang, count in per.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, each / count) * 1_000_000)).otherwise(share)
+    each = max(LEAST, train_docs / len(per))
+    shares = {lang: max(1, int(min(1.0, each / count) * 1_000_000)) for lang, count in per.items()}
+    share = F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col("lang"))
     sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < share)
     # Of an id with several rows one is learnt from, so that no repeated id outgrows the bound.
     sample = sample.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("one")).select("one.lang", "one.text")

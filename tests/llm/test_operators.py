@@ -567,6 +567,13 @@ def test_embeddings_in_crowded_regions(spark, monkeypatch):
     assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.999 * want.sum()
 
 
+def test_language_learns_every_language(spark):
+    """More languages than a tenth of the training texts, each of its own letters."""
+    rows = [(i * 20 + j, chr(0x4E00 + i) * 3 + " " + chr(0x4E00 + i) * (2 + j), f"l{i}") for i in range(300) for j in range(20)]
+    got = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), clusters=1)
+    assert set(got["names"]) == {f"l{i}" for i in range(300)}
+
+
 def test_language(spark, docs, odd, none):
     big = spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet")
     langs = {r["doc_id"]: r["lang"] for r in big.collect()}

@@ -130,18 +130,19 @@ def text_media(docs: DataFrame) -> DataFrame:
 
 
 def resize_images(images: DataFrame, rows: int, columns: int) -> DataFrame:
-    """(id, data binary) to (id, height, width, tile binary, hash): decoded, area-resized, stored as NPY.
+    """(id, data binary) to (id, height, width, tile binary, hash): decoded, area-resized, stored as one NPY of all rows.
 
-    Null or unreadable data gives nulls in all columns but id.
+    Samples keep the width of the image's own, so those of 16 bits stay unscaled. Null or unreadable data gives nulls in all columns but id.
     """
     schema = "id long, height long, width long, tile binary, hash string"
 
     def one(data) -> tuple:
         try:
-            image = grey(decode(bytes(data)))
+            decoded = decode(bytes(data))
+            image = grey(decoded)
         except (ValueError, TypeError, struct.error):
             return (None, None, None, None)
-        return (*image.shape, npy_tiles(np.round(area_resize(image, rows, columns)).astype(np.uint8))[0], difference_hash(image))
+        return (*image.shape, npy_tiles(np.round(area_resize(image, rows, columns)).astype(decoded.dtype), rows)[0], difference_hash(image))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

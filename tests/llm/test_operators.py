@@ -567,6 +567,17 @@ def test_embeddings_in_crowded_regions(spark, monkeypatch):
     assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.999 * want.sum()
 
 
+def test_resized_images_keep_all_rows_and_wide_samples(spark):
+    deep = np.arange(12, dtype=np.uint16).reshape(4, 3) * 5000
+    tall = media.TILE_ROWS + 8
+    data = [(1, b"P5\n3 4\n65535\n" + deep.astype(">u2").tobytes()), (2, b"P5\n1 %d\n255\n" % tall + bytes(i % 251 for i in range(tall)))]
+    df = spark.createDataFrame(data, "id long, data binary")
+    got = media.read_tiles([media.resize_images(df.filter("id = 1"), 4, 3).first()["tile"]])
+    assert got.dtype == np.uint16 and (got == deep).all()
+    got = media.read_tiles([media.resize_images(df.filter("id = 2"), tall, 1).first()["tile"]])
+    assert got.dtype == np.uint8 and got[:, 0].tolist() == [i % 251 for i in range(tall)]
+
+
 def test_language_learns_every_language(spark):
     """More languages than a tenth of the training texts, each of its own letters."""
     rows = [(i * 20 + j, chr(0x4E00 + i) * 3 + " " + chr(0x4E00 + i) * (2 + j), f"l{i}") for i in range(300) for j in range(20)]

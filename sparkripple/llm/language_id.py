@@ -7,9 +7,10 @@ cosine is predicted, and the score is that cosine. A text further away than
 nearly all training texts of that centroid is marked rejected.
 
 The classifier is fitted on a sample of about TRAIN_DOCS labelled texts, or LEAST
-for each language where these are more, shared equally between languages and chosen by a hash of doc_id, one
-text per id. Every language is learnt, so the driver's memory grows with their number. All texts are
-predicted whole. Null texts and texts without a letter are `und` with score 0,
+for each language where these are more, shared equally between languages and
+chosen by a 63-bit hash of doc_id, one text per id. Centroids are made by a task
+per language, so every language is learnt and only its centroids reach the
+driver. All texts are predicted whole. Null texts and texts without a letter are `und` with score 0,
 as is all without training rows. Repeated rows get equal results, extra columns
 are ignored, an empty table gives no rows.
 """
@@ -25,12 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkripple.llm.common import fold, small_batches
+from sparkripple.llm.common import cut, fold, hash63, share_bound
 
 DIMENSIONS = 8192
 CLUSTERS = 4
 TRAIN_DOCS = 2400
-LEAST = 10
+#: So many texts of a language are drawn on average, so that none is left out by chance; all of a language with fewer.
+LEAST = 40
 HELD_OUT = (4, 2)
 REJECTED_SHARE = 0.005
 #: Texts are counted in pieces of so many characters, to bound memory; their counts are summed.
@@ -66,6 +68,17 @@ def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["lang", "counts"])
 
 
+def holding(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of one partition the number of texts that hold each n-gram, and the number of texts as n-gram -1."""
+    total, n = np.zeros(DIMENSIONS, dtype=np.int64), 0
+    for batch in batches:
+        n += len(batch)
+        for counts in batch["counts"]:
+            total += np.frombuffer(counts, dtype=np.float32) > 0
+    at = np.flatnonzero(total)
+    yield pd.DataFrame({"gram": np.append(at, -1), "n": np.append(total[at], n)})
+
+
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = np.log1p(counts).astype(np.float32) * idf
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
@@ -84,39 +97,45 @@ def spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
+def centroids_of(idf: np.ndarray, clusters: int):
+    """The centroids of one language and the cosine that nearly all its texts next to each reach."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ordered = sorted(group["counts"])
+        x = vectors(np.stack([np.frombuffer(c, dtype=np.float32) for c in ordered]), idf)
+        centres = spherical_means(x, clusters)
+        cosines = x @ centres.T
+        own, best = cosines.argmax(axis=1), cosines.max(axis=1)
+        limits = [float(np.quantile(best[own == j], REJECTED_SHARE)) if (own == j).any() else 0.0 for j in range(len(centres))]
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "j": range(len(centres)), "centre": [c.astype(np.float32).tobytes() for c in centres], "limit": limits})
+
+    return run
+
+
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, clusters: int = CLUSTERS) -> dict | None:
     n, rest = HELD_OUT
-    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").filter(fold("doc_id", n) != rest)
+    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("lang").cast("string").alias("lang"), "text").filter(fold("doc_id", n) != rest)
     per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not per:
         return None
     each = max(LEAST, train_docs / len(per))
-    shares = {lang: max(1, int(min(1.0, each / count) * 1_000_000)) for lang, count in per.items()}
-    share = F.element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col("lang"))
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < share)
+    bounds = {lang: share_bound(each / count) for lang, count in per.items()}
+    bound = F.element_at(F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair)), F.col("lang"))
+    sample = rows.filter(hash63("doc_id", F.lit("language")) <= bound)
     # Of an id with several rows one is learnt from, so that no repeated id outgrows the bound.
     sample = sample.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("one")).select("one.lang", "one.text")
-    # The driver gets a fixed size per text, its counts, however long the texts are.
-    sample = small_batches(sample).mapInPandas(counted, "lang string, counts binary").toPandas().sort_values(["lang", "counts"], kind="stable")
-    langs = sample["lang"].to_numpy()
-    counts = [np.frombuffer(c, dtype=np.float32) for c in sample["counts"]]
-    if not counts:
+    # From here on a text is of a fixed size, its counts, however long it is.
+    sample = cut(sample.mapInPandas(counted, "lang string, counts binary"))
+    held = {r["gram"]: r["n"] for r in sample.mapInPandas(holding, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    texts = held.pop(-1, 0)
+    if not texts:
         return None
-    counts = np.stack(counts)
-    idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = vectors(counts, idf)
-    centroids, names, limits = [], [], []
-    for lang in sorted(set(langs)):
-        own = x[langs == lang]
-        for centre in spherical_means(own, clusters):
-            centroids.append(centre)
-            names.append(str(lang))
-    matrix = np.stack(centroids)
-    near = np.argmax(x @ matrix.T, axis=1)
-    best = np.max(x @ matrix.T, axis=1)
-    for j in range(len(names)):
-        limits.append(float(np.quantile(best[near == j], REJECTED_SHARE)) if (near == j).any() else 0.0)
-    return {"idf": idf, "centroids": matrix, "names": names, "limits": np.array(limits)}
+    with_gram = np.zeros(DIMENSIONS)
+    with_gram[list(held)] = list(held.values())
+    idf = (np.log((1 + texts) / (1 + with_gram)) + 1).astype(np.float32)
+    found = sample.groupBy("lang").applyInPandas(centroids_of(idf, clusters), "lang string, j int, centre binary, limit double").orderBy("lang", "j").collect()
+    matrix = np.stack([np.frombuffer(r["centre"], dtype=np.float32) for r in found])
+    return {"idf": idf, "centroids": matrix, "names": [r["lang"] for r in found], "limits": np.array([r["limit"] for r in found])}
 
 
 def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
@@ -140,5 +159,5 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "lang_pred": lang, "score": score, "rejected": rejected})
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = small_batches(own).mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    out = own.mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean")
     return out.select("doc_id", (fold("doc_id", n) == rest).alias("held_out"), "lang_pred", "score", "rejected")

@@ -1,7 +1,8 @@
 """Media columns: Netpbm and BMP images as numpy arrays, NPY tiles and difference hashes.
 
 decode() reads P5, P6, P2, P3 Netpbm and uncompressed 8- and 24-bit BMP.
-area_resize() averages over areas by an integral image. npy_tiles() stores an
+area_resize() averages over areas by an integral image, made in strips of rows
+so that its memory is bounded however high the image is. npy_tiles() stores an
 array as NPY tiles of bounded height, read back by read_tiles().
 
 text_media() carries every document's text through that way: the UTF-8 bytes,
@@ -26,20 +27,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkripple.llm.common import small_batches
-
 COLUMNS = 64
 TILE_ROWS = 4096
+#: Numbers of the integral image that are in memory at a time.
+STRIP_CELLS = 1 << 18
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles long"
 
 
 def decode(data: bytes) -> np.ndarray:
     """Image bytes to an array of rows x columns, or rows x columns x 3 in red, green, blue order."""
     if data[:2] in (b"P2", b"P3", b"P5", b"P6"):
-        return decode_netpbm(data)
-    if data[:2] == b"BM":
-        return decode_bmp(data)
-    raise ValueError("neither Netpbm nor BMP")
+        image = decode_netpbm(data)
+    elif data[:2] == b"BM":
+        image = decode_bmp(data)
+    else:
+        raise ValueError("neither Netpbm nor BMP")
+    if not image.size:
+        raise ValueError("no samples")
+    return image
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
@@ -74,26 +79,44 @@ def grey(image: np.ndarray) -> np.ndarray:
     return image if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
 
 
+def placed(n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n + 1 edges of equal parts of a length, as the place before each and the part of it beyond."""
+    edges = np.linspace(0, size, n + 1)
+    low = np.minimum(edges.astype(int), size - 1)
+    return low, edges - low
+
+
 def area_resize(image: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    """Mean over equal areas, in parts of pixels where edges cut them, from one integral image."""
-    height, width = image.shape
-    integral = np.zeros((height + 1, width + 1))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=integral[1:, 1:])
-
-    def along(table: np.ndarray, n: int, size: int) -> np.ndarray:
-        edges = np.linspace(0, size, n + 1)
-        low = np.minimum(edges.astype(int), size - 1)
-        part = (edges - low)[:, None]
-        return table[low] * (1 - part) + table[low + 1] * part
-
-    table = along(along(integral, rows, height).T, columns, width).T
+    """Mean over equal areas of the grey image, in parts of pixels where edges cut them, from its integral image.
+
+    Of the integral only the rows beside the areas' edges are kept; the others pass by in strips.
+    """
+    height, width = image.shape[:2]
+    low, part = placed(rows, height)
+    needed = np.union1d(low, low + 1)
+    kept = np.zeros((len(needed), width + 1))
+    above = np.zeros(width + 1)
+    strip = max(1, STRIP_CELLS // (width + 1))
+    for top in range(0, height, strip):
+        block = grey(image[top : top + strip])
+        integral = np.empty((len(block) + 1, width + 1))
+        integral[0], integral[1:, 0] = above, 0
+        np.cumsum(np.cumsum(block, axis=1, dtype=np.float64), axis=0, out=integral[1:, 1:])
+        integral[1:] += above
+        at = np.flatnonzero((needed >= top) & (needed <= top + len(block)))
+        kept[at] = integral[needed[at] - top]
+        above = integral[-1].copy()
+    spot = np.searchsorted(needed, low)
+    table = kept[spot] * (1 - part)[:, None] + kept[spot + 1] * part[:, None]
+    low, part = placed(columns, width)
+    table = table[:, low] * (1 - part) + table[:, low + 1] * part
     areas = np.diff(np.diff(table, axis=0), axis=1)
     return areas / (height / rows * width / columns)
 
 
 def difference_hash(image: np.ndarray) -> str:
     """64 bits: whether each cell of an 8 x 9 area mean is darker than its right neighbour."""
-    small = np.round(area_resize(grey(image), 8, 9), 6)
+    small = np.round(area_resize(image, 8, 9), 6)
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
@@ -126,7 +149,7 @@ def text_media(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame([(doc_id, *media_row(text)) for doc_id, text in zip(batch["doc_id"], batch["text"])], columns=names)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return small_batches(own).mapInPandas(run, SCHEMA)
+    return own.mapInPandas(run, SCHEMA)
 
 
 def resize_images(images: DataFrame, rows: int, columns: int) -> DataFrame:
@@ -138,14 +161,13 @@ def resize_images(images: DataFrame, rows: int, columns: int) -> DataFrame:
 
     def one(data) -> tuple:
         try:
-            decoded = decode(bytes(data))
-            image = grey(decoded)
+            image = decode(bytes(data))
         except (ValueError, TypeError, struct.error):
             return (None, None, None, None)
-        return (*image.shape, npy_tiles(np.round(area_resize(image, rows, columns)).astype(decoded.dtype), rows)[0], difference_hash(image))
+        return (*image.shape[:2], npy_tiles(np.round(area_resize(image, rows, columns)).astype(image.dtype), rows)[0], difference_hash(image))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([(i, *one(data)) for i, data in zip(batch["id"], batch["data"])], columns=["id", "height", "width", "tile", "hash"]).astype({"height": "Int64", "width": "Int64"})
 
-    return small_batches(images.select(F.col("id").cast("long").alias("id"), "data")).mapInPandas(run, schema)
+    return images.select(F.col("id").cast("long").alias("id"), "data").mapInPandas(run, schema)

@@ -23,8 +23,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkripple.llm.common import small_batches
-
 CAPACITY = 2048
 CLOSING_ID = 1
 POOL_TOKENS = 1 << 20
@@ -159,7 +157,7 @@ class Ids:
         if self.fast is not None and SPECIAL not in text:
             try:
                 return self.fast.encode_to_numpy(text).astype(np.uint32, copy=False)
-            except Exception:  # noqa: BLE001  its regular expression gives up on very long runs of white space
+            except ValueError:  # its regular expression gives up on very long runs of white space
                 pass
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
@@ -186,4 +184,4 @@ def pack(docs: DataFrame, tokenizer: dict[str, str] | None = None, capacity: int
         yield packer.rows()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return small_batches(own).mapInPandas(run, SCHEMA)
+    return own.mapInPandas(run, SCHEMA)

@@ -9,8 +9,8 @@ A piece's score is -log(rank + 2), a Zipf law over the public vocabulary's order
 plus a constant cost for every token, so that fewer tokens win; ties go to fewer tokens. Single
 bytes are always pieces, so no text lacks a segmentation. Pieces of every length
 count: at each end position the lengths are tried that pieces with its last two bytes have. A task's trie is
-dropped at MOST_NODES nodes, and pre-tokens over LONGEST bytes are scored
-outside it, so memory is bounded. Null and empty texts have no tokens; repeated
+dropped at MOST_NODES nodes or MOST_TERMINALS terminals, and pre-tokens over LONGEST
+bytes are scored outside it, so memory is bounded. Null and empty texts have no tokens; repeated
 rows get equal counts; an empty table gives no rows.
 """
 
@@ -23,10 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkripple.llm.common import small_batches
-
 MOST_NODES = 600_000
+MOST_TERMINALS = 500_000
 LONGEST = 64
+#: Texts from so many characters on are split piece by piece, without a list of all their pre-tokens.
+LONG_TEXT = 1 << 20
 TOKEN_COST = 4.0
 
 
@@ -71,8 +72,7 @@ class Trie:
         self.computed += 1
         return best, count
 
-    def count(self, token: str) -> int:
-        s = token.encode()
+    def count(self, s: bytes) -> int:
         if len(s) > LONGEST:
             path = [(0.0, 0)]
             for end in range(1, len(s) + 1):
@@ -90,11 +90,12 @@ class Trie:
     def terminal(self, token: str) -> int:
         n = self.terminals.get(token)
         if n is None:
-            if len(self.nodes) > MOST_NODES:
+            if len(self.nodes) > MOST_NODES or len(self.terminals) >= MOST_TERMINALS:
                 self.nodes = {b"": (0.0, 0)}
                 self.terminals = {}
-            n = self.count(token)
-            if len(token) <= LONGEST:
+            s = token.encode("utf-8", "replace")
+            n = self.count(s)
+            if len(s) <= LONGEST:
                 self.terminals[token] = n
         return n
 
@@ -112,22 +113,23 @@ def count_tokens(docs: DataFrame, files: dict[str, str] | None = None) -> DataFr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import regex
 
-        split = regex.compile(files["pattern"]).findall
+        pattern = regex.compile(files["pattern"])
         trie = Trie(load_scores(files["ranks_file"]))
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                tokens = split(text)
+                tokens = pattern.findall(text) if len(text) < LONG_TEXT else (m[0] for m in pattern.finditer(text))
                 known = trie.terminals.get
-                n = 0
+                n = n_tokens = 0
                 for token in tokens:
                     own = known(token)
                     if own is None:
                         own = trie.terminal(token)
                         known = trie.terminals.get
-                    n += own
-                rows.append((doc_id, n, len(tokens)))
+                    n_tokens += own
+                    n += 1
+                rows.append((doc_id, n_tokens, n))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_pretokens"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return small_batches(own).mapInPandas(run, "doc_id long, n_tokens long, n_pretokens long")
+    return own.mapInPandas(run, "doc_id long, n_tokens long, n_pretokens long")

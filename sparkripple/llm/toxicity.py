@@ -9,11 +9,13 @@ inflected and glued forms share weight, hashed to HASHED values. The model is
 fitted on at most about TRAIN_DOCS labelled documents chosen by a hash of their
 id, one text per id: a distributed pass counts their features by label, the MOST_FEATURES of the
 largest chi-square towards toxic are kept, and only the sentences that hold one
-reach the driver, as feature numbers.
+reach the driver, as feature numbers. The sampling bound is a 63-bit hash, so that
+it holds at any number of labels.
 
 Whole texts are scored. Null and empty texts have one empty sentence and so the
 base score. Without a positive label all scores are 0. Repeated rows get equal
-scores, extra columns are ignored, an empty table gives no rows.
+scores, extra columns are carried along whatever their names, an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkripple.llm.common import cut, fold, small_batches
+from sparkripple.llm.common import cut, fold, hash63, share_bound
 
 HASHED = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -36,6 +38,8 @@ TRAIN_DOCS = 20_000
 #: Least chi-square (one degree of freedom) of a kept feature, about one chance in a million.
 LEAST_CHI = 24.0
 HELD_OUT = (5, 0)
+#: Weight of half the squared weights in the loss.
+PENALTY = 2e-2
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCES = re.compile(r"[.!?\n]+")
 
@@ -110,29 +114,43 @@ def instances(chosen: list[int]):
     return run
 
 
+class Bags:
+    """Training documents as bags of sentences in flat arrays."""
+
+    def __init__(self, rows: pd.DataFrame):
+        none = np.zeros(0, dtype=np.int64)
+        lengths = [np.asarray(x, dtype=np.int64) for x in rows["lengths"]]
+        per_doc = np.array([len(x) for x in lengths])
+        self.y = rows["toxic"].to_numpy(dtype=float)
+        self.bag = np.repeat(np.arange(len(self.y)), per_doc)
+        self.sizes = np.concatenate([*lengths, none])
+        self.sent = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.ids = np.concatenate([*(np.asarray(x, dtype=np.int64) for x in rows["ids"]), none])
+        self.bare = rows["n"].to_numpy() - per_doc
+
+
+def loss_and_gradient(w: np.ndarray, b: float, x: Bags) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood of the labels under the noisy-or with the weights' penalty, and its gradient by w, then b."""
+    z = np.clip(b + np.bincount(x.sent, w[x.ids], minlength=len(x.sizes)), -30, 30)
+    p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-b))
+    log_clean = np.bincount(x.bag, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(x.y)) + x.bare * np.log1p(-p0)
+    doc = np.clip(-np.expm1(log_clean), 1e-9, 1)
+    # d loss / d log_clean: 1 - y / doc, carried to each sentence by d log(1 - p) / dz = -p
+    pull = 1 - x.y / doc
+    g_sent = pull[x.bag] * p
+    grad = np.append(np.bincount(x.ids, g_sent[x.sent], minlength=len(w)) + PENALTY * w, g_sent.sum() + (pull * x.bare).sum() * p0)
+    loss = -(x.y * np.log(doc) + (1 - x.y) * log_clean).sum() + PENALTY * (w @ w) / 2
+    n = max(1, len(x.y))
+    return loss / n, grad / n
+
+
 def fit(rows: pd.DataFrame, n_features: int, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and bias that maximise the likelihood of the document labels under the noisy-or."""
-    y = rows["toxic"].to_numpy(dtype=float)
-    lengths = [np.asarray(x, dtype=np.int64) for x in rows["lengths"]]
-    per_doc = np.array([len(x) for x in lengths])
-    bag = np.repeat(np.arange(len(y)), per_doc)
-    sizes = np.concatenate([*lengths, np.zeros(0, dtype=np.int64)])
-    sent = np.repeat(np.arange(len(sizes)), sizes)
-    ids = np.concatenate([*(np.asarray(x, dtype=np.int64) for x in rows["ids"]), np.zeros(0, dtype=np.int64)])
-    bare = rows["n"].to_numpy() - per_doc
+    x = Bags(rows)
     w, b = np.zeros(n_features), -6.0
     moments = np.zeros((2, n_features + 1))
     for step in range(1, steps + 1):
-        z = np.clip(b + np.bincount(sent, w[ids], minlength=len(sizes)), -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        p0 = 1 / (1 + np.exp(-b))
-        log_clean = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(y)) + bare * np.log1p(-p0)
-        doc = np.clip(-np.expm1(log_clean), 1e-9, 1)
-        # d loss / d log_clean: 1 - y / doc, carried to each sentence by d log(1 - p) / dz = -p
-        pull = 1 - y / doc
-        g_sent = pull[bag] * p
-        grad = np.append(np.bincount(ids, g_sent[sent], minlength=n_features) + 2e-2 * w, g_sent.sum() + (pull * bare).sum() * p0)
-        grad /= max(1, len(y))
+        grad = loss_and_gradient(w, b, x)[1]
         moments[0] = 0.9 * moments[0] + 0.1 * grad
         moments[1] = 0.99 * moments[1] + 0.01 * grad**2
         move = 0.1 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-9)
@@ -148,14 +166,15 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, most
     if not counts.get(1):
         return {}, -30.0
     share = min(1.0, train_docs / sum(counts.values()))
-    chosen_rows = marks.filter(F.pmod(F.xxhash64("labelled_id", F.lit("toxicity")), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen_rows = marks.filter(hash63("labelled_id", F.lit("toxicity")) <= share_bound(share))
     # About train_docs ids and labels at most, some 20 bytes each, whatever the size of the corpus.
-    labelled = docs.filter("text IS NOT NULL").join(F.broadcast(chosen_rows), F.col("doc_id") == F.col("labelled_id")).select("labelled_id", "text", "toxic")
+    texts = docs.filter("text IS NOT NULL").select("doc_id", "text")
+    labelled = texts.join(F.broadcast(chosen_rows), F.col("doc_id") == F.col("labelled_id")).select("labelled_id", "text", "toxic")
     labelled = cut(labelled)
     if not labelled.groupBy("labelled_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
         # Of an id with several rows one is learnt from, so that no repeated id outgrows the bound.
         labelled = cut(labelled.groupBy("labelled_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
-    labelled = small_batches(labelled.select("text", "toxic"))
+    labelled = labelled.select("text", "toxic")
     counts = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(1):
         return {}, -30.0
@@ -189,30 +208,27 @@ def scorer(weights: dict[int, float], bias: float):
     return score
 
 
-def score(docs: DataFrame, weights: dict[int, float], bias: float) -> DataFrame:
-    """docs with its own columns and toxic_score, toxic_predicted, toxic_sentences."""
-    extra = "toxic_score double, toxic_predicted int, toxic_sentences array<string>"
+def scored_text(weights: dict[int, float], bias: float):
+    """A function of a text column: struct of score, predicted and sentences."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("struct<score: double, predicted: int, sentences: array<string>>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         one, known = scorer(weights, bias), {}
-        for batch in batches:
-            got = [one(text or "", known) for text in batch["text"]]
+        for texts in parts:
+            got = [one(text or "", known) for text in texts]
             scores = [x[0] for x in got]
-            yield batch.assign(toxic_score=scores, toxic_predicted=[int(x >= 0.5) for x in scores], toxic_sentences=[x[1] for x in got])
+            yield pd.DataFrame({"score": scores, "predicted": [int(x >= 0.5) for x in scores], "sentences": [x[1] for x in got]})
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), extra])
-    return small_batches(docs).mapInPandas(run, fields)
+    return run
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, sentences that offend."""
     n, rest = HELD_OUT
-    weights, bias = train(docs, labels)
-    own = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), weights, bias)
-    return own.select("doc_id", (fold("doc_id", n) == rest).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"), F.col("toxic_sentences").alias("sentences"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scored_text(*train(docs, labels))("text").alias("own"))
+    return own.select("doc_id", (fold("doc_id", n) == rest).alias("held_out"), "own.score", "own.predicted", "own.sentences")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with their own columns."""
-    weights, bias = train(docs, labels)
-    return score(docs, weights, bias).filter("toxic_predicted = 0").select(*docs.columns)
+    return docs.filter(scored_text(*train(docs, labels))("text")["predicted"] == 0)

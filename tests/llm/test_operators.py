@@ -241,7 +241,7 @@ def test_token_counts(docs, odd, none):
     assert token_counts.count_tokens(none).count() == 0
     trie = token_counts.Trie(scores)
     for token in ("alpha", "alphabet", "alphas"):
-        trie.count(token)
+        trie.count(token.encode())
     assert trie.computed == len("alphabet") + 1
 
 
@@ -271,7 +271,7 @@ def test_token_counts_take_the_whole_vocabulary(spark):
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")).collect()}
     assert len(long) > 50 and got == {i: sum(map(brute, split(t))) for i, t in enumerate(data)}
     trie = token_counts.Trie(token_counts.load_scores(public.path("byte_bpe_50k.tiktoken")))
-    assert trie.count(" responsibilities") == brute(" responsibilities") == 1
+    assert trie.count(b" responsibilities") == brute(" responsibilities") == 1
 
 
 def test_url_filters(spark, monkeypatch):
@@ -532,8 +532,7 @@ def test_embeddings_many_blocks(spark, monkeypatch):
 def test_embeddings_in_dense_clusters_are_exact(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
     monkeypatch.setattr(embedding_dedup, "HALO", 32)
-    monkeypatch.setattr(embedding_dedup, "DENSE", 24)
-    monkeypatch.setattr(embedding_dedup, "ROOTS_AT_A_TIME", 1)
+    monkeypatch.setattr(embedding_dedup, "PIVOTS", 12)
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((300, 16))
     x = np.concatenate([centres, centres[0] + 0.2 * rng.standard_normal((700, 16)), centres[1] + 0.2 * rng.standard_normal((400, 16))])
@@ -561,7 +560,7 @@ def test_embeddings_in_crowded_regions(spark, monkeypatch):
     linked = u @ u.T >= 0.95
     np.fill_diagonal(linked, False)
     want = linked.sum(axis=1)
-    assert want.sum() > 2000 and want.max() < embedding_dedup.DENSE
+    assert want.sum() > 2000 and want.max() < embedding_dedup.HALO
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.link(df).collect()}
     assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.999 * want.sum()

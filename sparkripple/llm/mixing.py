@@ -8,10 +8,10 @@ into buckets of bounded size, each bucket leaves one fractional residual, and
 residuals of FAN buckets are combined in turn until one is left for a source:
 a reduction tree of grouped Spark stages. The last residual is taken in part.
 
-Rows of equal id, source and size are counted first, then dealt as that many
-documents, so repeated ids and rows without one spread over all buckets. The
-randomness comes from hashes of id, size and the number among such equals, so
-reruns agree however the input is partitioned. Null texts have no
+Rows of equal id, source, size and content hash are counted first, then dealt as
+that many documents, so repeated ids and rows without one spread over all
+buckets. The randomness comes from hashes of these and of the number among such
+equals, so reruns agree however the input is partitioned. Null texts have no
 words and are never taken; a null source is a source of its own, ordered last.
 Repeated rows are documents of their own. An empty table gives no rows.
 """
@@ -22,7 +22,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkripple.llm.common import cut, n_words
@@ -35,34 +35,42 @@ FAN = 64
 RUN = 4096
 #: Sources up to this many go to all executors (some hundred bytes each); beyond, the join is by shuffle.
 BROADCAST_SOURCES = 20_000
-ROWS = "doc_id long, source string, size long, source_size long, target double, whole long, part double, mark long, bucket long"
+ROWS = "doc_id long, source string, size long, content long, source_size long, target double, whole long, part double, mark long, bucket long"
+
+
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources with their rank from 0 by code point, null last; sorted in ranges, so no task has all."""
+    order = F.col("source").asc_nulls_last()
+    placed = cut(sources.repartitionByRange(order).sortWithinPartitions(order).withColumns({"task": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    # One number per shuffle partition, as many as the cluster's setting says.
+    starts, before = {}, 0
+    for r in placed.groupBy("task").agg(F.count(F.lit(1)).alias("n")).orderBy("task").collect():
+        starts[r["task"]] = before
+        before += r["n"]
+    start = F.element_at(F.lit([starts.get(t, 0) for t in range(max(starts, default=0) + 1)]), F.col("task") + 1)
+    return placed.withColumn("rank", start + F.col("at")).drop("task", "at")
 
 
 def targets(counted: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """Per source: n_docs, source_size, target; counted is (source, size, n), n documents of that size.
 
     Resharing what targets lose at their cap by weight ends where every target is
-    min(cap, level * weight) for one level; with sources in order of cap / weight
-    the level follows from running sums.
+    min(cap, level * weight) for one level. The level rises from equal shares by
+    one aggregate a round, until no further source is at its cap.
     """
-    per = counted.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    code_points = Window.orderBy(F.col("source").asc_nulls_last())
-    per = per.withColumn("rank", F.row_number().over(code_points) - 1)
+    per = ranked(counted.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum(F.col("size") * F.col("n")).alias("source_size")))
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    per = per.withColumn("weight", weight.cast("double")).withColumn("cap", F.col("source_size") * float(most))
-    everything = Window.partitionBy()
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    per = (
-        per.withColumn("total", F.sum("source_size").over(everything).cast("double"))
-        .withColumn("capped_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("weight_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", (F.col("total") - F.col("capped_before")) / F.col("weight_left"))
-    )
-    open_level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("rank"), F.col("level")))).over(everything)
-    per = per.withColumn("open", open_level.getField("level"))
-    target = F.least(F.col("cap"), F.coalesce(F.col("open") * F.col("weight"), F.col("cap")))
-    return per.select("source", "n_docs", "source_size", target.alias("target"))
+    per = per.withColumn("weight", weight.cast("long")).withColumn("cap", F.col("source_size") * most)
+    level, capped = 0.0, -1
+    total = per.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("weight")
+        now = per.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0))).first()
+        if now[0] == capped or not now[2]:
+            break
+        # Whole numbers up to here, so the level doesn't depend on the order of sums.
+        capped, level = now[0], (total - now[1]) / now[2]
+    return per.select("source", "n_docs", "source_size", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def mixed_bits(ids: np.ndarray, level: int) -> np.ndarray:
@@ -117,17 +125,22 @@ def rounded(level: int):
 
 def dealt(counted: DataFrame) -> DataFrame:
     """counted with a row per document, mark a hash that tells equal ones apart."""
+    keys = ["doc_id", "source", "size", "content"]
     few = counted.filter(F.col("n") <= RUN).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    runs = counted.filter(F.col("n") > RUN).withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / RUN)))).repartition("doc_id", "source", "size", "run")
+    runs = counted.filter(F.col("n") > RUN).withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / RUN)))).repartition(*keys, "run")
     first = F.col("run") * RUN
     many = runs.withColumn("k", F.explode(F.sequence(first, F.least(first + RUN, "n") - 1))).drop("run")
-    return few.unionByName(many).withColumn("mark", F.xxhash64("doc_id", "size", "k")).drop("n", "k")
+    return few.unionByName(many).withColumn("mark", F.xxhash64("doc_id", "size", "content", "k")).drop("n", "k")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """One row per document: size, source_size, target, taken (words), whole (full copies), part (of one more copy)."""
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size"))
-    counted = cut(sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")))
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, content: Column | None = None) -> DataFrame:
+    """One row per document: size, content, source_size, target, taken (words), whole (full copies), part (of one more copy).
+
+    content is a number that tells documents of one id, source and size apart, 0 for all unless given.
+    """
+    content = F.lit(0) if content is None else content
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size"), content.cast("long").alias("content"))
+    counted = cut(sizes.groupBy("doc_id", "source", "size", "content").agg(F.count(F.lit(1)).alias("n")))
     sizes = dealt(counted)
     per = cut(targets(counted, weights, most))
     n_sources, largest = per.agg(F.count(F.lit(1)), F.coalesce(F.max("n_docs"), F.lit(0))).first()
@@ -154,21 +167,32 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     for more in settled[1:]:
         out = out.unionByName(more)
     taken = F.col("size") * F.col("whole") + F.round(F.col("size") * F.col("part")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "whole", "part")
+    return out.select("doc_id", "source", "size", "content", "source_size", "target", taken.alias("taken"), "whole", "part")
+
+
+def content_hash(docs: DataFrame) -> Column:
+    """A hash of all columns but maps, which Spark doesn't hash."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()))
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """The documents of the mix, each as often as it is taken; a document taken in part comes whole if at least half is taken.
 
-    Of rows equal in id, source and size all come as often as they can equally;
-    who comes once more is drawn by a hash of text and place, with the right odds.
+    Rows are told apart by a hash of their columns (but maps); wholly equal rows stand
+    for each other, so the rows that come are the same whatever the input's
+    partitions and whichever task runs again.
     """
-    plan = mix(docs, weights, most)
+    plan = mix(docs, weights, most, content_hash(docs))
     times = F.col("whole") + F.when(F.col("part") >= 0.5, 1).otherwise(0)
-    plan = plan.groupBy(F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_source"), F.col("size").alias("mix_of")).agg(F.sum(times).alias("mix_times"), F.count(F.lit(1)).alias("mix_rows"))
-    own = docs.withColumns({"mix_size": n_words("text"), "mix_draw": F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1 << 31)) / float(1 << 31)})
-    match = own["doc_id"].eqNullSafe(plan["mix_doc"]) & own["source"].eqNullSafe(plan["mix_source"]) & (own["mix_size"] == plan["mix_of"])
-    kept = own.join(plan.filter("mix_times > 0"), match)
-    once_more = F.col("mix_draw") * F.col("mix_rows") < F.col("mix_times") % F.col("mix_rows")
-    each = (F.floor(F.col("mix_times") / F.col("mix_rows")) + once_more.cast("long")).cast("int")
-    return kept.withColumn("mix_each", each).filter("mix_each > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_each")))).select(*(own[c] for c in docs.columns))
+    plan = cut(plan.groupBy("doc_id", "source", "size", "content").agg(F.sum(times).cast("int").alias("times"), F.count(F.lit(1)).alias("n")).filter("times > 0"))
+    # The documents as one column, so that none of theirs can clash with the plan's.
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")
+    own = docs.select(whole, n_words("text").alias("own_size"), content_hash(docs).alias("own_content"))
+    match = F.col("document.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & F.col("document.source").cast("string").eqNullSafe(F.col("source")) & (F.col("own_size") == F.col("size")) & (F.col("own_content") == F.col("content"))
+    single, equal = plan.filter("n = 1"), plan.filter("n > 1")
+    out = own.join(single, match).select("document", "times")
+    if not equal.isEmpty():
+        keys = ["doc_id", "source", "size", "content"]
+        out = out.unionByName(own.join(equal, match).dropDuplicates(keys).select("document", "times"))
+    copy = F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")
+    return out.select("document", copy).select(*(F.col("document").getField(c).alias(c) for c in docs.columns))

@@ -8,7 +8,8 @@ of characters. The threshold is calibrated on a fifth of the decided URLs that
 the counts leave out: the point as many standard deviations from either class.
 
 All is DataFrame operations. Models, scores and sums are made over distinct URLs
-and distinct four-character grams. Null URLs and URLs without `://` have an empty
+and distinct four-character grams. URLs are numbered, so that a gram's row carries
+a number and not the URL, and the work grows in proportion to a URL's length. Null URLs and URLs without `://` have an empty
 host and path, fit no rule and are judged as text; equal URLs get equal verdicts.
 With no accepted or no rejected URL to learn from, undecided URLs are allowed.
 An empty table gives no rows; extra columns are ignored.
@@ -80,14 +81,14 @@ def gram_scores(counted: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def scores(distinct: DataFrame) -> tuple[DataFrame, float]:
-    """(url, verdict of a rule or null) to (url, score), and the threshold."""
+    """(number, url, verdict of a rule or null), one row per URL, to (number, decided, score) of the URLs that are open or held out, and the threshold."""
     rows = distinct.withColumn("held", F.crc32(F.col("url").cast("binary")) % 5 == 0)
-    each = rows.select("url", "decided", "held", F.explode(grams(F.col("url"))).alias("gram"))
+    each = rows.select("number", "decided", "held", F.explode(grams(F.col("url"))).alias("gram"))
     taught = (~F.col("held")).cast("int")
     counted = cut(each.groupBy("gram").agg(F.sum(F.when(F.col("decided") == "allow", taught).otherwise(0)).alias("a"), F.sum(F.when(F.col("decided") == "block", taught).otherwise(0)).alias("r")))
     weights = cut(gram_scores(counted.filter("a + r > 0"), counted.select("gram")))
     side = F.broadcast(weights) if weights.count() <= BROADCAST_GRAMS else weights
-    scored = cut(each.join(side, "gram").groupBy("url", "decided", "held").agg(F.avg("weight").alias("score")))
+    scored = cut(each.filter("held OR decided IS NULL").join(side, "gram").groupBy("number", "decided", "held").agg(F.avg("weight").alias("score")))
     by = {r["decided"]: r for r in scored.filter("held AND decided IS NOT NULL").groupBy("decided").agg(F.avg("score").alias("mean"), F.coalesce(F.stddev("score"), F.lit(0.0)).alias("sd")).collect()}
     learnt = {r[0] for r in rows.filter("decided IS NOT NULL AND NOT held").select("decided").distinct().collect()}
     if learnt != {"allow", "block"}:
@@ -103,9 +104,11 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, score (of URLs that no rule decides)."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("url", F.lit("")).alias("text"))
     own = own.withColumn("host", host(F.col("text"))).withColumn("path", path(F.col("text"))).withColumn("fit", fitting(F.col("host"), F.col("path"), rules))
-    distinct = cut(own.groupBy(F.col("text").alias("url")).agg(F.first("fit.verdict").alias("decided")))
+    distinct = own.groupBy(F.col("text").alias("url")).agg(F.first("fit.verdict").alias("decided"))
+    # Once written, the numbers stay as they are.
+    distinct = cut(distinct.withColumn("number", F.monotonically_increasing_id()))
     scored, threshold = scores(distinct)
-    open_ones = scored.filter("decided IS NULL").select(F.col("url").alias("of"), "score")
+    open_ones = scored.filter("decided IS NULL").select("number", "score").join(distinct.select("number", "url"), "number").select(F.col("url").alias("of"), "score")
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("score") < F.lit(threshold), "block").otherwise("allow"))
     asked = F.when(F.col("fit").isNull(), F.col("text"))
     return own.withColumn("asked", asked).join(open_ones, F.col("asked") == F.col("of"), "left").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "score")

@@ -1,20 +1,25 @@
 """Personal data by candidate gradient boosting, as column expressions throughout.
 
 Base spans follow fixed patterns per kind (email, ip, card, phone) with checks;
-matches that fail a check are dropped. High-recall generators then propose
-further spans, written otherwise than the base patterns allow, and each proposal
-is tried as every kind it may be, so proposals overlap. Boosted trees score each
-on format and context; a proposal is selected above its kind's calibrated
-threshold, the best kind winning, if it touches no base span.
+matches that fail a check are dropped. Then base spans are masked, and high-recall
+generators propose further spans in the rest of the text, written otherwise than
+the base patterns allow. Each proposal is tried as every kind it may be, so
+proposals overlap. Boosted trees score each on format and context; those above
+their kind's calibrated threshold are selected in one sweep from left to right,
+in which of two that touch the better stays. What the base patterns find in the
+masked text, as a number once hidden by a neighbour, is taken outright.
+redact() replaces the very spans that find() lists.
 
 The trees are trained on TRAIN_ROWS made-up candidates in context, drawn from
 the templates below by hashes, and the thresholds on as many others. The fitted
-trees become nested CASE expressions, so that a text is judged in the task that
-reads it: nothing is shuffled and no Python runs on executors.
-
-Null texts count as empty. Texts of any length are searched whole: patterns are
-written so that a match never backtracks over more than it has read. Repeated
-rows get equal spans, extra columns are ignored, an empty table gives no rows.
+trees become one nested CASE expression, so that a text is judged in the task
+that reads it: nothing is shuffled and no Python runs on executors.
+
+Null texts count as empty. Texts of any length are searched whole, and the time
+grows in proportion to the text and its candidates: patterns never backtrack over
+more than they have read, and arrays are swept once, in runs. Repeated rows get
+equal spans, extra columns are carried along whatever their names, an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -38,20 +43,28 @@ CHECKS = {
     "phone": "length(translate({m}, '+ ().-', '')) BETWEEN 9 AND 15",
 }
 #: Generators of proposals: written-out addresses, and digits with any usual separators.
+DOT, AT = r"\x20?[\[({]dot[\])}]\x20?|\x20dot\x20", r"\x20?[\[({]at[\])}]\x20?|\x20at\x20"
 GENERATORS = {
-    "written": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+(?:@|\x20?[\[({]at[\])}]\x20?|\x20at\x20)[a-z0-9-]{1,63}+(?:(?:\.|\x20?[\[({]dot[\])}]\x20?|\x20dot\x20)[a-z0-9-]{1,63}+){1,4}+",
+    "written": rf"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++(?:@|{AT})[a-z0-9-]++(?:(?:\.|{DOT})[a-z0-9-]++)++",
     "phones": r"(?<![0-9])(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "cards": r"(?<![0-9])(?:[0-9]{4}[\x20-]?){3}[0-9]{1,7}(?![0-9])",
-    "digits": r"(?<![0-9])\+?\(?[0-9](?:(?:[\x20()._/-]|\[\.\]|\(\.\)){0,3}+[0-9]){3,30}+(?![0-9])",
+    "quads": r"(?<![0-9])[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|\.)\x20?[0-9]{1,3}){3}(?![0-9])",
+    "digits": r"(?<![0-9])\+?\(?[0-9](?:(?:[\x20()._/-]|\[\.\]|\(\.\)){0,3}+[0-9]){3,}+(?![0-9])",
 }
-PROPOSED = {"written": ("email",), "phones": ("phone",), "cards": ("card",), "digits": ("ip", "card", "phone")}
+PROPOSED = {"written": ("email",), "phones": ("phone",), "cards": ("card",), "quads": ("ip",), "digits": ("ip", "card", "phone")}
 #: Every match of a generator holds one of its hint; texts without it skip the generator.
 HINTS = {
-    "written": r"(?i)[\[({\x20](?:at|dot)[\])}\x20][\s\S]{0,80}(?:dot|\.)[\])}\x20]?\x20?[a-z0-9-]|@",
+    "written": rf"(?i)(?:@|[\[({{]at[\])}}]\x20?|\x20at\x20)[a-z0-9-]++(?:\.|{DOT})[a-z0-9-]",
     "phones": r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
     "cards": r"(?:[0-9]{4}[\x20-]?){3}[0-9]",
+    "quads": r"(?:[0-9]{1,3}[\x20.()\[\]]{1,5}){3}[0-9]",
     "digits": r"[0-9](?:[\x20()._/\[\]-]{0,9}[0-9]){3}",
 }
+#: Stands for every character of a base span in the masked text; no pattern matches it.
+MASK = "\u0001"
+#: Texts are taken apart in pieces of so many characters, so that a span is cut out of its piece and not of the whole text.
+PIECE = 1024
+SPAN = "struct<start: bigint, end: bigint, kind: string, score: double>"
 
 TRAIN_ROWS = 6000
 TREES = 8
@@ -182,45 +195,84 @@ transform(flatten(aggregate(
 """
 
 
-def spans(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """docs(doc_id) with base and added, arrays of (kind, start, end), and the text."""
-    model = model or train(docs.sparkSession)
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def swept(spans: str, touching: str) -> str:
+    """The array of SPAN, sorted by start, with those that touch the last one held made one with it by `touching`, an expression over x and acc.held."""
+    none = f"cast(array() AS array<{SPAN}>)"
+    return f"""flatten(aggregate(
+      CASE WHEN size({spans}) = 0 THEN cast(array() AS array<bigint>) ELSE sequence(0L, cast((size({spans}) - 1) div 256 AS bigint)) END,
+      named_struct('held', cast(NULL AS {SPAN}), 'out', cast(array() AS array<array<{SPAN}>>)),
+      (whole, run) -> aggregate(slice({spans}, cast(run * 256 + 1 AS int), 256),
+        named_struct('held', whole.held, 'out', {none}),
+        (acc, x) -> CASE WHEN acc.held IS NULL THEN named_struct('held', x, 'out', acc.out)
+          WHEN x.start < acc.held.end THEN named_struct('held', {touching}, 'out', acc.out)
+          ELSE named_struct('held', x, 'out', array_append(acc.out, acc.held)) END,
+        acc -> named_struct('held', acc.held, 'out', array_append(whole.out, acc.out))),
+      whole -> CASE WHEN whole.held IS NULL THEN whole.out ELSE array_append(whole.out, array(whole.held)) END))"""
+
+
+#: Base spans that overlap count as one of the first's kind.
+UNITED = "named_struct('start', acc.held.start, 'end', greatest(acc.held.end, x.end), 'kind', acc.held.kind, 'score', acc.held.score)"
+BETTER = "CASE WHEN x.score > acc.held.score OR x.score = acc.held.score AND x.end - x.start > acc.held.end - acc.held.start THEN x ELSE acc.held END"
+
+
+def replaced(text: str, spans: str, pieces: str, by: str) -> str:
+    """text with `by`, an expression over a span v, in place of the disjoint sorted spans; pieces is the text in parts of PIECE characters."""
+
+    def part(a: str, b: str) -> str:
+        first, last = f"cast({a} div {PIECE} AS int)", f"cast(({b} - 1) div {PIECE} AS int)"
+        within = f"substring({pieces}[{first}], cast({a} % {PIECE} + 1 AS int), cast({b} - {a} AS int))"
+        over = f"concat(substring({pieces}[{first}], cast({a} % {PIECE} + 1 AS int)), array_join(slice({pieces}, {first} + 2, {last} - {first} - 1), ''), left({pieces}[{last}], cast(({b} - 1) % {PIECE} + 1 AS int)))"
+        return f"CASE WHEN {b} <= {a} THEN '' WHEN {first} = {last} THEN {within} ELSE {over} END"
+
+    before = f"CASE WHEN i = 0 THEN 0L ELSE {spans}[i - 1].end END"
+    kept = f"transform({spans}, (v, i) -> concat(transform(array({before}), p -> {part('p', 'v.start')})[0], {by}))"
+    rest = f"transform(array({spans}[size({spans}) - 1].end), p -> {part('p', f'cast(length({text}) AS bigint)')})[0]"
+    return f"CASE WHEN size({spans}) = 0 THEN {text} ELSE concat(array_join({kept}, ''), {rest}) END"
+
+
+def in_pieces(text: str, spans: str) -> Column:
+    return F.when(F.size(spans) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def spans(df: DataFrame, model: dict | None = None) -> DataFrame:
+    """df, which has text, with base and added, arrays of SPAN; added ones touch neither base spans nor each other."""
+    model = model or train(df.sparkSession)
     needs = {"email": F.col("text").contains("@"), "ip": F.col("text").rlike(r"[0-9]\.[0-9]"), "card": F.lit(True), "phone": F.col("text").contains("+")}
+    df = with_base(df, "text", "base", needs)
+    df = df.withColumn("sorted", F.array_sort("base")).withColumn("cover", F.expr(swept("sorted", UNITED))).drop("sorted")
+    df = df.withColumn("pieces", in_pieces("text", "cover"))
+    df = df.withColumn("masked", F.expr(replaced("text", "cover", "pieces", f"repeat('{MASK}', cast(v.end - v.start AS int))"))).drop("pieces")
+    df = with_base(df, "masked", "again", {k: (F.size("cover") > 0) & F.col("masked").rlike(r"[0-9]|@") for k in KINDS})
+    for name in GENERATORS:
+        df = with_located(df, name, "masked", GENERATORS[name], F.col("masked").rlike(HINTS[name]))
+    tried = [f"transform({name}, c -> named_struct('start', c.start, 'end', c.end, 'm', c.m, 'b', c.b, 'a', c.a, 'k', '{kind}'))" for name, kinds in PROPOSED.items() for kind in kinds]
+    df = df.withColumn("tried", F.expr(f"concat({', '.join(tried)})")).drop(*GENERATORS)
+    df = df.withColumn("chosen", F.expr(f"array_sort(concat(again, {selected_sql('tried', model)}))")).drop("tried", "again", "masked", "cover")
+    return df.withColumn("added", F.expr(swept("chosen", BETTER))).drop("chosen")
+
+
+def with_base(df: DataFrame, text: str, name: str, conditions: dict[str, Column]) -> DataFrame:
+    """df with the matches of the base patterns in a text that pass their checks, kind by kind."""
     for kind in KINDS:
-        df = with_located(df, f"base_{kind}", BASE[kind], needs[kind])
+        df = with_located(df, f"base_{kind}", text, BASE[kind], conditions[kind])
         check = filled(CHECKS[kind], m="x.m")
-        df = df.withColumn(f"base_{kind}", F.expr(f"transform(filter(base_{kind}, x -> {check}), x -> named_struct('kind', '{kind}', 'start', x.start, 'end', x.end))"))
-    df = df.withColumn("base", F.concat(*(f"base_{k}" for k in KINDS))).drop(*(f"base_{k}" for k in KINDS))
-    for name in GENERATORS:
-        df = with_located(df, name, GENERATORS[name], F.col("text").rlike(HINTS[name]))
-    return df.withColumn("added", F.expr(selected_sql(model))).drop(*GENERATORS)
+        df = df.withColumn(f"base_{kind}", F.expr(f"transform(filter(base_{kind}, x -> {check}), x -> named_struct('start', x.start, 'end', x.end, 'kind', '{kind}', 'score', 2D))"))
+    return df.withColumn(name, F.concat(*(f"base_{k}" for k in KINDS))).drop(*(f"base_{k}" for k in KINDS))
 
 
-def with_located(df: DataFrame, name: str, pattern: str, condition: Column) -> DataFrame:
+def with_located(df: DataFrame, name: str, text: str, pattern: str, condition: Column) -> DataFrame:
     """df with an array of (m, start, end, b, a) of the pattern's matches; texts that fail the condition have none."""
-    searched = F.when(condition, F.col("text")).otherwise("")
+    searched = F.when(condition, F.col(text)).otherwise("")
     df = df.withColumns({"matches": F.regexp_extract_all(searched, F.lit(pattern), F.lit(0)), "around": F.split(searched, pattern, -1)})
     return df.withColumn(name, F.expr(LOCATED)).drop("matches", "around")
 
 
-def scored_sql(candidates: str, kind: str, model: dict) -> str:
-    """Candidates with their score as one kind, those over its threshold only."""
-    features = ", ".join(f"'f{i}', {filled(f, m='c.m', b='c.b', a='c.a', k=repr(kind))}" for i, f in enumerate(FEATURES))
-    scored = f"transform(transform({candidates}, c -> named_struct('start', c.start, 'end', c.end, 'm', c.m, {features})), x -> named_struct('score', {model['score']}, 'kind', '{kind}', 'start', x.start, 'end', x.end, 'm', x.m))"
-    return f"filter({scored}, s -> s.score >= {model['thresholds'][kind]!r}D)"
-
-
-def selected_sql(model: dict) -> str:
-    """The added spans: proposals over their threshold that touch no base span, and of those that touch each other the best."""
-    tried = []
-    for name, kinds in PROPOSED.items():
-        free = f"filter({name}, c -> NOT exists(base, o -> o.start < c.end AND c.start < o.end))"
-        parts = ", ".join(scored_sql("fr", kind, model) for kind in kinds)
-        tried.append(f"flatten(transform(array({free}), fr -> concat({parts})))")
-    better = "o.start < s.end AND s.start < o.end AND (o.score > s.score OR o.score = s.score AND (o.start < s.start OR o.start = s.start AND (o.end > s.end OR o.end = s.end AND o.kind < s.kind)))"
-    best = f"flatten(transform(array(array_distinct(concat({', '.join(tried)}))), al -> filter(al, s -> NOT exists(al, o -> {better}))))"
-    return f"transform({best}, s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end))"
+def selected_sql(tried: str, model: dict) -> str:
+    """Proposals (start, end, m, b, a, k) as SPAN with their score, those over their kind's threshold only."""
+    features = ", ".join(f"'f{i}', {filled(f, m='c.m', b='c.b', a='c.a', k='c.k')}" for i, f in enumerate(FEATURES))
+    scored = f"transform(transform({tried}, c -> named_struct('start', c.start, 'end', c.end, 'kind', c.k, {features})), x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind, 'score', {model['score']}))"
+    least = "CASE s.kind " + " ".join(f"WHEN '{k}' THEN {t!r}D" for k, t in model["thresholds"].items()) + " END"
+    return f"filter({scored}, s -> s.score >= {least})"
 
 
 def joined(spans_sql: str) -> str:
@@ -231,26 +283,17 @@ def joined(spans_sql: str) -> str:
 
 def find(docs: DataFrame, model: dict | None = None) -> DataFrame:
     """Per document: doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, spans, n_added."""
-    df = spans(docs, model)
+    df = spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), model)
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) AS bigint)").alias(f"n_{kind}") for kind in KINDS]
     return df.select("doc_id", *counts, F.sha2(F.expr(joined("base")).cast("binary"), 256).alias("base_sha256"), F.expr(joined("concat(base, added)")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
 def redact(docs: DataFrame, model: dict | None = None) -> DataFrame:
-    """docs with <KIND> in place of every span: base kinds in their order, then the added spans of what is left. Null texts stay null."""
-    model = model or train(docs.sparkSession)
-    df = docs.withColumns({"pii_text": F.col("text")})
-
-    def replaced(df: DataFrame, pattern: str, choice: str) -> DataFrame:
-        df = df.withColumns({"pii_matches": F.regexp_extract_all("pii_text", F.lit(pattern), F.lit(0)), "pii_around": F.split("pii_text", pattern, -1)})
-        return df.withColumn("pii_text", F.expr(f"CASE WHEN size(pii_matches) > 0 THEN array_join(transform(pii_around, (t, i) -> CASE WHEN i < size(pii_matches) THEN concat(t, {choice}) ELSE t END), '') ELSE pii_text END")).drop("pii_matches", "pii_around")
-
-    for kind in KINDS:
-        check = filled(CHECKS[kind], m="pii_matches[i]")
-        df = replaced(df, BASE[kind], f"CASE WHEN {check} THEN '<{kind.upper()}>' ELSE pii_matches[i] END")
-    for name, kinds in PROPOSED.items():
-        one = "array(named_struct('m', pii_matches[i], 'start', 0L, 'end', 0L, 'b', right(t, 24), 'a', left(pii_around[i + 1], 8)))"
-        parts = ", ".join(scored_sql(one, kind, model) for kind in kinds)
-        best = f"element_at(array_sort(concat({parts}), (l, r) -> CASE WHEN l.score > r.score THEN -1 WHEN l.score < r.score THEN 1 ELSE 0 END), 1)"
-        df = replaced(df, GENERATORS[name], f"CASE WHEN size(concat({parts})) > 0 THEN concat('<', upper({best}.kind), '>') ELSE pii_matches[i] END")
-    return df.withColumn("text", F.col("pii_text")).select(*docs.columns)
+    """docs with <KIND> in place of every span that find() lists; base spans that overlap are one of the first's kind. Null texts stay null."""
+    # The documents as one column, so that none of theirs can clash with the names here.
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document")
+    df = spans(docs.select(whole, F.coalesce("text", F.lit("")).alias("text")), model)
+    df = df.withColumn("sorted", F.array_sort(F.concat("base", "added"))).withColumn("cover", F.expr(swept("sorted", UNITED)))
+    df = df.withColumn("pieces", in_pieces("text", "cover"))
+    clean = F.when(F.col("document.text").isNotNull(), F.expr(replaced("text", "cover", "pieces", "concat('<', upper(v.kind), '>')")))
+    return df.withColumn("clean", clean).select(*(F.col("clean").alias(c) if c == "text" else F.col("document").getField(c).alias(c) for c in docs.columns))

@@ -12,18 +12,20 @@ than the vectors HALO positions before and after it do. With the chance that a
 threshold pair shares so many, each vector has an estimate of what share of its
 links all passes miss. Vectors above MISSED go through further passes with fresh
 hyperplanes among themselves, as a link with any other is found from that side;
-where these would cost more than all their pairs, all their pairs are compared.
+so their number follows the table's size and the density around each vector.
 
-Where a vector has DENSE links or more, its window may have been too narrow. The
-components of such vectors are compared exactly: all vectors whose angle to the
-component's root is within the members' largest angle plus that of the threshold
-can link with a member, and members meet those in blocks of bounded size, again
-with one row per vector and block. This repeats if a component grows by it.
+Where more passes would cost more than comparing all that are left with each
+other, as in crowds of more links than a window holds, these are compared exactly:
+every vector is at home in the cell of the nearest of up to PIVOTS vectors, and
+visits the earlier cells that it can have a link in, which by the triangle
+inequality are those whose pivot lies within the cell's widest angle plus the
+threshold's. A cell is compared in blocks of bounded size. So several crowds don't
+meet, and only the pivots go through the driver.
 
 Equal vectors are one representative with a count, compared once. Vectors that
 are null, zero, or hold null or non-finite components link with nothing; vectors
-of different lengths never link. Repeated ids keep a row each. Extra columns are
-ignored; an empty table gives no rows.
+of different lengths never link. Numbers of double precision keep it. Repeated ids
+keep a row each. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkripple.llm.common import cut, small_batches
+from sparkripple.llm.common import cut
 from sparkripple.llm.components import stars
 
 THRESHOLD = 0.95
@@ -42,11 +44,10 @@ BITS = 32
 BLOCK = 1024
 HALO = 512
 SEED = 7
-DENSE = HALO
 #: Share of a vector's links at the threshold that the passes may miss, as estimated from the density around it.
 MISSED = 1e-4
-#: Roots of dense components that are compared at a time; so many vectors go to all executors.
-ROOTS_AT_A_TIME = 2048
+#: Vectors that mark the cells of the exact comparison; so many go to the driver and all executors.
+PIVOTS = 512
 
 
 def hyperplanes(dim: int, passes: int, done: int = 0) -> np.ndarray:
@@ -72,7 +73,7 @@ def pass_keys(passes: int, done: int = 0):
 
 def positions(reps: DataFrame, passes: int, done: int = 0) -> DataFrame:
     """(rep, pos, keys): each representative's position in the order of every pass, and its hashes."""
-    keys = small_batches(reps.select("rep", "embedding")).mapInPandas(pass_keys(passes, done), "pass int, dim int, key long, rep long")
+    keys = reps.select("rep", "embedding").mapInPandas(pass_keys(passes, done), "pass int, dim int, key long, rep long")
     order = ["pass", "dim", "key", "rep"]
     placed = keys.repartitionByRange(*order).sortWithinPartitions(*order).select("pass", "rep", "key", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
     placed = cut(placed)
@@ -170,14 +171,65 @@ def one_round(reps: DataFrame, passes: int, done: int, threshold: float) -> tupl
     return cut(dealt.groupBy("pass", "to").applyInPandas(compare(threshold), FOUND)), spots.drop("more", "keys")
 
 
+def unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def nearest_cell(pivots: pd.DataFrame):
+    """(rep, home, angle): the cell of the nearest pivot of the vector's length; cells of lengths without a pivot are numbered below zero."""
+    by_dim = {dim: (part.index.to_numpy(), unit(part["embedding"])) for dim, part in pivots.groupby(pivots["embedding"].map(len))}
+
+    def run(batches):
+        for batch in batches:
+            for dim, part in batch.groupby(batch["embedding"].map(len)):
+                home, angle = np.full(len(part), -1 - dim), np.zeros(len(part))
+                if dim in by_dim:
+                    at, centres = by_dim[dim]
+                    cosines = unit(part["embedding"]) @ centres.T
+                    home, angle = at[cosines.argmax(axis=1)], np.arccos(np.clip(cosines.max(axis=1), -1, 1))
+                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "home": home, "angle": angle})
+
+    return run
+
+
+def visits(pivots: pd.DataFrame, widest: dict[int, float], threshold: float):
+    """(rep, cell) of the earlier cells in which a vector (rep, home, embedding) can have a link."""
+    by_dim = {dim: (part.index.to_numpy(), unit(part["embedding"])) for dim, part in pivots.groupby(pivots["embedding"].map(len))}
+    reach = {dim: np.array([widest.get(c, -4.0) for c in at]) + float(np.arccos(threshold)) + 1e-6 for dim, (at, _) in by_dim.items()}
+
+    def run(batches):
+        for batch in batches:
+            for dim, part in batch.groupby(batch["embedding"].map(len)):
+                if dim in by_dim:
+                    at, centres = by_dim[dim]
+                    near = np.arccos(np.clip(unit(part["embedding"]) @ centres.T, -1, 1)) <= reach[dim]
+                    i, j = np.nonzero(near & (at[None, :] < part["home"].to_numpy()[:, None]))
+                    yield pd.DataFrame({"rep": part["rep"].to_numpy()[i], "cell": at[j]})
+
+    return run
+
+
 def all_pairs(reps: DataFrame, size: int, done: int, threshold: float) -> DataFrame:
-    """FOUND of all pairs of reps(rep, n, embedding, pos) that no pass compared, in a grid of blocks."""
-    blocks = -(-size // (2 * BLOCK))
-    own = F.pmod(F.xxhash64("rep", F.lit(SEED)), F.lit(blocks)).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")))
-    dealt = reps.withColumn("own", own).withColumn("cell", F.explode(cells))
-    dealt = dealt.select(F.lit(done).alias("pass"), "cell.i", "cell.j", (F.col("own") != F.col("cell.i")).alias("halo"), (F.col("cell.i") == F.col("cell.j")).alias("inner"), "rep", "n", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("key"), "pos", "embedding")
-    return cut(dealt.groupBy("i", "j").applyInPandas(compare(threshold), FOUND))
+    """FOUND of all pairs of the reps(rep, n, embedding, pos) that no pass compared; reps, so many, must be written already."""
+    pivots = reps.orderBy(F.xxhash64("rep", F.lit(SEED)), "rep").limit(max(1, min(PIVOTS, size // (2 * BLOCK)))).select("embedding").toPandas()
+    homes = cut(reps.select("rep", "embedding").mapInPandas(nearest_cell(pivots), "rep long, home long, angle double"))
+    sizes = homes.groupBy("home").agg(F.max("angle").alias("widest"), F.count(F.lit(1)).alias("n")).collect()
+    widest = {r["home"]: r["widest"] for r in sizes}
+    placed = cut(reps.join(homes, "rep"))
+    guests = cut(placed.select("rep", "home", "embedding").mapInPandas(visits(pivots, widest, threshold), "rep long, cell long"))
+    known = {r["cell"]: r["n"] for r in guests.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    blocks = F.element_at(F.create_map(*(F.lit(x) for r in sizes for x in (r["home"], -(-r["n"] // BLOCK)))), F.col("cell"))
+    guest_blocks = F.element_at(F.create_map(*(F.lit(x) for r in sizes for x in (r["home"], -(-known.get(r["home"], 0) // BLOCK)))), F.col("cell"))
+    spread = F.xxhash64("rep", F.lit(SEED + 1))
+    own = placed.withColumn("cell", F.col("home")).withColumn("own", F.pmod(spread, blocks))
+    columns = [F.lit(done).alias("pass"), "cell", "i", "j", "halo", "inner", "rep", "n", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("key"), "pos", "embedding"]
+    # A cell's own blocks meet each other, i up to j, and the blocks of its guests, which are numbered on from them.
+    inside = own.withColumn("to", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"i": F.least("own", "to"), "j": F.greatest("own", "to")}).withColumns({"halo": F.col("own") != F.col("i"), "inner": F.col("i") == F.col("j")})
+    hosts = own.filter(guest_blocks > 0).withColumn("j", F.explode(F.sequence(blocks, blocks + guest_blocks - 1))).withColumns({"i": F.col("own"), "halo": F.lit(False), "inner": F.lit(False)})
+    strangers = guests.join(placed.drop("home"), "rep").withColumn("i", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"j": blocks + F.pmod(spread, guest_blocks), "halo": F.lit(True), "inner": F.lit(False)})
+    dealt = inside.select(*columns).unionByName(hosts.select(*columns)).unionByName(strangers.select(*columns))
+    return cut(dealt.groupBy("cell", "i", "j").applyInPandas(compare(threshold), FOUND))
 
 
 def find_links(reps: DataFrame, passes: int, threshold: float) -> DataFrame:
@@ -212,99 +264,17 @@ def find_links(reps: DataFrame, passes: int, threshold: float) -> DataFrame:
     return out
 
 
-def unit(vectors: pd.Series) -> np.ndarray:
-    x = np.stack(vectors.to_numpy()).astype(np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
-def to_roots(roots: pd.DataFrame, reach: dict[int, float] | None):
-    """Rows of (root, rep, n, embedding, angle) for the roots within reach of a vector, or for its own root where reach is None."""
-    by_dim = {dim: (part["root"].to_numpy(), unit(part["embedding"])) for dim, part in roots.groupby(roots["embedding"].map(len))}
-
-    def run(batches):
-        for batch in batches:
-            for dim, part in batch.groupby(batch["embedding"].map(len)):
-                if dim not in by_dim:
-                    continue
-                ids, pivots = by_dim[dim]
-                angles = np.arccos(np.clip(unit(part["embedding"]) @ pivots.T, -1, 1))
-                if reach is None:
-                    i, j = np.nonzero(part["root"].to_numpy()[:, None] == ids[None, :])
-                else:
-                    i, j = np.nonzero(angles <= np.array([reach[r] for r in ids])[None, :])
-                chosen = part.iloc[i]
-                yield pd.DataFrame({"root": ids[j], "rep": chosen["rep"].to_numpy(), "n": chosen["n"].to_numpy(), "embedding": chosen["embedding"].to_numpy(), "angle": angles[i, j]})
-
-    return run
-
-
-def between(threshold: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["other", "rep"], ignore_index=True)
-        x, ids, n = unit(group["embedding"]), group["rep"].to_numpy(), group["n"].to_numpy()
-        own = int((~group["other"]).sum())
-        linked = (x[:own] @ x[own:].T >= threshold) & (ids[:own, None] != ids[None, own:])
-        square = np.zeros((len(ids), len(ids)), dtype=bool)
-        square[:own, own:], square[own:, :own] = linked, linked.T
-        roots = local_roots(square, ids)
-        links = np.append(linked @ n[own:], np.zeros(len(ids) - own)).astype(np.int64)
-        return pd.DataFrame({"rep": ids, "links": links, "root": roots, "other": group["other"]})
-
-    return run
-
-
-def dense_links(reps: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """(rep, links, root, other) of the members(root, rep, n, embedding) of dense components against all reps."""
-    schema, parts = "root long, rep long, n long, embedding array<float>, angle double", []
-    n_roots = members.select("root").distinct().count()
-    chunks = -(-n_roots // ROOTS_AT_A_TIME)
-    for chunk in range(chunks):
-        own = members.filter(F.pmod(F.xxhash64("root"), F.lit(chunks)) == chunk)
-        roots = own.filter("rep = root").select("root", "embedding").toPandas()
-        widest = small_batches(own).mapInPandas(to_roots(roots, None), schema).groupBy("root").agg(F.max("angle").alias("a")).collect()
-        reach = {r["root"]: r["a"] + float(np.arccos(threshold)) + 1e-6 for r in widest}
-        near = cut(reps.select("rep", "n", "embedding").mapInPandas(to_roots(roots, reach), schema).drop("angle"))
-        sizes = own.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("own_blocks")).join(near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "root")
-        spread = F.xxhash64("rep", F.lit(SEED))
-        left = own.join(F.broadcast(sizes), "root").select("root", "rep", "n", "embedding", F.lit(False).alias("other"), F.pmod(spread, "own_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-        right = near.join(F.broadcast(sizes), "root").select("root", "rep", "n", "embedding", F.lit(True).alias("other"), F.explode(F.sequence(F.lit(0), F.col("own_blocks") - 1)).alias("i"), F.pmod(spread, "blocks").alias("j"))
-        parts.append(cut(left.select(right.columns).unionByName(right).groupBy("root", "i", "j").applyInPandas(between(threshold), "rep long, links long, root long, other boolean")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def exact_where_dense(reps: DataFrame, counted: DataFrame, roots: DataFrame, edges: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """counted(rep, links) and roots(node, root), made exact for the components of vectors with many links."""
-    crowded = cut(counted.filter(F.col("links") >= DENSE).select("rep"))
-    if crowded.isEmpty():
-        return counted, roots
-    size = 0
-    while True:
-        dense = roots.join(crowded, F.col("node") == F.col("rep")).select("root").distinct()
-        members = cut(roots.join(dense, "root", "left_semi").join(reps, F.col("node") == F.col("rep")).select("root", "rep", "n", "embedding"))
-        if members.count() == size:
-            break
-        size = members.count()
-        exact = dense_links(reps, members, threshold)
-        roots = cut(stars(edges.unionByName(exact.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))))
-    sums = exact.filter("NOT other").groupBy("rep").agg(F.sum("links").alias("exact"))
-    merged = counted.join(sums, "rep", "full_outer").select("rep", F.coalesce("exact", "links").alias("links"))
-    return merged, roots
-
-
 def link(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     good = F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull()
     reps = cut(rows.filter(good).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     found = find_links(reps, passes, threshold).filter("links > 0 OR root <> rep")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
-    counted, roots = exact_where_dense(reps, cut(counted), cut(stars(edges)), edges, threshold)
-    known = reps.join(counted, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
+    known = reps.join(counted, "rep", "left").join(stars(edges), F.col("rep") == F.col("node"), "left")
     known = known.select(F.col("embedding").alias("of"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     out = rows.withColumn("good", good).withColumn("own", F.when(F.col("good"), F.col("embedding"))).join(known, F.col("own") == F.col("of"), "left")
     component = F.coalesce("component_id", "vec_id")

@@ -358,6 +358,18 @@ def test_images(spark):
     assert media.read_tiles([bytes(got[1]["tile"])]).shape == (4, 6) and got[2]["tile"] is None and got[3]["hash"] is None
 
 
+def test_integral_image_in_strips(monkeypatch):
+    """Whatever the strips, an area's mean is that of its pixels, cut ones in part."""
+    rng = np.random.default_rng(11)
+    for height, width in ((1, 64), (9, 5), (40, 64)):
+        image = rng.integers(0, 256, (height, width), dtype=np.uint8)
+        fine = np.repeat(np.repeat(image, 8, axis=0), 9, axis=1).astype(float)
+        want = fine.reshape(8, height, 9, width).mean(axis=(1, 3))
+        for cells in (1, 300, 1 << 18):
+            monkeypatch.setattr(media, "STRIP_CELLS", cells)
+            assert np.allclose(media.area_resize(image, 8, 9), want)
+
+
 def base_spans(text):
     found = []
     for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
@@ -577,6 +589,252 @@ def test_resized_images_keep_all_rows_and_wide_samples(spark):
     assert got.dtype == np.uint8 and got[:, 0].tolist() == [i % 251 for i in range(tall)]
 
 
+def test_embeddings_keep_double_precision(spark):
+    """Two vectors whose cosine is below the threshold by less than single precision tells."""
+    angle = np.arccos(0.95)
+    data = [(1, [1.0, 0.0]), (2, [float(np.cos(angle + 1e-10)), float(np.sin(angle + 1e-10))]), (3, [-1.0, 0.0]), (4, [-float(np.cos(angle - 1e-10)), -float(np.sin(angle - 1e-10))])]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.link(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 1}
+
+
+@pytest.mark.parametrize("spread", [0.5, 1.0, 3.0])
+def test_embedding_recall_at_several_densities(spark, monkeypatch, spread):
+    """Planted pairs at cosines from the threshold on, in a crowd of mutual cosine 0.8, 0.5 and 0.1."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    monkeypatch.setattr(embedding_dedup, "HALO", 32)
+    rng = np.random.default_rng(12)
+    centre = rng.standard_normal(64)
+    base = centre + spread * rng.standard_normal((1500, 64))
+    turned = rng.standard_normal(base.shape)
+    turned -= (turned * base).sum(axis=1, keepdims=True) / (base**2).sum(axis=1, keepdims=True) * base
+    cosine = rng.uniform(0.9501, 0.97, (len(base), 1))
+    turned *= np.linalg.norm(base, axis=1, keepdims=True) / np.linalg.norm(turned, axis=1, keepdims=True)
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * turned])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["component_id"] for r in embedding_dedup.link(df).collect()}
+    assert np.mean([got[i] == got[i + len(base)] for i in range(len(base))]) >= 0.999
+
+
+def test_cells_compare_every_pair_once(spark, monkeypatch):
+    """Three crowds and scattered vectors, all left to the exact comparison, in many cells and blocks."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
+    monkeypatch.setattr(embedding_dedup, "HALO", 16)
+    rng = np.random.default_rng(13)
+    centres = 3 * rng.standard_normal((3, 12))
+    x = np.concatenate([rng.standard_normal((60, 12)), *(c + rng.standard_normal((200, 12)) for c in centres)]).astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    linked = u @ u.T >= 0.95
+    np.fill_diagonal(linked, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "rep long, embedding array<float>").withColumns({"n": F.lit(1).cast("long"), "pos": F.array().cast("array<long>")})
+    reps = embedding_dedup.cut(df)
+    got = Counter()
+    for r in embedding_dedup.all_pairs(reps, reps.count(), 0, 0.95).collect():
+        got[r["rep"]] += r["links"]
+    assert linked.sum() > 500 and all(got[i] == linked[i].sum() for i in range(len(x)))
+
+
+def test_shares_of_huge_languages_are_exact():
+    """A share far below one in a million still draws texts: the bound is a 63-bit number."""
+    from sparkripple.llm.common import TOP, share_bound
+
+    for rows in (10**9, 10**12, 10**15):
+        bound = share_bound(40 / rows)
+        assert 0 < bound < TOP and abs(bound / TOP * rows - 40) < 1e-3
+    assert share_bound(1.0) == share_bound(3.0) == TOP
+
+
+def test_share_far_below_a_millionth_is_drawn(spark):
+    from sparkripple.llm.common import hash63, share_bound
+
+    n, share = 200_000_000, 4e-7
+    drawn = spark.range(0, n, 1, 8).filter(hash63("id", F.lit("language")) <= share_bound(share)).count()
+    assert 40 <= drawn <= 130
+
+
+def test_language_centroids_against_brute_force(spark):
+    """The predicted language is that of the closest centroid, of vectors made here from counts of plain n-grams."""
+    data = [(i, t, lang, "s", 0) for i, (t, lang) in enumerate([("aba abba bab", "x"), ("abab baab", "x"), ("ccd dcd", "y"), ("dcc cdd ccc", "y"), ("eef fe", "z"), ("fff eee", "z")] * 3)]
+    docs = spark.createDataFrame(data, DOCS)
+    model = language_id.train(docs, clusters=1)
+    taught = [(t, lang) for i, t, lang, *_ in data if zlib.crc32(str(i).encode()) % 4 != 2]
+
+    def grams(text):
+        s = " " + " ".join(text.split()) + " "
+        return Counter(g for n in (1, 2, 3) for i in range(len(s) - n + 1) if not (g := s[i : i + n]).isspace())
+
+    n = len(taught)
+    held = Counter(g for t, _ in taught for g in grams(t))
+    idf = {g: np.log((1 + n) / (1 + sum(g in grams(t) for t, _ in taught))) + 1 for g in held}
+
+    def vector(text):
+        v = {g: np.log1p(c) * idf.get(g, np.log(1 + n) + 1) for g, c in grams(text).items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {g: x / norm for g, x in v.items()}
+
+    def cosine(a, b):
+        return sum(x * b.get(g, 0.0) for g, x in a.items())
+
+    centre = {}
+    for lang in "xyz":
+        total = Counter()
+        for t, own in taught:
+            if own == lang:
+                total.update(vector(t))
+        norm = np.sqrt(sum(x * x for x in total.values()))
+        centre[lang] = {g: x / norm for g, x in total.items()}
+    for r in language_id.identify(docs, model).collect():
+        near = {lang: cosine(vector(data[r["doc_id"]][1]), c) for lang, c in centre.items()}
+        assert r["lang_pred"] == max(near, key=near.get) and abs(r["score"] - near[r["lang_pred"]]) < 0.02
+
+
+def test_noisy_or_fit_against_brute_force():
+    """The gradient is that of the loss by differences, the loss that of the formula, and the fit ends where the gradient is small."""
+    import pandas as pd
+
+    rng = np.random.default_rng(14)
+    docs = [[list(rng.choice(5, rng.integers(1, 3), replace=False)) for _ in range(rng.integers(0, 4))] for _ in range(40)]
+    y = [int(any(0 in s for s in d)) for d in docs]
+    n = [len(d) + int(rng.integers(1, 3)) for d in docs]
+    rows = pd.DataFrame({"toxic": y, "n": n, "lengths": [[len(s) for s in d] for d in docs], "ids": [[int(i) for s in d for i in s] for d in docs]})
+    bags = toxicity.Bags(rows)
+
+    def loss(v):
+        total = toxicity.PENALTY * (v[:-1] @ v[:-1]) / 2
+        for d, label, size in zip(docs, y, n):
+            p = [1 / (1 + np.exp(-(v[-1] + sum(v[i] for i in s)))) for s in d] + [1 / (1 + np.exp(-v[-1]))] * (size - len(d))
+            toxic = 1 - np.prod([1 - x for x in p])
+            total -= np.log(toxic) if label else np.log(1 - toxic)
+        return total / len(docs)
+
+    v = rng.normal(0, 0.5, 6)
+    value, grad = toxicity.loss_and_gradient(v[:-1], v[-1], bags)
+    assert abs(value - loss(v)) < 1e-9
+    for i in range(6):
+        step = np.eye(6)[i] * 1e-6
+        assert abs((loss(v + step) - loss(v - step)) / 2e-6 - grad[i]) < 1e-6
+    w, b = toxicity.fit(rows, 5, steps=3000)
+    assert np.abs(toxicity.loss_and_gradient(w, b, bags)[1]).max() < 1e-3 and w[0] > 2 > max(w[1:])
+
+
+CLASHING = ["labelled_id", "toxic", "toxic_score", "toxic_predicted", "lost_id", "twice_id", "lost_mark", "mark", "fp", "component_id", "document", "own_size", "own_content", "times", "n", "content", "copy", "pii_text", "base", "added", "cover", "pieces", "masked", "again", "clean", "sorted", "chosen", "tried", "matches", "around", "size", "target", "held", "decided", "number", "gram", "score", "rep", "key", "pass", "label", "row", "hash"]
+
+
+def test_columns_named_like_internal_ones(spark):
+    """Tables whose extra columns bear the names used within: same results, columns kept."""
+    plain = spark.createDataFrame(ODD, DOCS)
+    wide = plain.withColumns({c: F.lit(f"own {c}") for c in CLASHING if c not in plain.columns})
+    labels = spark.createDataFrame([(4, 1, 1), (2, 1, 0), (9, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int").withColumns({c: F.lit("x") for c in CLASHING if c != "toxic"})
+    model = pii.train(spark)
+    operators = {
+        "packing": lambda d: packing.pack(d).select("doc_id", "start", "length"),
+        "mixing": lambda d: mixing.mix(d),
+        "repeated": mixing.repeated,
+        "judge": lambda d: toxicity.judge(d, labels),
+        "keep_clean": lambda d: toxicity.keep_clean(d, labels),
+        "tokens": token_counts.count_tokens,
+        "media": media.text_media,
+        "find": lambda d: pii.find(d, model),
+        "redact": lambda d: pii.redact(d, model),
+        "groups": simhash_dedup.groups,
+        "keep_one": simhash_dedup.keep_one,
+        "language": language_id.identify,
+    }
+    for name, run in operators.items():
+        a, b = run(plain), run(wide)
+        if name in ("repeated", "keep_clean", "redact", "keep_one"):
+            assert b.columns == wide.columns
+            assert all(r["base"] == "own base" and r["pii_text"] == "own pii_text" for r in b.collect())
+        if name == "repeated":
+            # Draws come from all columns, so only the ids taken are alike.
+            continue
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect())), name
+
+
+def test_repeated_is_the_same_over_other_partitions(spark):
+    """Equal ids with other texts, equal rows, null ids: the same rows come whatever the input's partitions."""
+    data = [(i % 40 if i % 5 else None, "word " * (i % 7 + 1) + "abc"[i % 3], None, "ab"[i % 2], 0) for i in range(400)] + [(3, "same text here", None, "c", 0)] * 50
+    docs = spark.createDataFrame(data, DOCS)
+    runs = [sorted(map(str, mixing.repeated(docs.repartition(n)).collect())) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 100
+
+
+def test_targets_of_many_sources(spark):
+    """A source per few documents: ranks by code point over ranges, the level by rounds."""
+    rng = np.random.default_rng(15)
+    data = [(i, "w " * int(rng.pareto(0.7) + 1), None, f"s{i % 400:03d}" if i % 401 else None, 0) for i in range(3000)]
+    docs = spark.createDataFrame(data, DOCS)
+    check_mixing(mixing.mix(docs).collect(), [(r[0], r[1], r[3]) for r in data])
+
+
+def test_terminals_are_bounded_in_bytes(monkeypatch):
+    import public_tokenizers as public
+
+    monkeypatch.setattr(token_counts, "MOST_TERMINALS", 100)
+    trie = token_counts.Trie(token_counts.load_scores(public.path("byte_bpe_50k.tiktoken")))
+    for i in range(500):
+        trie.terminal(chr(0x4E00 + i) * 30)  # 90 bytes: over LONGEST, though not in characters
+    assert not trie.terminals
+    for i in range(500):
+        trie.terminal(f"{i}")
+    assert len(trie.terminals) <= 100
+
+
+def test_long_rows_take_linear_time(spark):
+    """A URL of a million characters, a text of a hundred thousand candidates."""
+    url = "http://a.net/" + "abcdefgh/" * 110_000
+    pages = spark.createDataFrame([(1, url), (2, "http://b.org/x"), (3, "http://c.com/de/y"), (4, "http://d.net/z")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_filters.judge(pages).collect()}.keys() == {1, 2, 3, 4}
+    n = 50_000
+    text = "4111111111111111 x 415-555-1234 y " * n
+    r = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r["n_card"], r["n_added"]) == (n, n)
+
+
+def test_url_verdicts_against_brute_force(spark):
+    """Scores, the calibrated threshold and the verdicts of the URLs that no rule decides."""
+    rng = np.random.default_rng(16)
+    words = {"org": ["alpha", "beta", "gamma"], "com": ["casino", "pills", "win"], "net": ["alpha", "pills", "beta", "win", "casino"]}
+    urls = [f"http://{rng.choice(words[tld])}.{tld}/{'de/' if tld == 'com' else ''}{rng.choice(words[tld])}{i}" for i in range(150) for tld in words]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filters.judge(pages).collect()}
+
+    def grams(u):
+        s = "\u0002" * 3 + u + "\u0003"
+        return [s[i : i + 4] for i in range(len(s) - 3)]
+
+    distinct = sorted(set(urls))
+    side = {u: "allow" if ".org/" in u else "block" if ".com/de/" in u else None for u in distinct}
+    held = {u for u in distinct if zlib.crc32(u.encode()) % 5 == 0}
+    taught = {v: [u for u in distinct if side[u] == v and u not in held] for v in ("allow", "block")}
+    n_chars = len({g[-1] for v in taught.values() for u in v for g in grams(u)}) + 1
+    tables = {v: [Counter(g[3 - k :] for u in us for g in grams(u)) for k in range(4)] for v, us in taught.items()}
+    contexts = {v: [defaultdict(list) for _ in range(4)] for v in tables}
+    for v, own in tables.items():
+        for k in range(4):
+            for g, c in own[k].items():
+                contexts[v][k][g[:k]].append(c)
+
+    def prob(gram, v):
+        p = 1 / n_chars
+        for k in range(4):
+            own = contexts[v][k].get(gram[3 - k : 3])
+            if own:
+                p = (tables[v][k][gram[3 - k :]] + len(own) * p) / (sum(own) + len(own))
+        return p
+
+    score = {u: np.mean([np.log(prob(g, "allow") / prob(g, "block")) for g in grams(u)]) for u in distinct if side[u] is None or u in held}
+    own = {v: [score[u] for u in held if side[u] == v] for v in ("allow", "block")}
+    mean, sd = {v: np.mean(x) for v, x in own.items()}, {v: np.std(x, ddof=1) for v, x in own.items()}
+    threshold = (mean["allow"] * sd["block"] + mean["block"] * sd["allow"]) / (sd["allow"] + sd["block"])
+    asked = 0
+    for i, u in enumerate(urls):
+        if side[u] is None:
+            asked += 1
+            assert abs(got[i]["score"] - score[u]) < 1e-9
+            assert got[i]["verdict"] == ("block" if score[u] < threshold else "allow") or abs(score[u] - threshold) < 1e-9
+    assert asked == 150
+
+
 def test_language_learns_every_language(spark):
     """More languages than a tenth of the training texts, each of its own letters."""
     rows = [(i * 20 + j, chr(0x4E00 + i) * 3 + " " + chr(0x4E00 + i) * (2 + j), f"l{i}") for i in range(300) for j in range(20)]

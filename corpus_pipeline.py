@@ -8,13 +8,13 @@ goes through.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkripple.llm import mixing, packing, pii, simhash_dedup, toxicity
-from sparkripple.llm.common import table
+from sparkripple.llm.common import shared_folder, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,6 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts is replaced by its kind; n_chars follows."""
-    from pyspark.sql import functions as F
-
     out = pii.redact(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
@@ -61,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; results between stages lie in the folder that spark.checkpoint.dir names."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    shared = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"

@@ -104,6 +104,14 @@ def fqn_under(path: Column, dirs: list[str]) -> Column:
     return F.replace(without_extension(rest), F.lit("/"), F.lit("."))
 
 
+def fqn_of_test(path: Column, dirs: list[str], pkg: Column, primary_type: Column) -> Column:
+    """Class name of a test file below the deepest directory that ends with the first of dirs found above it; else package and primary type."""
+    below = [F.nullif(F.regexp_extract(path, f"^.*{re.escape(d.strip('/'))}/(.*)$", 1), F.lit("")) for d in dirs]
+    own = [F.replace(without_extension(b), F.lit("/"), F.lit(".")) for b in below]
+    declared = F.when(pkg == "", primary_type).otherwise(F.concat(pkg, F.lit("."), primary_type))
+    return F.coalesce(*own, declared)
+
+
 def simple_name(fqn: Column) -> Column:
     return F.substring_index(fqn, ".", -1)
 

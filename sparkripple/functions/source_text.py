@@ -20,11 +20,15 @@ NEXT = r"\n\s*(?:fun|val|var|class|object|interface|private|internal|public|over
 NEW_OR_TYPED = r"\bnew\s+([A-Za-z_$][\w$]*)"
 ANNOTATION = r"@(?!interface\b)[\w.]+"
 KOTLIN_CALL = r"(?<![:.\w]\s)(?<![:.\w])\b[A-Z][\w$]*(?=\s*\()"
+JVM_NAME = r"@file\s*:\s*(?:\[[^\]]*\b)?(?:kotlin\.jvm\.)?JvmName\b"
 DOTTED = r"(?<![\w.$])[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*\.[A-Z][\w$]*"
 
 
 def metadata(files: DataFrame, kotlin_enabled: bool = True) -> DataFrame:
-    """(path, content) to file metadata: pkg, primary_type, imports, type_ref_simple, type_ref_dotted, type_decls, parse_ok.
+    """(path, content) to file metadata: pkg, primary_type, imports, type_ref_simple, type_ref_dotted, type_decls, words, jvm_name, parse_ok.
+
+    words are the capitalised words of the whole text, comments included; jvm_name
+    tells whether a Kotlin file names its facade itself.
 
     Null content counts as a failed parse; files of other languages, or Kotlin
     where it is off, are left out and are no failures.
@@ -40,6 +44,8 @@ def metadata(files: DataFrame, kotlin_enabled: bool = True) -> DataFrame:
     rows = rows.withColumns(
         {
             "parse_ok": F.col("content").isNotNull() & closed,
+            "words": F.array_sort(paths.capitalised_words(F.coalesce("content", F.lit("")))),
+            "jvm_name": (F.col("lang") == "kt") & F.coalesce("content", F.lit("")).rlike(JVM_NAME),
             "pkg": F.regexp_extract("code", r"(?m)^\s*package\s+([\w.]+)", 1),
             "imports": F.transform(F.array_distinct(F.regexp_extract_all("code", F.lit(IMPORT), F.lit(0))), import_of),
             "body": F.regexp_replace(F.regexp_replace("code", r"(?m)^\s*(?:import|package)\b[^\n;]*;?", " "), ANNOTATION, " "),
@@ -75,3 +81,19 @@ def path_package_mismatch(meta: DataFrame, dirs: list[str]) -> DataFrame:
     """Kotlin files whose declared package differs from the one their path says."""
     of_path = paths.package_of(paths.fqn_under(F.col("path"), dirs))
     return meta.filter((F.col("lang") == "kt") & (F.col("pkg") != of_path)).select("path", "pkg", of_path.alias("path_pkg"))
+
+
+def kotlin_counters(meta: DataFrame, dirs: list[str], most: int = 10) -> DataFrame:
+    """One row: n_failed, n_mapped, n_mismatch of the Kotlin files, and the first names mapped and mismatches in order of their paths."""
+    kotlin = meta.filter("lang = 'kt'")
+    of_path = paths.package_of(paths.fqn_under(F.col("path"), dirs))
+    mapped = F.when(F.col("parse_ok"), F.when(F.col("pkg") == "", F.col("primary_type")).otherwise(F.concat_ws(".", "pkg", "primary_type")))
+    mismatch = F.when(F.col("parse_ok") & (F.col("pkg") != of_path), F.struct("path", "pkg", of_path.alias("path_pkg")))
+    rows = kotlin.select("path", "parse_ok", mapped.alias("mapped"), mismatch.alias("mismatch"))
+
+    def first(column: str) -> DataFrame:
+        some = rows.filter(F.col(column).isNotNull()).orderBy("path").limit(most)
+        return some.agg(F.transform(F.array_sort(F.collect_list(F.struct("path", F.col(column).alias("value")))), lambda x: x["value"]).alias(column))
+
+    counts = rows.agg(F.count_if(~F.col("parse_ok")).alias("n_failed"), F.count("mapped").alias("n_mapped"), F.count("mismatch").alias("n_mismatch"))
+    return counts.crossJoin(first("mapped")).crossJoin(first("mismatch"))

@@ -20,10 +20,10 @@ from sparkripple.functions import paths
 from sparkripple.operators.iterate import kept
 
 
-def naming(changed: DataFrame, tests: DataFrame, suffixes: list[str]) -> DataFrame:
-    """(diff_id, changed_fqn, fqn, cross_package): tests named like a changed class and a suffix, in any package."""
-    wanted = changed.select("diff_id", F.col("fqn").alias("changed_fqn"), F.col("pkg").alias("changed_pkg"), F.explode(F.transform(F.lit(list(suffixes)), lambda s: F.concat(F.col("simple"), s))).alias("simple"))
-    return wanted.join(tests, "simple").select("diff_id", "changed_fqn", "fqn", (F.col("pkg") != F.col("changed_pkg")).alias("cross_package")).distinct()
+def naming(changed: DataFrame, tests: DataFrame, suffixes: list[str], also: tuple[str, ...] = ()) -> DataFrame:
+    """(diff_id, changed_fqn, fqn, cross_package) and the columns of changed named in also: tests named like a changed class and a suffix, in any package."""
+    wanted = changed.select("diff_id", *also, F.col("fqn").alias("changed_fqn"), F.col("pkg").alias("changed_pkg"), F.explode(F.transform(F.lit(list(suffixes)), lambda s: F.concat(F.col("simple"), s))).alias("simple"))
+    return wanted.join(tests.select("fqn", "simple", "pkg"), "simple").select("diff_id", *also, "changed_fqn", "fqn", (F.col("pkg") != F.col("changed_pkg")).alias("cross_package")).distinct()
 
 
 def direct_imports(imports: DataFrame) -> DataFrame:
@@ -70,9 +70,9 @@ def usage_keys(imports: DataFrame, simple_refs: DataFrame, dotted_refs: DataFram
     return reduce(DataFrame.unionByName, (df.withColumn("tier", F.lit(t)) for t, df in tiers.items()))
 
 
-def usage(changed: DataFrame, keys: DataFrame, changed_tests: DataFrame | None = None) -> DataFrame:
-    """(diff_id, changed_fqn, fqn, tier): tests that use a changed class; tests that changed themselves are left out."""
-    found = keys.join(changed.select("diff_id", F.col("fqn").alias("key")), "key").select("diff_id", F.col("key").alias("changed_fqn"), "fqn", "tier").distinct()
+def usage(changed: DataFrame, keys: DataFrame, changed_tests: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+    """(diff_id, changed_fqn, fqn, tier) and the columns of changed named in also: tests that use a changed class; tests that changed themselves are left out."""
+    found = keys.join(changed.select("diff_id", *also, F.col("fqn").alias("key")), "key").select("diff_id", *also, F.col("key").alias("changed_fqn"), "fqn", "tier").distinct()
     return found.join(changed_tests.select("diff_id", "fqn"), ["diff_id", "fqn"], "left_anti") if changed_tests is not None else found
 
 
@@ -136,17 +136,17 @@ def used_by(postings: DataFrame, resolved_refs: DataFrame) -> DataFrame:
 
 
 def transitive(changed: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(diff_id, fqn, hop): classes that reach a changed one over at most depth edges, each at its first hop."""
+    """(diff_id, fqn, hop): classes that reach a changed one over at most depth edges, each at its first hop; edges should be a table, as every hop reads them."""
     frontier = changed.select("diff_id", "fqn").distinct()
     seen, found = frontier, None
     for hop in range(1, depth + 1):
         step = edges.join(frontier, edges["dependency"] == frontier["fqn"]).select("diff_id", F.col("consumer").alias("fqn")).distinct()
-        frontier = kept(step.join(seen, ["diff_id", "fqn"], "left_anti"))
-        if frontier.isEmpty():
+        new = kept(step.join(seen, ["diff_id", "fqn"], "left_anti").withColumn("hop", F.lit(hop)))
+        if hop < depth and new.isEmpty():
             break
+        frontier = new.select("diff_id", "fqn")
         seen = seen.union(frontier)
-        level = frontier.withColumn("hop", F.lit(hop))
-        found = level if found is None else found.union(level)
+        found = new if found is None else found.union(new)
     return found if found is not None else changed.select("diff_id", "fqn").limit(0).withColumn("hop", F.lit(0))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass, field, fields
 
@@ -102,8 +103,11 @@ def choice(value: str, allowed: tuple[str, ...], what: str) -> str:
 
 
 def boolean(value: str) -> bool:
-    """true, 1, on, yes or false, 0, off, no; anything else counts as true."""
-    return value.strip().lower() not in ("false", "0", "off", "no")
+    """true, 1, on, yes or false, 0, off, no; anything else counts as true, with a warning."""
+    name = value.strip().lower()
+    if name not in ("true", "1", "on", "yes", "false", "0", "off", "no"):
+        warnings.warn(f"{value!r} is no boolean; it counts as true", stacklevel=2)
+    return name not in ("false", "0", "off", "no")
 
 
 def effective_mode(mode: str, env: Mapping[str, str]) -> str:

@@ -2,20 +2,23 @@
 
 The tables hold no source code. Corpus views derive made-up stand-ins from them:
 classes from parts, tests from customers, references from their orders, changed
-paths from documents. Every operator runs over these whole views.
+paths from documents, parts and customers. Every class is changed in one of four
+diffs, and every operator runs over these whole views.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkripple.functions import paths
+from sparkripple.functions import paths, source_text
 from sparkripple.operators import dispatch, selection
 from sparkripple.operators.iterate import kept
 from sparkripple.plans import engine, report
+from sparkripple.plans import index as project_index
 from sparkripple.plans.config import DEFAULTS, IGNORED, SITUATIONS, Config
 from sparkripple.sources import snapshot
 
@@ -26,8 +29,15 @@ DEPTH = 4
 # --- views, as Spark expressions -------------------------------------------------------------------------------
 
 
+SCHEMAS: dict[str, object] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; its schema is read from the files once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in SCHEMAS:
+        SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(SCHEMAS[path]).parquet(path)
 
 
 def classes(spark: SparkSession, d: str) -> DataFrame:
@@ -37,16 +47,15 @@ def classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def changed(spark: SparkSession, d: str) -> DataFrame:
-    return classes(spark, d).filter("k % 100 = 0").select(F.expr("concat('d', cast((k div 100) % 4 AS string))").alias("diff_id"), "fqn", "simple", "pkg")
+    return classes(spark, d).select(F.expr("concat('d', cast(k % 4 AS string))").alias("diff_id"), "fqn", "simple", "pkg")
 
 
-def n_parts(spark: SparkSession, d: str) -> int:
-    return read(spark, d, "part").count()
+def n_parts(spark: SparkSession, d: str) -> Column:
+    return read(spark, d, "part").agg(F.count(F.lit(1))).scalar()
 
 
 def tests(spark: SparkSession, d: str) -> DataFrame:
-    n = n_parts(spark, d)
-    c = read(spark, d, "customer").withColumn("k", F.col("c_custkey") % n)
+    c = read(spark, d, "customer").withColumn("k", F.col("c_custkey") % n_parts(spark, d))
     own = c.join(classes(spark, d).select("k", F.col("pkg").alias("class_pkg")), "k")
     suffix = F.element_at(F.lit([*SUFFIXES, "Spec"]), (F.col("c_custkey") % 5 + 1).cast("int"))
     pkg = F.when(F.col("c_custkey") % 3 == 0, F.col("class_pkg")).otherwise(F.concat(F.lit("com."), F.lower("c_mktsegment")))
@@ -148,7 +157,7 @@ def routes(spark: SparkSession, d: str) -> DataFrame:
 
 def index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     refs = kept(references(spark, d))
-    return {"tests": kept(tests(spark, d)), "sources": sources(spark, d), "imports": imports(spark, d, refs), "simple_refs": simple_refs(spark, d, refs), "dotted_refs": dotted_refs(spark, d, refs), "decls": decls(spark, d), "edges": edges(spark, d)}
+    return {"tests": kept(tests(spark, d)), "sources": sources(spark, d), "imports": imports(spark, d, refs), "simple_refs": simple_refs(spark, d, refs), "dotted_refs": dotted_refs(spark, d, refs), "decls": decls(spark, d), "edges": kept(edges(spark, d))}
 
 
 def changed_with_kind(spark: SparkSession, d: str) -> DataFrame:
@@ -159,6 +168,29 @@ def found(spark: SparkSession, d: str) -> DataFrame:
     return engine.discover(changed_with_kind(spark, d), index(spark, d), CONFIG)
 
 
+def all_changed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Changed paths of documents, of all classes and of all tests; those of tests outside the test directories are diffs of their own."""
+    sources = changed(spark, d).select("diff_id", F.concat(F.lit("src/main/java/"), F.replace("fqn", F.lit("."), F.lit("/")), F.lit(".java")).alias("path"))
+    own = tests(spark, d).select(F.concat(F.when(F.col("c_custkey") % 2 == 0, "t").otherwise("u"), (F.col("c_custkey") % 3).cast("string")).alias("diff_id"), "path")
+    return changed_paths(spark, d).unionByName(sources).unionByName(own)
+
+
+def analysed(spark: SparkSession, d: str) -> tuple[engine.Trace, dict[str, DataFrame]]:
+    own = index(spark, d)
+    return engine.trace(all_changed_files(spark, d), own, CONFIG), own
+
+
+def source_files(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content): Java text of every class, each tenth without its last bracket, and of the tests, of which some lie out of scope."""
+    c = classes(spark, d)
+    text = F.concat(F.lit("package "), "pkg", F.lit(";\nimport java.util.List;\npublic class "), "simple", F.expr("concat(' extends Part', cast(k div 7 AS string))"), F.lit(" { List<String> x; /* Hidden */ "), F.when(F.col("k") % 10 == 0, "\n").otherwise("}\n"))
+    sources = c.select(F.concat(F.lit("src/main/java/"), F.replace("fqn", F.lit("."), F.lit("/")), F.lit(".java")).alias("path"), text.alias("content"))
+    own = tests(spark, d).filter(F.col("path").contains("/src/test/java/"))
+    where = F.when(F.col("c_custkey") % 11 == 0, F.concat(F.lit("api-test/"), "path")).otherwise(F.col("path"))
+    body = F.concat(F.lit("package "), "pkg", F.lit(";\nimport com.used.Part"), F.col("c_custkey").cast("string"), F.lit(";\nclass "), "simple", F.lit(" { Other o; }\n"))
+    return sources.unionByName(own.select(where.alias("path"), body.alias("content")))
+
+
 def fingerprints(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Stored metadata and current files of made-up times and sizes."""
     o = read(spark, d, "orders").select(F.concat(F.lit("src/"), F.col("o_orderkey").cast("string"), F.lit(".java")).alias("path"), F.col("o_custkey").alias("mtime"), F.length("o_orderpriority").cast("long").alias("size"), "o_orderkey")
@@ -176,7 +208,7 @@ def directories(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 V = {
     "cv_class": "SELECT p_partkey k, 'com.' || lower(replace(p_brand, '#', '')) pkg, 'Part' || p_partkey simple, 'com.' || lower(replace(p_brand, '#', '')) || '.Part' || p_partkey fqn FROM part",
-    "cv_changed": "SELECT 'd' || ((k // 100) % 4) diff_id, fqn, simple, pkg FROM cv_class WHERE k % 100 = 0",
+    "cv_changed": "SELECT 'd' || (k % 4) diff_id, fqn, simple, pkg FROM cv_class",
     "cv_test0": "SELECT c_custkey, 'Part' || k || ['Test', 'IT', 'ITTest', 'IntegrationTest', 'Spec'][c_custkey % 5 + 1] simple, CASE WHEN c_custkey % 3 = 0 THEN c.pkg ELSE 'com.' || lower(c_mktsegment) END pkg FROM customer JOIN cv_class c ON c.k = c_custkey % (SELECT count(*) FROM part)",
     "cv_test": "SELECT *, pkg || '.' || simple fqn, CASE WHEN c_custkey % 2 = 0 THEN 'm' || (c_custkey % 25) || '/src/test/java/' ELSE 'm' || (c_custkey % 25) || '/sub/src/it/java/' END || replace(pkg || '.' || simple, '.', '/') || '.java' path FROM cv_test0",
     "cv_ref": "SELECT DISTINCT t.fqn test, t.pkg, l_linenumber % 6 kind, c.fqn target, c.pkg target_pkg, c.simple target_simple, l_quantity % 2 = 0 even FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN cv_test t ON t.c_custkey = o_custkey JOIN cv_class c ON c.k = l_partkey",
@@ -198,22 +230,42 @@ V = {
     "cv_situation": "SELECT *, CASE WHEN n_files = 0 THEN 'EMPTY_DIFF' WHEN n_ignored = n_files THEN 'ALL_FILES_IGNORED' WHEN n_ignored + n_oos = n_files THEN 'ALL_FILES_OUT_OF_SCOPE' WHEN n_unmapped > 0 THEN 'UNMAPPED_FILE' WHEN n_failed > 0 THEN 'DISCOVERY_INCOMPLETE' WHEN n_selected = 0 THEN 'DISCOVERY_EMPTY' ELSE 'DISCOVERY_SUCCESS' END situation FROM cv_made",
     "cv_action": "SELECT *, CASE WHEN situation IN ('EMPTY_DIFF', 'ALL_FILES_IGNORED', 'ALL_FILES_OUT_OF_SCOPE') THEN 'SKIPPED' WHEN situation = 'DISCOVERY_SUCCESS' THEN 'SELECTED' ELSE 'FULL_SUITE' END AS action, CASE WHEN situation = 'DISCOVERY_SUCCESS' THEN 'EXPLICIT' ELSE 'MODE_DEFAULT' END action_source FROM cv_situation",
     "cv_decided": "SELECT diff_id, n_files, n_ignored, n_oos, n_prod, n_test, n_unmapped, situation, action, action_source, CASE WHEN action = 'SELECTED' THEN n_selected ELSE 0 END n_selected, action = 'FULL_SUITE' run_all, action = 'SKIPPED' skipped, CASE WHEN action <> 'FULL_SUITE' THEN 'NONE' WHEN situation = 'UNMAPPED_FILE' THEN 'RUN_ALL_ON_NON_JAVA_CHANGE' WHEN situation = 'DISCOVERY_EMPTY' THEN 'RUN_ALL_IF_NO_MATCHES' ELSE 'RUN_ALL_ON_DISCOVERY_INCOMPLETE' END escalation_reason, CASE action WHEN 'SELECTED' THEN 'SELECTED' WHEN 'SKIPPED' THEN 'SKIPPED' ELSE 'FULL_SUITE' END outcome FROM cv_action",
-    "cv_naming": "SELECT DISTINCT c.diff_id, c.fqn changed_fqn, t.fqn, t.pkg <> c.pkg cross_package FROM cv_changed c JOIN cv_test t ON t.simple IN (c.simple || 'Test', c.simple || 'IT', c.simple || 'ITTest', c.simple || 'IntegrationTest')",
+    "cv_naming": "SELECT DISTINCT c.diff_id, c.fqn changed_fqn, t.fqn, t.pkg <> c.pkg cross_package FROM (SELECT *, unnest([simple || 'Test', simple || 'IT', simple || 'ITTest', simple || 'IntegrationTest']) named FROM cv_changed) c JOIN cv_test t ON t.simple = c.named",
     "cv_key": """SELECT DISTINCT fqn, CASE WHEN is_static AND NOT is_asterisk THEN regexp_extract(name, '^(.*)\\.[^.]*$', 1) ELSE name END AS key, 'import' tier FROM cv_import WHERE is_static OR NOT is_asterisk
-      UNION SELECT i.fqn, c.fqn, 'inner_import' FROM cv_import i JOIN cv_class c ON starts_with(i.name, c.fqn || '.')
+      UNION SELECT fqn, regexp_replace(name, '[.][^.]*$', ''), 'inner_import' FROM cv_import WHERE name LIKE '%.%.%'
+      UNION SELECT fqn, regexp_replace(name, '[.][^.]*[.][^.]*$', ''), 'inner_import' FROM cv_import WHERE name LIKE '%.%.%.%'
       UNION SELECT fqn, name, 'class_wildcard' FROM cv_import WHERE is_asterisk AND NOT is_static
       UNION SELECT i.fqn, i.name || '.' || s.name, 'package_wildcard' FROM cv_import i JOIN cv_simple s ON s.fqn = i.fqn WHERE is_asterisk AND NOT is_static
       UNION SELECT fqn, pkg || '.' || name, 'same_package' FROM cv_simple
-      UNION SELECT f.fqn, c.fqn, 'inline' FROM cv_dotted f JOIN cv_class c ON f.name = c.fqn OR starts_with(f.name, c.fqn || '.')""",
+      UNION SELECT fqn, name, 'inline' FROM cv_dotted
+      UNION SELECT fqn, regexp_replace(name, '[.][^.]*$', ''), 'inline' FROM cv_dotted WHERE name LIKE '%.%.%'""",
     "cv_usage": "SELECT DISTINCT c.diff_id, c.fqn changed_fqn, k.fqn, k.tier FROM cv_changed c JOIN cv_key k ON k.key = c.fqn",
-    "cv_impl_name": "SELECT DISTINCT c.diff_id, s.fqn FROM cv_changed c JOIN cv_source s ON s.simple IN (c.simple || 'Impl', 'Impl' || c.simple, c.simple || 'Default', 'Default' || c.simple)",
+    "cv_impl_name": "SELECT DISTINCT c.diff_id, s.fqn FROM (SELECT *, unnest([simple || 'Impl', 'Impl' || simple, simple || 'Default', 'Default' || simple]) named FROM cv_changed) c JOIN cv_source s ON s.simple = c.named",
     "cv_impl_walk": "SELECT diff_id, fqn, 0 hop, false known FROM cv_changed UNION ALL SELECT diff_id, fqn, 0, true FROM cv_impl_name UNION SELECT w.diff_id, d.fqn, w.hop + 1, true FROM cv_impl_walk w JOIN cv_decl d ON d.supertype = regexp_extract(w.fqn, '[^.]*$') WHERE w.hop < 4",
     "cv_impl": "SELECT diff_id, fqn, min(hop) hop FROM cv_impl_walk w GROUP BY diff_id, fqn HAVING bool_and(known)",
     "cv_walk": "SELECT diff_id, fqn, 0 hop FROM cv_changed UNION SELECT w.diff_id, e.consumer, w.hop + 1 FROM cv_walk w JOIN cv_edge e ON e.dependency = w.fqn WHERE w.hop < 4",
     "cv_reached": "SELECT diff_id, fqn, min(hop) hop FROM cv_walk GROUP BY diff_id, fqn HAVING min(hop) > 0",
     "cv_more": "SELECT 'impl' strategy, diff_id, fqn FROM cv_impl UNION ALL SELECT 'transitive', diff_id, fqn FROM cv_reached",
-    "cv_found": "SELECT DISTINCT diff_id, 'naming' strategy, fqn FROM cv_naming UNION SELECT diff_id, 'usage', fqn FROM cv_usage UNION SELECT m.diff_id, m.strategy, t.fqn FROM cv_more m JOIN cv_test t ON t.simple IN (regexp_extract(m.fqn, '[^.]*$') || 'Test', regexp_extract(m.fqn, '[^.]*$') || 'IT', regexp_extract(m.fqn, '[^.]*$') || 'ITTest', regexp_extract(m.fqn, '[^.]*$') || 'IntegrationTest') UNION SELECT m.diff_id, m.strategy, k.fqn FROM cv_more m JOIN cv_key k ON k.key = m.fqn",
+    "cv_found": "SELECT DISTINCT diff_id, 'naming' strategy, fqn FROM cv_naming UNION SELECT diff_id, 'usage', fqn FROM cv_usage UNION SELECT m.diff_id, m.strategy, t.fqn FROM (SELECT *, unnest([regexp_extract(fqn, '[^.]*$') || x FOR x IN ['Test', 'IT', 'ITTest', 'IntegrationTest']]) named FROM cv_more) m JOIN cv_test t ON t.simple = m.named UNION SELECT m.diff_id, m.strategy, k.fqn FROM cv_more m JOIN cv_key k ON k.key = m.fqn",
     "cv_strategy": "SELECT diff_id, strategy, count(DISTINCT fqn) n_tests FROM cv_found GROUP BY ALL",
+    "cv_afile": "SELECT diff_id, path FROM cv_path UNION SELECT diff_id, 'src/main/java/' || replace(fqn, '.', '/') || '.java' FROM cv_changed UNION SELECT CASE WHEN c_custkey % 2 = 0 THEN 't' ELSE 'u' END || (c_custkey % 3), path FROM cv_test",
+    "cv_achanged": r"SELECT DISTINCT diff_id, fqn, regexp_extract(fqn, '[^.]*$') AS simple, regexp_replace(fqn, '\.?[^.]*$', '') pkg FROM (SELECT diff_id, unnest(CASE WHEN path LIKE '%.kt' THEN [f, f || 'Kt'] ELSE [f] END) fqn FROM (SELECT *, replace(regexp_replace(regexp_extract(path, '(?:^|/)src/main/(?:java|kotlin)/(.*)$', 1), '\.(java|kt)$', ''), '/', '.') f FROM cv_abucket WHERE bucket = 'production'))",
+    "cv_aown": r"SELECT DISTINCT diff_id, replace(regexp_replace(regexp_extract(path, '(?:^|/)src/test/java/(.*)$', 1), '\.java$', ''), '/', '.') fqn FROM cv_abucket WHERE bucket = 'test'",
+    "cv_all": "SELECT DISTINCT diff_id, strategy, fqn FROM (SELECT * FROM cv_afound UNION SELECT diff_id, 'changed', fqn FROM cv_aown)",
+    "cv_apick": "SELECT DISTINCT f.diff_id, f.fqn, t.path FROM cv_all f JOIN cv_test t ON t.fqn = f.fqn",
+    "cv_amade": "SELECT c.*, coalesce(n, 0) n_selected, coalesce(classes, 0) n_prod_classes, 0 n_failed FROM cv_acount c LEFT JOIN (SELECT diff_id, count(DISTINCT fqn) n FROM cv_apick GROUP BY diff_id) USING (diff_id) LEFT JOIN (SELECT diff_id, count(DISTINCT fqn) classes FROM cv_achanged GROUP BY diff_id) USING (diff_id)",
+    "cv_achosen": "SELECT p.* FROM cv_apick p JOIN cv_adecided d ON d.diff_id = p.diff_id AND d.outcome = 'SELECTED'",
+    "cv_aroute": "SELECT p.diff_id, p.fqn, coalesce(max_by(m.gradle_path, length(m.dir)), '') || ':' || CASE WHEN p.path LIKE '%/src/test/%' THEN 'test' WHEN p.path LIKE '%/src/it/%' THEN 'it' ELSE 'test' END task_key FROM cv_achosen p LEFT JOIN cv_module m ON starts_with(p.path, m.dir || '/') GROUP BY p.diff_id, p.fqn, p.path",
+    "cv_asample": "SELECT diff_id, bucket, list(path ORDER BY path) FILTER (place <= 10) AS first, greatest(max(n) - 10, 0) more FROM (SELECT *, row_number() OVER (PARTITION BY diff_id, bucket ORDER BY path) place, count(*) OVER (PARTITION BY diff_id, bucket) n FROM cv_abucket) GROUP BY diff_id, bucket",
+    "cv_across": "SELECT diff_id, changed_fqn, fqn, row_number() OVER (PARTITION BY diff_id ORDER BY changed_fqn, fqn) place, count(*) OVER (PARTITION BY diff_id) total FROM (SELECT DISTINCT n.diff_id, n.changed_fqn, n.fqn FROM cv_anaming n JOIN cv_achosen c ON c.diff_id = n.diff_id AND c.fqn = n.fqn WHERE cross_package)",
+    "cv_ajson_sample": "SELECT diff_id, string_agg('\"' || CASE bucket WHEN 'out_of_scope' THEN 'outOfScope' ELSE bucket END || '\":[' || array_to_string([f'\"{x}\"' FOR x IN first], ',') || ']', ',' ORDER BY bucket) body FROM cv_asample GROUP BY diff_id".replace("f'\"{x}\"'", "'\"' || x || '\"'"),
+    "cv_ajson_module": "SELECT diff_id, string_agg('{\"task\":\"' || task_key || '\",\"fqns\":[' || fqns || ']}', ',' ORDER BY task_key) body FROM (SELECT diff_id, task_key, string_agg(DISTINCT '\"' || fqn || '\"', ',' ORDER BY '\"' || fqn || '\"') fqns FROM cv_aroute GROUP BY ALL) GROUP BY diff_id",
+    "cv_ajson_run": "SELECT d.diff_id, string_agg('{\"name\":\"' || s.strategy || '\",\"millis\":0,\"tests\":' || coalesce(n, 0) || '}', ',' ORDER BY ord) body FROM cv_adecided d CROSS JOIN (VALUES ('naming', 1), ('usage', 2), ('impl', 3), ('transitive', 4)) s(strategy, ord) LEFT JOIN (SELECT diff_id, strategy, count(DISTINCT fqn) n FROM cv_all GROUP BY ALL) f ON f.diff_id = d.diff_id AND f.strategy = s.strategy WHERE outcome = 'SELECTED' AND n_prod > 0 GROUP BY d.diff_id",
+    "cv_asample_line": "SELECT diff_id, list(line ORDER BY line) AS sample_lines FROM (SELECT diff_id, '  ' || replace(bucket, '_', '-') || ' sample: ' || array_to_string(first, ', ') || CASE WHEN more > 0 THEN ', … (+' || more || ' more)' ELSE '' END line FROM cv_asample) GROUP BY diff_id",
+    "cv_across_line": "SELECT diff_id, list_concat(['Hint: naming selected ' || max(total) || CASE WHEN max(total) = 1 THEN ' test' ELSE ' tests' END || ' of another package than the changed class; the names may meet by chance.'], list('  * ' || changed_fqn || ' → ' || fqn ORDER BY place) FILTER (place <= 10), CASE WHEN max(total) > 10 THEN ['  … (+' || (max(total) - 10) || ' more)'] ELSE [] END, ['  They run all the same; move the test beside its class, or rename one of the classes.']) cross_lines FROM cv_across GROUP BY diff_id",
+    "cv_atask": "SELECT diff_id, task_key, list_concat(['  ' || task_key || ' (' || max(n) || CASE WHEN max(n) = 1 THEN ' test class)' ELSE ' test classes)' END], list('    ' || fqn ORDER BY place) FILTER (place <= 5), CASE WHEN max(n) > 5 THEN ['    … and ' || (max(n) - 5) || ' more'] ELSE [] END) lines, max(n) n FROM (SELECT *, row_number() OVER (PARTITION BY diff_id, task_key ORDER BY fqn) place, count(*) OVER (PARTITION BY diff_id, task_key) n FROM (SELECT DISTINCT diff_id, task_key, fqn FROM cv_aroute)) GROUP BY diff_id, task_key",
+    "cv_amodule_line": "SELECT diff_id, list_concat(['Modules:         ' || count(*) || CASE WHEN count(*) = 1 THEN ' module, ' ELSE ' modules, ' END || sum(n) || CASE WHEN sum(n) = 1 THEN ' test class to dispatch' ELSE ' test classes to dispatch' END], flatten(list(lines ORDER BY task_key))) module_lines FROM cv_atask GROUP BY diff_id",
+    "cv_akotlin": "SELECT diff_id, CASE WHEN bool_or(path LIKE '%.kt' AND bucket = 'unmapped') THEN ['Hint: a Kotlin source lies in no source or test directory and is unmapped.'] ELSE [] END || CASE WHEN bool_or(path LIKE '%.kt' AND bucket IN ('production', 'test')) THEN ['Hint: Kotlin sources are known by their path alone, their text is not read.'] ELSE [] END kotlin_lines FROM cv_abucket GROUP BY diff_id",
     "cv_module": "SELECT 'm' || n_nationkey dir, ':m' || n_nationkey gradle_path FROM nation UNION ALL SELECT 'm' || n_nationkey || '/sub', ':m' || n_nationkey || ':sub' FROM nation WHERE n_nationkey % 2 = 0",
     "cv_owner": "SELECT t.fqn, t.path, t.c_custkey, coalesce(max_by(m.gradle_path, length(m.dir)), '') gradle_path FROM cv_test t LEFT JOIN cv_module m ON starts_with(t.path, m.dir || '/') GROUP BY t.fqn, t.path, t.c_custkey",
     "cv_route": "SELECT 'd' || (c_custkey % 4) diff_id, fqn, path, gradle_path || ':' || CASE WHEN path LIKE '%/src/test/%' THEN 'test' WHEN path LIKE '%/src/it/%' THEN 'it' ELSE 'test' END task_key FROM cv_owner",
@@ -226,17 +278,33 @@ V = {
 }
 
 
+def over_all_changes() -> None:
+    """The views of a decision again, over all changed files instead of those of documents, and with the tests that discovery finds."""
+    import re
+
+    again = ("bucket", "count", "situation", "action", "decided", "naming", "usage", "impl_name", "impl_walk", "impl", "walk", "reached", "more", "found")
+    other = {"cv_path": "cv_afile", "cv_made": "cv_amade", "cv_changed": "cv_achanged", **{f"cv_{n}": f"cv_a{n}" for n in again}}
+    for name in again:
+        V[f"cv_a{name}"] = re.sub(r"\bcv_\w+", lambda m: other.get(m[0], m[0]), V[f"cv_{name}"])
+
+
+over_all_changes()
+
+
 def sql(query: str) -> str:
     """The query with the views it needs before it."""
     import re
 
-    needed, todo = set(), [query]
-    while todo:
-        for name in re.findall(r"\bcv_\w+", todo.pop()):
-            if name not in needed:
-                needed.add(name)
-                todo.append(V[name])
-    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({v})" for n, v in V.items() if n in needed) + f" {query}" if needed else query
+    ordered: list[str] = []
+
+    def need(text: str, inside: tuple[str, ...] = ()) -> None:
+        for name in re.findall(r"\bcv_\w+", text):
+            if name not in ordered and name not in inside:
+                need(V[name], (*inside, name))
+                ordered.append(name)
+
+    need(query)
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({V[n]})" for n in ordered) + f" {query}" if ordered else query
 
 
 # --- queries ---------------------------------------------------------------------------------------------------
@@ -347,7 +415,8 @@ def usage_static_import(spark, d):
 
 @query("SELECT * FROM cv_usage")
 def usage_all(spark, d):
-    return selection.usage(changed(spark, d), selection.usage_keys(imports(spark, d), simple_refs(spark, d), dotted_refs(spark, d)))
+    refs = kept(references(spark, d))
+    return selection.usage(changed(spark, d), selection.usage_keys(imports(spark, d, refs), simple_refs(spark, d, refs), dotted_refs(spark, d, refs)))
 
 
 @query("SELECT * FROM cv_impl_name")
@@ -377,7 +446,17 @@ def token_index(spark, d):
     (SELECT min(c.fqn) FROM cv_import i JOIN cv_class c ON c.fqn = i.name || '.' || s.name WHERE i.fqn = s.fqn AND NOT i.is_static AND i.is_asterisk)) AS dependency
   FROM cv_simple s QUALIFY dependency IS NOT NULL""".replace("QUALIFY", "WHERE").replace("WHERE dependency IS NOT NULL", ""))
 def name_resolution(spark, d):
-    return selection.resolved(simple_refs(spark, d), imports(spark, d), classes(spark, d).select("fqn"))
+    refs = kept(references(spark, d))
+    return selection.resolved(simple_refs(spark, d, refs), imports(spark, d, refs), classes(spark, d).select("fqn"))
+
+
+@query("SELECT DISTINCT consumer, dependency FROM (" + r"""SELECT s.fqn consumer, s.name, coalesce((SELECT min(i.name) FROM cv_import i WHERE i.fqn = s.fqn AND NOT i.is_static AND NOT i.is_asterisk AND regexp_extract(i.name, '[^.]*$') = s.name), (SELECT c.fqn FROM cv_class c WHERE c.fqn = s.pkg || '.' || s.name), (SELECT min(c.fqn) FROM cv_import i JOIN cv_class c ON c.fqn = i.name || '.' || s.name WHERE i.fqn = s.fqn AND NOT i.is_static AND i.is_asterisk)) AS dependency FROM cv_simple s""" + ") WHERE dependency <> consumer AND right(name, 1) <> '3'")
+def used_by(spark, d):
+    """Edges of resolved names that stand as words in the consumer's text; the made-up text lacks names that end in 3."""
+    refs = kept(references(spark, d))
+    names = kept(simple_refs(spark, d, refs))
+    words = names.filter(~F.col("name").endswith("3")).select(F.col("fqn").alias("path"), F.col("name").alias("token"))
+    return selection.used_by(words, selection.resolved(names, imports(spark, d, refs), classes(spark, d).select("fqn")))
 
 
 ORACLE["name_resolution"] = f"SELECT * FROM ({ORACLE['name_resolution']}) WHERE dependency IS NOT NULL"
@@ -385,7 +464,7 @@ ORACLE["name_resolution"] = f"SELECT * FROM ({ORACLE['name_resolution']}) WHERE
 
 @query("SELECT diff_id, fqn, hop FROM cv_reached")
 def transitive_bfs(spark, d):
-    return selection.transitive(changed(spark, d), edges(spark, d), DEPTH)
+    return selection.transitive(changed(spark, d), kept(edges(spark, d)), DEPTH)
 
 
 @query("SELECT diff_id, fqn FROM cv_found WHERE strategy = 'transitive'")
@@ -451,7 +530,7 @@ def task_routing(spark, d):
     return routes(spark, d).select("diff_id", "fqn", "task_key")
 
 
-@query("SELECT diff_id, task_key, count(DISTINCT fqn) n_tests, string_agg(DISTINCT fqn, ',' ORDER BY fqn) tests FROM cv_route GROUP BY ALL")
+@query("SELECT diff_id, task_key, count(*) OVER (PARTITION BY diff_id, task_key) n_tests, row_number() OVER (PARTITION BY diff_id, task_key ORDER BY fqn) place, fqn FROM (SELECT DISTINCT diff_id, task_key, fqn FROM cv_route)")
 def dispatch_plan(spark, d):
     return dispatch.plan(routes(spark, d))
 
@@ -482,9 +561,41 @@ def config_hash(spark, d):
     return spark.range(1).select(F.lit(snapshot.config_hash(CONFIG)).alias("config_hash"))
 
 
-@query("SELECT diff_id, '{\"version\":2,\"baseRef\":\"origin/master\",\"mode\":\"CI\",\"changedFiles\":' || n_files || ',\"buckets\":{\"ignored\":' || n_ignored || ',\"out-of-scope\":' || n_oos || ',\"production\":' || n_prod || ',\"test\":' || n_test || ',\"unmapped\":' || n_unmapped || '},\"situation\":\"' || situation || '\",\"action\":\"' || action || '\",\"outcome\":\"' || outcome || '\"}' AS json FROM cv_decided")
+MATRIX = [(s, *CONFIG.action(s, "CI")) for s in SITUATIONS]
+SAYS = "CASE WHEN run_all THEN 'FULL_SUITE — ' || CASE situation WHEN 'UNMAPPED_FILE' THEN 'onUnmappedFile=FULL_SUITE — non-Java or unmapped file in diff' WHEN 'DISCOVERY_EMPTY' THEN 'onDiscoveryEmpty=FULL_SUITE — no affected tests discovered' END WHEN skipped THEN 'SKIPPED — no tests will run' ELSE 'SELECTED — ' || n_selected || ' test class(es) will run' END"
+
+
+@query("SELECT diff_id, n_files, n_prod_classes, n_selected, situation, action, action_source, outcome, escalation_reason FROM cv_adecided JOIN (SELECT diff_id, n_prod_classes FROM cv_amade) USING (diff_id)")
+def analyse_decisions(spark, d):
+    """Decisions on all changed files, from classification through discovery."""
+    return analysed(spark, d)[0].decisions.select("diff_id", "n_files", "n_prod_classes", "n_selected", "situation", "action", "action_source", "outcome", "escalation_reason")
+
+
+@query("SELECT * FROM cv_achosen")
+def analyse_selected(spark, d):
+    """The tests that those decisions run."""
+    return analysed(spark, d)[0].chosen()
+
+
+@query("SELECT * FROM cv_across")
+def cross_package_pairs(spark, d):
+    trace, own = analysed(spark, d)
+    return engine.cross_package(trace.classes, trace.chosen(), own, CONFIG)
+
+
+@query(
+    """SELECT diff_id, '{"version":2,"baseRef":"origin/master","mode":{"configured":"CI","effective":"CI"},"changedFiles":' || n_files
+      || ',"buckets":{"ignored":' || n_ignored || ',"outOfScope":' || n_oos || ',"production":' || n_prod || ',"test":' || n_test || ',"unmapped":' || n_unmapped
+      || '},"samples":{' || s.body || '},"situation":"' || situation || '","action":{"name":"' || action || '","source":"' || action_source
+      || '"},"outcome":{"kind":"' || outcome || '","selectedClassCount":' || n_selected || ',"escalationReason":"' || escalation_reason
+      || '"},"modules":[' || coalesce(m.body, '') || '],"discovery":{"parallelEnabled":false,"concurrencyLevel":0,"totalMillis":0,"perStrategy":[' || coalesce(r.body, '') || ']},"actionMatrix":{"""
+    + ",".join(f'"{situation}":{{"action":"{action}","source":"{source}"}}' for situation, action, source in MATRIX)
+    + """}}' AS json FROM cv_adecided JOIN cv_ajson_sample s USING (diff_id) LEFT JOIN cv_ajson_module m USING (diff_id) LEFT JOIN cv_ajson_run r USING (diff_id)"""
+)
 def explain_json(spark, d):
-    return report.explain_json(engine.decide(decision_counts(spark, d), CONFIG), CONFIG)
+    trace, _ = analysed(spark, d)
+    routes = dispatch.routed(trace.chosen(), modules(spark, d), ["test", "it"])
+    return report.explain_json(trace.decisions, trace.classified, routes, trace.found, CONFIG)
 
 
 @query("SELECT diff_id, 'Impacted Tests: ' || action || ' (' || situation || ') — ' || n_files || ' changed file(s)' || CASE WHEN run_all THEN '; running full suite (' || CASE situation WHEN 'UNMAPPED_FILE' THEN 'onUnmappedFile=FULL_SUITE — non-Java or unmapped file in diff' WHEN 'DISCOVERY_EMPTY' THEN 'onDiscoveryEmpty=FULL_SUITE — no affected tests discovered' ELSE 'onDiscoveryIncomplete=FULL_SUITE — discovery observed unparseable Java files, selection may be incomplete' END || ').' WHEN skipped THEN '; ' || CASE situation WHEN 'ALL_FILES_IGNORED' THEN 'every changed file matched ignorePaths' ELSE 'every changed file sat under out-of-scope dirs' END || '.' ELSE ', ' || n_prod || ' production class(es), ' || n_selected || ' test class(es) affected' END AS line FROM cv_decided")
@@ -492,9 +603,28 @@ def summary_line(spark, d):
     return report.summary(engine.decide(decision_counts(spark, d), CONFIG).withColumn("n_prod_classes", F.col("n_prod")))
 
 
-@query(None)
+@query(
+    f"""SELECT diff_id, generate_subscripts(lines, 1) - 1 AS line_no, unnest(lines) AS line FROM (SELECT diff_id, list_concat(
+      ['=== decision trace (explain) ===', 'Base ref:        origin/master', 'Mode:            CI (effective: CI)', 'Changed files:   ' || n_files, 'Buckets:',
+       '  ignored         ' || n_ignored, '  out-of-scope    ' || n_oos, '  production      ' || n_prod, '  test            ' || n_test, '  unmapped        ' || n_unmapped],
+      sample_lines, ['Situation:       ' || situation, 'Action:          ' || action || ' (source: ' || action_source || ')', 'Outcome:         ' || {SAYS}],
+      CASE situation WHEN 'DISCOVERY_SUCCESS' THEN list_concat(CASE WHEN n_oos = 0 THEN ['Hint: out_of_scope_test_dirs (2 in all) met no changed file; entries are directories or globs, as api-test or api-test/**.'] ELSE [] END, coalesce(cross_lines, []))
+        WHEN 'DISCOVERY_EMPTY' THEN ['Hint: no test found for ' || n_prod || CASE WHEN n_prod = 1 THEN ' changed production file' ELSE ' changed production files' END || '; it may be that',
+          '  * the test''s name has none of the suffixes Test, IT, ITTest, IntegrationTest', '  * the test lies outside src/test/java', '  * there is no test yet'] ELSE [] END,
+      kotlin_lines, CASE WHEN outcome = 'SELECTED' THEN coalesce(module_lines, []) ELSE [] END,
+      {["Action matrix (situation → action [source]):", *(f"  {s:<24} {a} [{source}]" for s, a, source in MATRIX), "=== end explain ==="]}) AS lines
+    FROM cv_adecided JOIN cv_asample_line USING (diff_id) JOIN cv_akotlin USING (diff_id) LEFT JOIN cv_across_line USING (diff_id) LEFT JOIN cv_amodule_line USING (diff_id))"""
+)
 def explain_trace(spark, d):
-    return report.explain(engine.decide(decision_counts(spark, d), CONFIG), classified(spark, d), routes(spark, d), CONFIG)
+    trace, own = analysed(spark, d)
+    routes = dispatch.routed(trace.chosen(), modules(spark, d), ["test", "it"])
+    cross = engine.cross_package(trace.classes, trace.chosen(), own, CONFIG)
+    return report.explain(trace.decisions, trace.classified, routes, CONFIG, cross=cross)
+
+
+@query("SELECT diff_id, max(n) n_unmapped, string_agg(path, ', ' ORDER BY path) FILTER (place <= 5) examples FROM (SELECT *, row_number() OVER (PARTITION BY diff_id ORDER BY path) place, count(*) OVER (PARTITION BY diff_id) n FROM cv_bucket WHERE bucket = 'unmapped') GROUP BY diff_id")
+def unmapped_examples(spark, d):
+    return dispatch.unmapped_examples(classified(spark, d)).withColumn("examples", F.array_join("examples", ", "))
 
 
 @query("SELECT path, CASE WHEN regexp_matches(path, '(?i)[^/]\\.(kts|groovy|gvy|scala|sc)$') AND lower(path) NOT LIKE '%.gradle.kts' THEN lower(regexp_extract(path, '\\.([A-Za-z]+)$', 1)) END extension FROM (SELECT 'x/f' || doc_id || ['.groovy', '.gradle.kts', '.kts', '.Scala', '.java'][doc_id % 5 + 1] path FROM documents)")
@@ -511,14 +641,35 @@ def impact_flagship(spark, d):
     return rows.groupBy("diff_id", "fqn", "path").agg(F.count_distinct("strategy").alias("n_strategies"))
 
 
-@query(None)
+@query(
+    """SELECT 'src/main/java/' || replace(fqn, '.', '/') || '.java' path, pkg, simple primary_type, k % 10 <> 0 parse_ok, 'java.util.List' imports,
+      array_to_string(list_sort(['List', simple, 'String'] || CASE WHEN simple = 'Part' || (k // 7) THEN [] ELSE ['Part' || (k // 7)] END), ',') refs, simple || '<Part' || (k // 7) decls FROM cv_class"""
+)
 def source_metadata(spark, d):
     """Metadata of made-up Java files, one per part, parsed from their text."""
-    from sparkripple.functions import source_text
-
-    c = classes(spark, d)
-    text = F.concat(F.lit("package "), "pkg", F.lit(";\nimport java.util.List;\npublic class "), "simple", F.expr("concat(' extends Part', cast(k div 7 AS string))"), F.lit(" { List<String> x; /* Hidden */ }\n"))
-    return source_text.metadata(c.select(F.concat(F.lit("src/main/java/"), F.replace("fqn", F.lit("."), F.lit("/")), F.lit(".java")).alias("path"), text.alias("content")))
+    meta = source_text.metadata(source_files(spark, d).filter("path LIKE 'src/main/java/%'"))
+    decls = F.transform("type_decls", lambda t: F.concat(t["simple_name"], F.lit("<"), F.array_join(t["supertypes"], ",")))
+    return meta.select("path", "pkg", "primary_type", "parse_ok", F.array_join(F.transform("imports", lambda i: i["name"]), ",").alias("imports"), F.array_join("type_ref_simple", ",").alias("refs"), F.array_join(decls, ",").alias("decls"))
+
+
+@query(
+    """SELECT 'decl' relation, fqn a, 'Part' || (k // 7) b FROM cv_class WHERE k % 10 <> 0
+      UNION ALL SELECT 'source', fqn, simple FROM cv_class
+      UNION ALL SELECT 'failed', 'source', (count(*))::varchar FROM cv_class WHERE k % 10 = 0
+      UNION ALL SELECT 'test', fqn, min(path) FROM cv_test WHERE c_custkey % 2 = 0 AND c_custkey % 11 <> 0 GROUP BY fqn
+      UNION ALL SELECT 'import', t.fqn, 'com.used.Part' || t.c_custkey FROM cv_test t JOIN (SELECT fqn, min(path) path FROM cv_test WHERE c_custkey % 2 = 0 AND c_custkey % 11 <> 0 GROUP BY fqn) USING (fqn, path) WHERE c_custkey % 2 = 0 AND c_custkey % 11 <> 0"""
+)
+def index_build(spark, d):
+    """Relations of the index that is built from made-up source files."""
+    built = project_index.build(kept(source_files(spark, d)), CONFIG)
+    parts = [
+        built["decls"].select(F.lit("decl"), "fqn", "supertype"),
+        built["sources"].select(F.lit("source"), "fqn", "simple"),
+        built["metadata"].filter("NOT parse_ok").groupBy("kind").agg(F.count(F.lit(1)).cast("string").alias("n")).select(F.lit("failed"), "kind", "n"),
+        built["tests"].select(F.lit("test"), "fqn", "path"),
+        built["imports"].select(F.lit("import"), "fqn", "name"),
+    ]
+    return reduce(DataFrame.union, parts).toDF("relation", "a", "b")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkripple.functions import paths
 from sparkripple.operators import selection
 from sparkripple.operators.iterate import kept
-from sparkripple.plans.config import Config
+from sparkripple.plans.config import STRATEGIES, Config
 
 #: Why the whole suite runs, by situation. Fixed values.
 ESCALATIONS = {
@@ -26,9 +28,10 @@ COUNTS = {"n_ignored": "ignored", "n_oos": "out_of_scope", "n_prod": "production
 
 
 def classify(changed_files: DataFrame, config: Config) -> DataFrame:
-    """changed_files(diff_id, path) with the bucket of each distinct path."""
+    """changed_files(diff_id, path) with the bucket of each distinct path; ord, where given, is the path's first place."""
     bucket = paths.bucket(F.col("path"), list(config.ignore_paths), config.out_of_scope(), list(config.source_dirs), list(config.test_dirs))
-    return changed_files.select("diff_id", "path").distinct().withColumn("bucket", bucket)
+    each = changed_files.groupBy("diff_id", "path").agg(F.min("ord").alias("ord")) if "ord" in changed_files.columns else changed_files.select("diff_id", "path").distinct()
+    return each.withColumn("bucket", bucket)
 
 
 def changed_classes(classified: DataFrame, config: Config) -> DataFrame:
@@ -72,35 +75,93 @@ def decide(counts: DataFrame, config: Config, env: Mapping[str, str] | None = No
     return out.withColumn("outcome", F.when(F.col("run_all"), "FULL_SUITE").when(F.col("skipped"), "SKIPPED").otherwise("SELECTED")).drop("unmapped_action")
 
 
-def tests_of(classes: DataFrame, tests: DataFrame, keys: DataFrame, changed_tests: DataFrame, config: Config, always: bool) -> DataFrame:
-    """Naming and usage over further classes; always takes both, else those that are enabled."""
-    own = selection.as_changed(classes)
-    parts = []
-    if always or config.enabled("naming"):
-        parts.append(selection.naming(own, tests, list(config.test_suffixes)).select("diff_id", "fqn"))
-    if always or config.enabled("usage"):
-        parts.append(selection.usage(own, keys, changed_tests).select("diff_id", "fqn"))
-    return reduce(DataFrame.union, parts).distinct() if parts else own.select("diff_id", "fqn").limit(0)
+def prod_and_test(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return classes.filter("kind = 'prod'").select("diff_id", "fqn", "simple", "pkg"), classes.filter("kind = 'test'").select("diff_id", "fqn")
 
 
 def discover(classes: DataFrame, index: Mapping[str, DataFrame], config: Config) -> DataFrame:
-    """(diff_id, strategy, fqn) over the index relations tests, sources, imports, simple_refs, dotted_refs, decls, edges."""
-    changed = classes.filter("kind = 'prod'").select("diff_id", "fqn", "simple", "pkg")
-    changed_tests = classes.filter("kind = 'test'").select("diff_id", "fqn")
-    keys = kept(selection.usage_keys(index["imports"], index["simple_refs"], index["dotted_refs"]).distinct())
-    tests = index["tests"]
-    parts = {"changed": changed_tests}
-    if config.enabled("naming"):
-        parts["naming"] = selection.naming(changed, tests, list(config.test_suffixes)).select("diff_id", "fqn")
-    if config.enabled("usage"):
-        parts["usage"] = selection.usage(changed, keys, changed_tests).select("diff_id", "fqn")
+    """(diff_id, strategy, fqn) over the index relations tests, sources, imports, simple_refs, dotted_refs, decls, edges.
+
+    Changed classes, their implementations and the classes that reach them are
+    tagged with their strategy first, so that all are joined to the tests at once.
+    """
+    changed, changed_tests = prod_and_test(classes)
+    by_name, by_use = [], []
+
+    def wanted(strategy: str, found: DataFrame, name: bool, use: bool) -> None:
+        tagged = found.select("diff_id", "fqn", "simple", "pkg", F.lit(strategy).alias("strategy"))
+        by_name.extend([tagged] * name)
+        by_use.extend([tagged] * use)
+
+    wanted("naming", changed, config.enabled("naming"), False)
+    wanted("usage", changed, False, config.enabled("usage"))
     if config.enabled("impl") and config.include_implementation_tests:
         found = selection.implementations(changed, index["sources"], index["decls"], list(config.implementation_naming), config.transitive_depth, config.strict_compat)
-        parts["impl"] = tests_of(found, tests, keys, changed_tests, config, always=False)
+        wanted("impl", selection.as_changed(found), config.enabled("naming"), config.enabled("usage"))
     if config.enabled("transitive"):
+        wanted("transitive", selection.as_changed(selection.transitive(changed, index["edges"], config.transitive_depth)), True, True)
+    out = [changed_tests.select("diff_id", F.lit("changed").alias("strategy"), "fqn")]
+    if by_name:
+        out.append(selection.naming(reduce(DataFrame.unionByName, by_name), index["tests"], list(config.test_suffixes), ("strategy",)).select("diff_id", "strategy", "fqn"))
+    if by_use:
+        # Tiers don't matter here, so the keys go into the join as they come and a test counts once after it.
+        keys = selection.usage_keys(index["imports"], index["simple_refs"], index["dotted_refs"]).select("fqn", "key")
+        wanted_keys = reduce(DataFrame.unionByName, by_use).select("diff_id", "strategy", F.col("fqn").alias("key"))
+        used = keys.join(wanted_keys, "key").select("diff_id", "strategy", "fqn").distinct()
+        out.append(used.join(changed_tests, ["diff_id", "fqn"], "left_anti").select("diff_id", "strategy", "fqn"))
+    return reduce(DataFrame.unionByName, out).distinct()
+
+
+def profile(classes: DataFrame, index: Mapping[str, DataFrame], config: Config) -> DataFrame:
+    """(strategy, millis, tests, ord): each enabled strategy run by itself and timed, over all diffs."""
+    rows = []
+    for strategy in STRATEGIES:
+        if config.enabled(strategy) and (strategy != "impl" or config.include_implementation_tests):
+            # Tests of implementations are found by the strategies enabled beside it, so those stay on.
+            beside = [s for s in config.strategies if s in ("naming", "usage")] if strategy == "impl" else []
+            only = replace(config, strategies=(strategy, *beside))
+            start = time.monotonic()
+            n = discover(classes, index, only).filter(F.col("strategy") == strategy).select("diff_id", "fqn").distinct().count()
+            rows.append((strategy, int((time.monotonic() - start) * 1000), n, len(rows)))
+    return classes.sparkSession.createDataFrame(rows, "strategy string, millis long, tests long, ord int")
+
+
+def cross_package(classes: DataFrame, selected: DataFrame, index: Mapping[str, DataFrame], config: Config) -> DataFrame:
+    """(diff_id, changed_fqn, fqn, place, total): selected tests that naming found in another package than the changed class's, in order, and how many a diff has."""
+    changed, _ = prod_and_test(classes)
+    pairs = selection.naming(changed, index["tests"], list(config.test_suffixes)).filter("cross_package").join(selected.select("diff_id", "fqn").distinct(), ["diff_id", "fqn"], "left_semi")
+    w = Window.partitionBy("diff_id")
+    return pairs.select("diff_id", "changed_fqn", "fqn", F.row_number().over(w.orderBy("changed_fqn", "fqn")).alias("place"), F.count(F.lit(1)).over(w).alias("total"))
+
+
+def parse_failures(classes: DataFrame, index: Mapping[str, DataFrame], config: Config) -> DataFrame:
+    """(diff_id, n_failed): unparsed files that the enabled strategies touch; index has metadata(kind, parse_ok, words, fqn).
+
+    A diff with a production class touches all tests by usage and all sources by
+    implementation. Without these, the transitive walk touches the sources whose
+    text names a class of its frontier, and all tests once it finds one. Naming
+    touches nothing.
+    """
+    changed, _ = prod_and_test(classes)
+    diffs = changed.select("diff_id").distinct()
+    failed = index["metadata"].filter("NOT parse_ok").select("path", "kind", "words")
+    parts = []
+    if config.enabled("usage"):
+        parts.append(diffs.crossJoin(F.broadcast(failed.filter("kind = 'test'").agg(F.count(F.lit(1)).alias("n")))))
+    if config.enabled("impl") and config.include_implementation_tests:
+        parts.append(diffs.crossJoin(F.broadcast(failed.filter("kind = 'source'").agg(F.count(F.lit(1)).alias("n")))))
+    if config.enabled("transitive") and len(parts) < 2:
         found = selection.transitive(changed, index["edges"], config.transitive_depth)
-        parts["transitive"] = tests_of(found, tests, keys, changed_tests, config, always=True)
-    return reduce(DataFrame.unionByName, (df.distinct().withColumn("strategy", F.lit(s)) for s, df in parts.items()))
+        if not config.enabled("usage"):
+            parts.append(found.select("diff_id").distinct().crossJoin(F.broadcast(failed.filter("kind = 'test'").agg(F.count(F.lit(1)).alias("n")))))
+        if not (config.enabled("impl") and config.include_implementation_tests):
+            frontier = found.filter(F.col("hop") < config.transitive_depth).select("diff_id", "fqn").union(changed.select("diff_id", "fqn"))
+            names = frontier.select("diff_id", paths.simple_name(F.col("fqn")).alias("word")).distinct()
+            touched = failed.filter("kind = 'source'").select("path", F.explode("words").alias("word")).join(names, "word")
+            parts.append(touched.groupBy("diff_id").agg(F.count_distinct("path").alias("n")))
+    if not parts:
+        return diffs.withColumn("n_failed", F.lit(0).cast("long"))
+    return reduce(DataFrame.unionByName, parts).groupBy("diff_id").agg(F.sum("n").alias("n_failed"))
 
 
 def strategy_counts(found: DataFrame) -> DataFrame:
@@ -119,21 +180,49 @@ def on_disk(found: DataFrame, known_tests: DataFrame) -> DataFrame:
     return found.select("diff_id", "fqn").distinct().join(known_tests.select("fqn", "path"), "fqn").select("diff_id", "fqn", "path")
 
 
-def analyse(changed_files: DataFrame, index: Mapping[str, DataFrame], config: Config, diffs: DataFrame | None = None, failures: DataFrame | None = None, env: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Decisions per diff, and the selected tests (diff_id, fqn, path) of those that select.
+@dataclass(frozen=True)
+class Trace:
+    """All that a report needs; found is (diff_id, strategy, fqn), selected (diff_id, fqn, path) before the decision."""
+
+    classified: DataFrame
+    classes: DataFrame
+    found: DataFrame
+    selected: DataFrame
+    decisions: DataFrame
+
+    def chosen(self) -> DataFrame:
+        """The selected tests of the diffs that run a selection."""
+        return self.selected.join(self.decisions.filter("outcome = 'SELECTED'").select("diff_id"), "diff_id", "left_semi")
+
 
-    diffs(diff_id) adds diffs without a changed file; failures(diff_id, n_failed)
-    are unparsed files that enabled strategies touched. A diff without production
-    classes has no candidates but its own tests, which the joins give by themselves.
+def trace(changed_files: DataFrame, index: Mapping[str, DataFrame], config: Config, diffs: DataFrame | None = None, failures: DataFrame | None = None, env: Mapping[str, str] | None = None) -> Trace:
+    """The analysis of changed_files(diff_id, path[, ord]).
+
+    diffs(diff_id) adds diffs without a changed file. Unparsed files are counted
+    from the index's metadata where it has that, unless failures(diff_id, n_failed)
+    are given. Where no diff has a production class, only the index's tests are
+    looked at, so that a lazy index parses nothing.
     """
     classified = kept(classify(changed_files, config))
     classes = changed_classes(classified, config)
-    selected = kept(on_disk(discover(classes, index, config), index["tests"]))
+    if classes.filter("kind = 'prod'").isEmpty():
+        found = classes.select("diff_id", F.lit("changed").alias("strategy"), "fqn").distinct()
+        failures = None
+    else:
+        found = kept(discover(classes, index, config))
+        if failures is None and "metadata" in index:
+            failures = parse_failures(classes, index, config)
+    selected = kept(on_disk(found, index["tests"]))
     counts = bucket_counts(classified)
     if diffs is not None:
         counts = diffs.select("diff_id").distinct().join(counts, "diff_id", "left")
     counts = counts.join(selected.groupBy("diff_id").agg(F.count_distinct("fqn").alias("n_selected")), "diff_id", "left")
-    counts = counts.join(failures, "diff_id", "left") if failures is not None else counts.withColumn("n_failed", F.lit(0))
-    decisions = decide(counts.fillna(0), config, env)
-    runs = decisions.filter("outcome = 'SELECTED'").select("diff_id")
-    return decisions, selected.join(runs, "diff_id", "left_semi")
+    counts = counts.join(classes.filter("kind = 'prod'").groupBy("diff_id").agg(F.count_distinct("fqn").alias("n_prod_classes")), "diff_id", "left")
+    counts = counts.join(failures.select("diff_id", "n_failed"), "diff_id", "left") if failures is not None else counts.withColumn("n_failed", F.lit(0))
+    return Trace(classified, classes, found, selected, decide(counts.fillna(0), config, env))
+
+
+def analyse(changed_files: DataFrame, index: Mapping[str, DataFrame], config: Config, diffs: DataFrame | None = None, failures: DataFrame | None = None, env: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Decisions per diff, and the selected tests (diff_id, fqn, path) of those that select; see trace()."""
+    own = trace(changed_files, index, config, diffs, failures, env)
+    return own.decisions, own.chosen()

@@ -1,14 +1,17 @@
-"""The metadata snapshot: parquet tables of one version each, and a pointer to the current one."""
+"""The metadata snapshot: parquet tables of one version each, the newest complete one counts.
+
+All goes through Spark's readers and writers, so a snapshot may lie on any store
+that they reach. A version's pointer is written last; readers see whole versions.
+"""
 
 from __future__ import annotations
 
 import hashlib
-import json
-import os
-import shutil
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from sparkripple.plans.config import Config
@@ -39,27 +42,27 @@ def to_parse(stored: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def write(metadata: DataFrame, directories: DataFrame, config: Config, folder: str) -> str:
-    """Write a new version, then point to it by an atomic rename; returns its name."""
+    """Write a new version, and last the pointer that makes it count; returns its name."""
     name = f"v-{uuid.uuid4().hex}"
     metadata.write.parquet(f"{folder}/{name}/metadata")
     directories.write.parquet(f"{folder}/{name}/directories")
-    with open(f"{folder}/current.tmp", "w", encoding="utf-8") as f:
-        json.dump({"version": VERSION, "config": config_hash(config), "name": name}, f)
-    os.replace(f"{folder}/current.tmp", f"{folder}/current.json")
+    pointer = metadata.sparkSession.createDataFrame([(VERSION, config_hash(config), name, time.time_ns())], "version int, config string, name string, written long")
+    pointer.coalesce(1).write.parquet(f"{folder}/{name}/pointer")
     return name
 
 
 def load(spark: SparkSession, config: Config, folder: str) -> tuple[DataFrame, DataFrame] | None:
-    """(metadata, directories), or None if absent, unreadable, of another version or other settings."""
+    """(metadata, directories) of the newest version, or None if absent, unreadable, of another version or other settings."""
     try:
-        with open(f"{folder}/current.json", encoding="utf-8") as f:
-            current = json.load(f)
-        if (current["version"], current["config"]) != (VERSION, config_hash(config)):
+        newest = spark.read.parquet(f"{folder}/*/pointer").select("version", "config", "name", "written").orderBy(F.col("written").desc(), "name").first()
+        if newest is None or (newest["version"], newest["config"]) != (VERSION, config_hash(config)):
             return None
-        return spark.read.parquet(f"{folder}/{current['name']}/metadata"), spark.read.parquet(f"{folder}/{current['name']}/directories")
-    except (OSError, ValueError, KeyError):
+        return spark.read.parquet(f"{folder}/{newest['name']}/metadata"), spark.read.parquet(f"{folder}/{newest['name']}/directories")
+    except AnalysisException:
         return None
 
 
-def clear(folder: str) -> None:
-    shutil.rmtree(folder, ignore_errors=True)
+def clear(spark: SparkSession, folder: str) -> None:
+    """Delete the folder, on whatever store it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

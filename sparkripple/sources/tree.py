@@ -1,8 +1,9 @@
-"""Source trees as rows: files by path, their text read where Spark's tasks run.
+"""Source trees as rows: directories and files walked, and texts read, where Spark's tasks run.
 
-Spark's file source hides names that begin with a dot or an underscore, so the
-tree is listed by a walk; reading is spread over tasks. The tree must lie on
-storage that every executor mounts.
+Spark's file source hides names that begin with a dot or an underscore, so trees
+are walked. The driver lists the first levels only and deals the directories below
+to tasks. The tree must lie on storage that every executor mounts. Links are not
+followed, so nothing outside the tree is read.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkripple.functions import paths
@@ -20,40 +21,69 @@ from sparkripple.functions import paths
 SKIPPED = (".git", ".gradle", ".idea", ".vscode", ".cursor", "build", "out", "target", "node_modules", "dist", "coverage", ".nx", "venv", ".venv", "__pycache__", ".pytest_cache", ".mypy_cache", ".tox")
 
 
-def matching_dirs(root: str, rel: str, strict_compat: bool = False) -> list[str]:
-    """Directories at any depth that end with rel, the root's own first; with strict_compat none below another."""
-    found = []
-    real_root = os.path.realpath(root)
-    for top, dirs, _ in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if d not in SKIPPED)
-        own = os.path.join(top, rel)
-        inside = os.path.commonpath([real_root, os.path.realpath(own)]) == real_root
-        if os.path.isdir(own) and inside:
-            found.append(own)
-            if strict_compat:
-                first = rel.split("/")[0]
-                dirs[:] = [d for d in dirs if d != first]
-    return found
-
-
-def listing(root: str, dirs: list[str], strict_compat: bool = False) -> list[tuple[str, str, int, int]]:
-    """(root dir, path relative to root, mtime in ms, size) of all sources; links to files are left out."""
-    rows = []
-    for rel in dirs:
-        for base in matching_dirs(root, rel, strict_compat):
-            for top, sub, names in os.walk(base):
-                sub[:] = sorted(d for d in sub if d not in SKIPPED)
-                for name in sorted(names):
-                    full = os.path.join(top, name)
-                    if name.lower().endswith((".java", ".kt")) and not name.startswith(".") and not os.path.islink(full):
-                        info = os.stat(full)
-                        rows.append((rel, os.path.relpath(full, root), int(info.st_mtime * 1000), info.st_size))
-    return rows
-
-
-def scan(spark: SparkSession, root: str, dirs: list[str], strict_compat: bool = False) -> DataFrame:
+#: The driver lists levels until it has so many directories to deal to tasks.
+STARTS = 64
+
+
+def entries(full: str) -> tuple[list[os.DirEntry], list[os.DirEntry]]:
+    """Directories to look into and files of a directory, links left out; none where it can't be read."""
+    try:
+        with os.scandir(full) as found:
+            own = sorted((e for e in found if not e.is_symlink()), key=lambda e: e.name)
+    except OSError:
+        return [], []
+    return [e for e in own if e.is_dir() and e.name not in SKIPPED], [e for e in own if e.is_file()]
+
+
+def walked(spark: SparkSession, root: str) -> DataFrame:
+    """(path, is_dir, mtime in ms, size, child_count) of all directories and sources below root, paths relative to it."""
+    level, above = [""], []
+    while level and len(level) < STARTS:
+        above += level
+        level = [os.path.join(d, e.name) for d in level for e in entries(os.path.join(root, d))[0]]
+    starts = spark.createDataFrame([(d, False) for d in above] + [(d, True) for d in level], "path string, deep boolean")
+
+    def walk(path: str, deep: bool) -> Iterator[tuple]:
+        todo = [path]
+        while todo:
+            own = todo.pop()
+            full = os.path.join(root, own)
+            dirs, files = entries(full)
+            yield own, True, int(os.stat(full).st_mtime * 1000), 0, len(dirs) + len(files)
+            for e in files:
+                if e.name.lower().endswith((".java", ".kt")) and not e.name.startswith("."):
+                    info = e.stat()
+                    yield os.path.join(own, e.name), False, int(info.st_mtime * 1000), info.st_size, 0
+            if deep:
+                todo += [os.path.join(own, e.name) for e in dirs]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, deep in zip(batch["path"], batch["deep"]):
+                yield pd.DataFrame(list(walk(path, deep)), columns=["path", "is_dir", "mtime", "size", "child_count"])
+
+    return starts.repartition(len(above) + len(level)).mapInPandas(run, "path string, is_dir boolean, mtime long, size long, child_count int")
+
+
+def below(path: Column, dirs: list[str]) -> Column:
+    """The first of dirs that the path lies in, at whole segments; null if none."""
+    return F.coalesce(*(F.when(F.concat(F.lit("/"), path).contains(f"/{d.strip('/')}/"), d) for d in dirs), F.lit(None).cast("string"))
+
+
+def files(spark: SparkSession, root: str, dirs: list[str]) -> DataFrame:
+    """(path, dir, mtime, size) of the sources below any of dirs, wherever these lie."""
+    return walked(spark, root).filter("NOT is_dir").select("path", below(F.col("path"), dirs).alias("dir"), "mtime", "size").filter("dir IS NOT NULL")
+
+
+def roots(spark: SparkSession, root: str, rel: str, strict_compat: bool = False) -> DataFrame:
+    """(path): directories at any depth that end with rel; with strict_compat none below another."""
+    found = walked(spark, root).filter("is_dir").select("path").filter(F.concat(F.lit("/"), "path").endswith(f"/{rel.strip('/')}"))
+    return found.filter(below(F.col("path"), [rel]).isNull()) if strict_compat else found
+
+
+def scan(spark: SparkSession, root: str, dirs: list[str]) -> DataFrame:
     """(path, fqn, simple, pkg, dir, mtime, size), one row per class name: the first directory's, then the least path."""
-    rows = spark.createDataFrame(listing(root, dirs, strict_compat), "dir string, path string, mtime long, size long")
+    rows = files(spark, root, dirs)
     rows = rows.withColumn("fqn", paths.fqn_under(F.col("path"), dirs)).withColumns({"simple": paths.simple_name(F.col("fqn")), "pkg": paths.package_of(F.col("fqn"))})
     order = F.array_position(F.lit(list(dirs)), F.col("dir"))
     first = F.row_number().over(Window.partitionBy("fqn").orderBy(order, "path"))
@@ -74,16 +104,11 @@ def texts(files: DataFrame, root: str) -> DataFrame:
         for batch in batches:
             yield batch.assign(content=[read(p) for p in batch["path"]])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
     return files.mapInPandas(run, f"{fields}, content string")
 
 
 def directories(spark: SparkSession, root: str, dirs: list[str]) -> DataFrame:
-    """(path, mtime, child_count) of every directory scanned, to tell whether a snapshot still holds."""
-    rows = []
-    for rel in dirs:
-        for base in matching_dirs(root, rel):
-            for top, sub, names in os.walk(base):
-                sub[:] = sorted(d for d in sub if d not in SKIPPED)
-                rows.append((os.path.relpath(top, root), int(os.stat(top).st_mtime * 1000), len(sub) + len(names)))
-    return spark.createDataFrame(rows, "path string, mtime long, child_count int")
+    """(path, mtime, child_count) of every directory in or below dirs, to tell whether a snapshot still holds."""
+    inside = below(F.concat("path", F.lit("/")), dirs).isNotNull()
+    return walked(spark, root).filter("is_dir").filter(inside).select("path", "mtime", "child_count")

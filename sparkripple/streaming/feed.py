@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkripple.plans import engine
@@ -12,14 +13,31 @@ from sparkripple.plans.config import Config
 
 
 def decide_each_batch(changed_files: DataFrame, index: Mapping[str, DataFrame], config: Config, out: str, checkpoint: str) -> StreamingQuery:
-    """Analyse each micro-batch of (diff_id, path) and append its decisions under out; a diff must lie in one batch.
+    """Analyse (diff_id, path) as it comes and append decisions and selected tests under out.
 
-    A batch writes under its own number, so that one that is run again replaces its rows.
+    A diff may come in several micro-batches: each batch's files are kept, and a diff
+    that it touches is decided anew from all its files so far; latest() gives the
+    standing decisions. A batch writes under its own number, so that one that is run
+    again replaces its rows.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        decisions, selected = engine.analyse(batch, index, config)
+        spark = batch.sparkSession
+        batch.select("diff_id", "path").write.mode("overwrite").parquet(f"{out}/changed/batch={number}")
+        # Of later batches there are none yet, unless a folder of another run is used again.
+        so_far = spark.read.parquet(f"{out}/changed").filter(F.col("batch") <= number)
+        touched = so_far.filter(F.col("batch") == number).select("diff_id").distinct()
+        decisions, selected = engine.analyse(so_far.join(touched, "diff_id", "left_semi").select("diff_id", "path"), index, config)
         decisions.write.mode("overwrite").parquet(f"{out}/decisions/batch={number}")
         selected.write.mode("overwrite").parquet(f"{out}/selected/batch={number}")
 
     return changed_files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """The decisions and selected tests that stand: those of each diff's last batch."""
+    decisions = spark.read.parquet(f"{out}/decisions")
+    last = F.row_number().over(Window.partitionBy("diff_id").orderBy(F.col("batch").desc()))
+    standing = decisions.withColumn("n", last).filter("n = 1").drop("n")
+    selected = spark.read.parquet(f"{out}/selected").join(standing.select("diff_id", "batch"), ["diff_id", "batch"], "left_semi")
+    return standing, selected

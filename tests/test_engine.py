@@ -4,48 +4,17 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from sparkripple.functions import source_text
-from sparkripple.operators import dispatch, selection
+from sparkripple.functions import paths, source_text
+from sparkripple.operators import dispatch
 from sparkripple.plans import config as settings
-from sparkripple.plans import engine, report
+from sparkripple.plans import engine, index, report
 from sparkripple.plans.config import DEFAULTS, SITUATIONS, Config
 
 
-def tree(spark, files, cfg=None):
-    """The index relations of a tree of path: text."""
-    cfg = cfg or Config()
+def tree(spark, files, cfg=None, gone=("gone.Gone",)):
+    """The index of a tree of path: text."""
     rows = spark.createDataFrame(list(files.items()), "path string, content string")
-    classified = engine.classify(rows.select(F.lit("x").alias("diff_id"), "path"), Config(ignore_paths=(), source_dirs=cfg.source_dirs, test_dirs=cfg.test_dirs))
-    meta = source_text.metadata(rows).join(classified.select("path", "bucket"), "path")
-    fqn = F.coalesce(*(source_fqn(dirs) for dirs in (cfg.test_dirs, cfg.source_dirs)))
-    meta = meta.withColumn("fqn", fqn).withColumn("simple", F.substring_index("fqn", ".", -1)).cache()
-    tests, sources = meta.filter("bucket = 'test'"), meta.filter("bucket = 'production'")
-
-    def refs(m, column):
-        return m.select("fqn", "pkg", F.explode(column).alias("name"))
-
-    def imports(m):
-        return m.select("fqn", F.posexplode("imports").alias("ord", "i")).select("fqn", "i.*", "ord")
-
-    known = meta.select("fqn")
-    dependencies = selection.resolved(refs(sources, "type_ref_simple"), imports(sources), known.union(spark.createDataFrame([("gone.Gone",)], "fqn string")))
-    postings = selection.posting(rows).join(sources.select("path", "fqn"), "path").select(F.col("fqn").alias("path"), "token")
-    decls = sources.select("pkg", F.explode("type_decls").alias("d")).select(F.concat_ws(".", "pkg", "d.simple_name").alias("fqn"), F.explode("d.supertypes").alias("supertype"))
-    return {
-        "tests": tests.select("fqn", "simple", "pkg", "path"),
-        "sources": sources.select("fqn", "simple"),
-        "imports": imports(tests),
-        "simple_refs": refs(tests, "type_ref_simple"),
-        "dotted_refs": refs(tests, "type_ref_dotted").select("fqn", "name"),
-        "decls": decls,
-        "edges": selection.used_by(postings, dependencies),
-    }
-
-
-def source_fqn(dirs):
-    from sparkripple.functions import paths
-
-    return paths.fqn_under(F.col("path"), list(dirs))
+    return index.build(rows, cfg or Config(), spark.createDataFrame([(x,) for x in gone], "fqn string"))
 
 
 def src(name, body, pkg="com.example"):
@@ -153,12 +122,12 @@ CANNED = {
 
 
 def test_situations_and_modes(spark):
-    index = tree(spark, dict(GREETERS))
+    own = tree(spark, dict(GREETERS))
     diff = lambda s: spark.createDataFrame([("d", p) for p in CANNED[s][0]], "diff_id string, path string")
     broken = spark.createDataFrame([("d", 1)], "diff_id string, n_failed int")
     for situation, (_, knobs) in CANNED.items():
         config = Config(mode="CI", **knobs)
-        decision = engine.analyse(diff(situation), index, config, diffs=spark.createDataFrame([("d",)], "diff_id string"), failures=broken if situation == "DISCOVERY_INCOMPLETE" else None)[0].collect()[0]
+        decision = engine.analyse(diff(situation), own, config, diffs=spark.createDataFrame([("d",)], "diff_id string"), failures=broken if situation == "DISCOVERY_INCOMPLETE" else None)[0].collect()[0]
         assert (decision["situation"], decision["action"]) == (situation, DEFAULTS[situation][1])
         assert decision["run_all"] == (decision["action"] == "FULL_SUITE") == (decision["escalation_reason"] != "NONE")
     for i, mode in enumerate(("LOCAL", "CI", "STRICT")):
@@ -188,7 +157,9 @@ def test_config_rules():
         assert Config(base_ref=good)
     with pytest.raises(ValueError, match="on_discovery_empty"):
         settings.from_knobs({"run_all_if_no_matches": True})
-    assert settings.boolean("Off") is False and settings.boolean("maybe") is True
+    assert settings.boolean("Off") is False and settings.boolean("yes") is True
+    with pytest.warns(UserWarning, match="no boolean"):
+        assert settings.boolean("maybe") is True
 
 
 def test_modules_and_tasks(spark):
@@ -196,37 +167,117 @@ def test_modules_and_tasks(spark):
     modules = spark.createDataFrame([("api", ":api"), ("api/v1", ":api:v1")], "dir string, gradle_path string")
     routes = dispatch.routed(files, modules, ["test", "it"])
     assert {r["fqn"]: r["task_key"] for r in routes.collect()} == {"a.T1": ":api:test", "a.T2": ":api:v1:it", "a.T3": ":test", "bad name": ":test"}
-    assert {r["task_key"]: r["tests"] for r in dispatch.plan(routes).collect()} == {":api:test": "a.T1", ":api:v1:it": "a.T2", ":test": "a.T3"}
+    assert {(r["task_key"], r["n_tests"], r["place"], r["fqn"]) for r in dispatch.plan(routes).collect()} == {(":api:test", 1, 1, "a.T1"), (":api:v1:it", 1, 1, "a.T2"), (":test", 1, 1, "a.T3")}
+    deep = "/".join(f"d{i}" for i in range(100))
+    far = spark.createDataFrame([("d", "a.T", f"{deep}/src/test/java/a/T.java")], "diff_id string, fqn string, path string")
+    assert dispatch.routed(far, spark.createDataFrame([(deep, ":deep")], "dir string, gradle_path string"), ["test"]).first()["task_key"] == ":deep:test"
+    ordered = spark.createDataFrame([("d", ":test", f"a.T{9 - i}", i) for i in range(8)], "diff_id string, task_key string, fqn string, ord int")
+    assert [(r["fqn"], r["remaining"]) for r in dispatch.preview(ordered).orderBy("place").collect()] == [(f"a.T{9 - i}", 3) for i in range(5)]
 
 
-def test_reports(spark):
-    diff = spark.createDataFrame([("d", GREETERS[0][0]), ("d", "x.md")], "diff_id string, path string")
-    config = Config(mode="LOCAL")
-    decisions, selected = engine.analyse(diff, tree(spark, dict(GREETERS)), config)
-    decisions = decisions.withColumn("n_prod_classes", F.col("n_prod"))
-    assert report.summary(decisions).first()["line"] == "Impacted Tests: SELECTED (DISCOVERY_SUCCESS) — 2 changed file(s), 1 production class(es), 3 test class(es) affected"
-    routes = dispatch.routed(selected, spark.createDataFrame([], "dir string, gradle_path string"), ["test"])
-    lines = [r["line"] for r in report.explain(decisions, engine.classify(diff, config), routes, config).orderBy("line_no").collect()]
-    assert "Changed files:   2" in lines and "  ignored: x.md" in lines and "  :test 3" in lines and "  DISCOVERY_EMPTY          SKIPPED [MODE_DEFAULT]" in lines
-    body = json.loads(report.explain_json(decisions, config).first()["json"])
-    assert list(body)[:3] == ["version", "baseRef", "mode"] and body["buckets"]["production"] == 1 and body["version"] == 2
+NO_MODULES = "dir string, gradle_path string"
 
 
-def test_full_json(spark):
+def test_reports(spark):
+    diff = spark.createDataFrame([("d", GREETERS[0][0]), ("d", "x.md")], "diff_id string, path string")
+    config = Config(mode="LOCAL", out_of_scope_test_dirs=("api-test",))
+    own = tree(spark, dict(GREETERS))
+    trace = engine.trace(diff, own, config)
+    assert report.summary(trace.decisions).first()["line"] == "Impacted Tests: SELECTED (DISCOVERY_SUCCESS) — 2 changed file(s), 1 production class(es), 3 test class(es) affected"
+    routes = dispatch.routed(trace.chosen(), spark.createDataFrame([], NO_MODULES), ["test"])
+    profile = engine.profile(trace.classes, own, config)
+    assert [(r["strategy"], r["ord"]) for r in profile.collect()] == [(s, i) for i, s in enumerate(settings.STRATEGIES)] and profile.filter("strategy = 'impl'").first()["tests"] == 2
+    lines = [r["line"] for r in report.explain(trace.decisions, trace.classified, routes, config, found=trace.found, profile=profile).orderBy("line_no").collect()]
+    assert "Changed files:   2" in lines and "  ignored sample: x.md" in lines and "  DISCOVERY_EMPTY          SKIPPED [MODE_DEFAULT]" in lines
+    assert "Modules:         1 module, 3 test classes to dispatch" in lines and "  :test (3 test classes)" in lines and "    com.example.GreetServiceTest" in lines
+    assert any(x.startswith("Hint: out_of_scope_test_dirs (1 in all)") for x in lines)
+    block = lines[[x.startswith("Discovery:") for x in lines].index(True) :][:5]
+    assert block[0].startswith("Discovery:       serial (") and [x.split()[0] for x in block[1:]] == list(settings.STRATEGIES) and "(2 tests" in block[3]
+
+
+def test_hints(spark):
+    """Lines per situation, of cross-package matches, unread languages and Kotlin sources."""
+    config = Config(mode="CI")
+    files = [src("Foo", "class Foo { }"), *(test("FooTest", "class FooTest { }", f"p{i:02}") for i in range(12)), ("src/main/java/com/example/K.kt", "package other\nclass K"), ("src/main/java/com/example/Bad.kt", "package com.example\nclass Bad {")]
+    diff = [("cross", files[0][0]), ("empty", "src/main/java/com/example/None.java"), ("odd", "a/b.scala"), ("odd", "c.groovy"), ("odd", "build.gradle.kts"), ("odd", "z/K.kt"), ("kt", "src/main/java/com/example/K.kt")]
+    only = Config(mode="CI", strategies=("naming",))
+    own = tree(spark, dict(files), only)
+    trace = engine.trace(spark.createDataFrame(diff, "diff_id string, path string"), own, only)
+    cross = engine.cross_package(trace.classes, trace.chosen(), own, only)
+    kotlin = source_text.kotlin_counters(own["metadata"], ["src/main/java"])
+    routes = dispatch.routed(trace.chosen(), spark.createDataFrame([], NO_MODULES), ["test"])
+    lines = {}
+    for r in report.explain(trace.decisions, trace.classified, routes, config, cross=cross, kotlin=kotlin).orderBy("line_no").collect():
+        lines.setdefault(r["diff_id"], []).append(r["line"])
+    assert "Hint: naming selected 12 tests of another package than the changed class; the names may meet by chance." in lines["cross"]
+    assert "  * com.example.Foo → p00.FooTest" in lines["cross"] and "  … (+2 more)" in lines["cross"]
+    assert "    … and 7 more" in lines["cross"] and "Hint: Kotlin source read as other.K." in lines["cross"]
+    assert "Hint: no test found for 1 changed production file; it may be that" in lines["empty"] and "  * the test lies outside src/test/java" in lines["empty"]
+    assert "Hint: Kotlin file src/main/java/com/example/K.kt declares package other, its path says com.example; naming goes by the path, other strategies by the declaration." in lines["kt"]
+    assert "Hint: a Kotlin file could not be parsed; it counts towards DISCOVERY_INCOMPLETE." in lines["kt"]
+    assert [x for x in lines["odd"] if x.startswith("Hint")] == ["Hint: .groovy files are known by their path alone; no strategy reads them.", "Hint: .scala files are known by their path alone; no strategy reads them.", "Hint: a Kotlin source lies in no source or test directory and is unmapped."]
+    off = Config(mode="CI", kotlin_enabled=False, strategies=("naming",))
+    told = [r["line"] for r in report.explain(trace.decisions, trace.classified, routes, off, kotlin=kotlin).filter("diff_id = 'kt'").collect()]
+    assert "Hint: Kotlin sources are known by their path alone, their text is not read." in told
+    counters = kotlin.first()
+    assert (counters["n_failed"], counters["n_mapped"], counters["n_mismatch"]) == (1, 1, 1)
+
+
+def test_unparsed_files_that_strategies_touch(spark):
+    """Which of two unparsed sources and one unparsed test count, by the strategies that are on."""
+    files = [*GREETERS, src("Broken", "class Broken { Greeter g;"), src("Apart", "class Apart { (")] + [test("BrokenTest", "class BrokenTest {")]
+    changed = [GREETERS[0][0]]
+    for strategies, failed in ((("naming",), 0), (("usage",), 1), (("impl",), 2), (("usage", "impl"), 3), (("transitive",), 2), (("naming", "usage", "impl", "transitive"), 3)):
+        cfg = Config(mode="LOCAL", strategies=strategies)
+        decision, found = run(spark, files, changed, cfg)
+        assert (decision["n_failed"], decision["situation"]) == (failed, "DISCOVERY_INCOMPLETE" if failed else "DISCOVERY_SUCCESS" if found else "DISCOVERY_EMPTY"), strategies
+    decision, _ = run(spark, files, changed, Config(mode="CI"))
+    assert (decision["action"], decision["escalation_reason"]) == ("FULL_SUITE", "RUN_ALL_ON_DISCOVERY_INCOMPLETE")
+    local = Config(mode="LOCAL")
+    trace = engine.trace(spark.createDataFrame([("d", changed[0])], "diff_id string, path string"), tree(spark, dict(files)), local)
+    assert report.warnings(trace.decisions, local).first()["line"].startswith("partial selection of 3 test classes: ") and report.warnings(trace.decisions, Config(mode="CI")).isEmpty()
+    lines = [r["line"] for r in report.explain(trace.decisions, trace.classified, dispatch.routed(trace.chosen(), spark.createDataFrame([], NO_MODULES), ["test"]), local).collect()]
+    assert any("the selection lacks their tests" in x for x in lines)
+
+
+def test_out_of_scope_and_markers_are_not_indexed(spark):
+    cfg = Config(out_of_scope_test_dirs=("api-test",), out_of_scope_source_dirs=("old/**",))
+    files = [*GREETERS, ("api-test/src/test/java/a/ApiTest.java", "package a; class ApiTest { }"), ("old/src/main/java/a/Old.java", "package a; class Old { }"), ("src/main/java/a/package-info.java", "package a;"), ("b/src/main/java/com/example/Greeter.java", "package com.example; class Greeter { }")]
+    own = tree(spark, dict(files), cfg)
+    assert {r["fqn"] for r in own["tests"].collect()} == {f"com.example.{x}" for x in ("EnglishGreeterTest", "GreetServiceTest", "GreeterContractTest")}
+    assert sorted(r["fqn"] for r in own["sources"].collect()) == [f"com.example.{x}" for x in ("EnglishGreeter", "GreetService", "Greeter")]
+    assert own["metadata"].filter("fqn = 'com.example.Greeter'").first()["path"] == "b/src/main/java/com/example/Greeter.java"
+
+
+def test_diff_of_tests_alone_parses_nothing(spark):
+    own = tree(spark, dict(GREETERS))
+    diff = spark.createDataFrame([("d", GREETERS[3][0]), ("e", "src/test/java/com/example/GoneTest.java")], "diff_id string, path string")
+    decisions, selected = engine.analyse(diff, own, Config(mode="CI"))
+    assert {r["diff_id"]: r["situation"] for r in decisions.collect()} == {"d": "DISCOVERY_SUCCESS", "e": "DISCOVERY_EMPTY"}
+    assert [r["fqn"] for r in selected.collect()] == ["com.example.EnglishGreeterTest"] and set(own.made) == {"tests"}
+
+
+def test_class_name_of_a_test_file(spark):
+    rows = [("a/src/test/java/x/src/test/java/y/T.java", "p", "T"), ("odd/place/T.kt", "p.q", "T"), ("odd/T.java", "", "T"), ("nosrc/test/java/z/U.java", "p", "U")]
+    df = spark.createDataFrame(rows, "path string, pkg string, primary_type string")
+    got = [r[0] for r in df.select(paths.fqn_of_test(F.col("path"), ["src/test/java"], F.col("pkg"), F.col("primary_type"))).collect()]
+    assert got == ["y.T", "p.q.T", "T", "z.U"]
+
+
+def test_json(spark):
     diff = spark.createDataFrame([("d", GREETERS[0][0]), ("d", "x.md"), ("m", "x.md")], "diff_id string, path string")
     config = Config(mode="LOCAL")
-    index = tree(spark, dict(GREETERS))
-    decisions, selected = engine.analyse(diff, index, config)
-    classified = engine.classify(diff, config)
-    found = engine.discover(engine.changed_classes(classified, config), index, config)
-    routes = dispatch.routed(selected, spark.createDataFrame([], "dir string, gradle_path string"), ["test"])
-    got = {r["diff_id"]: json.loads(r["json"]) for r in report.full_json(decisions, classified, routes, found, config).collect()}
+    own = tree(spark, dict(GREETERS))
+    trace = engine.trace(diff, own, config)
+    routes = dispatch.routed(trace.chosen(), spark.createDataFrame([], NO_MODULES), ["test"])
+    got = {r["diff_id"]: json.loads(r["json"]) for r in report.explain_json(trace.decisions, trace.classified, routes, trace.found, config, profile=engine.profile(trace.classes, own, config)).collect()}
     body = got["d"]
     assert list(body) == ["version", "baseRef", "mode", "changedFiles", "buckets", "samples", "situation", "action", "outcome", "modules", "discovery", "actionMatrix"]
-    assert body["mode"] == {"configured": "LOCAL", "effective": "LOCAL"} and body["samples"] == {"ignored": ["x.md"], "production": [GREETERS[0][0]]}
-    assert body["outcome"] == {"kind": "SELECTED", "selectedClassCount": 3, "escalationReason": "NONE"}
+    assert body["version"] == 2 and body["mode"] == {"configured": "LOCAL", "effective": "LOCAL"} and body["samples"] == {"ignored": ["x.md"], "production": [GREETERS[0][0]]}
+    assert body["outcome"] == {"kind": "SELECTED", "selectedClassCount": 3, "escalationReason": "NONE"} and body["action"] == {"name": "SELECTED", "source": "EXPLICIT"}
     assert [m["task"] for m in body["modules"]] == [":test"] and len(body["modules"][0]["fqns"]) == 3
-    counts = {r["strategy"]: r["n_tests"] for r in engine.strategy_counts(found).collect()}
-    assert body["discovery"]["perStrategy"] == [{"name": s, "tests": counts.get(s, 0)} for s in settings.STRATEGIES] and counts
+    counts = {r["strategy"]: r["n_tests"] for r in engine.strategy_counts(trace.found).collect()}
+    assert [(x["name"], x["tests"]) for x in body["discovery"]["perStrategy"]] == [(s, counts.get(s, 0)) for s in settings.STRATEGIES] and counts
+    assert body["discovery"]["totalMillis"] == sum(x["millis"] for x in body["discovery"]["perStrategy"]) > 0 and body["discovery"]["concurrencyLevel"] > 0
     assert body["actionMatrix"] == {s: dict(zip(("action", "source"), config.action(s, "LOCAL"))) for s in SITUATIONS}
-    assert got["m"]["modules"] == [] and got["m"]["discovery"] == {"perStrategy": []} and got["m"]["situation"] == "ALL_FILES_IGNORED"
+    assert got["m"]["modules"] == [] and got["m"]["discovery"] == {"parallelEnabled": False, "concurrencyLevel": 0, "totalMillis": 0, "perStrategy": []} and got["m"]["situation"] == "ALL_FILES_IGNORED"

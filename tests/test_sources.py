@@ -7,9 +7,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 from sparkripple.functions import source_text
-from sparkripple.plans import corpus, engine
+from sparkripple.plans import corpus, engine, index
 from sparkripple.plans.config import Config
-from sparkripple.sources import git, snapshot, tree
+from sparkripple.sources import git, snapshot, source_sets, tree
 from sparkripple.streaming import feed
 
 SF = "/root/testdata/sf0.001"
@@ -50,6 +50,7 @@ def test_kotlin_metadata(spark):
     got = {r["path"]: r for r in source_text.metadata(rows).collect()}
     foo = got["src/Foo.kt"]
     assert (foo["pkg"], foo["primary_type"], got["src/util.kt"]["primary_type"]) == ("a.b", "Foo", "utilKt")
+    assert foo["jvm_name"] and not got["src/util.kt"]["jvm_name"] and "Str" in foo["words"]
     assert {(i["name"], i["is_static"], i["is_asterisk"]) for i in foo["imports"]} == {("a.Other", False, False), ("a.c", False, True)}
     assert {"Par", "Hidden", "List", "Arg", "Ret"} <= set(foo["type_ref_simple"]) and "Str" not in foo["type_ref_simple"]
     decls = {d["simple_name"]: d["supertypes"] for d in foo["type_decls"]}
@@ -116,18 +117,64 @@ def test_tree_and_snapshot(spark, repo, tmp_path_factory):
     assert stored.count() == 3 and snapshot.drifted(old, dirs).count() == 0
     assert snapshot.reusable(stored, files).count() == 3 and snapshot.to_parse(stored, files.withColumn("size", F.col("size") + 1)).count() == 3
     assert snapshot.load(spark, Config(source_dirs=("x",)), folder) is None
-    snapshot.clear(folder)
+    snapshot.write(meta.filter("pkg = 'a'"), dirs, config, folder)
+    assert snapshot.load(spark, config, folder)[0].count() == 2
+    snapshot.clear(spark, folder)
     assert snapshot.load(spark, config, folder) is None
 
 
+def test_index_from_a_tree_with_a_snapshot(spark, repo, tmp_path_factory):
+    """Nothing is read again while the snapshot holds; a changed file is; all is after a directory changed."""
+    root, put, _ = repo
+    put("src/test/java/a/KeepTest.java", "package a; class KeepTest { Keep k; }")
+    folder, config = str(tmp_path_factory.mktemp("snap")), Config(mode="CI")
+    diff = spark.createDataFrame([("d", "src/main/java/a/Keep.java")], "diff_id string, path string")
+    texts, read = tree.texts, []
+    tree.texts = lambda files, root: read.append(sorted(r["path"] for r in files.select("path").collect())) or texts(files, root)
+    try:
+        for touched in (None, None, "src/main/java/a/Keep.java", "src/main/java/b/More.java"):
+            if touched:
+                put(touched, "package b; class More { /* longer */ }" if "More" in touched else "package a; class Keep { int longer; }")
+            own = index.from_tree(spark, str(root), config, folder)
+            assert [r["fqn"] for r in engine.analyse(diff, own, config)[1].collect()] == ["a.KeepTest"]
+    finally:
+        tree.texts = texts
+    everything = ["src/main/java/a/Keep.java", "src/main/java/a/New.java", "src/test/java/a/KeepTest.java"]
+    assert read == [everything, [], ["src/main/java/a/Keep.java"], sorted([*everything, "src/main/java/b/More.java"])]
+
+
+def test_roots(spark, repo):
+    root, put, _ = repo
+    put("src/main/java/x/src/main/java/Y.java", "")
+    put("mod/src/main/java/Z.java", "")
+    put("nosrc/main/java/N.java", "")
+    os.symlink("/tmp", root / "out_there")
+    found = lambda **k: sorted(r["path"] for r in tree.roots(spark, str(root), "src/main/java", **k).collect())
+    assert found() == ["mod/src/main/java", "src/main/java", "src/main/java/x/src/main/java"] and found(strict_compat=True) == ["mod/src/main/java", "src/main/java"]
+
+
+def test_source_sets(spark):
+    sets = [("p", "/r/p", "main", ["/r/p/src/main/java"], ["/r/p/c/main"]), ("p", "/r/p", "test", ["/r/p/src/test/java", "/elsewhere/gen"], ["/r/p/c/test"]), ("p", "/r/p", "it", ["/r/p/src/it/java"], ["/r/p/c/it"]), ("p", "/r/p", "bare", ["/r/p/src/bare/java"], [])]
+    tasks = [("p", "test", ["/r/p/c/test"], 0), ("p", "slow", ["/r/p/c/test", "/r/p/c/it"], 1), ("p", "bare", [], 2), ("q", "main", [], 3)]
+    rows = (spark.createDataFrame(sets, "project string, project_dir string, name string, src_dirs array<string>, class_dirs array<string>"), spark.createDataFrame(tasks, "project string, task string, class_dirs array<string>, ord int"))
+    assert {r["name"]: r["task"] for r in source_sets.paired(*rows).collect()} == {"main": None, "test": "test", "it": "slow", "bare": "bare"}
+    got = sorted(tuple(r) for r in source_sets.directories(*rows).collect())
+    assert got == [("source_dir", "src/main/java"), ("test_dir", "src/bare/java"), ("test_dir", "src/it/java"), ("test_dir", "src/test/java"), ("test_task", "bare"), ("test_task", "slow"), ("test_task", "test")]
+
+
 def test_stream(spark, tmp_path):
     rows = spark.createDataFrame([("d1", "a.md"), ("d2", "src/main/x.yml")], "diff_id string, path string")
     rows.write.json(f"{tmp_path}/in")
     stream = spark.readStream.schema(rows.schema).json(f"{tmp_path}/in")
-    index = corpus.index(spark, SF)
-    feed.decide_each_batch(stream, index, Config(mode="CI"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    got = {r["diff_id"]: r["situation"] for r in spark.read.parquet(f"{tmp_path}/out/decisions").collect()}
+    own = corpus.index(spark, SF)
+    feed.decide_each_batch(stream, own, Config(mode="CI"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = {r["diff_id"]: r["situation"] for r in feed.latest(spark, f"{tmp_path}/out")[0].collect()}
     assert got == {"d1": "ALL_FILES_IGNORED", "d2": "UNMAPPED_FILE"}
+    # More of a diff in a later batch: it is decided anew from all its files.
+    spark.createDataFrame([("d1", "src/main/y.yml"), ("d3", "b.md")], rows.schema).write.mode("append").json(f"{tmp_path}/in")
+    feed.decide_each_batch(stream, own, Config(mode="CI"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = {r["diff_id"]: (r["situation"], r["n_files"]) for r in feed.latest(spark, f"{tmp_path}/out")[0].collect()}
+    assert got == {"d1": ("UNMAPPED_FILE", 2), "d2": ("UNMAPPED_FILE", 1), "d3": ("ALL_FILES_IGNORED", 1)}
 
 
 @pytest.mark.parametrize("name", sorted(corpus.queries()))

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ LEAST_CHI = 24.0
 HELD_OUT = (5, 0)
 #: Weight of half the squared weights in the loss.
 PENALTY = 2e-2
+#: Rows that are scored and handed on at a time.
+ROWS = 512
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCES = re.compile(r"[.!?\n]+")
 
@@ -208,27 +211,34 @@ def scorer(weights: dict[int, float], bias: float):
     return score
 
 
-def scored_text(weights: dict[int, float], bias: float):
-    """A function of a text column: struct of score, predicted and sentences."""
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted, sentences that offend."""
+    n, rest = HELD_OUT
+    weights, bias = train(docs, labels)
 
-    @F.pandas_udf("struct<score: double, predicted: int, sentences: array<string>>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, known = scorer(weights, bias), {}
-        for texts in parts:
-            got = [one(text or "", known) for text in texts]
-            scores = [x[0] for x in got]
-            yield pd.DataFrame({"score": scores, "predicted": [int(x >= 0.5) for x in scores], "sentences": [x[1] for x in got]})
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                part = batch.iloc[at : at + ROWS]
+                got = [one(text or "", known) for text in part["text"]]
+                scores = [x[0] for x in got]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "score": scores, "predicted": [int(x >= 0.5) for x in scores], "sentences": [x[1] for x in got]})
 
-    return run
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double, predicted int, sentences array<string>")
+    return own.select("doc_id", (fold("doc_id", n) == rest).alias("held_out"), "score", "predicted", "sentences")
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted, sentences that offend."""
-    n, rest = HELD_OUT
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scored_text(*train(docs, labels))("text").alias("own"))
-    return own.select("doc_id", (fold("doc_id", n) == rest).alias("held_out"), "own.score", "own.predicted", "own.sentences")
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not predicted toxic, with their own columns, which pass through untouched."""
+    weights, bias = train(docs, labels)
+    at_text = docs.columns.index("text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, known = scorer(weights, bias), {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield part.filter(pa.array([one(text or "", known)[0] < 0.5 for text in part.column(at_text).to_pylist()]))
 
-def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not predicted toxic, with their own columns."""
-    return docs.filter(scored_text(*train(docs, labels))("text")["predicted"] == 0)
+    return docs.mapInArrow(run, docs.schema)

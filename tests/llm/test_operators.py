@@ -525,6 +525,22 @@ def test_embeddings(spark):
     assert embedding_dedup.link(df.limit(0)).count() == 0
 
 
+def test_embeddings_like_sql(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.standard_normal((60, 16)), 5, axis=0)
+    x[60:] += 0.07 * rng.standard_normal((240, 16))
+    rows = [(300 - i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(301, None), (302, [0.0] * 16), (303, [float("nan")] * 16), (304, [None] + [1.0] * 15), (305, []), (306, [1.0] * 8), (307, [3.0] * 8), (308, [float("inf")] * 16), (None, [1.0] * 8)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = db.execute(queries.oracle_sql()["op8_embedding_dedup"]).fetchall()
+    got = queries.queries()["op8_embedding_dedup"](spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and sum(r[1] for r in want) > 500
+
+
 def test_embeddings_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
     monkeypatch.setattr(embedding_dedup, "HALO", 32)

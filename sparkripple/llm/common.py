@@ -53,6 +53,16 @@ def share_bound(share: float) -> int:
     return TOP if share >= 1 else int(share * TOP)
 
 
+def carried(of: str = "doc_id") -> Column:
+    """The 64-bit id as text, for the way through pandas, which would make a column that holds a null one of doubles."""
+    return F.col(of).cast("long").cast("string").alias(of)
+
+
+def restored(df: DataFrame, of: str = "doc_id") -> DataFrame:
+    """df with a carried() id as a number again."""
+    return df.withColumn(of, F.col(of).cast("long"))
+
+
 def own_name(df: DataFrame, wish: str) -> str:
     """wish, or wish with underscores before it, so that no column of df has the name, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -25,7 +25,7 @@ meet, and only the pivots go through the driver.
 Equal vectors are one representative with a count, compared once. Vectors that
 are null, zero, or hold null or non-finite components link with nothing; vectors
 of different lengths never link. Numbers of double precision keep it. Repeated ids
-keep a row each. Extra columns are ignored; an empty table gives no rows.
+keep a row each, of equal vectors or not. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -270,12 +270,16 @@ def link(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     good = F.coalesce(sound, F.lit(False)) & F.col("vec_id").isNotNull()
-    reps = cut(rows.filter(good).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    found = find_links(reps, passes, threshold).filter("links > 0 OR root <> rep")
+    distinct = rows.filter(good).groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    # Numbered as they are written: an id may stand for several vectors.
+    reps = cut(distinct.withColumn("rep", F.monotonically_increasing_id()))
+    found = find_links(reps.drop("least"), passes, threshold).filter("links > 0 OR root <> rep")
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
-    known = reps.join(counted, "rep", "left").join(stars(edges), F.col("rep") == F.col("node"), "left")
-    known = known.select(F.col("embedding").alias("of"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    roots = cut(stars(edges))
+    smallest = roots.join(reps.select(F.col("rep").alias("node"), "least"), "node").groupBy("root").agg(F.min("least").alias("smallest"))
+    known = reps.join(counted, "rep", "left").join(roots.join(smallest, "root"), F.col("rep") == F.col("node"), "left")
+    known = known.select(F.col("embedding").alias("of"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("smallest", "least").alias("component_id"))
     out = rows.withColumn("good", good).withColumn("own", F.when(F.col("good"), F.col("embedding"))).join(known, F.col("own") == F.col("of"), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkripple.llm.common import cut, fold, hash63, share_bound
+from sparkripple.llm.common import carried, cut, fold, hash63, restored, share_bound
 
 DIMENSIONS = 8192
 CLUSTERS = 4
@@ -158,6 +158,6 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
                         lang[i], score[i], rejected[i] = m["names"][j], min(1.0, max(0.0, float(s))), s < m["limits"][j]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "lang_pred": lang, "score": score, "rejected": rejected})
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = own.mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean")
-    return out.select("doc_id", (fold("doc_id", n) == rest).alias("held_out"), "lang_pred", "score", "rejected")
+    own = docs.select(carried(), "text")
+    out = own.mapInPandas(run, "doc_id string, lang_pred string, score double, rejected boolean")
+    return restored(out).select("doc_id", (fold("doc_id", n) == rest).alias("held_out"), "lang_pred", "score", "rejected")

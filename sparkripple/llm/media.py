@@ -27,11 +27,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkripple.llm.common import carried, restored
+
 COLUMNS = 64
 TILE_ROWS = 4096
 #: Numbers of the integral image that are in memory at a time.
 STRIP_CELLS = 1 << 18
-SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles long"
+SCHEMA = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles long"
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -148,8 +150,8 @@ def text_media(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([(doc_id, *media_row(text)) for doc_id, text in zip(batch["doc_id"], batch["text"])], columns=names)
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.mapInPandas(run, SCHEMA)
+    own = docs.select(carried(), F.coalesce("text", F.lit("")).alias("text"))
+    return restored(own.mapInPandas(run, SCHEMA))
 
 
 def resize_images(images: DataFrame, rows: int, columns: int) -> DataFrame:
@@ -157,7 +159,7 @@ def resize_images(images: DataFrame, rows: int, columns: int) -> DataFrame:
 
     Samples keep the width of the image's own, so those of 16 bits stay unscaled. Null or unreadable data gives nulls in all columns but id.
     """
-    schema = "id long, height long, width long, tile binary, hash string"
+    schema = "id string, height long, width long, tile binary, hash string"
 
     def one(data) -> tuple:
         try:
@@ -170,4 +172,4 @@ def resize_images(images: DataFrame, rows: int, columns: int) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([(i, *one(data)) for i, data in zip(batch["id"], batch["data"])], columns=["id", "height", "width", "tile", "hash"]).astype({"height": "Int64", "width": "Int64"})
 
-    return images.select(F.col("id").cast("long").alias("id"), "data").mapInPandas(run, schema)
+    return restored(images.select(carried("id"), "data").mapInPandas(run, schema), "id")

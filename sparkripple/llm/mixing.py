@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkripple.llm.common import cut, n_words
+from sparkripple.llm.common import carried, cut, n_words, restored
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
@@ -35,7 +35,7 @@ FAN = 64
 RUN = 4096
 #: Sources up to this many go to all executors (some hundred bytes each); beyond, the join is by shuffle.
 BROADCAST_SOURCES = 20_000
-ROWS = "doc_id long, source string, size long, content long, source_size long, target double, whole long, part double, mark long, bucket long"
+ROWS = "doc_id string, source string, size long, content long, source_size long, target double, whole long, part double, mark long, bucket long"
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -152,6 +152,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
         .withColumn("whole", F.floor("copies"))
         .withColumn("part", F.col("copies") - F.col("whole"))
         .withColumn("bucket", F.pmod("mark", F.ceil(F.col("n_docs") / BUCKET_DOCS)))
+        .withColumn("doc_id", carried())
         .select(*[c.split()[0] for c in ROWS.split(", ")])
     )
     level, buckets, settled = 0, math.ceil(largest / BUCKET_DOCS), []
@@ -167,7 +168,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
     for more in settled[1:]:
         out = out.unionByName(more)
     taken = F.col("size") * F.col("whole") + F.round(F.col("size") * F.col("part")).cast("long")
-    return out.select("doc_id", "source", "size", "content", "source_size", "target", taken.alias("taken"), "whole", "part")
+    return restored(out).select("doc_id", "source", "size", "content", "source_size", "target", taken.alias("taken"), "whole", "part")
 
 
 def content_hash(docs: DataFrame) -> Column:

@@ -23,11 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkripple.llm.common import carried, restored
+
 CAPACITY = 2048
 CLOSING_ID = 1
 POOL_TOKENS = 1 << 20
 SPECIAL = "<|endoftext|>"
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def fill(counts: dict[int, int], capacity: int) -> list[int]:
@@ -183,5 +185,5 @@ def pack(docs: DataFrame, tokenizer: dict[str, str] | None = None, capacity: int
         packer.drain(0)
         yield packer.rows()
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.mapInPandas(run, SCHEMA)
+    own = docs.select(carried(), F.coalesce("text", F.lit("")).alias("text"))
+    return restored(own.mapInPandas(run, SCHEMA))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkripple.llm.common import cut, own_name
+from sparkripple.llm.common import carried, cut, own_name, restored
 from sparkripple.llm.components import stars
 
 SHINGLE = 3
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "mark": batch["mark"], "fp": [fingerprint(t, shingle) for t in batch["text"]]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInPandas(run, "doc_id long, mark long, fp long")
+    return restored(docs.select(carried(), F.xxhash64("text").alias("mark"), "text").mapInPandas(run, "doc_id string, mark long, fp long"))
 
 
 def mask(segments: list[int]) -> int:

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkripple.llm.common import carried, restored
+
 MOST_NODES = 600_000
 MOST_TERMINALS = 500_000
 LONGEST = 64
@@ -131,5 +133,5 @@ def count_tokens(docs: DataFrame, files: dict[str, str] | None = None) -> DataFr
                 rows.append((doc_id, n_tokens, n))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_pretokens"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.mapInPandas(run, "doc_id long, n_tokens long, n_pretokens long")
+    own = docs.select(carried(), F.coalesce("text", F.lit("")).alias("text"))
+    return restored(own.mapInPandas(run, "doc_id string, n_tokens long, n_pretokens long"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkripple.llm.common import cut, fold, hash63, share_bound
+from sparkripple.llm.common import carried, cut, fold, hash63, restored, share_bound
 
 HASHED = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -225,7 +225,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 scores = [x[0] for x in got]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "score": scores, "predicted": [int(x >= 0.5) for x in scores], "sentences": [x[1] for x in got]})
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double, predicted int, sentences array<string>")
+    own = restored(docs.select(carried(), "text").mapInPandas(run, "doc_id string, score double, predicted int, sentences array<string>"))
     return own.select("doc_id", (fold("doc_id", n) == rest).alias("held_out"), "score", "predicted", "sentences")
 
 

@@ -533,6 +533,8 @@ def test_embeddings_like_sql(spark, tmp_path):
     x[60:] += 0.07 * rng.standard_normal((240, 16))
     rows = [(300 - i, v.tolist()) for i, v in enumerate(x)]
     rows += [(301, None), (302, [0.0] * 16), (303, [float("nan")] * 16), (304, [None] + [1.0] * 15), (305, []), (306, [1.0] * 8), (307, [3.0] * 8), (308, [float("inf")] * 16), (None, [1.0] * 8)]
+    # Ids of several vectors, linked and not, and one of two equal ones.
+    rows += [(299, x[200].tolist()), (299, (-x[3]).tolist()), (7, x[7].tolist()), (7, x[7].tolist()), ((1 << 53) + 1, x[8].tolist()), ((1 << 53) + 3, x[8].tolist())]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     db = duckdb.connect()
     db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
@@ -877,3 +879,50 @@ def test_queries_run_over_whole_tables(spark):
     for name, query in queries.queries().items():
         if name in ("op2_mixing", "op4_token_counts", "op6_media", "op7_pii"):
             assert query(spark, SF).count() == n
+
+
+BIG = (1 << 53) + 1
+
+
+def big_ids(df):
+    """The same rows with ids above 2**53, and a row without an id in every partition."""
+    return df.withColumn("doc_id", F.when(F.col("doc_id") == 4, None).otherwise(F.col("doc_id") * 2 + BIG)).coalesce(1)
+
+
+def by_small_id(rows, *columns):
+    return Counter(tuple(((r[c] - BIG) // 2 if r[c] is not None else 4) if c in ("doc_id", "component_id") else r[c] for c in columns) for r in rows)
+
+
+def test_ids_above_double_precision_beside_null_ones(spark, odd):
+    """A column of ids with a null in it must not pass through doubles."""
+    big = big_ids(odd)
+    small = odd.filter("doc_id <> 4")
+    model = language_id.train(small)
+    own = lambda df: df.filter("doc_id IS NOT NULL").collect()
+    for run, columns in (
+        (packing.pack, ("doc_id", "doc_tokens")),
+        (lambda d: mixing.mix(d), ("doc_id", "size")),
+        (token_counts.count_tokens, ("doc_id", "n_tokens", "n_pretokens")),
+        (media.text_media, ("doc_id", "payload_sha256", "media_sha256", "feature")),
+        (lambda d: language_id.identify(d, model), ("doc_id", "lang_pred")),
+    ):
+        seen = {tuple(x) for x in by_small_id(own(run(big)), *columns)}
+        assert seen == {tuple(r[c] for c in columns) for r in own(run(small))}
+    want = by_small_id(own(simhash_dedup.groups(big)), "doc_id", "fingerprint")
+    assert want == Counter((r["doc_id"], r["fingerprint"]) for r in own(simhash_dedup.groups(small)))
+    labels = spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int")
+    got = toxicity.judge(big, labels).collect()
+    assert {(r["doc_id"], r["held_out"]) for r in got} == {(i, zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0) for i in (r["doc_id"] for r in big.select("doc_id").collect())}
+    image = spark.createDataFrame([(BIG, b"P5\n1 1\n255\n\x07"), (None, None)], "id long, data binary").coalesce(1)
+    assert {r["id"] for r in media.resize_images(image, 1, 1).collect()} == {BIG, None}
+
+
+def test_rows_survive_beside_null_ids(spark):
+    """Mixed and deduplicated tables with large and null ids hold what those with small ids hold."""
+    rows = [(None if i == 5 else BIG + 2 * i, f"word{i} " * (i + 1), "en", "a" if i % 3 else None, 0) for i in range(32)]
+    large = spark.createDataFrame(rows, DOCS).coalesce(1)
+    little = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], DOCS).coalesce(1)
+    words = lambda df: sum(len((r["text"] or "").split()) for r in df.collect())
+    assert abs(words(mixing.repeated(large)) - words(little)) <= 32 and abs(words(mixing.repeated(little)) - words(little)) <= 32
+    copies = spark.createDataFrame([(BIG + 2 * i, "the very same words here", "en", "a", 0) for i in range(4)] + [(None, "quite another text of words", "en", "a", 0)], DOCS).coalesce(1)
+    assert sorted(r["doc_id"] or 0 for r in simhash_dedup.keep_one(copies).collect()) == [0, BIG]

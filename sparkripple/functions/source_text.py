@@ -1,31 +1,45 @@
-"""Class metadata of Java and Kotlin source text as column expressions.
+"""Class metadata of Java and Kotlin source text.
 
-No compiler is at hand, so this reads text: comments and literals are blanked,
-then patterns find the package, imports, declarations with their supertypes, and
-type references. It may collect a reference too many, never reads a comment or a
-string as code, and marks files whose brackets don't close as not parsed.
+Files are read by the grammars of java_syntax and kotlin_syntax where Spark's tasks
+hold them, a batch of bounded rows and bytes at a time; each reader sees one text
+and keeps nothing. A file that its grammar doesn't take is not parsed, and gives no
+package, imports, declarations or references.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
+
+from sparkripple.functions import java_syntax, kotlin_syntax, paths
+from sparkripple.functions.reading import SyntaxFault
+
+READERS = {"java": java_syntax.read, "kt": kotlin_syntax.read}
+#: Texts whose metadata is handed on at once.
+ROWS = 256
+#: Calls that reading may nest; a text that nests deeper is not parsed.
+DEPTH = 5000
+FOUND = "parse_ok boolean, pkg string, primary_type string, imports array<struct<name:string,is_static:boolean,is_asterisk:boolean>>, type_decls array<struct<simple_name:string,supertypes:array<string>>>, type_ref_simple array<string>, type_ref_dotted array<string>, jvm_name boolean"
+NOTHING = {"parse_ok": False, "pkg": "", "primary_type": None, "imports": [], "type_decls": [], "type_ref_simple": [], "type_ref_dotted": [], "jvm_name": False}
 
-from sparkripple.functions import paths
 
-BLANKED = r'"""[\s\S]*?"""|"(?:\\.|[^"\\\n])*+"|' + r"'(?:\\.|[^'\\\n])*+'|//[^\n]*+|/\*[\s\S]*?\*/"
-IMPORT = r"(?m)^[\x20\t]*import[\x20\t]+(static[\x20\t]+)?([\w$`]+(?:\.[\w$`]+)*)(\.\*)?"
-DECLARATION = r"\b(?:class|interface|enum|record|object)\s+([A-Za-z_$][\w$]*)([^{};=]*)"
-NEXT = r"\n\s*(?:fun|val|var|class|object|interface|private|internal|public|override|typealias)\b[\s\S]*"
-NEW_OR_TYPED = r"\bnew\s+([A-Za-z_$][\w$]*)"
-ANNOTATION = r"@(?!interface\b)[\w.]+"
-KOTLIN_CALL = r"(?<![:.\w]\s)(?<![:.\w])\b[A-Z][\w$]*(?=\s*\()"
-JVM_NAME = r"@file\s*:\s*(?:\[[^\]]*\b)?(?:kotlin\.jvm\.)?JvmName\b"
-DOTTED = r"(?<![\w.$])[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*\.[A-Z][\w$]*"
+def metadata_of(path: str, lang: str, text: str | None) -> dict:
+    """Metadata of one file; parse_ok tells whether its text is of the language."""
+    if text is None:
+        return NOTHING
+    try:
+        return {"parse_ok": True, **READERS[lang](text, path.replace("\\", "/").rpartition("/")[2])}
+    except (SyntaxFault, RecursionError):
+        return NOTHING
 
 
 def metadata(files: DataFrame, kotlin_enabled: bool = True) -> DataFrame:
-    """(path, content) to file metadata: pkg, primary_type, imports, type_ref_simple, type_ref_dotted, type_decls, words, jvm_name, parse_ok.
+    """(path, content, ...) to file metadata: the columns but content, lang, words and those of FOUND, which take the place of any of their names.
 
     words are the capitalised words of the whole text, comments included; jvm_name
     tells whether a Kotlin file names its facade itself.
@@ -33,48 +47,23 @@ def metadata(files: DataFrame, kotlin_enabled: bool = True) -> DataFrame:
     Null content counts as a failed parse; files of other languages, or Kotlin
     where it is off, are left out and are no failures.
     """
-    lang = paths.extension(F.col("path"))
-    rows = files.withColumn("lang", lang).filter(F.col("lang").isin("java", *["kt"] * kotlin_enabled))
-    rows = rows.withColumn("code", F.regexp_replace(F.coalesce("content", F.lit("")), BLANKED, " "))
-    count = lambda c: F.length("code") - F.length(F.replace("code", F.lit(c), F.lit("")))
-    closed = F.lit(True)
-    for a, b in ("()", "{}", "[]"):
-        closed = closed & (count(a) == count(b))
-    base = F.regexp_extract("path", r"([^/\\]+)\.[^.]+$", 1)
-    rows = rows.withColumns(
-        {
-            "parse_ok": F.col("content").isNotNull() & closed,
-            "words": F.array_sort(paths.capitalised_words(F.coalesce("content", F.lit("")))),
-            "jvm_name": (F.col("lang") == "kt") & F.coalesce("content", F.lit("")).rlike(JVM_NAME),
-            "pkg": F.regexp_extract("code", r"(?m)^\s*package\s+([\w.]+)", 1),
-            "imports": F.transform(F.array_distinct(F.regexp_extract_all("code", F.lit(IMPORT), F.lit(0))), import_of),
-            "body": F.regexp_replace(F.regexp_replace("code", r"(?m)^\s*(?:import|package)\b[^\n;]*;?", " "), ANNOTATION, " "),
-        }
-    )
-    declared = F.transform(F.regexp_extract_all("body", F.lit(DECLARATION), F.lit(0)), declaration)
-    named = F.when(F.col("lang") == "kt", F.regexp_replace("body", KOTLIN_CALL, " ")).otherwise(F.col("body"))
-    simple = F.array_union(F.regexp_extract_all(named, F.lit(paths.CAPITALISED), F.lit(0)), F.regexp_extract_all(F.when(F.col("lang") == "java", F.col("body")).otherwise(""), F.lit(NEW_OR_TYPED), F.lit(1)))
-    rows = rows.withColumns({"type_decls": F.filter(declared, lambda d: d["simple_name"] != "Companion"), "type_ref_dotted": F.array_sort(F.array_distinct(F.regexp_extract_all(named, F.lit(DOTTED), F.lit(0)))), "type_ref_simple": F.array_sort(F.array_distinct(simple))})
-    kotlin_primary = F.coalesce(F.nullif(F.regexp_extract("body", r"\b(?:class|interface)\s+([A-Za-z_]\w*)", 1), F.lit("")), F.nullif(F.regexp_extract("body", r"\bobject\s+([A-Za-z_]\w*)", 1), F.lit("")), F.concat(base, F.lit("Kt")))
-    rows = rows.withColumn("primary_type", F.when(F.col("lang") == "kt", kotlin_primary).otherwise(base))
-    return rows.drop("code", "body", "content")
-
-
-def import_of(text: Column) -> Column:
-    name = F.replace(F.regexp_extract(text, IMPORT, 2), F.lit("`"), F.lit(""))
-    return F.struct(name.alias("name"), (F.regexp_extract(text, IMPORT, 1) != "").alias("is_static"), (F.regexp_extract(text, IMPORT, 3) != "").alias("is_asterisk"))
-
-
-def declaration(text: Column) -> Column:
-    """Simple name and supertypes: generic arguments and Kotlin constructor calls are dropped, the last segment is kept."""
-    header = F.regexp_replace(F.regexp_extract(text, DECLARATION, 2), NEXT, "")
-    for _ in range(4):  # innermost first
-        header = F.regexp_replace(header, r"<[^<>]*>|\([^()]*\)", " ")
-    java = F.regexp_replace(F.regexp_extract(header, r"\b(?:extends|implements)\b([\s\S]*)$", 1), r"\b(?:extends|implements|permits)\b", ",")
-    kotlin = F.regexp_replace(F.regexp_extract(header, r"^[^:]*:([\s\S]*)$", 1), r"\bby\b[^,]*|\bwhere\b[\s\S]*", "")
-    listed = F.when(java != "", java).otherwise(kotlin)
-    names = F.transform(F.split(listed, ","), lambda n: F.substring_index(F.trim(F.regexp_replace(n, r"\s+", "")), ".", -1))
-    return F.struct(F.regexp_extract(text, DECLARATION, 1).alias("simple_name"), F.array_distinct(F.filter(names, lambda n: n.rlike(r"^[A-Za-z_$][\w$]*$"))).alias("supertypes"))
+    rows = files.withColumn("lang", paths.extension(F.col("path"))).filter(F.col("lang").isin("java", *["kt"] * kotlin_enabled))
+    rows = rows.withColumn("words", F.array_sort(paths.capitalised_words(F.coalesce("content", F.lit("")))))
+    found: StructType = _parse_datatype_string(FOUND)
+    own = [c for c in rows.columns if c not in ("content", *found.names)]
+    arrow = {"parse_ok": pa.bool_(), "jvm_name": pa.bool_(), "pkg": pa.string(), "primary_type": pa.string()}
+    arrow |= {"imports": pa.list_(pa.struct([("name", pa.string()), ("is_static", pa.bool_()), ("is_asterisk", pa.bool_())])), "type_decls": pa.list_(pa.struct([("simple_name", pa.string()), ("supertypes", pa.list_(pa.string()))]))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(DEPTH, sys.getrecursionlimit()))
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                got = [metadata_of(*x) for x in zip(*(part.column(c).to_pylist() for c in ("path", "lang", "content")))]
+                new = [pa.array([g[n] for g in got], arrow.get(n, pa.list_(pa.string()))) for n in found.names]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), *new], [*own, *found.names])
+
+    return rows.mapInArrow(run, StructType([*(rows.schema[c] for c in own), *found.fields]))
 
 
 def path_package_mismatch(meta: DataFrame, dirs: list[str]) -> DataFrame:

@@ -516,9 +516,7 @@ class Kotlin(Reader):
             elif word in ("is", "!is", "as", "as?"):
                 self.at += 1
                 self.type()
-            elif kind == "i" and not (word == "by" and not self.trailing):
-                if word in ("where", "by") and self.kind(1) not in "iknq":
-                    break
+            elif kind == "i" and (self.trailing or word != "where"):
                 self.at += 1
                 self.unary()
             else:

@@ -69,7 +69,7 @@ def metadata(files: DataFrame, kotlin_enabled: bool = True) -> DataFrame:
 def path_package_mismatch(meta: DataFrame, dirs: list[str]) -> DataFrame:
     """Kotlin files whose declared package differs from the one their path says."""
     of_path = paths.package_of(paths.fqn_under(F.col("path"), dirs))
-    return meta.filter((F.col("lang") == "kt") & (F.col("pkg") != of_path)).select("path", "pkg", of_path.alias("path_pkg"))
+    return meta.filter((F.col("lang") == "kt") & F.col("parse_ok") & (F.col("pkg") != of_path)).select("path", "pkg", of_path.alias("path_pkg"))
 
 
 def kotlin_counters(meta: DataFrame, dirs: list[str], most: int = 10) -> DataFrame:

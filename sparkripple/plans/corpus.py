@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sparkripple.functions import paths, source_text
 from sparkripple.operators import dispatch, selection
 from sparkripple.operators.iterate import kept
-from sparkripple.plans import engine, report
+from sparkripple.plans import engine, report, syntax_corpus
 from sparkripple.plans import index as project_index
 from sparkripple.plans.config import DEFAULTS, IGNORED, SITUATIONS, Config
 from sparkripple.sources import snapshot
@@ -191,6 +191,10 @@ def source_files(spark: SparkSession, d: str) -> DataFrame:
     return sources.unionByName(own.select(where.alias("path"), body.alias("content")))
 
 
+def syntax_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return kept(source_text.metadata(syntax_corpus.files(classes(spark, d))))
+
+
 def fingerprints(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Stored metadata and current files of made-up times and sizes."""
     o = read(spark, d, "orders").select(F.concat(F.lit("src/"), F.col("o_orderkey").cast("string"), F.lit(".java")).alias("path"), F.col("o_custkey").alias("mtime"), F.length("o_orderpriority").cast("long").alias("size"), "o_orderkey")
@@ -207,6 +211,8 @@ def directories(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 # --- the same views in SQL -------------------------------------------------------------------------------------
 
 V = {
+    "cv_syntax": syntax_corpus.expected_sql(),
+    "cv_mismatch": r"SELECT path, pkg, replace(regexp_extract(path, 'src/main/kotlin/(.*)/[^/]*$', 1), '/', '.') path_pkg FROM cv_syntax WHERE path LIKE '%.kt' AND parse_ok AND pkg <> replace(regexp_extract(path, 'src/main/kotlin/(.*)/[^/]*$', 1), '/', '.')",
     "cv_class": "SELECT p_partkey k, 'com.' || lower(replace(p_brand, '#', '')) pkg, 'Part' || p_partkey simple, 'com.' || lower(replace(p_brand, '#', '')) || '.Part' || p_partkey fqn FROM part",
     "cv_changed": "SELECT 'd' || (k % 4) diff_id, fqn, simple, pkg FROM cv_class",
     "cv_test0": "SELECT c_custkey, 'Part' || k || ['Test', 'IT', 'ITTest', 'IntegrationTest', 'Spec'][c_custkey % 5 + 1] simple, CASE WHEN c_custkey % 3 = 0 THEN c.pkg ELSE 'com.' || lower(c_mktsegment) END pkg FROM customer JOIN cv_class c ON c.k = c_custkey % (SELECT count(*) FROM part)",
@@ -641,15 +647,32 @@ def impact_flagship(spark, d):
     return rows.groupBy("diff_id", "fqn", "path").agg(F.count_distinct("strategy").alias("n_strategies"))
 
 
+@query("SELECT * FROM cv_syntax")
+def source_metadata(spark, d):
+    """Metadata of made-up Java and Kotlin files, one per part, some of them broken, read from their text."""
+    return syntax_corpus.shown(syntax_metadata(spark, d))
+
+
+@query("SELECT CASE WHEN path LIKE '%.kt' THEN 'kt' ELSE 'java' END lang, count(*) n_files, count(*) FILTER (NOT parse_ok) n_failed FROM cv_syntax GROUP BY ALL")
+def parse_failures(spark, d):
+    return syntax_metadata(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(~F.col("parse_ok")).alias("n_failed"))
+
+
+@query("SELECT path, pkg, path_pkg FROM cv_mismatch")
+def package_mismatch(spark, d):
+    """Kotlin files that declare another package than their path says."""
+    return source_text.path_package_mismatch(syntax_metadata(spark, d), list(CONFIG.source_dirs)).select("path", "pkg", "path_pkg")
+
+
 @query(
-    """SELECT 'src/main/java/' || replace(fqn, '.', '/') || '.java' path, pkg, simple primary_type, k % 10 <> 0 parse_ok, 'java.util.List' imports,
-      array_to_string(list_sort(['List', simple, 'String'] || CASE WHEN simple = 'Part' || (k // 7) THEN [] ELSE ['Part' || (k // 7)] END), ',') refs, simple || '<Part' || (k // 7) decls FROM cv_class"""
+    """SELECT count(*) FILTER (NOT parse_ok) n_failed, count(*) FILTER (parse_ok) n_mapped, (SELECT count(*) FROM cv_mismatch) n_mismatch,
+      (SELECT string_agg(pkg || '.' || primary_type, ',' ORDER BY path) FROM (SELECT * FROM cv_syntax WHERE path LIKE '%.kt' AND parse_ok ORDER BY path LIMIT 10)) mapped,
+      (SELECT string_agg(path || ' ' || pkg || ' ' || path_pkg, ',' ORDER BY path) FROM (SELECT * FROM cv_mismatch ORDER BY path LIMIT 10)) mismatch FROM cv_syntax WHERE path LIKE '%.kt'"""
 )
-def source_metadata(spark, d):
-    """Metadata of made-up Java files, one per part, parsed from their text."""
-    meta = source_text.metadata(source_files(spark, d).filter("path LIKE 'src/main/java/%'"))
-    decls = F.transform("type_decls", lambda t: F.concat(t["simple_name"], F.lit("<"), F.array_join(t["supertypes"], ",")))
-    return meta.select("path", "pkg", "primary_type", "parse_ok", F.array_join(F.transform("imports", lambda i: i["name"]), ",").alias("imports"), F.array_join("type_ref_simple", ",").alias("refs"), F.array_join(decls, ",").alias("decls"))
+def kotlin_counters(spark, d):
+    own = source_text.kotlin_counters(syntax_metadata(spark, d), list(CONFIG.source_dirs))
+    said = F.transform("mismatch", lambda m: F.concat_ws(" ", m["path"], m["pkg"], m["path_pkg"]))
+    return own.select("n_failed", "n_mapped", "n_mismatch", F.array_join("mapped", ",").alias("mapped"), F.array_join(said, ",").alias("mismatch"))
 
 
 @query(

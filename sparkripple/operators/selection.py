@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sparkripple.functions import paths
 from sparkripple.operators.iterate import kept
+from sparkripple.operators.masks import masked, merged, numbered, of_diffs, reached
 
 
 def naming(changed: DataFrame, tests: DataFrame, suffixes: list[str], also: tuple[str, ...] = ()) -> DataFrame:
@@ -83,26 +84,26 @@ def implementations_by_name(changed: DataFrame, sources: DataFrame, affixes: lis
     return wanted.join(sources, "simple").select("diff_id", "fqn").distinct()
 
 
+def implementation_masks(changed: DataFrame, sources: DataFrame, decls: DataFrame, affixes: list[str], depth: int, strict_compat: bool = False) -> DataFrame:
+    """Masks (fqn, word, bits, hop) of implementations() of changed(fqn, simple, word, bits)."""
+    names = F.transform(F.lit(list(affixes)), lambda t: F.array(F.concat(F.col("simple"), t), F.concat(t, F.col("simple"))))
+    wanted = changed.select("word", "bits", F.explode(F.flatten(names)).alias("simple"))
+    named = kept(merged(wanted.join(sources, "simple").select("fqn", "word", "bits"), "fqn").withColumn("hop", F.lit(0)))
+    own = changed.select("fqn", "word", "bits")
+    start = own if strict_compat else own.unionByName(named.drop("hop"))
+    frontier = merged(start.select(paths.simple_name(F.col("fqn")).alias("target"), "word", "bits"), "target")
+    more = reached(decls.select(F.col("supertype").alias("target"), "fqn"), merged(own.unionByName(named.drop("hop")), "fqn"), frontier, max(1, depth), paths.simple_name)
+    return named if more is None else named.unionByName(more)
+
+
 def implementations(changed: DataFrame, sources: DataFrame, decls: DataFrame, affixes: list[str], depth: int, strict_compat: bool = False) -> DataFrame:
     """(diff_id, fqn, hop): implementations by name (hop 0) and, at most max(1, depth) times, by simple supertype.
 
     Those by name are targets too; with strict_compat only declared ones lead on.
     """
-    named = implementations_by_name(changed, sources, affixes)
-    known = kept(named.withColumn("hop", F.lit(0)))
-    frontier = changed.select("diff_id", paths.simple_name(F.col("fqn")).alias("target"))
-    if not strict_compat:
-        frontier = frontier.union(named.select("diff_id", paths.simple_name(F.col("fqn")))).distinct()
-    seen = known.select("diff_id", "fqn").union(changed.select("diff_id", "fqn"))
-    for hop in range(1, max(1, depth) + 1):
-        found = decls.join(frontier, decls["supertype"] == frontier["target"]).select("diff_id", "fqn").distinct()
-        new = kept(found.join(seen, ["diff_id", "fqn"], "left_anti"))
-        if new.isEmpty():
-            break
-        known = known.union(new.withColumn("hop", F.lit(hop)))
-        seen = seen.union(new)
-        frontier = new.select("diff_id", paths.simple_name(F.col("fqn")).alias("target")).distinct()
-    return known
+    numbers = numbered(changed)
+    found = implementation_masks(masked(changed, numbers, "fqn", "simple"), sources, decls, affixes, depth, strict_compat)
+    return of_diffs(found, numbers, "fqn", "hop")
 
 
 def posting(files: DataFrame) -> DataFrame:
@@ -135,21 +136,14 @@ def used_by(postings: DataFrame, resolved_refs: DataFrame) -> DataFrame:
     return resolved_refs.join(words, ["consumer", "name"], "left_semi").filter("consumer <> dependency").select("consumer", "dependency").distinct()
 
 
+def transitive_masks(changed: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """Masks (fqn, word, bits, hop) of transitive() of changed(fqn, word, bits)."""
+    own = merged(changed, "fqn")
+    found = reached(edges.select(F.col("dependency").alias("target"), F.col("consumer").alias("fqn")), own, own.withColumnRenamed("fqn", "target"), depth, lambda fqn: fqn)
+    return own.limit(0).withColumn("hop", F.lit(0)) if found is None else found
+
+
 def transitive(changed: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(diff_id, fqn, hop): classes that reach a changed one over at most depth edges, each at its first hop; edges should be a table, as every hop reads them."""
-    frontier = changed.select("diff_id", "fqn").distinct()
-    seen, found = frontier, None
-    for hop in range(1, depth + 1):
-        step = edges.join(frontier, edges["dependency"] == frontier["fqn"]).select("diff_id", F.col("consumer").alias("fqn")).distinct()
-        new = kept(step.join(seen, ["diff_id", "fqn"], "left_anti").withColumn("hop", F.lit(hop)))
-        if hop < depth and new.isEmpty():
-            break
-        frontier = new.select("diff_id", "fqn")
-        seen = seen.union(frontier)
-        found = new if found is None else found.union(new)
-    return found if found is not None else changed.select("diff_id", "fqn").limit(0).withColumn("hop", F.lit(0))
-
-
-def as_changed(classes: DataFrame) -> DataFrame:
-    """(diff_id, fqn) in the shape of changed."""
-    return classes.select("diff_id", "fqn", paths.simple_name(F.col("fqn")).alias("simple"), paths.package_of(F.col("fqn")).alias("pkg")).distinct()
+    numbers = numbered(changed)
+    return of_diffs(transitive_masks(masked(changed, numbers, "fqn"), edges, depth), numbers, "fqn", "hop")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkripple.functions import paths
-from sparkripple.operators import selection
+from sparkripple.operators import masks, selection
 from sparkripple.operators.iterate import kept
 from sparkripple.plans.config import STRATEGIES, Config
 
@@ -80,36 +80,51 @@ def prod_and_test(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def discover(classes: DataFrame, index: Mapping[str, DataFrame], config: Config) -> DataFrame:
-    """(diff_id, strategy, fqn) over the index relations tests, sources, imports, simple_refs, dotted_refs, decls, edges.
+    """(diff_id, strategy, fqn) over the index relations tests, sources, imports, simple_refs, dotted_refs, decls, edges, or keys (fqn, key) in place of the three in the middle.
 
-    Changed classes, their implementations and the classes that reach them are
-    tagged with their strategy first, so that all are joined to the tests at once.
+    Changed classes, their implementations and the classes that reach them are masks of
+    diffs, a column per strategy, so that all diffs and strategies are joined to the
+    tests at once, and only the tests found are told apart by diff.
     """
     changed, changed_tests = prod_and_test(classes)
+    numbers = masks.numbered(classes)
+    own = kept(masks.masked(changed, numbers, "fqn", "simple"))
     by_name, by_use = [], []
 
     def wanted(strategy: str, found: DataFrame, name: bool, use: bool) -> None:
-        tagged = found.select("diff_id", "fqn", "simple", "pkg", F.lit(strategy).alias("strategy"))
+        tagged = found.select("fqn", "word", *(F.col("bits").alias(s) if s == strategy else F.lit(0).cast("long").alias(s) for s in STRATEGIES))
         by_name.extend([tagged] * name)
         by_use.extend([tagged] * use)
 
-    wanted("naming", changed, config.enabled("naming"), False)
-    wanted("usage", changed, False, config.enabled("usage"))
+    wanted("naming", own, config.enabled("naming"), False)
+    wanted("usage", own, False, config.enabled("usage"))
     if config.enabled("impl") and config.include_implementation_tests:
-        found = selection.implementations(changed, index["sources"], index["decls"], list(config.implementation_naming), config.transitive_depth, config.strict_compat)
-        wanted("impl", selection.as_changed(found), config.enabled("naming"), config.enabled("usage"))
+        found = selection.implementation_masks(own, index["sources"], index["decls"], list(config.implementation_naming), config.transitive_depth, config.strict_compat)
+        wanted("impl", found, config.enabled("naming"), config.enabled("usage"))
     if config.enabled("transitive"):
-        wanted("transitive", selection.as_changed(selection.transitive(changed, index["edges"], config.transitive_depth)), True, True)
-    out = [changed_tests.select("diff_id", F.lit("changed").alias("strategy"), "fqn")]
+        wanted("transitive", selection.transitive_masks(own.select("fqn", "word", "bits"), index["edges"], config.transitive_depth), True, True)
+
+    def united(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by, "word").agg(*(F.bit_or(s).alias(s) for s in STRATEGIES))
+
+    hit = []
     if by_name:
-        out.append(selection.naming(reduce(DataFrame.unionByName, by_name), index["tests"], list(config.test_suffixes), ("strategy",)).select("diff_id", "strategy", "fqn"))
+        named = united(reduce(DataFrame.unionByName, by_name).withColumn("simple", paths.simple_name(F.col("fqn"))), "simple")
+        named = named.withColumn("simple", F.explode(F.transform(F.lit(list(config.test_suffixes)), lambda s: F.concat(F.col("simple"), s))))
+        hit.append(named.join(index["tests"].select("fqn", "simple"), "simple").select("fqn", "word", *STRATEGIES))
     if by_use:
-        # Tiers don't matter here, so the keys go into the join as they come and a test counts once after it.
-        keys = selection.usage_keys(index["imports"], index["simple_refs"], index["dotted_refs"]).select("fqn", "key")
-        wanted_keys = reduce(DataFrame.unionByName, by_use).select("diff_id", "strategy", F.col("fqn").alias("key"))
-        used = keys.join(wanted_keys, "key").select("diff_id", "strategy", "fqn").distinct()
-        out.append(used.join(changed_tests, ["diff_id", "fqn"], "left_anti").select("diff_id", "strategy", "fqn"))
-    return reduce(DataFrame.unionByName, out).distinct()
+        keys = index["keys"] if "keys" in index else selection.usage_keys(index["imports"], index["simple_refs"], index["dotted_refs"])
+        used = keys.select(F.col("fqn").alias("test"), F.col("key").alias("fqn")).join(united(reduce(DataFrame.unionByName, by_use), "fqn"), "fqn").select(F.col("test").alias("fqn"), "word", *STRATEGIES, F.lit(0).cast("long").alias("own"))
+        # Tests that changed themselves use nothing in their diffs.
+        out = masks.masked(changed_tests, numbers, "fqn").select("fqn", "word", *(F.lit(0).cast("long").alias(s) for s in STRATEGIES), F.col("bits").alias("own"))
+        used = used.unionByName(out).groupBy("fqn", "word").agg(*(F.bit_or(s).alias(s) for s in (*STRATEGIES, "own")))
+        hit.append(used.select("fqn", "word", *(F.col(s).bitwiseAND(F.bitwise_not("own")).alias(s) for s in STRATEGIES)))
+    changed_rows = changed_tests.select("diff_id", F.lit("changed").alias("strategy"), "fqn").distinct()
+    if not hit:
+        return changed_rows
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("strategy"), F.col(s).alias("bits")) for s in STRATEGIES))).alias("own")
+    rows = united(reduce(DataFrame.unionByName, hit), "fqn").select("fqn", "word", each).select("fqn", "word", "own.strategy", "own.bits").filter("bits <> 0")
+    return masks.of_diffs(rows, numbers, "strategy", "fqn").unionByName(changed_rows)
 
 
 def profile(classes: DataFrame, index: Mapping[str, DataFrame], config: Config) -> DataFrame:

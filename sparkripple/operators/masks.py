@@ -45,15 +45,16 @@ def of_diffs(masks: DataFrame, numbers: DataFrame, *by: str) -> DataFrame:
     return rows.join(numbers, "number").select("diff_id", *by)
 
 
-def reached(links: DataFrame, seen: DataFrame, frontier: DataFrame, depth: int, target: Callable[[Column], Column]) -> DataFrame | None:
+def reached(links: DataFrame | Callable[[DataFrame], DataFrame], seen: DataFrame, frontier: DataFrame, depth: int, target: Callable[[Column], Column]) -> DataFrame | None:
     """Masks (fqn, word, bits, hop) of what links(target, fqn) lead to from frontier(target, word, bits) within depth steps and seen(fqn, word, bits) lacks.
 
-    Each bit is found at its first hop only, so all hops together write each once; a
+    Links that are made as they are needed are a function of the hop's frontier. Each bit is found at its first hop only, so all hops together write each once; a
     hop reads the links once, however many diffs there are.
     """
     found = None
     for hop in range(1, depth + 1):
-        step = merged(links.join(frontier, "target").select("fqn", "word", "bits"), "fqn")
+        own = links(frontier) if callable(links) else links
+        step = merged(own.join(frontier, "target").select("fqn", "word", "bits"), "fqn")
         new = kept(without(step, seen, "fqn").withColumn("hop", F.lit(hop)))
         if new.isEmpty():
             break

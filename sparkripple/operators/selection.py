@@ -139,11 +139,15 @@ def used_by(postings: DataFrame, resolved_refs: DataFrame) -> DataFrame:
 def transitive_masks(changed: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """Masks (fqn, word, bits, hop) of transitive() of changed(fqn, word, bits)."""
     own = merged(changed, "fqn")
-    found = reached(edges.select(F.col("dependency").alias("target"), F.col("consumer").alias("fqn")), own, own.withColumnRenamed("fqn", "target"), depth, lambda fqn: fqn)
+    links = edges.toward if hasattr(edges, "toward") else edges.select(F.col("dependency").alias("target"), F.col("consumer").alias("fqn"))
+    found = reached(links, own, own.withColumnRenamed("fqn", "target"), depth, lambda fqn: fqn)
     return own.limit(0).withColumn("hop", F.lit(0)) if found is None else found
 
 
 def transitive(changed: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(diff_id, fqn, hop): classes that reach a changed one over at most depth edges, each at its first hop; edges should be a table, as every hop reads them."""
+    """(diff_id, fqn, hop): classes that reach a changed one over at most depth edges, each at its first hop.
+
+    edges should be a table, as every hop reads them, or give those toward a frontier, as lazy.Edges do.
+    """
     numbers = numbered(changed)
     return of_diffs(transitive_masks(masked(changed, numbers, "fqn"), edges, depth), numbers, "fqn", "hop")

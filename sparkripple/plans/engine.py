@@ -7,12 +7,13 @@ from collections.abc import Mapping
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkripple.functions import paths
 from sparkripple.operators import masks, selection
 from sparkripple.operators.iterate import kept
+from sparkripple.operators.ranking import placed
 from sparkripple.plans.config import STRATEGIES, Config
 
 #: Why the whole suite runs, by situation. Fixed values.
@@ -145,12 +146,11 @@ def cross_package(classes: DataFrame, selected: DataFrame, index: Mapping[str, D
     """(diff_id, changed_fqn, fqn, place, total): selected tests that naming found in another package than the changed class's, in order, and how many a diff has."""
     changed, _ = prod_and_test(classes)
     pairs = selection.naming(changed, index["tests"], list(config.test_suffixes)).filter("cross_package").join(selected.select("diff_id", "fqn").distinct(), ["diff_id", "fqn"], "left_semi")
-    w = Window.partitionBy("diff_id")
-    return pairs.select("diff_id", "changed_fqn", "fqn", F.row_number().over(w.orderBy("changed_fqn", "fqn")).alias("place"), F.count(F.lit(1)).over(w).alias("total"))
+    return placed(pairs.select("diff_id", "changed_fqn", "fqn"), ["diff_id"], ["changed_fqn", "fqn"]).select("diff_id", "changed_fqn", "fqn", "place", F.col("n").alias("total"))
 
 
 def parse_failures(classes: DataFrame, index: Mapping[str, DataFrame], config: Config) -> DataFrame:
-    """(diff_id, n_failed): unparsed files that the enabled strategies touch; index has metadata(kind, parse_ok, words, fqn).
+    """(diff_id, n_failed): unparsed files that the enabled strategies touch; index has metadata(kind, parse_ok, words, fqn), or that of tests and sources by itself.
 
     A diff with a production class touches all tests by usage and all sources by
     implementation. Without these, the transitive walk touches the sources whose
@@ -159,20 +159,30 @@ def parse_failures(classes: DataFrame, index: Mapping[str, DataFrame], config: C
     """
     changed, _ = prod_and_test(classes)
     diffs = changed.select("diff_id").distinct()
-    failed = index["metadata"].filter("NOT parse_ok").select("path", "kind", "words")
     parts = []
+
+    def failed(kind: str) -> DataFrame:
+        own = f"{kind}_metadata"
+        meta = index[own] if own in index else index["metadata"].filter(F.col("kind") == kind)
+        return meta.filter("NOT parse_ok").select("path", "words")
+
+    def number(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows.agg(F.count(F.lit(1)).alias("n")))
+
     if config.enabled("usage"):
-        parts.append(diffs.crossJoin(F.broadcast(failed.filter("kind = 'test'").agg(F.count(F.lit(1)).alias("n")))))
+        parts.append(diffs.crossJoin(number(failed("test"))))
     if config.enabled("impl") and config.include_implementation_tests:
-        parts.append(diffs.crossJoin(F.broadcast(failed.filter("kind = 'source'").agg(F.count(F.lit(1)).alias("n")))))
+        parts.append(diffs.crossJoin(number(failed("source"))))
     if config.enabled("transitive") and len(parts) < 2:
         found = selection.transitive(changed, index["edges"], config.transitive_depth)
         if not config.enabled("usage"):
-            parts.append(found.select("diff_id").distinct().crossJoin(F.broadcast(failed.filter("kind = 'test'").agg(F.count(F.lit(1)).alias("n")))))
+            parts.append(found.select("diff_id").distinct().crossJoin(number(failed("test"))))
         if not (config.enabled("impl") and config.include_implementation_tests):
             frontier = found.filter(F.col("hop") < config.transitive_depth).select("diff_id", "fqn").union(changed.select("diff_id", "fqn"))
             names = frontier.select("diff_id", paths.simple_name(F.col("fqn")).alias("word")).distinct()
-            touched = failed.filter("kind = 'source'").select("path", F.explode("words").alias("word")).join(names, "word")
+            # A lazy search has parsed all files that its frontiers name, and no others count.
+            unread = index["edges"].parsed().filter("NOT parse_ok") if hasattr(index["edges"], "parsed") else failed("source")
+            touched = unread.select("path", F.explode("words").alias("word")).join(names, "word")
             parts.append(touched.groupBy("diff_id").agg(F.count_distinct("path").alias("n")))
     if not parts:
         return diffs.withColumn("n_failed", F.lit(0).cast("long"))

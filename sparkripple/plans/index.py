@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkripple.functions import paths, source_text
 from sparkripple.operators import selection
 from sparkripple.operators.iterate import kept
+from sparkripple.plans import lazy
 from sparkripple.plans.config import Config
 from sparkripple.sources import snapshot, tree
 
@@ -47,46 +48,57 @@ def build(files: DataFrame, config: Config, gone: DataFrame | None = None, metad
     """The index of files(path, content); gone(fqn) are classes that names may still mean, as deleted ones of a diff.
 
     metadata, if given, makes the files' metadata of located files otherwise than by
-    parsing them all, as from a snapshot. Files of a language that is switched off
+    parsing them all, as from a snapshot. Otherwise tests are parsed where usage asks for
+    them, and sources, unless implementations need them all, as a search comes to them: the
+    edges then are lazy.Edges. Files of a language that is switched off
     are located and have no metadata.
     """
     own = located(files, config)
+    # With implementations all sources are parsed in any case, and a snapshot knows them without.
+    every = metadata is not None or config.enabled("impl") and config.include_implementation_tests
 
-    def parsed(index: Index) -> DataFrame:
-        meta = metadata(own) if metadata else source_text.metadata(own.select("path", "content"), config.kotlin_enabled)
-        return kept(meta.join(own.select("path", "kind", "fqn", "pkg_of_path"), "path"))
+    def parsed(kind: str) -> Callable[[Index], DataFrame]:
+        def run(index: Index) -> DataFrame:
+            if metadata:
+                return index["metadata"].filter(F.col("kind") == kind)
+            return kept(source_text.metadata(own.filter(F.col("kind") == kind).select("path", "kind", "fqn", "pkg_of_path", "content"), config.kotlin_enabled))
+
+        return run
+
+    def all_parsed(index: Index) -> DataFrame:
+        if metadata:
+            return kept(metadata(own).join(own.select("path", "kind", "fqn", "pkg_of_path"), "path"))
+        return index["test_metadata"].unionByName(index["source_metadata"])
 
     def good(index: Index, kind: str) -> DataFrame:
-        rows = index["metadata"].filter("parse_ok").filter(F.col("kind") == kind)
+        rows = index[f"{kind}_metadata"].filter("parse_ok")
         if kind == "test":
             rows = rows.withColumn("fqn", paths.fqn_of_test(F.col("path"), list(config.test_dirs), F.col("pkg"), F.col("primary_type")))
         return rows
 
-    def imports(rows: DataFrame) -> DataFrame:
-        return rows.select("fqn", F.posexplode("imports").alias("ord", "i")).select("fqn", "i.*", "ord")
-
-    def refs(rows: DataFrame) -> DataFrame:
-        return rows.select("fqn", "pkg", F.explode("type_ref_simple").alias("name"))
-
     def decls(index: Index) -> DataFrame:
         each = good(index, "source").select("pkg", F.explode("type_decls").alias("d"))
         name = F.when(F.col("pkg") == "", F.col("d.simple_name")).otherwise(F.concat_ws(".", "pkg", "d.simple_name"))
         return each.select(name.alias("fqn"), F.explode("d.supertypes").alias("supertype")).distinct()
 
-    def edges(index: Index) -> DataFrame:
-        sources = good(index, "source")
+    def edges(index: Index) -> DataFrame | lazy.Edges:
         known = own.filter("kind = 'source'").select("fqn")
         known = (known.union(gone.select("fqn")) if gone is not None else known).distinct()
+        if not every:
+            return lazy.Edges(own.filter("kind = 'source'"), known, config.kotlin_enabled)
+        sources = good(index, "source")
         words = sources.select(F.col("fqn").alias("path"), F.explode("words").alias("token"))
-        return kept(selection.used_by(words, selection.resolved(refs(sources), imports(sources), known)))
+        return kept(selection.used_by(words, selection.resolved(lazy.refs_of(sources), lazy.imports_of(sources), known)))
 
     return Index(
         {
-            "metadata": parsed,
+            "metadata": all_parsed,
+            "test_metadata": parsed("test"),
+            "source_metadata": parsed("source"),
             "tests": lambda index: own.filter("kind = 'test'").select("fqn", "simple", F.col("pkg_of_path").alias("pkg"), "path"),
             "sources": lambda index: own.filter("kind = 'source'").select("fqn", "simple"),
-            "imports": lambda index: imports(good(index, "test")),
-            "simple_refs": lambda index: refs(good(index, "test")),
+            "imports": lambda index: lazy.imports_of(good(index, "test")),
+            "simple_refs": lambda index: lazy.refs_of(good(index, "test")),
             "dotted_refs": lambda index: good(index, "test").select("fqn", F.explode("type_ref_dotted").alias("name")),
             "decls": decls,
             "edges": edges,

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 from sparkripple.functions import paths, source_text
-from sparkripple.operators import dispatch
+from sparkripple.operators import dispatch, selection
 from sparkripple.plans import config as settings
 from sparkripple.plans import engine, index, report
 from sparkripple.plans.config import DEFAULTS, SITUATIONS, Config
@@ -281,3 +281,24 @@ def test_json(spark):
     assert body["discovery"]["totalMillis"] == sum(x["millis"] for x in body["discovery"]["perStrategy"]) > 0 and body["discovery"]["concurrencyLevel"] > 0
     assert body["actionMatrix"] == {s: dict(zip(("action", "source"), config.action(s, "LOCAL"))) for s in SITUATIONS}
     assert got["m"]["modules"] == [] and got["m"]["discovery"] == {"parallelEnabled": False, "concurrencyLevel": 0, "totalMillis": 0, "perStrategy": []} and got["m"]["situation"] == "ALL_FILES_IGNORED"
+
+
+def test_search_parses_what_it_comes_to(spark):
+    """Of fifty sources, those that name a class of a frontier are parsed, each once, and unparsed ones among them count as failures."""
+    files = [src("Foo", "class Foo {}"), src("UsesFoo", "class UsesFoo { private Foo foo; }"), src("UsesUsesFoo", "class UsesUsesFoo { private UsesFoo usesFoo; }"), src("Bad", "class Bad { Foo foo(; }"), src("Far", "class Far { Bad ( }")]
+    files += [src(f"Unrelated{i}", f"class Unrelated{i} {{ private String id; }}") for i in range(45)]
+    files += [test("UsesUsesFooTest", "class UsesUsesFooTest {}")]
+    df = spark.createDataFrame(files, "path string, content string")
+    changed = spark.createDataFrame([("d", "src/main/java/com/example/Foo.java")], "diff_id string, path string")
+    only = Config(strategies=("transitive",), transitive_depth=2)
+    own = index.build(df, only)
+    decisions, _ = engine.analyse(changed, own, only)
+    assert decisions.first()["n_failed"] == 1
+    parsed = [r["path"] for r in own["edges"].parsed().collect()]
+    assert len(parsed) == len(set(parsed)) and {p.rpartition("/")[2] for p in parsed} == {"Foo.java", "UsesFoo.java", "UsesUsesFoo.java", "Bad.java"}
+    classes = engine.changed_classes(engine.classify(changed, only), only)
+    assert {(r["strategy"], r["fqn"]) for r in engine.discover(classes, own, only).collect()} == {("transitive", "com.example.UsesUsesFooTest")}
+    full = index.build(df, Config(transitive_depth=2))
+    changed_only = classes.select("diff_id", "fqn").distinct()
+    walk = lambda built: sorted(map(tuple, selection.transitive(changed_only, built["edges"], 2).collect()))
+    assert walk(own) == walk(full)

@@ -1,22 +1,26 @@
 """The metadata snapshot: parquet tables of one version each, the newest complete one counts.
 
 All goes through Spark's readers and writers, so a snapshot may lie on any store
-that they reach. A version's pointer is written last; readers see whole versions.
+that they reach. A version appears under its number by one rename; readers see
+whole versions.
 """
 
 from __future__ import annotations
 
 import hashlib
-import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkripple.plans.config import Config
 
-VERSION = 1
+#: The form of a version's tables; it rises where metadata means another thing.
+VERSION = 2
+#: Versions that stay.
+KEEP = 3
 
 
 def config_hash(config: Config) -> str:
@@ -41,23 +45,67 @@ def to_parse(stored: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(stored.filter("parse_ok").select("path", "mtime", "size"), ["path", "mtime", "size"], "left_anti")
 
 
-def write(metadata: DataFrame, directories: DataFrame, config: Config, folder: str) -> str:
-    """Write a new version, and last the pointer that makes it count; returns its name."""
-    name = f"v-{uuid.uuid4().hex}"
-    metadata.write.parquet(f"{folder}/{name}/metadata")
-    directories.write.parquet(f"{folder}/{name}/directories")
-    pointer = metadata.sparkSession.createDataFrame([(VERSION, config_hash(config), name, time.time_ns())], "version int, config string, name string, written long")
-    pointer.coalesce(1).write.parquet(f"{folder}/{name}/pointer")
-    return name
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the versions there are, in order; none where there is no folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(path)]
+    return sorted(int(n.removeprefix("v-")) for n in names if n.startswith("v-") and n[2:].isdigit())
+
+
+def version_path(folder: str, number: int) -> str:
+    return f"{folder}/v-{number:012d}"
+
+
+def write(metadata: DataFrame, directories: DataFrame, config: Config, folder: str, keep: int = KEEP) -> int:
+    """Write a new version and return its number; of older ones the last keep - 1 stay.
+
+    A version is written aside and then renamed to the next free number, which fails
+    where another writer took that number first; so it appears whole and once,
+    on stores whose renames are atomic, and clocks play no part.
+    """
+    spark = metadata.sparkSession
+    aside = f"{folder}/.new-{uuid.uuid4().hex}"
+    metadata.write.parquet(f"{aside}/metadata")
+    directories.write.parquet(f"{aside}/directories")
+    spark.createDataFrame([(VERSION, config_hash(config))], "version int, config string").coalesce(1).write.parquet(f"{aside}/settings")
+    number = max(versions(spark, folder), default=0) + 1
+    while not renamed(spark, aside, version_path(folder, number)):
+        number += 1
+    for old in versions(spark, folder):
+        if old <= number - keep:
+            clear(spark, version_path(folder, old))
+    return number
+
+
+def renamed(spark: SparkSession, old: str, new: str) -> bool:
+    """Rename a folder to a name that is free; False where it is taken."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(a.getFileSystem(conf).getUri(), conf)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        files.rename(a, b, options)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName() or a.getFileSystem(conf).exists(b):
+            return False
+        raise
+    return True
 
 
 def load(spark: SparkSession, config: Config, folder: str) -> tuple[DataFrame, DataFrame] | None:
-    """(metadata, directories) of the newest version, or None if absent, unreadable, of another version or other settings."""
+    """(metadata, directories) of the newest version, or None if absent, unreadable, of another form or other settings."""
+    numbers = versions(spark, folder)
+    if not numbers:
+        return None
+    path = version_path(folder, numbers[-1])
     try:
-        newest = spark.read.parquet(f"{folder}/*/pointer").select("version", "config", "name", "written").orderBy(F.col("written").desc(), "name").first()
-        if newest is None or (newest["version"], newest["config"]) != (VERSION, config_hash(config)):
+        said = spark.read.parquet(f"{path}/settings").first()
+        if said is None or (said["version"], said["config"]) != (VERSION, config_hash(config)):
             return None
-        return spark.read.parquet(f"{folder}/{newest['name']}/metadata"), spark.read.parquet(f"{folder}/{newest['name']}/directories")
+        return spark.read.parquet(f"{path}/metadata"), spark.read.parquet(f"{path}/directories")
     except AnalysisException:
         return None
 

@@ -12,21 +12,29 @@ from sparkripple.plans import engine
 from sparkripple.plans.config import Config
 
 
-def decide_each_batch(changed_files: DataFrame, index: Mapping[str, DataFrame], config: Config, out: str, checkpoint: str) -> StreamingQuery:
+#: Folders that the changed files are dealt to by their diff; a batch reads those of its diffs only.
+BUCKETS = 256
+
+
+def decide_each_batch(changed_files: DataFrame, index: Mapping[str, DataFrame], config: Config, out: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Analyse (diff_id, path) as it comes and append decisions and selected tests under out.
 
-    A diff may come in several micro-batches: each batch's files are kept, and a diff
-    that it touches is decided anew from all its files so far; latest() gives the
-    standing decisions. A batch writes under its own number, so that one that is run
-    again replaces its rows.
+    A diff may come in several micro-batches: each batch's files are kept, by bucket of
+    their diff, and a diff that it touches is decided anew from all its files so far;
+    latest() gives the standing decisions. What a batch reads again are the buckets of
+    its diffs, whatever else has come before. A batch writes under its own number, so
+    that one that is run again replaces its rows.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.select("diff_id", "path").write.mode("overwrite").parquet(f"{out}/changed/batch={number}")
+        own = batch.select("diff_id", "path", F.pmod(F.xxhash64("diff_id"), F.lit(buckets)).cast("int").alias("bucket"))
+        own.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/changed/batch={number}")
+        mine = spark.read.schema("diff_id string, path string, bucket int").parquet(f"{out}/changed/batch={number}")
+        hit = [r["bucket"] for r in mine.select("bucket").distinct().collect()]  # at most so many numbers
         # Of later batches there are none yet, unless a folder of another run is used again.
-        so_far = spark.read.parquet(f"{out}/changed").filter(F.col("batch") <= number)
-        touched = so_far.filter(F.col("batch") == number).select("diff_id").distinct()
+        so_far = spark.read.schema("diff_id string, path string, batch long, bucket int").parquet(f"{out}/changed").filter(F.col("bucket").isin(hit) & (F.col("batch") <= number))
+        touched = mine.select("diff_id").distinct()
         decisions, selected = engine.analyse(so_far.join(touched, "diff_id", "left_semi").select("diff_id", "path"), index, config)
         decisions.write.mode("overwrite").parquet(f"{out}/decisions/batch={number}")
         selected.write.mode("overwrite").parquet(f"{out}/selected/batch={number}")

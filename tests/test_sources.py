@@ -197,3 +197,18 @@ def test_query_equals_its_sql(spark, name):
 def test_own_tests_of_a_diff_are_candidates(spark):
     classes = engine.changed_classes(engine.classify(spark.createDataFrame([("d", "src/test/java/a/B.java")], "diff_id string, path string"), Config()), Config())
     assert [tuple(r) for r in classes.select("kind", "fqn").collect()] == [("test", "a.B")]
+
+
+def test_two_writers_of_a_snapshot(spark, tmp_path):
+    """Each version has a number of its own, whoever wrote it when; the newest counts, and old ones go."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder, cfg = f"{tmp_path}/snapshot", Config()
+    one = lambda i: snapshot.write(spark.createDataFrame([(f"p{i}", True)], "path string, parse_ok boolean"), spark.createDataFrame([("d", i)], "path string, mtime long"), cfg, folder, keep=2)
+    with ThreadPoolExecutor(2) as pool:
+        numbers = list(pool.map(one, range(4)))
+    assert sorted(numbers) == [1, 2, 3, 4] and snapshot.versions(spark, folder) == [3, 4]
+    newest = numbers.index(4)
+    assert snapshot.load(spark, cfg, folder)[0].first()["path"] == f"p{newest}"
+    assert not snapshot.renamed(spark, f"{folder}/{'v-'}{3:012d}", f"{folder}/v-{4:012d}") and snapshot.versions(spark, folder) == [3, 4]
+    assert snapshot.load(spark, Config(kotlin_enabled=False), folder) is None

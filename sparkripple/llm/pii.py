@@ -5,8 +5,8 @@ matches that fail a check are dropped. Then base spans are masked, and high-reca
 generators propose further spans in the rest of the text, written otherwise than
 the base patterns allow. Each proposal is tried as every kind it may be, so
 proposals overlap. Boosted trees score each on format and context; those above
-their kind's calibrated threshold are selected in one sweep from left to right,
-in which of two that touch the better stays. What the base patterns find in the
+their kind's calibrated threshold are accepted by falling score where no accepted
+one touches them, within each run of spans that touch one another. What the base patterns find in the
 masked text, as a number once hidden by a neighbour, is taken outright.
 redact() replaces the very spans that find() lists.
 
@@ -16,8 +16,9 @@ trees become one nested CASE expression, so that a text is judged in the task
 that reads it: nothing is shuffled and no Python runs on executors.
 
 Null texts count as empty. Texts of any length are searched whole, and the time
-grows in proportion to the text and its candidates: patterns never backtrack over
-more than they have read, and arrays are swept once, in runs. Repeated rows get
+grows in proportion to the text and its candidates, but for a run of proposals that
+touch one another, whose time is the square of its length: patterns never backtrack
+over more than they have read, and arrays are swept in parts. Repeated rows get
 equal spans, extra columns are carried along whatever their names, an empty table
 gives no rows.
 """
@@ -212,7 +213,27 @@ def swept(spans: str, touching: str) -> str:
 
 #: Base spans that overlap count as one of the first's kind.
 UNITED = "named_struct('start', acc.held.start, 'end', greatest(acc.held.end, x.end), 'kind', acc.held.kind, 'score', acc.held.score)"
-BETTER = "CASE WHEN x.score > acc.held.score OR x.score = acc.held.score AND x.end - x.start > acc.held.end - acc.held.start THEN x ELSE acc.held END"
+
+
+def accepted(spans: str) -> str:
+    """Of the array of SPAN, sorted by start, those that no better one touches which is accepted itself: by score, then length, then place.
+
+    Only within a run of spans that touch one another are they compared.
+    """
+    group = f"ARRAY<{SPAN}>"
+    runs = f"""flatten(aggregate(
+      CASE WHEN size({spans}) = 0 THEN cast(array() AS array<bigint>) ELSE sequence(0L, cast((size({spans}) - 1) div 256 AS bigint)) END,
+      named_struct('end', -1L, 'own', cast(array() AS {group}), 'out', cast(array() AS ARRAY<ARRAY<{group}>>)),
+      (whole, part) -> aggregate(slice({spans}, cast(part * 256 + 1 AS int), 256),
+        named_struct('end', whole.end, 'own', whole.own, 'out', cast(array() AS ARRAY<{group}>)),
+        (acc, x) -> CASE WHEN x.start < acc.end THEN named_struct('end', greatest(acc.end, x.end), 'own', array_append(acc.own, x), 'out', acc.out)
+          ELSE named_struct('end', x.end, 'own', array(x), 'out', array_append(acc.out, acc.own)) END,
+        acc -> named_struct('end', acc.end, 'own', acc.own, 'out', array_append(whole.out, acc.out))),
+      whole -> array_append(whole.out, array(whole.own))))"""
+    ranked = "array_sort(transform(own, s -> named_struct('score', -s.score, 'chars', s.start - s.end, 'start', s.start, 'span', s)))"
+    best = f"""aggregate({ranked}, cast(array() AS {group}),
+      (held, x) -> CASE WHEN exists(held, y -> x.span.start < y.end AND y.start < x.span.end) THEN held ELSE array_append(held, x.span) END)"""
+    return f"array_sort(flatten(transform({runs}, own -> {best})))"
 
 
 def replaced(text: str, spans: str, pieces: str, by: str) -> str:
@@ -248,7 +269,7 @@ def spans(df: DataFrame, model: dict | None = None) -> DataFrame:
     tried = [f"transform({name}, c -> named_struct('start', c.start, 'end', c.end, 'm', c.m, 'b', c.b, 'a', c.a, 'k', '{kind}'))" for name, kinds in PROPOSED.items() for kind in kinds]
     df = df.withColumn("tried", F.expr(f"concat({', '.join(tried)})")).drop(*GENERATORS)
     df = df.withColumn("chosen", F.expr(f"array_sort(concat(again, {selected_sql('tried', model)}))")).drop("tried", "again", "masked", "cover")
-    return df.withColumn("added", F.expr(swept("chosen", BETTER))).drop("chosen")
+    return df.withColumn("added", F.expr(accepted("chosen"))).drop("chosen")
 
 
 def with_base(df: DataFrame, text: str, name: str, conditions: dict[str, Column]) -> DataFrame:

@@ -926,3 +926,17 @@ def test_rows_survive_beside_null_ids(spark):
     assert abs(words(mixing.repeated(large)) - words(little)) <= 32 and abs(words(mixing.repeated(little)) - words(little)) <= 32
     copies = spark.createDataFrame([(BIG + 2 * i, "the very same words here", "en", "a", 0) for i in range(4)] + [(None, "quite another text of words", "en", "a", 0)], DOCS).coalesce(1)
     assert sorted(r["doc_id"] or 0 for r in simhash_dedup.keep_one(copies).collect()) == [0, BIG]
+
+
+def test_spans_are_accepted_by_score(spark):
+    """A span that only a refused one touches is accepted."""
+    cases = {
+        "chain": ([(0, 5, 0.6), (4, 30, 0.7), (6, 12, 0.8)], [(0, 5), (6, 12)]),
+        "better first": ([(0, 10, 0.9), (5, 15, 0.8), (12, 20, 0.7)], [(0, 10), (12, 20)]),
+        "longer of equals": ([(0, 4, 0.9), (2, 9, 0.9)], [(2, 9)]),
+        "apart": ([(0, 4, 0.6), (4, 9, 0.9)], [(0, 4), (4, 9)]),
+        "none": ([], []),
+    }
+    rows = [(name, [(a, b, "card", s) for a, b, s in given]) for name, (given, _) in cases.items()]
+    got = spark.createDataFrame(rows, f"name string, spans array<{pii.SPAN}>").select("name", F.expr(pii.accepted("spans")).alias("kept")).collect()
+    assert {r["name"]: [(s["start"], s["end"]) for s in r["kept"]] for r in got} == {name: want for name, (_, want) in cases.items()}

@@ -43,6 +43,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="checkpoint-")
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more, on whatever store it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hash63(*of: str | Column) -> Column:
     """A hash spread evenly over 0 to TOP."""
     return F.xxhash64(*of).bitwiseAND(F.lit(TOP))

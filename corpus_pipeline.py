@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkripple.llm import mixing, packing, pii, simhash_dedup, toxicity
-from sparkripple.llm.common import shared_folder, table
+from sparkripple.llm.common import removed, shared_folder, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,11 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; results between stages lie in the folder that spark.checkpoint.dir names."""
-    shared = shared_folder(spark)
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; results between stages lie in the folder that spark.checkpoint.dir names, each until the next one is written."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return docs

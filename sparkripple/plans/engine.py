@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import time
 from collections.abc import Mapping
-from dataclasses import dataclass, replace
+from contextlib import contextmanager
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sparkripple.functions import paths
@@ -80,13 +81,28 @@ def prod_and_test(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes.filter("kind = 'prod'").select("diff_id", "fqn", "simple", "pkg"), classes.filter("kind = 'test'").select("diff_id", "fqn")
 
 
-def discover(classes: DataFrame, index: Mapping[str, DataFrame], config: Config) -> DataFrame:
+class Clock:
+    """Wall times of the parts of one discovery in milliseconds, under a strategy's name."""
+
+    def __init__(self):
+        self.millis: dict[str, int] = {}
+
+    @contextmanager
+    def of(self, strategy: str):
+        start = time.monotonic()
+        yield
+        self.millis[strategy] = self.millis.get(strategy, 0) + int((time.monotonic() - start) * 1000)
+
+
+def discover(classes: DataFrame, index: Mapping[str, DataFrame], config: Config, clock: Clock | None = None) -> DataFrame:
     """(diff_id, strategy, fqn) over the index relations tests, sources, imports, simple_refs, dotted_refs, decls, edges, or keys (fqn, key) in place of the three in the middle.
 
     Changed classes, their implementations and the classes that reach them are masks of
     diffs, a column per strategy, so that all diffs and strategies are joined to the
-    tests at once, and only the tests found are told apart by diff.
+    tests at once, and only the tests found are told apart by diff. The clock, if given, gets
+    the times of both searches and of the join by name; the rest is usage's.
     """
+    clock = clock or Clock()
     changed, changed_tests = prod_and_test(classes)
     numbers = masks.numbered(classes)
     own = kept(masks.masked(changed, numbers, "fqn", "simple"))
@@ -100,10 +116,13 @@ def discover(classes: DataFrame, index: Mapping[str, DataFrame], config: Config)
     wanted("naming", own, config.enabled("naming"), False)
     wanted("usage", own, False, config.enabled("usage"))
     if config.enabled("impl") and config.include_implementation_tests:
-        found = selection.implementation_masks(own, index["sources"], index["decls"], list(config.implementation_naming), config.transitive_depth, config.strict_compat)
+        with clock.of("impl"):
+            found = selection.implementation_masks(own, index["sources"], index["decls"], list(config.implementation_naming), config.transitive_depth, config.strict_compat)
         wanted("impl", found, config.enabled("naming"), config.enabled("usage"))
     if config.enabled("transitive"):
-        wanted("transitive", selection.transitive_masks(own.select("fqn", "word", "bits"), index["edges"], config.transitive_depth), True, True)
+        with clock.of("transitive"):
+            found = selection.transitive_masks(own.select("fqn", "word", "bits"), index["edges"], config.transitive_depth)
+        wanted("transitive", found, True, True)
 
     def united(rows: DataFrame, *by: str) -> DataFrame:
         return rows.groupBy(*by, "word").agg(*(F.bit_or(s).alias(s) for s in STRATEGIES))
@@ -112,7 +131,8 @@ def discover(classes: DataFrame, index: Mapping[str, DataFrame], config: Config)
     if by_name:
         named = united(reduce(DataFrame.unionByName, by_name).withColumn("simple", paths.simple_name(F.col("fqn"))), "simple")
         named = named.withColumn("simple", F.explode(F.transform(F.lit(list(config.test_suffixes)), lambda s: F.concat(F.col("simple"), s))))
-        hit.append(named.join(index["tests"].select("fqn", "simple"), "simple").select("fqn", "word", *STRATEGIES))
+        with clock.of("naming"):
+            hit.append(kept(united(named.join(index["tests"].select("fqn", "simple"), "simple"), "fqn")))
     if by_use:
         keys = index["keys"] if "keys" in index else selection.usage_keys(index["imports"], index["simple_refs"], index["dotted_refs"])
         used = keys.select(F.col("fqn").alias("test"), F.col("key").alias("fqn")).join(united(reduce(DataFrame.unionByName, by_use), "fqn"), "fqn").select(F.col("test").alias("fqn"), "word", *STRATEGIES, F.lit(0).cast("long").alias("own"))
@@ -128,20 +148,6 @@ def discover(classes: DataFrame, index: Mapping[str, DataFrame], config: Config)
     return masks.of_diffs(rows, numbers, "strategy", "fqn").unionByName(changed_rows)
 
 
-def profile(classes: DataFrame, index: Mapping[str, DataFrame], config: Config) -> DataFrame:
-    """(strategy, millis, tests, ord): each enabled strategy run by itself and timed, over all diffs."""
-    rows = []
-    for strategy in STRATEGIES:
-        if config.enabled(strategy) and (strategy != "impl" or config.include_implementation_tests):
-            # Tests of implementations are found by the strategies enabled beside it, so those stay on.
-            beside = [s for s in config.strategies if s in ("naming", "usage")] if strategy == "impl" else []
-            only = replace(config, strategies=(strategy, *beside))
-            start = time.monotonic()
-            n = discover(classes, index, only).filter(F.col("strategy") == strategy).select("diff_id", "fqn").distinct().count()
-            rows.append((strategy, int((time.monotonic() - start) * 1000), n, len(rows)))
-    return classes.sparkSession.createDataFrame(rows, "strategy string, millis long, tests long, ord int")
-
-
 def cross_package(classes: DataFrame, selected: DataFrame, index: Mapping[str, DataFrame], config: Config) -> DataFrame:
     """(diff_id, changed_fqn, fqn, place, total): selected tests that naming found in another package than the changed class's, in order, and how many a diff has."""
     changed, _ = prod_and_test(classes)
@@ -207,19 +213,29 @@ def on_disk(found: DataFrame, known_tests: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Trace:
-    """All that a report needs; found is (diff_id, strategy, fqn), selected (diff_id, fqn, path) before the decision."""
+    """All that a report needs; found is (diff_id, strategy, fqn), selected (diff_id, fqn, path) before the decision.
+
+    profile is (strategy, millis, tests, ord) of the strategies that ran: their times and
+    the tests they found in all diffs, as measured while the analysis ran; None without a search.
+    """
 
     classified: DataFrame
     classes: DataFrame
     found: DataFrame
     selected: DataFrame
     decisions: DataFrame
+    profile: DataFrame | None = None
 
     def chosen(self) -> DataFrame:
         """The selected tests of the diffs that run a selection."""
         return self.selected.join(self.decisions.filter("outcome = 'SELECTED'").select("diff_id"), "diff_id", "left_semi")
 
 
+def profiled(spark: SparkSession, clock: Clock, tests_of: Mapping[str, int], config: Config) -> DataFrame:
+    ran = [s for s in STRATEGIES if config.enabled(s) and (s != "impl" or config.include_implementation_tests)]
+    return spark.createDataFrame([(s, clock.millis.get(s, 0), int(tests_of.get(s) or 0), i) for i, s in enumerate(ran)], "strategy string, millis long, tests long, ord int")
+
+
 def trace(changed_files: DataFrame, index: Mapping[str, DataFrame], config: Config, diffs: DataFrame | None = None, failures: DataFrame | None = None, env: Mapping[str, str] | None = None) -> Trace:
     """The analysis of changed_files(diff_id, path[, ord]).
 
@@ -228,13 +244,17 @@ def trace(changed_files: DataFrame, index: Mapping[str, DataFrame], config: Conf
     are given. Where no diff has a production class, only the index's tests are
     looked at, so that a lazy index parses nothing.
     """
-    classified = kept(classify(changed_files, config))
+    classified, profile = kept(classify(changed_files, config)), None
     classes = changed_classes(classified, config)
     if classes.filter("kind = 'prod'").isEmpty():
         found = classes.select("diff_id", F.lit("changed").alias("strategy"), "fqn").distinct()
         failures = None
     else:
-        found = kept(discover(classes, index, config))
+        clock, tests_of = Clock(), Observation("tests of strategies")
+        searched = discover(classes, index, config, clock)
+        with clock.of("usage"):
+            found = kept(searched.observe(tests_of, *(F.count_if(F.col("strategy") == s).alias(s) for s in STRATEGIES)))
+        profile = profiled(classes.sparkSession, clock, tests_of.get, config)
         if failures is None and "metadata" in index:
             failures = parse_failures(classes, index, config)
     selected = kept(on_disk(found, index["tests"]))
@@ -244,7 +264,7 @@ def trace(changed_files: DataFrame, index: Mapping[str, DataFrame], config: Conf
     counts = counts.join(selected.groupBy("diff_id").agg(F.count_distinct("fqn").alias("n_selected")), "diff_id", "left")
     counts = counts.join(classes.filter("kind = 'prod'").groupBy("diff_id").agg(F.count_distinct("fqn").alias("n_prod_classes")), "diff_id", "left")
     counts = counts.join(failures.select("diff_id", "n_failed"), "diff_id", "left") if failures is not None else counts.withColumn("n_failed", F.lit(0))
-    return Trace(classified, classes, found, selected, decide(counts.fillna(0), config, env))
+    return Trace(classified, classes, found, selected, decide(counts.fillna(0), config, env), profile)
 
 
 def analyse(changed_files: DataFrame, index: Mapping[str, DataFrame], config: Config, diffs: DataFrame | None = None, failures: DataFrame | None = None, env: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -185,7 +185,7 @@ def test_reports(spark):
     trace = engine.trace(diff, own, config)
     assert report.summary(trace.decisions).first()["line"] == "Impacted Tests: SELECTED (DISCOVERY_SUCCESS) — 2 changed file(s), 1 production class(es), 3 test class(es) affected"
     routes = dispatch.routed(trace.chosen(), spark.createDataFrame([], NO_MODULES), ["test"])
-    profile = engine.profile(trace.classes, own, config)
+    profile = trace.profile
     assert [(r["strategy"], r["ord"]) for r in profile.collect()] == [(s, i) for i, s in enumerate(settings.STRATEGIES)] and profile.filter("strategy = 'impl'").first()["tests"] == 2
     lines = [r["line"] for r in report.explain(trace.decisions, trace.classified, routes, config, found=trace.found, profile=profile).orderBy("line_no").collect()]
     assert "Changed files:   2" in lines and "  ignored sample: x.md" in lines and "  DISCOVERY_EMPTY          SKIPPED [MODE_DEFAULT]" in lines
@@ -270,7 +270,7 @@ def test_json(spark):
     own = tree(spark, dict(GREETERS))
     trace = engine.trace(diff, own, config)
     routes = dispatch.routed(trace.chosen(), spark.createDataFrame([], NO_MODULES), ["test"])
-    got = {r["diff_id"]: json.loads(r["json"]) for r in report.explain_json(trace.decisions, trace.classified, routes, trace.found, config, profile=engine.profile(trace.classes, own, config)).collect()}
+    got = {r["diff_id"]: json.loads(r["json"]) for r in report.explain_json(trace.decisions, trace.classified, routes, trace.found, config, profile=trace.profile).collect()}
     body = got["d"]
     assert list(body) == ["version", "baseRef", "mode", "changedFiles", "buckets", "samples", "situation", "action", "outcome", "modules", "discovery", "actionMatrix"]
     assert body["version"] == 2 and body["mode"] == {"configured": "LOCAL", "effective": "LOCAL"} and body["samples"] == {"ignored": ["x.md"], "production": [GREETERS[0][0]]}

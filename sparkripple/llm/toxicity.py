@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkripple.llm.common import carried, cut, fold, hash63, restored, share_bound
+from sparkripple.llm.common import cut, fold, hash63, share_bound
 
 HASHED = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -43,6 +43,8 @@ HELD_OUT = (5, 0)
 PENALTY = 2e-2
 #: Rows that are scored and handed on at a time.
 ROWS = 512
+#: Words whose features a task keeps at hand, some 150 bytes each.
+MOST_WORDS = 1 << 17
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCES = re.compile(r"[.!?\n]+")
 
@@ -57,26 +59,33 @@ def words(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
-def count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ROWS rows, so that few texts are Python's at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Document frequencies of the features by label, over one partition."""
     seen = np.zeros((2, HASHED), dtype=np.int64)
     known: dict[str, tuple[int, ...]] = {}
-    for batch in batches:
-        for text, toxic in zip(batch["text"], batch["toxic"]):
+    for batch in sliced(batches):
+        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             ids: set[int] = set()
             for word in set(words(text)):
                 if word not in known:
-                    if len(known) > 500_000:
+                    if len(known) >= MOST_WORDS:
                         known.clear()
                     known[word] = features(word)
                 ids.update(known[word])
             seen[int(toxic), np.fromiter(ids, dtype=np.int64, count=len(ids))] += 1
     at = np.flatnonzero(seen.any(axis=0))
-    yield pd.DataFrame({"feature": at, "clean": seen[0, at], "toxic": seen[1, at]})
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, seen[0, at], seen[1, at])], ["feature", "clean", "toxic"])
 
 
 def chosen_features(labelled: DataFrame, n_clean: int, n_toxic: int, most: int) -> list[int]:
-    df = labelled.mapInPandas(count_features, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    df = labelled.mapInArrow(count_features, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     n, both = n_clean + n_toxic, F.col("c") + F.col("t")
     expected = both * (n_toxic / n)
     chi = F.pow(F.col("t") - expected, 2) / (expected * (1 - n_toxic / n) + 1e-9)
@@ -92,7 +101,7 @@ def sentences(text: str, weight_of: dict[int, int], known: dict[str, tuple[int,
         own: set[int] = set()
         for word in words(part):
             if word not in known:
-                if len(known) > 500_000:
+                if len(known) >= MOST_WORDS:
                     known.clear()
                 known[word] = tuple(weight_of[f] for f in features(word) if f in weight_of)
             own.update(known[word])
@@ -104,15 +113,17 @@ def instances(chosen: list[int]):
     """Per training document: its label, number of sentences and the kept features of the sentences that have any."""
     at = {f: i for i, f in enumerate(chosen)}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("toxic", pa.int32()), ("n", pa.int32()), ("lengths", pa.list_(pa.int32())), ("ids", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
-            for text, toxic in zip(batch["text"], batch["toxic"]):
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 parts, found = sentences(text, at, known)
                 full = [sorted(x) for x in found if x]
                 rows.append((int(toxic), len(parts), [len(x) for x in full], [i for x in full for i in x]))
-            yield pd.DataFrame(rows, columns=["toxic", "n", "lengths", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return run
 
@@ -182,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, most
     if not counts.get(1):
         return {}, -30.0
     chosen = chosen_features(labelled, counts.get(0, 0), counts[1], most)
-    rows = labelled.mapInPandas(instances(chosen), "toxic int, n int, lengths array<int>, ids array<int>").toPandas()
+    rows = labelled.mapInArrow(instances(chosen), "toxic int, n int, lengths array<int>, ids array<int>").toPandas()
     if rows.empty or not rows["toxic"].any():
         return {}, -30.0
     w, b = fit(rows, len(chosen))
@@ -216,16 +227,15 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n, rest = HELD_OUT
     weights, bias = train(docs, labels)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, known = scorer(weights, bias), {}
-        for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                part = batch.iloc[at : at + ROWS]
-                got = [one(text or "", known) for text in part["text"]]
-                scores = [x[0] for x in got]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "score": scores, "predicted": [int(x >= 0.5) for x in scores], "sentences": [x[1] for x in got]})
-
-    own = restored(docs.select(carried(), "text").mapInPandas(run, "doc_id string, score double, predicted int, sentences array<string>"))
+        for part in sliced(batches):
+            got = [one(text or "", known) for text in part.column("text").to_pylist()]
+            scores = [x[0] for x in got]
+            own = [part.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32()), pa.array([x[1] for x in got], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(own, ["doc_id", "score", "predicted", "sentences"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int, sentences array<string>")
     return own.select("doc_id", (fold("doc_id", n) == rest).alias("held_out"), "score", "predicted", "sentences")
 
 
@@ -236,9 +246,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, known = scorer(weights, bias), {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                yield part.filter(pa.array([one(text or "", known)[0] < 0.5 for text in part.column(at_text).to_pylist()]))
+        for part in sliced(batches):
+            yield part.filter(pa.array([one(text or "", known)[0] < 0.5 for text in part.column(at_text).to_pylist()]))
 
     return docs.mapInArrow(run, docs.schema)

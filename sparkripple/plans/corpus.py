@@ -8,6 +8,7 @@ diffs, and every operator runs over these whole views.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from sparkripple.functions import paths, source_text
 from sparkripple.operators import dispatch, selection
-from sparkripple.operators.iterate import kept
-from sparkripple.plans import engine, report, syntax_corpus
+from sparkripple.operators.iterate import kept, shared_folder
+from sparkripple.plans import engine, report, stored, syntax_corpus
 from sparkripple.plans import index as project_index
 from sparkripple.plans.config import DEFAULTS, IGNORED, SITUATIONS, Config
 from sparkripple.sources import snapshot
@@ -510,10 +511,12 @@ def situation_resolve(spark, d):
     return engine.decide(decision_counts(spark, d), CONFIG).select("diff_id", "situation")
 
 
-@query(" UNION ALL ".join(f"SELECT '{s}' situation, '{m}' AS mode, '{DEFAULTS[s][i]}' AS action" for s in SITUATIONS for i, m in enumerate(("LOCAL", "CI", "STRICT"))))
+@query("SELECT diff_id, situation, mode, action FROM cv_situation JOIN (" + " UNION ALL ".join(f"SELECT '{s}' situation, '{m}' AS mode, '{DEFAULTS[s][i]}' AS action" for s in SITUATIONS for i, m in enumerate(("LOCAL", "CI", "STRICT"))) + ") USING (situation)")
 def action_matrix(spark, d):
+    """What every mode would do with each diff's situation."""
+    found = engine.decide(decision_counts(spark, d), CONFIG).select("diff_id", "situation")
     rows = [Config(mode=m).action_matrix(spark).select("situation", F.lit(m).alias("mode"), "action") for m in ("LOCAL", "CI", "STRICT")]
-    return rows[0].union(rows[1]).union(rows[2])
+    return found.join(F.broadcast(reduce(DataFrame.union, rows)), "situation").select("diff_id", "situation", "mode", "action")
 
 
 @query("SELECT diff_id, situation, action, action_source FROM cv_action")
@@ -562,9 +565,12 @@ def dir_fingerprint_diff(spark, d):
     return snapshot.drifted(*directories(spark, d))
 
 
-@query("SELECT sha256('src/main/java,src/main/kotlin' || chr(10) || 'src/test/java' || chr(10) || chr(10) || 'api-test,perf/**' || chr(10) || 'true') AS config_hash")
+@query("SELECT n_nationkey, sha256('m' || n_nationkey || '/src/main/java,src/main/java' || chr(10) || 'src/test/java' || chr(10) || chr(10) || array_to_string(list_sort([lower(n_name) || '/**', 'api-test']), ',') || chr(10) || CASE WHEN n_nationkey % 2 = 0 THEN 'true' ELSE 'false' END) AS config_hash FROM nation")
 def config_hash(spark, d):
-    return spark.range(1).select(F.lit(snapshot.config_hash(CONFIG)).alias("config_hash"))
+    """Hashes of the settings of a project per nation."""
+    n = F.col("n_nationkey")
+    own = [F.array(F.lit("src/main/java"), F.concat(F.lit("m"), n.cast("string"), F.lit("/src/main/java"))), F.array(F.lit("src/test/java")), F.array().cast("array<string>"), F.array(F.lit("api-test"), F.concat(F.lower("n_name"), F.lit("/**")))]
+    return read(spark, d, "nation").select(n, snapshot.hash_of(*own, n % 2 == 0).alias("config_hash"))
 
 
 MATRIX = [(s, *CONFIG.action(s, "CI")) for s in SITUATIONS]
@@ -695,6 +701,26 @@ def index_build(spark, d):
     return reduce(DataFrame.union, parts).toDF("relation", "a", "b")
 
 
+@query(
+    """SELECT 'decl' relation, fqn a, CASE WHEN k % 9 = 1 THEN 'NewPart' ELSE 'Part' END || (k // 7) b FROM cv_class WHERE k % 10 <> 0 AND k % 9 <> 2
+      UNION ALL SELECT 'source', fqn, simple FROM cv_class WHERE k % 9 <> 2
+      UNION ALL SELECT 'failed', 'source', (count(*))::varchar FROM cv_class WHERE k % 10 = 0 AND k % 9 <> 2"""
+)
+def index_refresh(spark, d):
+    """Stored relations of made-up sources after a ninth of them changed and another ninth went."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    k = F.regexp_extract("path", r"Part(\d+)\.java$", 1).try_cast("int")
+    first = source_files(spark, d).filter("path LIKE 'src/main/java/%'").withColumns({"mtime": F.lit(1).cast("long"), "size": F.length("content").cast("long")})
+    changed = k % 9 == 1
+    second = first.filter(k % 9 != 2).withColumns({"content": F.when(changed, F.replace("content", F.lit(" extends Part"), F.lit(" extends NewPart"))).otherwise(F.col("content")), "mtime": F.when(changed, 2).otherwise(1).cast("long")})
+    for files in (first, second):
+        stored.refresh(spark, kept(files), CONFIG, folder, buckets=8)
+    own = stored.stored_index(spark, folder)
+    failed = own["metadata"].filter("NOT parse_ok").groupBy("kind").agg(F.count(F.lit(1)).cast("string").alias("n"))
+    parts = [own["decls"].select(F.lit("decl"), "fqn", "supertype"), own["sources"].select(F.lit("source"), "fqn", "simple"), failed.select(F.lit("failed"), "kind", "n")]
+    return reduce(DataFrame.union, parts).toDF("relation", "a", "b")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

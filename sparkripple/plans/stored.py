@@ -1,6 +1,6 @@
 """The index's relations as stored tables that follow the changed files.
 
-Every relation has the path that its rows come from and lies in BUCKETS folders by
+Every relation has the path that its rows come from and lies in bucket folders by
 a hash of it, so what a file gave can be taken back, and a refresh reads and writes
 the buckets of changed files only. Rows are what the files say and nothing
 summed up, but for edges: what a name means depends on which classes there are, so
@@ -38,8 +38,8 @@ FILES = "path string, kind string, fqn string, simple string, pkg_of_path string
 EDGES = "consumer string, dependency string"
 
 
-def bucket_of(path: str = "path") -> Column:
-    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
 
 
 def said_by(meta: DataFrame, config: Config) -> dict[str, DataFrame]:
@@ -73,43 +73,49 @@ def table(spark: SparkSession, folder: str, name: str, columns: str) -> DataFram
         raise
 
 
-def replace(spark: SparkSession, folder: str, name: str, columns: str, dirty: DataFrame, rows: DataFrame) -> None:
-    """Put rows in place of what the relation holds of the dirty(path) files; only their buckets are read and written."""
-    touched = [r["bucket"] for r in dirty.select(bucket_of().alias("bucket")).distinct().collect()]  # at most BUCKETS numbers
-    if not touched:
+def touched_by(dirty: DataFrame, buckets: int) -> list[int]:
+    return [r["bucket"] for r in dirty.select(bucket_of(buckets).alias("bucket")).distinct().collect()]  # at most so many numbers
+
+
+def replace(spark: SparkSession, folder: str, name: str, columns: str, dirty: DataFrame, touched: list[int], rows: DataFrame, buckets: int) -> None:
+    """Put rows in place of what the relation holds of the dirty(path) files; only their buckets, the touched ones, are read and written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    home, aside = f"{folder}/{name}", f"{folder}/.{name}-{uuid.uuid4().hex}"
+    files = jvm.org.apache.hadoop.fs.Path(home).getFileSystem(conf)
+    first = not files.exists(jvm.org.apache.hadoop.fs.Path(home))
+    rows = rows.withColumn("bucket", bucket_of(buckets))
+    if not first:
+        rows = rows.unionByName(table(spark, folder, name, columns).filter(F.col("bucket").isin(touched)).join(dirty.select("path"), "path", "left_anti"))
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(home if first else aside)
+    if first:
         return
-    old = table(spark, folder, name, columns).filter(F.col("bucket").isin(touched)).join(dirty.select("path"), "path", "left_anti")
-    aside = f"{folder}/.{name}-{uuid.uuid4().hex}"
-    old.unionByName(rows.withColumn("bucket", bucket_of())).repartition("bucket").write.partitionBy("bucket").parquet(aside)
+    made = {s.getPath().getName() for s in files.listStatus(jvm.org.apache.hadoop.fs.Path(aside))}
     for b in touched:
-        clear(spark, f"{folder}/{name}/bucket={b}")
-    made = spark.read.schema("bucket int").parquet(aside).select("bucket").distinct().collect()
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    home = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    home.getFileSystem(conf).mkdirs(home)
-    for r in made:
-        renamed(spark, f"{aside}/bucket={r['bucket']}", f"{folder}/{name}/bucket={r['bucket']}")
+        clear(spark, f"{home}/bucket={b}")
+        if f"bucket={b}" in made:
+            renamed(spark, f"{aside}/bucket={b}", f"{home}/bucket={b}")
     clear(spark, aside)
 
 
-def refresh(spark: SparkSession, files: DataFrame, config: Config, folder: str) -> DataFrame:
+def refresh(spark: SparkSession, files: DataFrame, config: Config, folder: str, buckets: int = BUCKETS) -> DataFrame:
     """Bring the tables in folder up to files(path, content, mtime, size) and return the (path) of files that were read or are gone.
 
-    The first refresh of an empty folder writes all. Only content of files that are new,
+    The first refresh of an empty folder writes all; the number of buckets is the folder's from then on. Only content of files that are new,
     of another time or size, or were not parsed is looked at.
     """
-    own = located(files, config)
+    own = kept(located(files, config).select("path", "kind", "fqn", "simple", "pkg_of_path", "mtime", "size"))
     old = table(spark, folder, "files", FILES)
     same = ["path", "kind", "fqn", "mtime", "size"]
     fresh = own.join(old.filter("parse_ok").select(*same), same, "left_anti")
-    meta = kept(source_text.metadata(fresh.select("path", "kind", "fqn", "simple", "pkg_of_path", "mtime", "size", "content"), config.kotlin_enabled))
+    meta = kept(source_text.metadata(fresh.join(files.select("path", "content"), "path"), config.kotlin_enabled))
     gone = old.select("path").join(own.select("path"), "path", "left_anti")
     dirty = kept(meta.select("path").union(gone).union(fresh.select("path")).distinct())
-    if dirty.isEmpty():
+    touched = touched_by(dirty, buckets)
+    if not touched:
         return dirty
     known_before = kept(old.filter("kind = 'source'").select("fqn").distinct())
     for name, rows in said_by(meta, config).items():
-        replace(spark, folder, name, PER_FILE[name], dirty, rows)
+        replace(spark, folder, name, PER_FILE[name], dirty, touched, rows, buckets)
     known = kept(own.filter("kind = 'source'").select("fqn").distinct())
     changed = known.join(known_before, "fqn", "left_anti").union(known_before.join(known, "fqn", "left_anti"))
     names = changed.select(paths.simple_name(F.col("fqn")).alias("name")).distinct()
@@ -119,11 +125,11 @@ def refresh(spark: SparkSession, files: DataFrame, config: Config, folder: str)
     words = part("postings").select(F.col("fqn").alias("path"), "token")
     edges = selection.used_by(words, selection.resolved(part("source_refs"), part("source_imports"), known))
     place = part("source_refs").select("path", F.col("fqn").alias("consumer")).distinct()
-    replace(spark, folder, "edges", EDGES, again, edges.join(place, "consumer").select("path", "consumer", "dependency"))
+    replace(spark, folder, "edges", EDGES, again, touched_by(again, buckets), edges.join(place, "consumer").select("path", "consumer", "dependency"), buckets)
     # Files that no reader is for are located, and have no metadata.
     unread = fresh.join(meta.select("path"), "path", "left_anti").withColumns({"parse_ok": F.lit(None).cast("boolean"), "words": F.lit(None).cast("array<string>")})
     columns = [c.split()[0] for c in FILES.split(", ")]
-    replace(spark, folder, "files", FILES, dirty, reduce(DataFrame.unionByName, (rows.select(*columns) for rows in (meta, unread))))
+    replace(spark, folder, "files", FILES, dirty, touched, reduce(DataFrame.unionByName, (rows.select(*columns) for rows in (meta, unread))), buckets)
     return dirty
 
 

@@ -12,7 +12,7 @@ import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkripple.plans.config import Config
@@ -29,6 +29,12 @@ def config_hash(config: Config) -> str:
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()
 
 
+def hash_of(source_dirs: Column, test_dirs: Column, out_of_scope_source_dirs: Column, out_of_scope_test_dirs: Column, kotlin_enabled: Column) -> Column:
+    """config_hash() of settings in columns, four arrays and a boolean, as of many projects in rows."""
+    joined = [F.array_join(F.array_sort(x), ",") for x in (source_dirs, test_dirs, out_of_scope_source_dirs, out_of_scope_test_dirs)]
+    return F.sha2(F.concat_ws("\n", *joined, F.lower(kotlin_enabled.cast("string"))).cast("binary"), 256)
+
+
 def drifted(old: DataFrame, new: DataFrame) -> DataFrame:
     """Directories that are new, gone, or of another time or number of children."""
     a, b = old.alias("a"), new.alias("b")

@@ -9,6 +9,7 @@ from sparkripple.operators import dispatch, selection
 from sparkripple.plans import config as settings
 from sparkripple.plans import engine, index, report
 from sparkripple.plans.config import DEFAULTS, SITUATIONS, Config
+from sparkripple.sources import snapshot
 
 
 def tree(spark, files, cfg=None, gone=("gone.Gone",)):
@@ -264,6 +265,12 @@ def test_class_name_of_a_test_file(spark):
     assert got == ["y.T", "p.q.T", "T", "z.U"]
 
 
+def test_settings_hash_of_rows(spark):
+    cfg = Config(source_dirs=("z", "a"), out_of_scope_test_dirs=("q", "b"), kotlin_enabled=False)
+    arrays = [F.lit(list(x)).cast("array<string>") for x in (cfg.source_dirs, cfg.test_dirs, cfg.out_of_scope_source_dirs, cfg.out_of_scope_test_dirs)]
+    assert spark.range(1).select(snapshot.hash_of(*arrays, F.lit(False)).alias("h")).first()["h"] == snapshot.config_hash(cfg)
+
+
 def test_json(spark):
     diff = spark.createDataFrame([("d", GREETERS[0][0]), ("d", "x.md"), ("m", "x.md")], "diff_id string, path string")
     config = Config(mode="LOCAL")

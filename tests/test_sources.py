@@ -99,6 +99,22 @@ def test_git(spark, repo):
         git.changed_files(spark, "/tmp", "main")
 
 
+def test_git_of_many_diffs(spark, repo):
+    """Every commit against its parent, in tasks; one diff's rows are those of the diff asked for alone."""
+    root, put, do = repo
+    put("src/main/java/a/More.java", "package a; class More { }")
+    do("add", "-A")
+    do("commit", "-qm", "four")
+    commits = git.git(str(root), "rev-list", "HEAD").split()
+    asked = [(c[:8], str(root), f"{c}^", c) for c in commits[:-1]] + [("all", str(root), "main", None)]
+    got = {}
+    for r in git.changed_files_of(spark.createDataFrame(asked, "diff_id string, repo string, base string, head string"), tasks=3).collect():
+        got.setdefault(r["diff_id"], set()).add((r["path"].rpartition("/")[2], r["change_type"]))
+    assert got == {commits[0][:8]: {("More.java", "A")}, commits[1][:8]: {("Old.java", "D"), ("New.java", "A")}, "all": {("Old.java", "D"), ("New.java", "A"), ("More.java", "A")}}
+    with pytest.raises(Exception, match="base ref"):
+        git.changed_files_of(spark.createDataFrame([("x", str(root), "nowhere", None)], "diff_id string, repo string, base string, head string")).collect()
+
+
 def test_tree_and_snapshot(spark, repo, tmp_path_factory):
     root, put, _ = repo
     put("mod/src/main/java/_hidden/H.java", "package _hidden; class H { }")

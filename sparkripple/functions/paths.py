@@ -104,6 +104,14 @@ def fqn_under(path: Column, dirs: list[str]) -> Column:
     return F.replace(without_extension(rest), F.lit("/"), F.lit("."))
 
 
+def fqn_after(path: Column, dirs: list[str]) -> Column:
+    """Class name of a path behind the first place of the first of dirs it holds, at whole segments or not; null if none."""
+    at = [(F.instr(path, f"{d.strip('/')}/"), len(d.strip("/")) + 1) for d in dirs]
+    found = [F.when(place > 0, F.substring(path, place + F.lit(length), F.length(path))) for place, length in at]
+    rest = F.coalesce(*found) if found else F.lit(None).cast("string")
+    return F.replace(without_extension(rest), F.lit("/"), F.lit("."))
+
+
 def fqn_of_test(path: Column, dirs: list[str], pkg: Column, primary_type: Column) -> Column:
     """Class name of a test file below the deepest directory that ends with the first of dirs found above it; else package and primary type."""
     below = [F.nullif(F.regexp_extract(path, f"^.*{re.escape(d.strip('/'))}/(.*)$", 1), F.lit("")) for d in dirs]

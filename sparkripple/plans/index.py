@@ -34,11 +34,14 @@ class Index(Mapping):
 
 
 def located(files: DataFrame, config: Config) -> DataFrame:
-    """files(path, ...) that are sources or tests in scope, with kind, fqn, simple and pkg of the path; the least path of a class name counts."""
+    """files(path, ...) that are sources or tests in scope, with kind, fqn, simple and pkg of the path; the least path of a class name counts.
+
+    With strict_compat a source's name begins behind the first place of its directory, at whole segments or not.
+    """
     path, tests, sources = F.col("path"), list(config.test_dirs), list(config.source_dirs)
     as_test, as_source = paths.fqn_under(path, tests), paths.fqn_under(path, sources)
     rows = files.filter(paths.is_source(path) & ~paths.is_marker(path) & ~paths.in_directories(path, config.out_of_scope()))
-    rows = rows.withColumns({"kind": F.when(as_test.isNotNull(), "test").when(as_source.isNotNull(), "source"), "fqn": F.coalesce(as_test, as_source)}).filter("kind IS NOT NULL")
+    rows = rows.withColumns({"kind": F.when(as_test.isNotNull(), "test").when(as_source.isNotNull(), "source"), "fqn": F.coalesce(as_test, paths.fqn_after(path, sources) if config.strict_compat else as_source)}).filter("kind IS NOT NULL")
     first = rows.groupBy("kind", "fqn").agg(F.min("path").alias("path"))
     rows = rows.join(first, ["kind", "fqn", "path"], "left_semi")
     return rows.withColumns({"simple": paths.simple_name(F.col("fqn")), "pkg_of_path": paths.package_of(F.col("fqn"))})

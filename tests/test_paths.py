@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 from sparkripple.functions import paths
+from sparkripple.plans import index
+from sparkripple.plans.config import Config
 
 
 def on(spark, column, values):
@@ -57,3 +59,13 @@ def test_words(spark):
 
 def test_polyglot(spark):
     assert on(spark, paths.polyglot_extension(F.col("p")), ["a.groovy", "b.gradle.kts", "c.kts", "d.SC", "e.java"]) == ["groovy", None, "kts", "sc", None]
+
+
+def test_names_behind_the_first_place(spark):
+    dirs = ["src/main/java", "src/main/kotlin"]
+    rows = spark.createDataFrame([("mysrc/main/java/x/src/main/java/a/B.java",), ("m/src/main/kotlin/c/D.kt",), ("other/E.java",)], "path string")
+    got = {tuple(r) for r in rows.select(paths.fqn_after(F.col("path"), dirs), paths.fqn_under(F.col("path"), dirs)).collect()}
+    assert got == {("x.src.main.java.a.B", "a.B"), ("c.D", "c.D"), (None, None)}
+    files = rows.withColumn("content", F.lit(""))
+    names = lambda cfg: {r["fqn"] for r in index.located(files, cfg).collect()}
+    assert names(Config(source_dirs=tuple(dirs))) == {"a.B", "c.D"} and names(Config(source_dirs=tuple(dirs), strict_compat=True)) == {"x.src.main.java.a.B", "c.D"}

@@ -112,11 +112,12 @@ def build(files: DataFrame, config: Config, gone: DataFrame | None = None, metad
 def from_tree(spark: SparkSession, root: str, config: Config, folder: str | None = None, gone: DataFrame | None = None) -> Index:
     """The index of the source tree at root; with a folder, files that a snapshot there knows unchanged aren't read again, and a new one is written."""
     dirs = [*config.source_dirs, *config.test_dirs]
-    files = kept(tree.files(spark, root, dirs))
+    walk = kept(tree.walked(spark, root))
+    files = tree.files(spark, root, dirs, walk)
 
     def metadata(own: DataFrame) -> DataFrame:
         stored = snapshot.load(spark, config, folder) if folder else None
-        folders = kept(tree.directories(spark, root, dirs)) if folder else None
+        folders = tree.directories(spark, root, dirs, walk) if folder else None
         listed = own.select("path", "mtime", "size")
         if stored is None or not snapshot.drifted(stored[1], folders).isEmpty():
             fresh = listed

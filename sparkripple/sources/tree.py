@@ -70,9 +70,9 @@ def below(path: Column, dirs: list[str]) -> Column:
     return F.coalesce(*(F.when(F.concat(F.lit("/"), path).contains(f"/{d.strip('/')}/"), d) for d in dirs), F.lit(None).cast("string"))
 
 
-def files(spark: SparkSession, root: str, dirs: list[str]) -> DataFrame:
-    """(path, dir, mtime, size) of the sources below any of dirs, wherever these lie."""
-    return walked(spark, root).filter("NOT is_dir").select("path", below(F.col("path"), dirs).alias("dir"), "mtime", "size").filter("dir IS NOT NULL")
+def files(spark: SparkSession, root: str, dirs: list[str], walk: DataFrame | None = None) -> DataFrame:
+    """(path, dir, mtime, size) of the sources below any of dirs, wherever these lie; walk is walked(), if that is written already."""
+    return (walked(spark, root) if walk is None else walk).filter("NOT is_dir").select("path", below(F.col("path"), dirs).alias("dir"), "mtime", "size").filter("dir IS NOT NULL")
 
 
 def roots(spark: SparkSession, root: str, rel: str, strict_compat: bool = False) -> DataFrame:
@@ -108,7 +108,7 @@ def texts(files: DataFrame, root: str) -> DataFrame:
     return files.mapInPandas(run, f"{fields}, content string")
 
 
-def directories(spark: SparkSession, root: str, dirs: list[str]) -> DataFrame:
+def directories(spark: SparkSession, root: str, dirs: list[str], walk: DataFrame | None = None) -> DataFrame:
     """(path, mtime, child_count) of every directory in or below dirs, to tell whether a snapshot still holds."""
     inside = below(F.concat("path", F.lit("/")), dirs).isNotNull()
-    return walked(spark, root).filter("is_dir").filter(inside).select("path", "mtime", "child_count")
+    return (walked(spark, root) if walk is None else walk).filter("is_dir").filter(inside).select("path", "mtime", "child_count")

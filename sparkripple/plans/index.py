@@ -110,16 +110,15 @@ def build(files: DataFrame, config: Config, gone: DataFrame | None = None, metad
 
 
 def from_tree(spark: SparkSession, root: str, config: Config, folder: str | None = None, gone: DataFrame | None = None) -> Index:
-    """The index of the source tree at root; with a folder, files that a snapshot there knows unchanged aren't read again, and a new one is written."""
+    """The index of the source tree at root; with a folder, what a snapshot there knows unchanged is neither listed nor read again, and a new one is written."""
     dirs = [*config.source_dirs, *config.test_dirs]
-    walk = kept(tree.walked(spark, root))
+    stored = snapshot.load(spark, config, folder) if folder else None
+    walk = kept(tree.rewalked(spark, root, stored[1]) if stored else tree.walked(spark, root))
     files = tree.files(spark, root, dirs, walk)
 
     def metadata(own: DataFrame) -> DataFrame:
-        stored = snapshot.load(spark, config, folder) if folder else None
-        folders = tree.directories(spark, root, dirs, walk) if folder else None
         listed = own.select("path", "mtime", "size")
-        if stored is None or not snapshot.drifted(stored[1], folders).isEmpty():
+        if stored is None or not snapshot.drifted(*(tree.directories(spark, root, dirs, w) for w in (stored[1], walk))).isEmpty():
             fresh = listed
         else:
             fresh = snapshot.to_parse(stored[0], listed)
@@ -128,7 +127,7 @@ def from_tree(spark: SparkSession, root: str, config: Config, folder: str | None
             meta = meta.unionByName(snapshot.reusable(stored[0], listed))
         if folder:
             meta = kept(meta)
-            snapshot.write(meta, folders, config, folder)
+            snapshot.write(meta, walk, config, folder)
         return meta
 
     return build(files, config, gone, metadata)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sparkripple.plans.config import Config
 
 #: The form of a version's tables; it rises where metadata means another thing.
-VERSION = 2
+VERSION = 3
 #: Versions that stay.
 KEEP = 3
 
@@ -65,8 +65,8 @@ def version_path(folder: str, number: int) -> str:
     return f"{folder}/v-{number:012d}"
 
 
-def write(metadata: DataFrame, directories: DataFrame, config: Config, folder: str, keep: int = KEEP) -> int:
-    """Write a new version and return its number; of older ones the last keep - 1 stay.
+def write(metadata: DataFrame, walk: DataFrame, config: Config, folder: str, keep: int = KEEP) -> int:
+    """Write a new version of the metadata and of the walk that found its files, and return its number; of older ones the last keep - 1 stay.
 
     A version is written aside and then renamed to the next free number, which fails
     where another writer took that number first; so it appears whole and once,
@@ -75,7 +75,7 @@ def write(metadata: DataFrame, directories: DataFrame, config: Config, folder: s
     spark = metadata.sparkSession
     aside = f"{folder}/.new-{uuid.uuid4().hex}"
     metadata.write.parquet(f"{aside}/metadata")
-    directories.write.parquet(f"{aside}/directories")
+    walk.write.parquet(f"{aside}/walk")
     spark.createDataFrame([(VERSION, config_hash(config))], "version int, config string").coalesce(1).write.parquet(f"{aside}/settings")
     number = max(versions(spark, folder), default=0) + 1
     while not renamed(spark, aside, version_path(folder, number)):
@@ -102,7 +102,7 @@ def renamed(spark: SparkSession, old: str, new: str) -> bool:
 
 
 def load(spark: SparkSession, config: Config, folder: str) -> tuple[DataFrame, DataFrame] | None:
-    """(metadata, directories) of the newest version, or None if absent, unreadable, of another form or other settings."""
+    """(metadata, walk) of the newest version, or None if absent, unreadable, of another form or other settings."""
     numbers = versions(spark, folder)
     if not numbers:
         return None
@@ -111,7 +111,7 @@ def load(spark: SparkSession, config: Config, folder: str) -> tuple[DataFrame, D
         said = spark.read.parquet(f"{path}/settings").first()
         if said is None or (said["version"], said["config"]) != (VERSION, config_hash(config)):
             return None
-        return spark.read.parquet(f"{path}/metadata"), spark.read.parquet(f"{path}/directories")
+        return spark.read.parquet(f"{path}/metadata"), spark.read.parquet(f"{path}/walk")
     except AnalysisException:
         return None
 

@@ -2,11 +2,13 @@
 
 import os
 import subprocess
+import time
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 from sparkripple.functions import source_text
+from sparkripple.operators.iterate import kept
 from sparkripple.plans import corpus, engine, index
 from sparkripple.plans.config import Config
 from sparkripple.sources import git, snapshot, source_sets, tree
@@ -159,6 +161,57 @@ def test_index_from_a_tree_with_a_snapshot(spark, repo, tmp_path_factory):
     assert read == [everything, [], ["src/main/java/a/Keep.java"], sorted([*everything, "src/main/java/b/More.java"])]
 
 
+def test_walk_again(spark, tmp_path, monkeypatch):
+    """Equal to a walk from scratch; only the directories that changed, or are new, are listed."""
+    monkeypatch.setattr(tree, "SETTLED", -1)  # all listings of a test are young
+    root = tmp_path / "project"
+    for m in range(12):
+        for p in ("a", "a/b", "c"):
+            (root / f"m{m}/src/{p}").mkdir(parents=True)
+            (root / f"m{m}/src/{p}/X{m}.java").write_text("class X { }")
+    every = lambda df: sorted(tuple(r) for r in df.select("path", "is_dir", "mtime", "size", "child_count", "stamp").collect())
+    walk = kept(tree.walked(spark, str(root)))
+    assert walk.filter("is_dir").count() == 12 * 5 + 1 and walk.filter("NOT is_dir").count() == 36
+
+    def again(listed):
+        nonlocal walk
+        start = int(time.time() * 1000)
+        new = kept(tree.rewalked(spark, str(root), walk))
+        assert every(new) == every(tree.walked(spark, str(root)))
+        assert sorted(r["path"] for r in new.filter(F.col("is_dir") & (F.col("listed_at") >= start)).collect()) == sorted(listed)
+        walk = new
+
+    again([])
+    (root / "m0/src/a/X0.java").write_text("class X { int other; }")
+    again([])  # no directory has changed, the file's size is seen all the same
+    (root / "m1/src/a/b/New.kt").write_text("class New")
+    os.remove(root / "m2/src/c/X2.java")
+    again(["m1/src/a/b", "m2/src/c"])
+    (root / "m3/src/n/o/p/q").mkdir(parents=True)
+    (root / "m3/src/n/o/p/q/Deep.java").write_text("class Deep { }")
+    again(["m3/src", "m3/src/n", "m3/src/n/o", "m3/src/n/o/p", "m3/src/n/o/p/q"])
+    for i in range(70):
+        (root / f"many/d{i}/src").mkdir(parents=True)
+        (root / f"many/d{i}/src/Y.java").write_text("class Y { }")
+    again(["", "many", *(f"many/d{i}" for i in range(70)), *(f"many/d{i}/src" for i in range(70))])
+    os.rename(root / "m4/src/a", root / "m4/src/moved")
+    again(["m4/src", "m4/src/moved", "m4/src/moved/b"])
+    # A directory in another's place: its times are set to be the same, and it is found by what can't be set.
+    old = os.stat(root / "m5/src/c")
+    os.rename(root / "m5/src/c", tmp_path / "aside")
+    (root / "m5/src/c").mkdir()
+    (root / "m5/src/c/Z.java").write_text("class Z { }")
+    os.utime(root / "m5/src/c", ns=(old.st_atime_ns, old.st_mtime_ns))
+    again(["m5/src", "m5/src/c"])
+    # Links are never followed, also where a directory stood, and what lay below it is gone.
+    os.rename(root / "m6/src", tmp_path / "outside")
+    os.symlink(tmp_path / "outside", root / "m6/src")
+    again(["m6"])
+    assert walk.filter("path LIKE 'm6/%'").isEmpty()
+    monkeypatch.setattr(tree, "SETTLED", 10**9)
+    again([r["path"] for r in walk.filter("is_dir").collect()])
+
+
 def test_roots(spark, repo):
     root, put, _ = repo
     put("src/main/java/x/src/main/java/Y.java", "")

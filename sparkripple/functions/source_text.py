@@ -44,7 +44,7 @@ def metadata(files: DataFrame, kotlin_enabled: bool = True) -> DataFrame:
     words are the capitalised words of the whole text, comments included; jvm_name
     tells whether a Kotlin file names its facade itself.
 
-    Null content counts as a failed parse; files of other languages, or Kotlin
+    Files are read by the tasks that hold them, so many files that few tasks hold should be spread first. Null content counts as a failed parse; files of other languages, or Kotlin
     where it is off, are left out and are no failures.
     """
     rows = files.withColumn("lang", paths.extension(F.col("path"))).filter(F.col("lang").isin("java", *["kt"] * kotlin_enabled))

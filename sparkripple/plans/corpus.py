@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sparkripple.functions import paths, source_text
 from sparkripple.operators import dispatch, selection
-from sparkripple.operators.iterate import kept, shared_folder
+from sparkripple.operators.iterate import kept, shared_folder, spread
 from sparkripple.plans import engine, report, stored, syntax_corpus
 from sparkripple.plans import index as project_index
 from sparkripple.plans.config import DEFAULTS, IGNORED, SITUATIONS, Config
@@ -192,8 +192,10 @@ def source_files(spark: SparkSession, d: str) -> DataFrame:
     return sources.unionByName(own.select(where.alias("path"), body.alias("content")))
 
 
-def syntax_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return kept(source_text.metadata(syntax_corpus.files(classes(spark, d))))
+def syntax_metadata(spark: SparkSession, d: str, *langs: str) -> DataFrame:
+    """Metadata of the made-up files, or of those of some languages alone."""
+    files = syntax_corpus.files(spread(classes(spark, d), "k"))
+    return source_text.metadata(files.filter(paths.extension(F.col("path")).isin(*langs)) if langs else files)
 
 
 def fingerprints(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -667,7 +669,7 @@ def parse_failures(spark, d):
 @query("SELECT path, pkg, path_pkg FROM cv_mismatch")
 def package_mismatch(spark, d):
     """Kotlin files that declare another package than their path says."""
-    return source_text.path_package_mismatch(syntax_metadata(spark, d), list(CONFIG.source_dirs)).select("path", "pkg", "path_pkg")
+    return source_text.path_package_mismatch(syntax_metadata(spark, d, "kt"), list(CONFIG.source_dirs)).select("path", "pkg", "path_pkg")
 
 
 @query(
@@ -676,7 +678,7 @@ def package_mismatch(spark, d):
       (SELECT string_agg(path || ' ' || pkg || ' ' || path_pkg, ',' ORDER BY path) FROM (SELECT * FROM cv_mismatch ORDER BY path LIMIT 10)) mismatch FROM cv_syntax WHERE path LIKE '%.kt'"""
 )
 def kotlin_counters(spark, d):
-    own = source_text.kotlin_counters(syntax_metadata(spark, d), list(CONFIG.source_dirs))
+    own = source_text.kotlin_counters(kept(syntax_metadata(spark, d, "kt")), list(CONFIG.source_dirs))
     said = F.transform("mismatch", lambda m: F.concat_ws(" ", m["path"], m["pkg"], m["path_pkg"]))
     return own.select("n_failed", "n_mapped", "n_mismatch", F.array_join("mapped", ",").alias("mapped"), F.array_join(said, ",").alias("mismatch"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkripple.functions import paths, source_text
 from sparkripple.operators import selection
-from sparkripple.operators.iterate import kept
+from sparkripple.operators.iterate import kept, spread
 from sparkripple.plans import lazy
 from sparkripple.plans.config import Config
 from sparkripple.sources import snapshot, tree
@@ -64,7 +64,7 @@ def build(files: DataFrame, config: Config, gone: DataFrame | None = None, metad
         def run(index: Index) -> DataFrame:
             if metadata:
                 return index["metadata"].filter(F.col("kind") == kind)
-            return kept(source_text.metadata(own.filter(F.col("kind") == kind).select("path", "kind", "fqn", "pkg_of_path", "content"), config.kotlin_enabled))
+            return kept(source_text.metadata(spread(own.filter(F.col("kind") == kind).select("path", "kind", "fqn", "pkg_of_path", "content"), "path"), config.kotlin_enabled))
 
         return run
 
@@ -122,7 +122,7 @@ def from_tree(spark: SparkSession, root: str, config: Config, folder: str | None
             fresh = listed
         else:
             fresh = snapshot.to_parse(stored[0], listed)
-        meta = source_text.metadata(tree.texts(fresh, root), config.kotlin_enabled)
+        meta = source_text.metadata(tree.texts(spread(fresh, "path"), root), config.kotlin_enabled)
         if fresh is not listed:
             meta = meta.unionByName(snapshot.reusable(stored[0], listed))
         if folder:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkripple.functions import paths, source_text
 from sparkripple.operators import selection
-from sparkripple.operators.iterate import kept
+from sparkripple.operators.iterate import kept, spread
 
 
 def imports_of(meta: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ class Edges:
         for parsed in self.memo:
             fresh = fresh.join(parsed.select("path"), "path", "left_anti")
         files = self.files.join(fresh, "path", "left_semi").select("path", "fqn", "kind", "pkg_of_path", "content")
-        self.memo.append(kept(source_text.metadata(files, self.kotlin_enabled)))
+        self.memo.append(kept(source_text.metadata(spread(files, "path"), self.kotlin_enabled)))
         meta = self.parsed().filter("parse_ok").join(touched, "path", "left_semi")
         refs = refs_of(meta).join(names.select("name"), "name", "left_semi")
         # A name counts where it stands as a capitalised word, as the postings have it.

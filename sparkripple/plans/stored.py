@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sparkripple.functions import paths, source_text
 from sparkripple.operators import selection
-from sparkripple.operators.iterate import kept
+from sparkripple.operators.iterate import kept, spread
 from sparkripple.plans.config import Config
 from sparkripple.plans.index import located
 from sparkripple.sources.snapshot import clear, renamed
@@ -107,7 +107,7 @@ def refresh(spark: SparkSession, files: DataFrame, config: Config, folder: str,
     old = table(spark, folder, "files", FILES)
     same = ["path", "kind", "fqn", "mtime", "size"]
     fresh = own.join(old.filter("parse_ok").select(*same), same, "left_anti")
-    meta = kept(source_text.metadata(fresh.join(files.select("path", "content"), "path"), config.kotlin_enabled))
+    meta = kept(source_text.metadata(spread(fresh.join(files.select("path", "content"), "path"), "path"), config.kotlin_enabled))
     gone = old.select("path").join(own.select("path"), "path", "left_anti")
     dirty = kept(meta.select("path").union(gone).union(fresh.select("path")).distinct())
     touched = touched_by(dirty, buckets)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sparkripple.operators import dispatch
 from sparkripple.operators.iterate import spread
 from sparkripple.plans import corpus, index
 from sparkripple.plans.config import Config
@@ -33,3 +34,19 @@ def test_kotlin_alone_is_parsed_for_kotlin(spark):
     assert {r["lang"] for r in kotlin.select("lang").distinct().collect()} == {"kt"}
     assert corpus.syntax_corpus.shown(every.filter("lang = 'kt'")).exceptAll(corpus.syntax_corpus.shown(kotlin)).isEmpty()
     assert every.filter("lang = 'kt'").count() == kotlin.count()
+
+
+def test_classes_are_not_broadcast_for_their_file_size(spark):
+    # part is small as a file, so each join of its classes had sent them whole through the driver.
+    for rows in (corpus.tests(spark, SF), corpus.naming_match(spark, SF)):
+        rows.collect()
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_key_of_a_path_is_grouped_but_a_module(spark):
+    files = spark.createDataFrame([("a/b/c/X.java",), ("a/b/Y.java",), ("z/Z.java",), ("a/b/c/X.java",), ("Top.java",)], "path string").withColumn("n", F.monotonically_increasing_id())
+    modules = spark.createDataFrame([("a", ":a"), ("a/b", ":a:b"), ("a/b/c/X.java", ":no")], "dir string, gradle_path string")
+    out = dispatch.owning_module(files, modules)
+    assert sorted((r["path"], r["gradle_path"]) for r in out.collect()) == [("Top.java", ""), ("a/b/Y.java", ":a:b"), ("a/b/c/X.java", ":a:b"), ("a/b/c/X.java", ":a:b"), ("z/Z.java", "")]
+    assert out.columns == ["path", "n", "gradle_path"]
+    assert "max_by" not in out._jdf.queryExecution().executedPlan().toString()

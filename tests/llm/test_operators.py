@@ -274,6 +274,48 @@ def test_token_counts_take_the_whole_vocabulary(spark):
     assert trie.count(b" responsibilities") == brute(" responsibilities") == 1
 
 
+def test_token_counts_take_a_level_at_a_time(spark, monkeypatch):
+    """Short pre-tokens are counted together, each prefix once and none byte by byte; the counts are those of single ones."""
+    import public_tokenizers as public
+    import regex
+
+    scores = token_counts.load_scores(public.path("byte_bpe_50k.tiktoken"))
+    rng = np.random.default_rng(4)
+    pieces = np.array([p.decode() for p in scores if len(p) < 20 and p.isascii()])
+    tokens = ["".join(rng.choice(pieces, n)) for n in rng.integers(1, 6, 3000)] + ["-" * n for n in range(1, 65)]
+    tokens += ["".join("\0\x01aé漢🙂 "[i] for i in rng.integers(0, 7, n)) for n in rng.integers(1, 16, 1000)]
+    tokens = sorted({t for t in tokens if len(t.encode()) <= token_counts.LONGEST})
+    single = token_counts.Trie(scores)
+    want = [single.count(t.encode()) for t in tokens]
+    prefixes = {s[: i + 1] for s in map(str.encode, tokens) for i in range(len(s))}
+    with monkeypatch.context() as m:
+        m.setattr(token_counts.Trie, "extend", lambda *_: pytest.fail("a short pre-token byte by byte"))
+        assert token_counts.Trie(scores).terminal(tokens[-1]) == want[-1]
+        trie = token_counts.Trie(scores)
+        numbers = [trie.terminals[tokens[i]] for i in rng.permutation(len(tokens))]
+        assert sorted(numbers) == list(range(len(tokens)))
+        counts = trie.count_new()
+        assert [counts[trie.terminals[t]] for t in tokens] == want == [trie.terminal(t) for t in tokens]
+        assert trie.computed == len(prefixes) == single.computed
+    with monkeypatch.context() as m:  # terminals that are dropped, and long pre-tokens between
+        m.setattr(token_counts, "MOST_TERMINALS", 500)
+        trie = token_counts.Trie(scores)
+        for start in range(0, len(tokens), 90):
+            some = [*tokens[start : start + 90], "x" * 100, *tokens[max(0, start - 50) : start], "é" * 70, "x" * 100]
+            numbers = [trie.terminals[t] for t in some]
+            assert trie.count_new()[numbers].tolist() == [single.count(t.encode()) for t in some]
+            assert len(trie.terminals) < 500 and "x" * 100 not in trie.terminals
+    # More new pre-tokens in one long text than are counted together, and the same ones again.
+    words = [p.strip() for p in pieces if p.strip().isalpha()]
+    long = " ".join(f"{a}{b}" for a, b in zip(rng.choice(words, 180_000), rng.choice(words, 180_000)))
+    found = Counter(regex.findall(public.PATTERN, long))
+    assert len(long) > token_counts.LONG_TEXT and len(found) > token_counts.NEW
+    whole = (sum(single.count(t.encode()) * n for t, n in found.items()), sum(found.values()))
+    docs = spark.createDataFrame([(1, long), (2, "a b"), (3, long), (4, None), (5, "")], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_tokens"], r["n_pretokens"]) for r in token_counts.count_tokens(docs).collect()}
+    assert got == {1: whole, 2: (2, 2), 3: whole, 4: (0, 0), 5: (0, 0)}
+
+
 def test_url_filters(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     more = [(-1, None, ""), (-2, "no scheme", ""), (-3, "HTTP://A.Example.ORG/en/1x?q", ""), (-4, "http://notorg/x", ""), (-5, "x://org", ""), (-6, "http://u.com/fr/" + "z" * 20_000, ""), (-7, "http://u.com/fr/1://x/y", ""), (-7, "http://u.com/fr/1://x/y", "")]

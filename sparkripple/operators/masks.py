@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 from sparkripple.operators.iterate import kept
 
 
+#: So many diffs are sent to all tasks, so that rows aren't dealt out by diff to be numbered or named.
+FEW_DIFFS = 50_000
+
+
 def numbered(diffs: DataFrame) -> DataFrame:
     """(diff_id, number) of distinct diffs, written; numbers follow one another within what a task holds, so masks are dense."""
-    return kept(diffs.select("diff_id").distinct().withColumn("number", F.monotonically_increasing_id()))
+    own = kept(diffs.select("diff_id").distinct().withColumn("number", F.monotonically_increasing_id()))
+    return F.broadcast(own) if own.count() <= FEW_DIFFS else own
 
 
 def masked(rows: DataFrame, numbers: DataFrame, *by: str) -> DataFrame:

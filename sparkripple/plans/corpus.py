@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sparkripple.functions import paths, source_text
 from sparkripple.operators import dispatch, selection
-from sparkripple.operators.iterate import kept, shared_folder, spread
+from sparkripple.operators.iterate import kept, shared_folder, spread, written
 from sparkripple.plans import engine, report, stored, syntax_corpus
 from sparkripple.plans import index as project_index
 from sparkripple.plans.config import DEFAULTS, IGNORED, SITUATIONS, Config
@@ -69,27 +69,52 @@ def tests(spark: SparkSession, d: str) -> DataFrame:
 def references(spark: SparkSession, d: str) -> DataFrame:
     """(test, pkg, kind, target, target_pkg, target_simple, even), some rows more than once; what is made of them is distinct."""
     o = read(spark, d, "orders").select("o_orderkey", "o_custkey")
-    line = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    line = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_linenumber") % 6).alias("kind"), (F.col("l_quantity") % 2 == 0).alias("even"))
     t = tests(spark, d).select("c_custkey", F.col("fqn").alias("test"), "pkg")
-    c = classes(spark, d).select(F.col("k").alias("l_partkey"), F.col("fqn").alias("target"), F.col("pkg").alias("target_pkg"), F.col("simple").alias("target_simple"))
-    out = line.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(t, F.col("o_custkey") == F.col("c_custkey")).join(c, "l_partkey")
-    return out.select("test", "pkg", (F.col("l_linenumber") % 6).alias("kind"), "target", "target_pkg", "target_simple", (F.col("l_quantity") % 2 == 0).alias("even"))
+    c = classes(spark, d).select(F.col("k").alias("l_partkey"), F.col("pkg").alias("target_pkg"))
+    # Tests come last, so that their names are not dealt out by part and a test's references lie together.
+    out = line.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, "l_partkey").join(t, F.col("o_custkey") == F.col("c_custkey"))
+    return out.select("test", "pkg", "kind", "target_pkg", F.concat(F.lit("Part"), F.col("l_partkey").cast("string")).alias("target_simple"), "even").transform(with_target)
 
 
-def imports(spark: SparkSession, d: str, refs: DataFrame | None = None) -> DataFrame:
-    r = (refs or references(spark, d)).filter("kind IN (0, 1, 2, 3) OR (kind = 5 AND even)")
+def with_target(refs: DataFrame) -> DataFrame:
+    return refs.withColumn("target", F.concat_ws(".", "target_pkg", "target_simple"))
+
+
+def written_references(spark: SparkSession, d: str) -> DataFrame:
+    """references, written without the target, which is put together again as they are read."""
+    return written(references(spark, d).drop("target")).transform(with_target)
+
+
+def imports_of(r: DataFrame) -> DataFrame:
+    """imports of references, some rows more than once."""
+    r = r.filter("kind IN (0, 1, 2, 3) OR (kind = 5 AND even)")
     name = F.when(F.col("kind") == 0, F.col("target")).when(F.col("kind") == 1, F.concat("target", F.lit(".Inner"))).when((F.col("kind") == 2) & ~F.col("even"), F.concat("target", F.lit(".helper"))).when(F.col("kind") == 3, F.col("target_pkg")).otherwise(F.col("target"))
     star = (F.col("kind") == 3) | (F.col("kind") == 5) | (F.col("kind") == 2) & F.col("even")
-    return r.select(F.col("test").alias("fqn"), name.alias("name"), (F.col("kind") == 2).alias("is_static"), star.alias("is_asterisk")).distinct().withColumn("ord", F.col("name"))
+    return r.select(F.col("test").alias("fqn"), name.alias("name"), (F.col("kind") == 2).alias("is_static"), star.alias("is_asterisk"))
+
+
+def imports(spark: SparkSession, d: str, refs: DataFrame | None = None) -> DataFrame:
+    return imports_of(refs or references(spark, d)).distinct().withColumn("ord", F.col("name"))
+
+
+def simple_refs_of(r: DataFrame) -> DataFrame:
+    """simple_refs of references, some rows more than once."""
+    return r.filter("kind IN (0, 3) OR (kind = 5 AND NOT even)").select(F.col("test").alias("fqn"), "pkg", F.col("target_simple").alias("name"))
 
 
 def simple_refs(spark: SparkSession, d: str, refs: DataFrame | None = None) -> DataFrame:
-    return (refs or references(spark, d)).filter("kind IN (0, 3) OR (kind = 5 AND NOT even)").select(F.col("test").alias("fqn"), "pkg", F.col("target_simple").alias("name")).distinct()
+    return simple_refs_of(refs or references(spark, d)).distinct()
+
+
+def dotted_refs_of(r: DataFrame) -> DataFrame:
+    """dotted_refs of references, some rows more than once."""
+    r = r.filter("kind = 4")
+    return r.select(F.col("test").alias("fqn"), F.when(F.col("even"), F.col("target")).otherwise(F.concat("target", F.lit(".Nested"))).alias("name"))
 
 
 def dotted_refs(spark: SparkSession, d: str, refs: DataFrame | None = None) -> DataFrame:
-    r = (refs or references(spark, d)).filter("kind = 4")
-    return r.select(F.col("test").alias("fqn"), F.when(F.col("even"), F.col("target")).otherwise(F.concat("target", F.lit(".Nested"))).alias("name")).distinct()
+    return dotted_refs_of(refs or references(spark, d)).distinct()
 
 
 def decls(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +132,9 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     """(consumer, dependency): parts that follow each other in an order."""
     line = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     a, b = line.alias("a"), line.alias("b")
-    pairs = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("b.l_linenumber") == F.col("a.l_linenumber") + 1)).filter("a.l_partkey <> b.l_partkey").select(F.col("a.l_partkey").alias("ca"), F.col("b.l_partkey").alias("cb")).distinct()
+    pairs = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("b.l_linenumber") == F.col("a.l_linenumber") + 1)).filter("a.l_partkey <> b.l_partkey").select(F.col("a.l_partkey").alias("ca"), F.col("b.l_partkey").alias("cb"))
+    # Dealt out once for both the distinct rows and the first join.
+    pairs = pairs.repartition("ca").distinct()
     c = classes(spark, d).select("k", "fqn")
     return pairs.join(c.select(F.col("k").alias("ca"), F.col("fqn").alias("consumer")), "ca").join(c.select(F.col("k").alias("cb"), F.col("fqn").alias("dependency")), "cb").select("consumer", "dependency")
 
@@ -158,10 +185,10 @@ def routes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The relations; those that the tiers of usage read again and again are written once."""
-    refs = kept(references(spark, d))
-    own = {"imports": kept(imports(spark, d, refs)), "simple_refs": kept(simple_refs(spark, d, refs)), "dotted_refs": dotted_refs(spark, d, refs)}
-    return {"tests": kept(tests(spark, d)), "sources": sources(spark, d), **own, "decls": decls(spark, d), "edges": kept(edges(spark, d))}
+    """The relations; those that the strategies read again and again are written once."""
+    refs = written_references(spark, d)
+    own = {"imports": imports_of(refs), "simple_refs": simple_refs_of(refs), "dotted_refs": dotted_refs_of(refs)}
+    return {"tests": written(tests(spark, d)), "sources": sources(spark, d), **own, "decls": decls(spark, d), "edges": written(edges(spark, d))}
 
 
 def changed_with_kind(spark: SparkSession, d: str) -> DataFrame:
@@ -427,8 +454,8 @@ def usage_static_import(spark, d):
 
 @query("SELECT * FROM cv_usage")
 def usage_all(spark, d):
-    refs = kept(references(spark, d))
-    return selection.usage(changed(spark, d), selection.usage_keys(imports(spark, d, refs), simple_refs(spark, d, refs), dotted_refs(spark, d, refs)))
+    refs = written_references(spark, d)
+    return selection.usage_in_tiers(changed(spark, d), imports_of(refs), simple_refs_of(refs), dotted_refs_of(refs))
 
 
 @query("SELECT * FROM cv_impl_name")
@@ -458,15 +485,15 @@ def token_index(spark, d):
     (SELECT min(c.fqn) FROM cv_import i JOIN cv_class c ON c.fqn = i.name || '.' || s.name WHERE i.fqn = s.fqn AND NOT i.is_static AND i.is_asterisk)) AS dependency
   FROM cv_simple s QUALIFY dependency IS NOT NULL""".replace("QUALIFY", "WHERE").replace("WHERE dependency IS NOT NULL", ""))
 def name_resolution(spark, d):
-    refs = kept(references(spark, d))
+    refs = written_references(spark, d)
     return selection.resolved(simple_refs(spark, d, refs), imports(spark, d, refs), classes(spark, d).select("fqn"))
 
 
 @query("SELECT DISTINCT consumer, dependency FROM (" + r"""SELECT s.fqn consumer, s.name, coalesce((SELECT min(i.name) FROM cv_import i WHERE i.fqn = s.fqn AND NOT i.is_static AND NOT i.is_asterisk AND regexp_extract(i.name, '[^.]*$') = s.name), (SELECT c.fqn FROM cv_class c WHERE c.fqn = s.pkg || '.' || s.name), (SELECT min(c.fqn) FROM cv_import i JOIN cv_class c ON c.fqn = i.name || '.' || s.name WHERE i.fqn = s.fqn AND NOT i.is_static AND i.is_asterisk)) AS dependency FROM cv_simple s""" + ") WHERE dependency <> consumer AND right(name, 1) <> '3'")
 def used_by(spark, d):
     """Edges of resolved names that stand as words in the consumer's text; the made-up text lacks names that end in 3."""
-    refs = kept(references(spark, d))
-    names = kept(simple_refs(spark, d, refs))
+    refs = written_references(spark, d)
+    names = simple_refs_of(refs)
     words = names.filter(~F.col("name").endswith("3")).select(F.col("fqn").alias("path"), F.col("name").alias("token"))
     return selection.used_by(words, selection.resolved(names, imports(spark, d, refs), classes(spark, d).select("fqn")))
 

@@ -82,7 +82,7 @@ def test_few_diffs_are_not_dealt_out(spark):
     assert back._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 0
 
 
-@pytest.mark.parametrize("name, most", [("usage_all", 4)])
+@pytest.mark.parametrize("name, most", [("usage_all", 4), ("impact_flagship", 2), ("explain_trace", 3)])
 def test_disk_of_a_query(spark, name, most):
     read = sum(Path(SF, f"{t}.parquet").stat().st_size for t in ("customer", "lineitem", "orders", "part", "supplier"))
     kept(spark.range(1))
